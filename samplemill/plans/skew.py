@@ -1,0 +1,31 @@
+"""Joins on keys that one value may dominate."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+HOT_SHARE = 0.001
+
+
+def hot_keys(df: DataFrame, key: str, share: float = HOT_SHARE) -> DataFrame:
+    """Keys that hold more than ``share`` of all rows: never more than ``1 / share`` of them."""
+    total = df.count()
+    counts = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    return counts.where(F.col("_n") > max(1.0, total * share)).select(key)
+
+
+def hot_split_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner", share: float = HOT_SHARE) -> DataFrame:
+    """Join a large side to one that is unique on ``key`` (``inner`` or ``left``).
+
+    The rows of the few hot keys stay where they are and meet the at most ``1 / share``
+    matching rows by broadcast; all other rows take the ordinary shuffled join.
+    """
+    if how not in ("inner", "left"):
+        raise ValueError(f"unsupported join type: {how}")
+    hot = hot_keys(left, key, share)
+    marked = left.join(F.broadcast(hot.withColumn("_hot", F.lit(True))), key, "left")
+    few = right.join(F.broadcast(hot), key, "left_semi")
+    spread = marked.where("_hot is null").drop("_hot").join(right, key, how)
+    stay = marked.where("_hot").drop("_hot").join(F.broadcast(few), key, how)
+    return spread.unionByName(stay)
