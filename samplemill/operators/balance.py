@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from samplemill.functions.ids import SEED, sample_hash
@@ -10,7 +10,8 @@ from samplemill.plans.ordered import hash_cut, hash_rank, join_null_safe
 from samplemill.plans.session import cut
 
 TOLERANCE = 0.025
-WHOLE_RANKS = 1_000
+FIRST_RANKS = 1_000
+SHARD_ROWS = 1_000_000
 
 
 def bias_targets(n_minority: int, n_majority: int, ratio: float) -> tuple[int, int]:
@@ -93,50 +94,56 @@ def cap_label_imbalance(df: DataFrame, id_col: str, labels: str, ratio: float, s
     """Multi-label imbalance cap: no row is left whose labels are all over ``ratio`` times the rarest.
 
     Rounds of bounded removal. In each round a label may lose at most its excess, and a row
-    is removed if it fits in the allowance of all its labels. Rows are ranked per label within
-    hash shards, and each shard has its exact part of the allowance, so a label carried by a
-    third of the corpus is spread over many tasks. A round in which no row fits is followed by
-    one that ranks the first candidates of each label as a whole; the first candidate in hash
-    order always fits there, so the loop ends.
+    is removed if it fits in the allowance of all its labels. Rows are ranked per label; a
+    label with very many candidates is ranked in hash shards, each with its exact part of the
+    allowance, so that no task holds it whole. If no row fits, the next round ranks just the
+    first candidates of each label; the first one in hash order always fits, so the loop ends.
     """
     flat = cut(
-        df.select(id_col, F.explode(F.array_distinct(labels)).alias("_label"))
-        .withColumn("_h", sample_hash(id_col, seed))
-        .withColumn("_s", F.substring("_h", 1, 2)),
+        df.select(id_col, F.explode(F.array_distinct(labels)).alias("_label")).withColumn(
+            "_h", sample_hash(id_col, seed)
+        ),
         "flat",
     )
-    counts = flat.groupBy("_label").agg(F.count(F.lit(1)).alias("n"))
-    least = counts.agg(F.min("n")).first()[0]
+    least, largest = _label_counts(flat).agg(F.min("n"), F.max("n")).first()
     if least is None:
         return df
     cap = int(ratio * least)
+    digits = next(d for d in range(4) if largest <= SHARD_ROWS * 16**d or d == 3)
     while True:
-        over = counts.select("_label", F.greatest(F.lit(0), F.col("n") - cap).alias("_excess"))
-        marked = flat.join(over, "_label")
-        free = marked.groupBy(id_col).agg(F.min("_excess").alias("_least")).where("_least > 0").select(id_col)
-        rows = cut(marked.join(free, id_col, "left_semi"), "candidates")
+        over = _label_counts(flat).select("_label", F.greatest(F.lit(0), F.col("n") - cap).alias("_excess"))
+        free = F.min("_excess").over(Window.partitionBy(id_col)) > 0
+        rows = flat.join(over, "_label").withColumn("_free", free).where("_free").drop("_free")
+        rows = cut(rows, "candidates")
         if rows.isEmpty():
             return df.join(flat.select(id_col).distinct(), id_col, "left_semi")
-        gone = cut(_fitting(_ranked_in_shards(rows, id_col), id_col), "gone")
-        if gone.isEmpty():
+        gone = cut(_fitting(_ranked(rows, id_col, digits), id_col), "gone")
+        if digits and gone.isEmpty():
             w = Window.partitionBy("_label").orderBy("_h", id_col)
-            firsts = rows.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= WHOLE_RANKS)
-            whole = rows.join(firsts.select("_label", id_col, "_rn"), ["_label", id_col], "left")
+            firsts = rows.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= FIRST_RANKS)
+            ranked = rows.join(firsts.select("_label", id_col, "_rn"), ["_label", id_col], "left")
             ok = F.coalesce(F.col("_rn") <= F.col("_excess"), F.lit(False))
-            gone = cut(_fitting(whole.withColumn("_ok", ok), id_col), "gone")
+            gone = cut(_fitting(ranked.withColumn("_ok", ok), id_col), "gone")
         flat = cut(flat.join(gone, id_col, "left_anti"), "flat")
-        counts = flat.groupBy("_label").agg(F.count(F.lit(1)).alias("n"))
 
 
-def _ranked_in_shards(rows: DataFrame, id_col: str) -> DataFrame:
-    """Mark rows whose rank in their label and shard is inside the shard's part of the excess."""
+def _label_counts(flat: DataFrame) -> DataFrame:
+    return flat.groupBy("_label").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _ranked(rows: DataFrame, id_col: str, digits: int) -> DataFrame:
+    """Mark rows whose rank in their label (and hash shard) is inside the allowance."""
+    if not digits:
+        w = Window.partitionBy("_label").orderBy("_h", id_col)
+        return rows.withColumn("_ok", F.row_number().over(w) <= F.col("_excess"))
+    rows = rows.withColumn("_s", F.substring("_h", 1, digits))
     upto = Window.partitionBy("_label").orderBy("_s").rowsBetween(Window.unboundedPreceding, 0)
     parts = rows.groupBy("_label", "_s").agg(F.count(F.lit(1)).alias("_have"), F.max("_excess").alias("_excess"))
     parts = parts.withColumn("_upto", F.sum("_have").over(upto)).withColumn(
         "_all", F.sum("_have").over(Window.partitionBy("_label"))
     )
 
-    def due(n):
+    def due(n: Column) -> Column:
         return F.floor(F.least(F.col("_excess"), F.col("_all")) * n / F.col("_all"))
 
     parts = parts.select("_label", "_s", (due(F.col("_upto")) - due(F.col("_upto") - F.col("_have"))).alias("_may"))
