@@ -67,16 +67,3 @@ def _values_type(depth: int) -> str:
 DEPTH = 4
 VALUES_TYPE = f"array<{_values_type(DEPTH)}>"
 REPORT_TYPE = f"struct<detects:array<struct<values:{VALUES_TYPE}>>>"
-
-
-def leaves(values: Column) -> tuple[Column, Column]:
-    """Flatten nested values: ``(type, name)`` of the leaves, and JSON text below the known depth."""
-    found = []
-    level = values
-    for depth in range(DEPTH, 0, -1):
-        nested = F.filter(level, lambda v: v["values"].isNotNull())
-        plain = F.filter(level, lambda v: v["values"].isNull())
-        found.append(F.transform(plain, lambda v: F.struct(v["type"].alias("type"), v["name"].alias("name"))))
-        inner = F.transform(nested, lambda v: v["values"])
-        level = F.flatten(inner) if depth > 1 else inner
-    return F.concat(*found), level

@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from samplemill.functions.ids import as_column
 
@@ -54,7 +55,9 @@ def instructions(listing: Column | str) -> Column:
 def without_signatures(listing: Column | str) -> Column:
     """Drop the first line of every block; blocks are separated by a blank line."""
     blocks = F.split(as_column(listing), "\n\n")
-    bodies = F.transform(blocks, lambda b: F.array_join(F.slice(F.split(b, "\n"), 2, 2**31 - 1), "\n"))
+    bodies = F.transform(
+        blocks, lambda b: F.when(b.contains("\n"), F.substring(b, F.instr(b, "\n") + 1, F.length(b))).otherwise(F.lit(""))
+    )
     return F.array_join(bodies, "\n\n")
 
 
@@ -106,7 +109,7 @@ def printable_bytes(content: Column | str) -> Column:
     return F.replace(F.translate(latin1(content), source, target), F.lit("\x00"), F.lit(chr(OFFSET)))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def capitalize_hex(texts: pd.Series) -> pd.Series:
     """Upper-case the digits after ``0x`` and the name after ``fun_`` up to ``(``.
 

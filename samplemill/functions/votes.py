@@ -68,16 +68,17 @@ def split_composites(votes: Column | str) -> Column:
     return F.concat(F.filter(v, lambda x: ~composite(x)), parts)
 
 
-def merge_votes(votes: Column | str, ns: str) -> Column:
-    """Votes of one namespace, counts of equal values added, in order of first appearance."""
-    mine = F.filter(split_composites(votes), lambda x: x["ns"] == ns)
-    values = F.array_distinct(F.transform(mine, lambda x: x["value"]))
+def merge_votes(votes: Column | str) -> Column:
+    """Add the counts of equal (namespace, value) pairs, in order of first appearance."""
+    v = as_column(votes)
+    keys = F.array_distinct(F.transform(v, lambda x: F.struct(x["ns"].alias("ns"), x["value"].alias("value"))))
     return F.transform(
-        values,
-        lambda value: F.struct(
-            value.alias("value"),
+        keys,
+        lambda key: F.struct(
+            key["ns"].alias("ns"),
+            key["value"].alias("value"),
             F.aggregate(
-                F.filter(mine, lambda x: x["value"] == value),
+                F.filter(v, lambda x: (x["ns"] == key["ns"]) & (x["value"] == key["value"])),
                 F.lit(0).cast("bigint"),
                 lambda acc, x: acc + x["count"],
             ).alias("count"),
@@ -88,12 +89,9 @@ def merge_votes(votes: Column | str, ns: str) -> Column:
 def sort_votes(votes: Column | str) -> Column:
     """Votes by count, highest first; equal counts keep their order."""
     ranked = F.array_sort(
-        F.transform(
-            as_column(votes),
-            lambda x, i: F.struct((-x["count"]).alias("c"), i.alias("i"), x["value"].alias("value"), x["count"].alias("count")),
-        )
+        F.transform(as_column(votes), lambda x, i: F.struct((-x["count"]).alias("c"), i.alias("i"), x.alias("x")))
     )
-    return F.transform(ranked, lambda x: F.struct(x["value"].alias("value"), x["count"].alias("count")))
+    return F.transform(ranked, lambda r: r["x"])
 
 
 def top_labels(votes: Column | str, k: int | None = None) -> Column:
@@ -110,21 +108,13 @@ def vote_labels(votes: Column | str, k: int | None = None) -> Column:
     return F.transform(kept, lambda x: x["value"])
 
 
-def choose_labels(votes: Column | str, top_k: int | None, vote_k: int | None) -> Column:
-    """Sort, drop values with fewer than ``vote_k`` votes, then keep ``top_k``; NULL if none is left."""
-    kept = sort_votes(votes)
-    if vote_k:
-        kept = F.filter(kept, lambda x: x["count"] >= vote_k)
-    labels = top_labels(kept, top_k or None)
+def choose_labels(ranked: Column | str, ns: str, top_k: int | None, vote_k: int | None) -> Column:
+    """From votes in rank order: one namespace, at least ``vote_k`` votes, then ``top_k`` values; NULL if none is left."""
+    mine = F.filter(as_column(ranked), lambda x: (x["ns"] == ns) & (x["count"] >= (vote_k or 0)))
+    labels = top_labels(mine, top_k or None)
     return F.when(F.size(labels) > 0, labels)
 
 
-def resolve(votes: Column | str, rules: dict[str, tuple[int | None, int | None]] | None = None) -> Column:
-    """One struct with the chosen labels per namespace."""
-    rules = rules or VOTE_RULES
-    return F.struct(*[choose_labels(merge_votes(votes, ns), *rules[ns]).alias(ns) for ns in NAMESPACES])
-
-
 def is_labeled(label: Column | str) -> Column:
     c = as_column(label)
     found = F.lit(False)

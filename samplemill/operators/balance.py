@@ -117,13 +117,13 @@ def cap_label_imbalance(df: DataFrame, id_col: str, labels: str, ratio: float, s
         rows = cut(rows, "candidates")
         if rows.isEmpty():
             return df.join(flat.select(id_col).distinct(), id_col, "left_semi")
-        gone = cut(_fitting(_ranked(rows, id_col, digits), id_col), "gone")
+        gone = _fitting(_ranked(rows, id_col, digits), id_col)
         if digits and gone.isEmpty():
             w = Window.partitionBy("_label").orderBy("_h", id_col)
             firsts = rows.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= FIRST_RANKS)
             ranked = rows.join(firsts.select("_label", id_col, "_rn"), ["_label", id_col], "left")
             ok = F.coalesce(F.col("_rn") <= F.col("_excess"), F.lit(False))
-            gone = cut(_fitting(ranked.withColumn("_ok", ok), id_col), "gone")
+            gone = _fitting(ranked.withColumn("_ok", ok), id_col)
         flat = cut(flat.join(gone, id_col, "left_anti"), "flat")
 
 

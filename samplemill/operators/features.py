@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from samplemill.functions.ids import as_column
 
@@ -19,7 +20,7 @@ DIRECTORIES = 15
 BLOCK_BYTES = 1 << 20
 
 
-@F.pandas_udf("array<bigint>")
+@F.pandas_udf(T.ArrayType(T.LongType()))
 def byte_histogram(contents: pd.Series) -> pd.Series:
     """Count of each of the 256 byte values."""
     return contents.map(
@@ -34,7 +35,7 @@ def shares(histogram: Column | str) -> Column:
     return F.transform(h, lambda x: F.when(total > 0, x / total).otherwise(F.lit(0.0)))
 
 
-@F.pandas_udf("array<bigint>")
+@F.pandas_udf(T.ArrayType(T.LongType()))
 def byte_entropy_histogram(contents: pd.Series) -> pd.Series:
     """16 x 16 counts of (entropy of the window, high nibble) over sliding windows.
 
@@ -61,7 +62,7 @@ def string_runs(content: Column | str) -> Column:
     return F.regexp_extract_all(F.decode(as_column(content), "ISO-8859-1"), F.lit(PRINTABLE), F.lit(0))
 
 
-@F.pandas_udf("array<bigint>")
+@F.pandas_udf(T.ArrayType(T.LongType()))
 def _printable_histogram(runs: pd.Series) -> pd.Series:
     return runs.map(
         lambda rs: np.bincount(np.frombuffer("".join(rs).encode("latin-1"), dtype=np.uint8) - 0x20, minlength=96)

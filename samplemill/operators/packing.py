@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from samplemill.functions.reports import REPORT_TYPE, VALUES_TYPE, json_body, leaves
+from samplemill.functions.reports import DEPTH, REPORT_TYPE, VALUES_TYPE, json_body
 from samplemill.plans.session import cut
 
 # Scanner modes, detection types that mean obfuscation, and packer names without information.
@@ -40,14 +40,23 @@ def detections(reports: DataFrame, keys: Sequence[str], raw: str) -> DataFrame:
     )
     out = None
     while True:
-        found, deeper = leaves(F.col("_v"))
-        flat = level.select(*keys, found.alias("_found"), deeper.alias("_deeper"))
-        rows = flat.select(*keys, F.explode("_found").alias("_f")).select(*keys, "_f.type", "_f.name")
+        flat = _flattened(level, keys)
+        rows = flat.select(*keys, F.explode_outer("_found").alias("_f")).where("_f is not null").select(*keys, "_f.type", "_f.name")
         out = rows if out is None else out.unionByName(rows)
-        rest = flat.where(F.size("_deeper") > 0).select(*keys, F.explode("_deeper").alias("_json"))
+        rest = cut(flat.select(*keys, F.explode_outer("_v").alias("_json")).where("_json is not null"), "deeper")
         if rest.isEmpty():
             return out
-        level = cut(rest, "deeper").select(*keys, F.from_json("_json", VALUES_TYPE).alias("_v"))
+        level = rest.select(*keys, F.from_json("_json", VALUES_TYPE).alias("_v"))
+
+
+def _flattened(level: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Leaves of the nested values in ``_v`` as ``_found``; ``_v`` becomes the JSON text below the parsed depth."""
+    for depth in range(DEPTH, 0, -1):
+        inner = F.transform(F.filter("_v", lambda v: v["values"].isNotNull()), lambda v: v["values"])
+        plain = F.filter("_v", lambda v: v["values"].isNull())
+        found = F.transform(plain, lambda v: F.struct(v["type"].alias("type"), v["name"].alias("name")))
+        level = level.withColumn(f"_f{depth}", found).withColumn("_v", F.flatten(inner) if depth > 1 else inner)
+    return level.select(*keys, F.concat(*[f"_f{d}" for d in range(DEPTH, 0, -1)]).alias("_found"), "_v")
 
 
 def consolidate(reports: DataFrame, id_col: str, mode: str, raw: str, types: Sequence[str] = OBFUSCATION_TYPES) -> DataFrame:

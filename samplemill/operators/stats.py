@@ -179,17 +179,11 @@ def log_outcomes(lines: DataFrame, text: str, phrases: dict[str, str], id_patter
 
 def label_popularity(df: DataFrame, platform: str, votes: dict[str, str]) -> DataFrame:
     """Reports per platform, extractor and label. ``votes`` maps an extractor to its vote array column."""
-    listed = F.flatten(
-        F.array(
-            *[
-                F.transform(
-                    F.coalesce(F.col(c), F.array().cast("array<struct<value:string,count:bigint>>")),
-                    lambda v, name=name: F.struct(F.lit(name).alias("extractor"), v["value"].alias("label")),
-                )
-                for name, c in votes.items()
-            ]
-        )
-    )
+    def tagged(name: str, column: str) -> Column:
+        votes = F.coalesce(F.col(column), F.array().cast("array<struct<value:string,count:bigint>>"))
+        return F.transform(votes, lambda v: F.struct(F.lit(name).alias("extractor"), v["value"].alias("label")))
+
+    listed = F.concat(*[tagged(name, column) for name, column in votes.items()])
     return (
         df.select(platform, F.explode(listed).alias("_l"))
         .groupBy(platform, "_l.extractor", "_l.label")

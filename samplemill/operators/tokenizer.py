@@ -167,12 +167,12 @@ def train_merges(
 
 def encode_merges(df: DataFrame, words: str, model: Merges, out: str = "input_ids") -> DataFrame:
     """Apply a trained vocabulary to word arrays. Map-only; each task caches the words it has seen."""
-    shared = df.sparkSession.sparkContext.broadcast(model)
+    ranks = {pair: i for i, pair in reversed(list(enumerate(model.merges)))}
+    shared = df.sparkSession.sparkContext.broadcast((model.ids, ranks, model.prefix))
 
     @F.pandas_udf("array<int>")
     def encode(batches: pd.Series) -> pd.Series:
-        trained = shared.value
-        ranks = {pair: i for i, pair in reversed(list(enumerate(trained.merges)))}
+        ids, known_ranks, prefix = shared.value
         cache: dict[str, list[int]] = {}
 
         def ids_of(word: str) -> list[int]:
@@ -180,7 +180,7 @@ def encode_merges(df: DataFrame, words: str, model: Merges, out: str = "input_id
             if found is None:
                 if len(cache) >= CACHED_WORDS:
                     cache.clear()
-                found = cache[word] = [trained.ids.get(s, UNK) for s in _apply(word, ranks, trained.prefix)]
+                found = cache[word] = [ids.get(s, UNK) for s in _apply(word, known_ranks, prefix)]
             return found
 
         return batches.map(lambda ws: None if ws is None else [i for w in ws if w for i in ids_of(w)])

@@ -304,20 +304,21 @@ def w20_chunk_index(spark, sf):
 
 
 def section_table(spark, sf):
-    lines = table(spark, sf, "lineitem")
-    length = lines.groupBy(F.col("l_orderkey").alias("file")).agg((1000 * F.max("l_linenumber")).cast("bigint").alias("file_length"))
-    return lines.select(
-        F.col("l_orderkey").alias("file"),
-        F.col("l_linenumber").alias("ord"),
-        (1000 * (F.col("l_linenumber") - 1)).cast("bigint").alias("offset"),
-        F.when(F.col("l_tax") == 0, F.lit(0)).otherwise(600 + F.col("l_quantity").cast("int") * 20).cast("bigint").alias("size"),
-        (F.col("l_linestatus") == "F").alias("is_executable"),
-    ).join(length, "file")
-
-
-SECTIONS = """sections AS (SELECT l_orderkey AS file, l_linenumber AS ord, 1000 * (l_linenumber - 1) AS off,
-    CASE WHEN l_tax = 0 THEN 0 ELSE 600 + CAST(trunc(l_quantity) AS INT) * 20 END AS size, l_linestatus = 'F' AS ex,
-    1000 * max(l_linenumber) OVER (PARTITION BY l_orderkey) AS flen FROM lineitem),
+    """Line numbers of an order as sections of a file; lines with one number form one section."""
+    size = F.when(F.col("l_tax") == 0, F.lit(0)).otherwise(600 + F.col("l_quantity").cast("int") * 20)
+    sections = (
+        table(spark, sf, "lineitem")
+        .groupBy(F.col("l_orderkey").alias("file"), F.col("l_linenumber").alias("ord"))
+        .agg(F.max(size).cast("bigint").alias("size"), F.bool_or(F.col("l_linestatus") == "F").alias("is_executable"))
+        .withColumn("offset", (1000 * (F.col("ord") - 1)).cast("bigint"))
+    )
+    length = sections.groupBy("file").agg((1000 * F.max("ord")).cast("bigint").alias("file_length"))
+    return sections.join(length, "file")
+
+
+SECTIONS = """lines AS (SELECT l_orderkey AS file, l_linenumber AS ord, max(CASE WHEN l_tax = 0 THEN 0 ELSE 600 + CAST(trunc(l_quantity) AS INT) * 20 END) AS size,
+    bool_or(l_linestatus = 'F') AS ex FROM lineitem GROUP BY ALL),
+  sections AS (SELECT file, ord, 1000 * (ord - 1) AS off, size, ex, 1000 * max(ord) OVER (PARTITION BY file) AS flen FROM lines),
   nonempty AS (SELECT *, lead(off) OVER (PARTITION BY file ORDER BY ord) AS nxt FROM sections WHERE size > 0),
   cl AS (SELECT file, ord, off AS lower, least(off + size, flen, coalesce(nxt, flen)) AS upper,
     CASE WHEN off + size > flen THEN 32 ELSE 0 END | CASE WHEN least(off + size, flen) > nxt THEN 64 ELSE 0 END AS code0 FROM nonempty WHERE ex),

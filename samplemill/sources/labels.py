@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from samplemill.functions.reports import threat_votes
 from samplemill.functions.votes import (
     NAMESPACES,
+    VOTE_RULES,
     choose_labels,
     is_labeled,
     line_flagged,
@@ -15,18 +16,21 @@ from samplemill.functions.votes import (
     merge_votes,
     parse_family,
     parse_votes,
-    resolve,
+    sort_votes,
     split_composites,
     top_labels,
     vote_labels,
 )
 
+from samplemill.plans.staged import held
+
 
 def vote_items(lines: DataFrame, text: str = "value") -> DataFrame:
     """``(id, flagged, votes)`` per vote line."""
-    return lines.select(
+    items = lines.select(
         line_id(text).alias("id"), line_flagged(text).alias("flagged"), parse_votes(text).alias("votes")
     )
+    return held(items, "votes")
 
 
 def vote_table(items: DataFrame) -> DataFrame:
@@ -38,8 +42,16 @@ def vote_table(items: DataFrame) -> DataFrame:
     )
 
 
-def resolved_labels(items: DataFrame, rules=None) -> DataFrame:
-    return items.select("id", resolve("votes", rules).alias("label"))
+def resolved_labels(items: DataFrame, rules: dict[str, tuple[int | None, int | None]] | None = None) -> DataFrame:
+    """``(id, label)`` with the chosen labels per namespace. Map-only; each step is its own column."""
+    rules = rules or VOTE_RULES
+    ranked = (
+        items.select("id", split_composites("votes").alias("_v"))
+        .withColumn("_m", merge_votes("_v"))
+        .withColumn("_r", sort_votes("_m"))
+    )
+    label = F.struct(*[choose_labels("_r", ns, *rules[ns]).alias(ns) for ns in NAMESPACES])
+    return held(ranked.select("id", label.alias("label")), "label")
 
 
 def combined_labels(votes: DataFrame, classes: DataFrame, families: DataFrame, rules=None) -> DataFrame:
@@ -77,16 +89,3 @@ def report_labels(reports: DataFrame, kind: str = "label", refine: str | None =
     else:
         raise ValueError(f"unknown refinement: {refine}")
     return reports.select("id", labels.alias("labels"))
-
-
-__all__ = [
-    "choose_labels",
-    "combined_labels",
-    "family_labels",
-    "merge_votes",
-    "report_labels",
-    "resolved_labels",
-    "view",
-    "vote_items",
-    "vote_table",
-]
