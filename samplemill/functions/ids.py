@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -12,6 +14,11 @@ def as_column(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` evaluated once per row, also where the body loops over an array."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def sample_hash(id_col: Column | str, seed: int = SEED) -> Column:
     """md5 of ``seed:id``. Sorting by it is a shuffle that every run repeats."""
     return F.md5(F.concat(F.lit(f"{seed}:"), as_column(id_col).cast("string")).cast("binary"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from samplemill.functions.ids import as_column
+from samplemill.functions.ids import as_column, bound
 
 
 def _sum(xs: Column) -> Column:
@@ -14,15 +14,18 @@ def _sum(xs: Column) -> Column:
 
 def softmax(logits: Column | str) -> Column:
     z = as_column(logits)
-    e = F.transform(z, lambda x: F.exp(x - F.array_max(z)))
-    return F.transform(e, lambda x: x / _sum(e))
+    e = bound(F.array_max(z), lambda top: F.transform(z, lambda x: F.exp(x - top)))
+    return bound(e, lambda v: bound(_sum(v), lambda total: F.transform(v, lambda x: x / total)))
 
 
 def log_softmax_at(logits: Column | str, index: Column | str) -> Column:
     """Log probability of one class."""
     z = as_column(logits)
-    top = F.array_max(z)
-    return F.get(z, as_column(index)) - top - F.ln(_sum(F.transform(z, lambda x: F.exp(x - top))))
+
+    def at(top: Column) -> Column:
+        return F.get(z, as_column(index)) - top - F.ln(_sum(F.transform(z, lambda x: F.exp(x - top))))
+
+    return bound(F.array_max(z), at)
 
 
 def argmax(scores: Column | str) -> Column:
@@ -49,25 +52,33 @@ def _scores_where(truth: Column, scores: Column, value: int) -> Column:
 def coverage(truth: Column | str, scores: Column | str) -> Column:
     """Number of labels ranked at or above the lowest true label; 0 without true labels."""
     t, s = as_column(truth), as_column(scores)
-    least = F.array_min(_scores_where(t, s, 1))
-    return F.when(least.isNull(), F.lit(0)).otherwise(F.size(F.filter(s, lambda x: x >= least)))
+    return bound(
+        F.array_min(_scores_where(t, s, 1)),
+        lambda least: F.when(least.isNull(), F.lit(0)).otherwise(F.size(F.filter(s, lambda x: x >= least))),
+    )
 
 
 def ranking_precision(truth: Column | str, scores: Column | str) -> Column:
     """Mean over true labels of (true labels at or above) / (labels at or above); 1 if none or all are true."""
     t, s = as_column(truth), as_column(scores)
-    true = _scores_where(t, s, 1)
-    ratio = F.transform(
-        true, lambda x: F.size(F.filter(true, lambda y: y >= x)) / F.size(F.filter(s, lambda y: y >= x))
-    )
-    trivial = (F.size(true) == 0) | (F.size(true) == F.size(s))
-    return F.when(trivial, F.lit(1.0)).otherwise(_sum(ratio) / F.size(true))
+
+    def score(true: Column) -> Column:
+        ratio = F.transform(
+            true, lambda x: F.size(F.filter(true, lambda y: y >= x)) / F.size(F.filter(s, lambda y: y >= x))
+        )
+        trivial = (F.size(true) == 0) | (F.size(true) == F.size(s))
+        return F.when(trivial, F.lit(1.0)).otherwise(_sum(ratio) / F.size(true))
+
+    return bound(_scores_where(t, s, 1), score)
 
 
 def ranking_loss(truth: Column | str, scores: Column | str) -> Column:
     """Share of (true, false) label pairs in which the false one scores at least as high; 0 if none or all are true."""
     t, s = as_column(truth), as_column(scores)
-    true, false = _scores_where(t, s, 1), _scores_where(t, s, 0)
-    wrong = _sum(F.transform(true, lambda x: F.size(F.filter(false, lambda y: y >= x)).cast("double")))
-    trivial = (F.size(true) == 0) | (F.size(false) == 0)
-    return F.when(trivial, F.lit(0.0)).otherwise(wrong / (F.size(true) * F.size(false)))
+
+    def loss(true: Column, false: Column) -> Column:
+        wrong = _sum(F.transform(true, lambda x: F.size(F.filter(false, lambda y: y >= x)).cast("double")))
+        trivial = (F.size(true) == 0) | (F.size(false) == 0)
+        return F.when(trivial, F.lit(0.0)).otherwise(wrong / (F.size(true) * F.size(false)))
+
+    return bound(_scores_where(t, s, 1), lambda true: bound(_scores_where(t, s, 0), lambda false: loss(true, false)))

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from samplemill.functions.ids import as_column
+from samplemill.functions.ids import as_column, bound
 
 # Window and step of the entropy histogram, and the printable range of strings.
 WINDOW, STEP = 2048, 1024
@@ -32,7 +32,7 @@ def shares(histogram: Column | str) -> Column:
     """Histogram divided by its sum; all zero for an empty one."""
     h = as_column(histogram)
     total = F.aggregate(h, F.lit(0).cast("bigint"), lambda acc, x: acc + x)
-    return F.transform(h, lambda x: F.when(total > 0, x / total).otherwise(F.lit(0.0)))
+    return bound(total, lambda n: F.transform(h, lambda x: F.when(n > 0, x / n).otherwise(F.lit(0.0))))
 
 
 @F.pandas_udf(T.ArrayType(T.LongType()))
@@ -171,12 +171,9 @@ def concatenated(blocks: Sequence[Column | str]) -> Column:
 
 def feature_table(df: DataFrame, id_col: str, content: str) -> DataFrame:
     """``(id, features)``: byte histogram, byte-entropy histogram and string block of every sample."""
-    featured = string_features(
-        df.withColumn("_bytes", shares(byte_histogram(F.col(content)))).withColumn(
-            "_entropy", shares(byte_entropy_histogram(F.col(content)))
-        ),
-        content,
-    )
+    counted = df.withColumn("_b", byte_histogram(F.col(content))).withColumn("_e", byte_entropy_histogram(F.col(content)))
+    shared = counted.withColumn("_bytes", shares("_b")).withColumn("_entropy", shares("_e"))
+    featured = string_features(shared, content)
     one = lambda c: F.array(F.col(c).cast("double"))
     block = F.concat(
         one("numstrings"), one("avlength"), one("printables"), F.col("printabledist"),

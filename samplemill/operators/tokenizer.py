@@ -19,7 +19,7 @@ from samplemill.functions.tokens import SPECIALS, UNK
 from samplemill.plans.session import cut
 
 MARK = "\x01"
-ROUNDS_PER_CUT = 8
+ROUNDS_PER_CUT = 16
 PAIRS_PER_ROUND = 256
 CACHED_WORDS = 1_000_000
 
@@ -130,15 +130,18 @@ def train_merges(
     words = counts.where(F.length("word") > 0).select(
         F.concat(F.lit(MARK), F.array_join(symbols, MARK), F.lit(MARK)).alias("w"), "n"
     )
-    words = cut(words, "words")
+    # A word table is small, so the number of tasks is set here instead of being left to its size in bytes.
+    tasks = int(words.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    words = cut(words.repartition(tasks, "w"), "words")
     parts = F.filter(F.split("w", MARK), lambda s: s != "")
     alphabet = [r.s for r in words.select(F.explode(F.array_distinct(parts)).alias("s")).distinct().collect()]
     tokens = [*specials, *sorted(alphabet)]
     merges: list[tuple[str, str]] = []
     known = set(tokens)
-    waiting = 0
+    before: DataFrame | None = None
+    rounds = 0
     while len(tokens) < size + len(specials):
-        split = words.select(parts.alias("s"), "n").where(F.size("s") > 1)
+        split = words.select(parts.alias("s"), "n")
         pairs = split.select(
             F.explode(F.arrays_zip(F.slice("s", 1, F.size("s") - 1).alias("a"), F.slice("s", 2, F.size("s")).alias("b"))).alias("p"),
             "n",
@@ -158,10 +161,17 @@ def train_merges(
             if token not in known:
                 known.add(token)
                 tokens.append(token)
-        words = words.withColumn("w", _merge(F.col("w"), chosen, prefix))
-        waiting += 1
-        if waiting == ROUNDS_PER_CUT:
-            words, waiting = cut(words, "words"), 0
+        # This round has filled the table it read, so the one before is no longer needed.
+        if before is not None:
+            before.unpersist()
+        # Words that have become one symbol have no pairs left.
+        merged = words.where(F.size(F.split("w", MARK)) > 3).withColumn("w", _merge(F.col("w"), chosen, prefix))
+        rounds += 1
+        before = words if rounds > 1 else None
+        words = cut(merged, "words") if rounds % ROUNDS_PER_CUT == 0 else merged.persist()
+    words.unpersist()
+    if before is not None:
+        before.unpersist()
     return Merges(tokens, merges, prefix)
 
 

@@ -1 +1,120 @@
-"""."""
+"""Numeric features of documents and of tables derived from order lines."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from samplemill.operators import features
+from samplemill.queries.inputs import joined, table
+from samplemill.queries.registry import query
+
+
+def content(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", F.col("text").cast("binary").alias("content"))
+
+
+@query("""WITH b AS (SELECT doc_id, strlen(text) AS size, unnest(regexp_extract_all(hex(encode(text)), '..')) AS b FROM documents)
+  SELECT doc_id, CAST(('0x' || b)::BIGINT AS INT) AS byte, count(*) AS n, round(count(*) / any_value(size), 9) AS share FROM b GROUP BY doc_id, b""")
+def fe1_byte_histogram(spark, sf):
+    rows = content(spark, sf).select("doc_id", features.byte_histogram("content").alias("h"))
+    rows = rows.withColumn("s", features.shares("h"))
+    flat = rows.select("doc_id", F.posexplode(F.arrays_zip("h", "s")).alias("byte", "z"))
+    return flat.select("doc_id", "byte", F.col("z.h").alias("n"), F.round("z.s", 9).alias("share")).where("n > 0")
+
+
+@query()
+def fe2_byte_entropy_histogram(spark, sf):
+    rows = content(spark, sf).select("doc_id", features.byte_entropy_histogram("content").alias("h"))
+    flat = rows.select("doc_id", F.posexplode("h").alias("cell", "n")).where("n > 0")
+    return flat.select("doc_id", F.floor(F.col("cell") / 16).alias("entropy_bin"), (F.col("cell") % 16).alias("nibble"), "n")
+
+
+@query("""WITH w AS (SELECT doc_id, strlen(text) AS len, CASE WHEN strlen(text) < 2048 THEN 1 ELSE (strlen(text) - 2048) // 1024 + 1 END AS n_windows FROM documents)
+  SELECT doc_id, CAST(sum(least(len, 2048) * n_windows) AS BIGINT) AS n_bytes FROM w GROUP BY doc_id""")
+def fe2_window_totals(spark, sf):
+    """Bytes counted by the windows of a document: every window has full length, a short document is one window."""
+    rows = content(spark, sf).select("doc_id", features.byte_entropy_histogram("content").alias("h"))
+    return rows.select("doc_id", F.aggregate("h", F.lit(0).cast("bigint"), lambda acc, x: acc + x).alias("n_bytes"))
+
+
+@query("""WITH r AS (SELECT doc_id, text, regexp_extract_all(text, '[\\x20-\\x7f]{5,}') AS runs FROM documents),
+  j AS (SELECT doc_id, text, len(runs) AS n, array_to_string(runs, '') AS all_ FROM r),
+  c AS (SELECT doc_id, ch, count(*) AS k FROM (SELECT doc_id, unnest(string_split(all_, '')) AS ch FROM j WHERE length(all_) > 0) GROUP BY doc_id, ch),
+  e AS (SELECT doc_id, -sum(k / t * log2(k / t)) AS entropy FROM (SELECT *, sum(k) OVER (PARTITION BY doc_id) AS t FROM c) GROUP BY doc_id)
+  SELECT j.doc_id, n AS numstrings, length(all_) AS printables, round(CASE WHEN n > 0 THEN length(all_) / n ELSE 0 END, 6) AS avlength, round(coalesce(e.entropy, 0), 6) AS entropy,
+    len(regexp_extract_all(text, '(?i)c:\\\\')) AS paths, len(regexp_extract_all(text, '(?i)https?://')) AS urls,
+    len(regexp_extract_all(text, 'HKEY_')) AS registry, len(regexp_extract_all(text, 'MZ')) AS mz FROM j LEFT JOIN e USING (doc_id)""")
+def fe3_fe4_string_features(spark, sf):
+    rows = features.string_features(content(spark, sf), "content")
+    return rows.select(
+        "doc_id", "numstrings", "printables", F.round("avlength", 6).alias("avlength"), F.round("entropy", 6).alias("entropy"),
+        "paths", "urls", "registry", "mz",
+    )
+
+
+BUCKET = "CAST(('0x' || substr(md5({0}), 1, 8))::BIGINT % {1} AS INT)"
+SIGN = "CASE WHEN CAST(('0x' || substr(md5({0}), 9, 1))::BIGINT AS INT) < 8 THEN 1 ELSE -1 END"
+
+
+@query(f"""WITH t AS (SELECT doc_id, unnest(string_split(lower(text), ' ')) AS t FROM documents),
+  b AS (SELECT doc_id, {BUCKET.format('t', 256)} AS bucket, CAST(sum({SIGN.format('t')}) AS DOUBLE) AS value FROM t GROUP BY ALL)
+  SELECT * FROM b WHERE value <> 0""")
+def fe5_hashed_strings(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", F.split(F.lower("text"), " ").alias("tokens"))
+    return features.hashed(docs, "doc_id", "tokens", 256)
+
+
+@query(f"""WITH t AS (SELECT l_orderkey, 'supp' || l_suppkey AS t, l_quantity AS v FROM lineitem),
+  b AS (SELECT l_orderkey, {BUCKET.format('t', 50)} AS bucket, sum({SIGN.format('t')} * v) AS value FROM t GROUP BY ALL),
+  d AS (SELECT l_orderkey, unnest(range(0, 50)) AS bucket FROM (SELECT DISTINCT l_orderkey FROM b WHERE value <> 0))
+  SELECT d.l_orderkey, string_agg(CAST(CAST(coalesce(b.value, 0) AS BIGINT) AS VARCHAR), ',' ORDER BY d.bucket) AS vector
+  FROM d LEFT JOIN b ON b.l_orderkey = d.l_orderkey AND b.bucket = d.bucket GROUP BY d.l_orderkey""")
+def fe5_hashed_pairs(spark, sf):
+    lines = table(spark, sf, "lineitem").select("l_orderkey", F.concat(F.lit("supp"), "l_suppkey").alias("t"), "l_quantity")
+    sparse = features.hashed(lines, "l_orderkey", "t", 50, F.col("l_quantity"))
+    vector = F.transform("vector", lambda x: F.round(x, 0).cast("bigint").cast("string"))
+    return features.dense(sparse, "l_orderkey", 50).select("l_orderkey", joined(vector).alias("vector"))
+
+
+@query("""SELECT l_orderkey, count(*) AS n_sections, count(*) FILTER (l_tax = 0) AS n_zero, count(*) FILTER (l_quantity < 5) AS n_unnamed,
+  count(*) FILTER (l_returnflag = 'A' AND l_linestatus = 'F') AS n_rx, count(*) FILTER (l_returnflag = 'R') AS n_w FROM lineitem GROUP BY l_orderkey""")
+def fe6_section_counts(spark, sf):
+    flag = F.col("l_returnflag")
+    props = F.array_compact(
+        F.array(
+            F.when(flag == "A", "MEM_READ"), F.when(F.col("l_linestatus") == "F", "MEM_EXECUTE"), F.when(flag == "R", "MEM_WRITE")
+        )
+    )
+    name = F.when(F.col("l_quantity") < 5, "").otherwise(F.concat(F.lit("sec"), "l_linenumber"))
+    lines = table(spark, sf, "lineitem").select(
+        "l_orderkey", F.when(F.col("l_tax") == 0, 0).otherwise(1).alias("size"), name.alias("name"), props.alias("props")
+    )
+    return features.section_counts(lines, "l_orderkey")
+
+
+@query("""WITH i AS (SELECT l_orderkey, lower('LIB' || (l_suppkey % 5)) AS lib, 'Fn' || (l_partkey % 50) AS f FROM lineitem)
+  SELECT l_orderkey, 'library' AS kind, lib AS token, CAST(1 AS BIGINT) AS n FROM (SELECT DISTINCT l_orderkey, lib FROM i)
+  UNION ALL SELECT l_orderkey, 'function', lib || ':' || f, count(*) FROM i GROUP BY ALL""")
+def fe6_import_tokens(spark, sf):
+    imports = table(spark, sf, "lineitem").select(
+        "l_orderkey", F.concat(F.lit("LIB"), F.col("l_suppkey") % 5).alias("library"), F.concat(F.lit("Fn"), F.col("l_partkey") % 50).alias("function")
+    )
+    return features.import_tokens(imports, "l_orderkey")
+
+
+@query()
+def fe7_feature_table(spark, sf):
+    rows = features.feature_table(content(spark, sf), "doc_id", "content")
+    return rows.select("doc_id", F.size("features").alias("width"), joined(F.transform("features", lambda x: F.round(x, 4).cast("string"))).alias("features"))
+
+
+@query("""WITH e AS (SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) - 1 AS i, l_partkey, l_suppkey FROM lineitem),
+  f AS (SELECT l_orderkey, 2 * i AS k, l_partkey AS v FROM e WHERE i < 15 UNION ALL SELECT l_orderkey, 2 * i + 1, l_suppkey FROM e WHERE i < 15),
+  g AS (SELECT o.l_orderkey, k, v FROM (SELECT l_orderkey, unnest(range(0, 30)) AS k FROM (SELECT DISTINCT l_orderkey FROM lineitem)) o LEFT JOIN f USING (l_orderkey, k))
+  SELECT l_orderkey, string_agg(coalesce(v, 0), ',' ORDER BY k) AS block FROM g GROUP BY l_orderkey""")
+def fe8_directory_block(spark, sf):
+    entries = F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey")))
+    rows = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(entries.alias("e"))
+    rows = rows.withColumn("e", F.transform("e", lambda x: F.struct(x["l_partkey"].alias("size"), x["l_suppkey"].alias("address"))))
+    block = F.transform(features.directory_block("e"), lambda x: x.cast("bigint").cast("string"))
+    return rows.select("l_orderkey", joined(block).alias("block"))
