@@ -27,26 +27,43 @@ OBFUSCATION_TYPES = (
 GENERIC_NAMES = ("Cryptor detected", "Packer detected")
 
 
+def parsed_reports(reports: DataFrame, keys: Sequence[str], raw: str) -> DataFrame:
+    """``(*keys, _ok, _found, _v)``: readable or not, detections found so far, JSON text of deeper ones.
+
+    Written to the shared folder, so that reports are scanned and parsed once however often
+    the few detections in them are used.
+    """
+    body = reports.select(*keys, json_body(raw).alias("_body"))
+    parsed = body.select(
+        *keys, F.try_parse_json("_body").isNotNull().alias("_ok"), F.from_json("_body", REPORT_TYPE).alias("_r")
+    )
+    none = F.array().cast(VALUES_TYPE)
+    level = parsed.select(
+        *keys, "_ok", F.flatten(F.transform("_r.detects", lambda d: F.coalesce(d["values"], none))).alias("_v")
+    )
+    return cut(_flattened(level, [*keys, "_ok"]), "reports")
+
+
 def detections(reports: DataFrame, keys: Sequence[str], raw: str) -> DataFrame:
     """One row ``(*keys, type, name)`` per innermost detection of a scanner report.
 
     A report is parsed to a fixed depth at once. Anything nested deeper comes back as JSON
     text and goes through further rounds until nothing is left, so no depth is lost.
     """
-    parsed = reports.select(*keys, F.from_json(json_body(raw), REPORT_TYPE).alias("_r"))
-    level = parsed.select(
-        *keys,
-        F.flatten(F.transform("_r.detects", lambda d: F.coalesce(d["values"], F.array().cast(VALUES_TYPE)))).alias("_v"),
-    )
+    return _all_levels(parsed_reports(reports, keys, raw), keys)
+
+
+def _all_levels(flat: DataFrame, keys: Sequence[str]) -> DataFrame:
     out = None
     while True:
-        flat = _flattened(level, keys)
-        rows = flat.select(*keys, F.explode_outer("_found").alias("_f")).where("_f is not null").select(*keys, "_f.type", "_f.name")
+        rows = flat.select(*keys, F.explode_outer("_found").alias("_f")).where("_f is not null")
+        rows = rows.select(*keys, "_f.type", "_f.name")
         out = rows if out is None else out.unionByName(rows)
-        rest = cut(flat.select(*keys, F.explode_outer("_v").alias("_json")).where("_json is not null"), "deeper")
+        rest = flat.select(*keys, F.explode_outer("_v").alias("_json")).where("_json is not null")
         if rest.isEmpty():
             return out
         level = rest.select(*keys, F.from_json("_json", VALUES_TYPE).alias("_v"))
+        flat = cut(_flattened(level, keys), "deeper")
 
 
 def _flattened(level: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -65,11 +82,11 @@ def consolidate(reports: DataFrame, id_col: str, mode: str, raw: str, types: Seq
     A report that is missing or no JSON has NULL flags. The packer set is as small as the
     list of known packers.
     """
-    found = detections(reports, [id_col, mode], raw).where(F.col("type").isin(*types))
+    flat = parsed_reports(reports, [id_col, mode], raw)
+    found = _all_levels(flat, [id_col, mode]).where(F.col("type").isin(*types))
     name = F.when(F.col("name").isin(*GENERIC_NAMES), "Generic").otherwise(F.coalesce(F.col("name"), F.lit("")))
     marked = found.groupBy(id_col, mode).agg(F.collect_set(F.when(name != "", name)).alias("_packers"))
-    readable = reports.select(id_col, mode, F.try_parse_json(json_body(raw)).isNotNull().alias("_ok"))
-    joined = readable.join(marked, [id_col, mode], "left")
+    joined = flat.select(id_col, mode, "_ok").join(marked, [id_col, mode], "left")
     return joined.select(
         id_col,
         mode,

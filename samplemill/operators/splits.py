@@ -234,13 +234,13 @@ def labels_per_class(df: DataFrame, id_col: str, labels: str, k: int, seed: int
             .where("_short > 0")
             .select("_label", "_short")
         )
-        # The scarcest labels first: half of each deficit, so that samples shared by labels are not taken twice.
+        # Only part of each deficit at a time, so that samples shared by labels are not taken twice.
         open_rows = flat.join(chosen, id_col, "left_anti").join(short, "_label")
         w = Window.partitionBy("_label").orderBy("_h", id_col)
         picked = (
             open_rows.withColumn("_rn", F.row_number().over(w))
             .where(F.col("_rn") <= k)
-            .where(F.col("_rn") <= F.ceil(F.col("_short") / 2))
+            .where(F.col("_rn") <= F.ceil(F.col("_short") * 0.75))
             .select(id_col)
             .distinct()
         )

@@ -17,6 +17,7 @@ from samplemill.queries.inputs import (
     samples,
     table,
     tagged_union,
+    texts,
 )
 from samplemill.queries.registry import query
 from samplemill.queries.splits import rank_sql
@@ -106,14 +107,14 @@ def ag11_counts_below(spark, sf):
 
 @query("SELECT lang, round(quantile_cont(n, 0.25), 6) AS q25, round(quantile_cont(n, 0.5), 6) AS q50, round(quantile_cont(n, 0.95), 6) AS q95 FROM (SELECT lang, len(string_split_regex(text, '\\s+')) AS n FROM documents) GROUP BY lang")
 def ag13_length_quantiles(spark, sf):
-    docs = table(spark, sf, "documents").select("lang", F.split("text", r"\s+").alias("ids"))
+    docs = texts(spark, sf, "lang", "text").select("lang", F.split("text", r"\s+").alias("ids"))
     q = stats.length_quantiles(docs, "ids", {"q25": 0.25, "q50": 0.5, "q95": 0.95}, ["lang"])
     return q.select("lang", *[F.round(c, 6).alias(c) for c in ("q25", "q50", "q95")])
 
 
 @query()
 def ag13_length_sketch(spark, sf):
-    docs = table(spark, sf, "documents").select("lang", F.split("text", r"\s+").alias("ids"))
+    docs = texts(spark, sf, "lang", "text").select("lang", F.split("text", r"\s+").alias("ids"))
     return stats.length_sketch(docs, "ids", [0.25, 0.5, 0.95], ["lang"])
 
 
@@ -213,7 +214,7 @@ def ag23_paired_delta(spark, sf):
 @query("""WITH b AS (SELECT unnest(regexp_extract_all(hex(encode(text)), '..')) AS b FROM documents)
   SELECT CAST(('0x' || b)::BIGINT AS INT) AS byte, count(*) AS n FROM b GROUP BY b""")
 def ag24_byte_distribution(spark, sf):
-    docs = table(spark, sf, "documents").select(features.byte_histogram(F.col("text").cast("binary")).alias("h"))
+    docs = texts(spark, sf, "text").select(features.byte_histogram(F.col("text").cast("binary")).alias("h"))
     return stats.byte_distribution(docs, "h").where("n > 0")
 
 

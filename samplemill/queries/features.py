@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from samplemill.operators import features
-from samplemill.queries.inputs import joined, table
+from samplemill.queries.inputs import joined, table, texts
 from samplemill.queries.registry import query
 
 
 def content(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", F.col("text").cast("binary").alias("content"))
+    return texts(spark, sf, "doc_id", "text").select("doc_id", F.col("text").cast("binary").alias("content"))
 
 
 @query("""WITH b AS (SELECT doc_id, strlen(text) AS size, unnest(regexp_extract_all(hex(encode(text)), '..')) AS b FROM documents)
@@ -60,7 +60,7 @@ SIGN = "CASE WHEN CAST(('0x' || substr(md5({0}), 9, 1))::BIGINT AS INT) < 8 THEN
   b AS (SELECT doc_id, {BUCKET.format('t', 256)} AS bucket, CAST(sum({SIGN.format('t')}) AS DOUBLE) AS value FROM t GROUP BY ALL)
   SELECT * FROM b WHERE value <> 0""")
 def fe5_hashed_strings(spark, sf):
-    docs = table(spark, sf, "documents").select("doc_id", F.split(F.lower("text"), " ").alias("tokens"))
+    docs = texts(spark, sf, "doc_id", "text").select("doc_id", F.split(F.lower("text"), " ").alias("tokens"))
     return features.hashed(docs, "doc_id", "tokens", 256)
 
 

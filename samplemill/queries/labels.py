@@ -8,7 +8,7 @@ from samplemill.functions import reports as rp
 from samplemill.functions import text as tx
 from samplemill.functions import votes as vt
 from samplemill.operators import packing
-from samplemill.queries.inputs import joined, table, tagged_union
+from samplemill.queries.inputs import joined, table, tagged_union, texts
 from samplemill.queries.registry import query
 from samplemill.sources import labels as lb
 
@@ -63,8 +63,8 @@ def tk1_choose_labels(spark, sf):
     items = lb.vote_items(vote_lines(spark, sf))
     rules = {ns: (2, 20) for ns in vt.NAMESPACES}
     label = lb.resolved_labels(items, rules)
-    out = {ns: label.select("id", joined(f"label.{ns}").alias("labels")).where("labels is not null") for ns in ("class", "fam", "beh")}
-    return tagged_union(out, "ns")
+    named = F.array(*[F.struct(F.lit(ns).alias("ns"), joined(f"label.{ns}").alias("labels")) for ns in vt.NAMESPACES])
+    return label.select("id", F.explode_outer(named).alias("l")).select("id", "l.*").where("labels is not null")
 
 
 @query(f"""WITH {VOTES}, r AS (SELECT id, ns, value, row_number() OVER (PARTITION BY id, ns ORDER BY count DESC, first) AS rn FROM merged
@@ -270,31 +270,31 @@ def sc4_without_comments(spark, sf):
   SELECT doc_id, md5(array_to_string(list_transform(list_filter(lines, lambda x: contains(x, chr(9))), lambda x: trim(string_split(x, chr(9))[-1])), chr(10))) AS digest FROM t""")
 def sc5_instructions(spark, sf):
     listing = F.replace("text", F.lit(", "), F.lit("\t"))
-    return table(spark, sf, "documents").select("doc_id", F.md5(tx.instructions(listing)).alias("digest"))
+    return texts(spark, sf, "doc_id", "text").select("doc_id", F.md5(tx.instructions(listing)).alias("digest"))
 
 
 @query("""SELECT doc_id, md5(regexp_replace(strip_accents(replace(text, 'ß', 'ss')), '[^\\x00-\\x7F]', '', 'g')) AS digest FROM documents""")
 def sc6_to_ascii(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", F.md5(tx.to_ascii("text")).alias("digest"))
+    return texts(spark, sf, "doc_id", "text").select("doc_id", F.md5(tx.to_ascii("text")).alias("digest"))
 
 
 @query("""WITH b AS (SELECT doc_id, string_split(replace(text, '. ', '.' || chr(10)), chr(10) || chr(10)) AS blocks FROM documents)
   SELECT doc_id, md5(array_to_string(list_transform(blocks, lambda b: CASE WHEN contains(b, chr(10)) THEN substr(b, strpos(b, chr(10)) + 1) ELSE '' END), chr(10) || chr(10))) AS digest FROM b""")
 def sc7_without_signatures(spark, sf):
     listing = F.replace("text", F.lit(". "), F.lit(".\n"))
-    return table(spark, sf, "documents").select("doc_id", F.md5(tx.without_signatures(listing)).alias("digest"))
+    return texts(spark, sf, "doc_id", "text").select("doc_id", F.md5(tx.without_signatures(listing)).alias("digest"))
 
 
 @query()
 def sc8_capitalize_hex(spark, sf):
     listing = F.concat(F.lit("0x"), F.md5("text"), F.lit(" "), F.lower("text"))
-    return table(spark, sf, "documents").select("doc_id", tx.capitalize_hex(listing).alias("listing"))
+    return texts(spark, sf, "doc_id", "text").select("doc_id", tx.capitalize_hex(listing).alias("listing"))
 
 
 @query("""WITH c AS (SELECT doc_id, string_split(text, '') AS c FROM documents)
   SELECT doc_id, md5(array_to_string(list_filter(c, lambda x, i: i = 1 OR x <> c[i - 1]), '')) AS digest FROM c""")
 def sc9_collapse_runs(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", F.md5(tx.collapse_runs("text", 2)).alias("digest"))
+    return texts(spark, sf, "doc_id", "text").select("doc_id", F.md5(tx.collapse_runs("text", 2)).alias("digest"))
 
 
 @query("SELECT doc_id, CAST(strlen(text) AS INT) AS n_latin1, CAST(strlen(text) AS INT) AS n_shown, TRUE AS same FROM documents")
@@ -303,6 +303,6 @@ def sc10_byte_text(spark, sf):
     raw = F.col("text").cast("binary")
     shown = tx.printable_bytes(raw)
     same = F.encode(tx.latin1(raw), "ISO-8859-1") == raw
-    return table(spark, sf, "documents").select(
+    return texts(spark, sf, "doc_id", "text").select(
         "doc_id", F.length(tx.latin1(raw)).alias("n_latin1"), F.length(shown).alias("n_shown"), same.alias("same")
     )

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from samplemill.functions.ids import id_prefix
 from samplemill.operators.filters import keep_ids
 from samplemill.plans.session import work_path
-from samplemill.queries.inputs import joined, table, tagged_union
+from samplemill.queries.inputs import joined, table, tagged_union, texts
 from samplemill.queries.labels import threat_reports, vote_lines
 from samplemill.queries.registry import query
 from samplemill.sources import archives, files, logs, payloads, sinks
@@ -16,7 +16,7 @@ from samplemill.sources import labels as lb
 
 def blobs(spark, sf):
     """ZIP archives of all documents, named by digest prefix."""
-    docs = table(spark, sf, "documents").select(
+    docs = texts(spark, sf, "doc_id", "text").select(
         F.concat(F.lit("a"), F.substring(F.md5("text"), 1, 1)).alias("archive"),
         F.concat("doc_id", F.lit(".txt")).alias("name"),
         F.col("text").cast("binary").alias("content"),
@@ -154,17 +154,19 @@ def src11_sweep_log(spark, sf):
     return tagged_union({"error": errors, "row": done}, "kind")
 
 
-@query("""WITH r AS (SELECT l_suppkey AS run, l_linenumber AS epoch, round(avg(l_discount), 5) AS v FROM lineitem GROUP BY ALL)
-  SELECT CAST(epoch AS DOUBLE) AS epoch, 'loss' AS kind, v, count(*) AS n FROM r GROUP BY ALL
-  UNION ALL SELECT CAST(epoch AS DOUBLE), 'eval_loss', v + 1, count(*) FROM r GROUP BY ALL""")
+@query("""WITH r AS (SELECT l_returnflag || l_linestatus AS run, l_suppkey AS epoch, round(avg(l_discount), 5) AS v FROM lineitem GROUP BY ALL)
+  SELECT 'run=' || run AS run, CAST(epoch AS DOUBLE) AS epoch, 'loss' AS kind, v FROM r
+  UNION ALL SELECT 'run=' || run, CAST(epoch AS DOUBLE), 'eval_loss', v + 1 FROM r""")
 def src12_training_logs(spark, sf):
-    """One training state per supplier, with a training and an evaluation entry per epoch."""
+    """One training state per flag and status, with a training and an evaluation entry per supplier."""
     path = work_path(spark, "states")
     entries = (
-        table(spark, sf, "lineitem").groupBy("l_suppkey", F.col("l_linenumber").cast("double").alias("epoch")).agg(F.round(F.avg("l_discount"), 5).alias("v"))
+        table(spark, sf, "lineitem")
+        .groupBy(F.concat("l_returnflag", "l_linestatus").alias("run"), F.col("l_suppkey").cast("double").alias("epoch"))
+        .agg(F.round(F.avg("l_discount"), 5).alias("v"))
     )
     both = entries.select(
-        "l_suppkey",
+        "run",
         F.explode(
             F.array(
                 F.create_map(F.lit("epoch"), "epoch", F.lit("loss"), "v"),
@@ -172,14 +174,14 @@ def src12_training_logs(spark, sf):
             )
         ).alias("e"),
     )
-    states = both.groupBy("l_suppkey").agg(F.to_json(F.struct(F.collect_list("e").alias("log_history"))).alias("value"))
-    states.select("l_suppkey", "value").write.partitionBy("l_suppkey").text(path)
+    states = both.groupBy("run").agg(F.to_json(F.struct(F.collect_list("e").alias("log_history"))).alias("value"))
+    states.write.partitionBy("run").text(path)
     log = logs.read_training_log(spark, path)
     parts = {
-        "loss": logs.training_rows(log).select(F.col("entry")["epoch"].alias("epoch"), F.col("entry")["loss"].alias("v")),
-        "eval_loss": logs.evaluation_rows(log).select(F.col("entry")["epoch"].alias("epoch"), F.col("entry")["eval_loss"].alias("v")),
+        "loss": logs.training_rows(log).select("run", F.col("entry")["epoch"].alias("epoch"), F.col("entry")["loss"].alias("v")),
+        "eval_loss": logs.evaluation_rows(log).select("run", F.col("entry")["epoch"].alias("epoch"), F.col("entry")["eval_loss"].alias("v")),
     }
-    return tagged_union(parts, "kind").groupBy("epoch", "kind", "v").agg(F.count(F.lit(1)).alias("n"))
+    return tagged_union(parts, "kind")
 
 
 @query("SELECT n_chars AS length, count(*) AS n FROM documents GROUP BY n_chars")
@@ -258,7 +260,7 @@ def sc19_decoded_payloads(spark, sf):
     """Documents compressed by turns with every codec, then decoded by signature."""
     number = F.col("doc_id") % 5
     alg = F.when(number == 0, "gzip").when(number == 1, "bz2").when(number == 2, "xz").when(number == 3, "zlib").otherwise("none")
-    docs = table(spark, sf, "documents").select("doc_id", alg.alias("alg"), F.col("text").cast("binary").alias("content"))
+    docs = texts(spark, sf, "doc_id", "text").select("doc_id", alg.alias("alg"), F.col("text").cast("binary").alias("content"))
     packed = docs.mapInPandas(compressed, "doc_id bigint, alg string, content binary")
     return payloads.decoded(packed, "doc_id", "content").select("id", "alg", F.md5("bytes").alias("digest"), "error")
 

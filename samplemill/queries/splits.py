@@ -23,6 +23,7 @@ from samplemill.queries.inputs import (
     samples,
     table,
     tagged_union,
+    texts,
 )
 from samplemill.queries.registry import query
 
@@ -288,7 +289,7 @@ def w19_thirds(spark, sf):
   WHERE (off // 128 + 1) * 128 <= n GROUP BY lang, off // 128""")
 def w20_packed_blocks(spark, sf):
     """Word lengths stand in for token ids; sequences of a language are packed to blocks of 128."""
-    docs = table(spark, sf, "documents").select(
+    docs = texts(spark, sf, "doc_id", "lang", "text").select(
         "doc_id", "lang", F.transform(F.split(F.lower("text"), r"\s+"), lambda w: F.length(w)).alias("ids")
     )
     blocks = packed_blocks(docs, "doc_id", "ids", "lang", 128)
@@ -299,7 +300,7 @@ def w20_packed_blocks(spark, sf):
   SELECT n // 64 AS last_chunk, count(*) AS n_docs FROM (SELECT n - 1 AS n FROM w) GROUP BY 1""")
 def w20_chunk_index(spark, sf):
     words = F.split(F.lower("text"), r"\s+")
-    docs = table(spark, sf, "documents").select(F.array_max(chunk_index(words, 64)).alias("last_chunk"))
+    docs = texts(spark, sf, "text").select(F.array_max(chunk_index(words, 64)).alias("last_chunk"))
     return docs.groupBy("last_chunk").agg(F.count(F.lit(1)).alias("n_docs"))
 
 

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from samplemill.functions import tokens as tk
 from samplemill.operators import stats, tokenizer
-from samplemill.queries.inputs import doc_labels, joined, table, tagged_union
+from samplemill.plans.session import spread
+from samplemill.queries.inputs import doc_labels, joined, table, tagged_union, texts
 from samplemill.queries.registry import query
 
 MERGES = 40
@@ -14,7 +15,7 @@ MERGES = 40
 
 def words(spark, sf):
     split = F.filter(F.split(F.lower("text"), r"\s+"), lambda w: w != "")
-    return table(spark, sf, "documents").select("doc_id", "lang", split.alias("words"))
+    return texts(spark, sf, "doc_id", "lang", "text").select("doc_id", "lang", split.alias("words"))
 
 
 WORDS = """w AS (SELECT doc_id, lang, list_filter(string_split_regex(lower(text), '\\s+'), lambda x: x <> '') AS words FROM documents),
@@ -30,7 +31,7 @@ VOCAB = """v AS (SELECT word AS token, CAST(row_number() OVER (ORDER BY n DESC,
   SELECT word, count(*) AS n FROM w GROUP BY word""")
 def tok1_byte_words(spark, sf):
     """Distinct 16-byte chunks with their counts."""
-    docs = table(spark, sf, "documents").select(tk.byte_words("text").alias("words"))
+    docs = texts(spark, sf, "text").select(tk.byte_words("text").alias("words"))
     return tokenizer.word_counts(docs, "words").select(F.hex("word").alias("word"), "n")
 
 
@@ -46,7 +47,7 @@ def tok2_decomposition_summary(spark, sf):
 
 @query("""WITH t AS (SELECT unnest(regexp_extract_all(html, '0x|[0-9A-F]|[a-zG-Z_]+|[^a-zA-Z0-9_\\s\\v]')) AS token FROM pages) SELECT token, count(*) AS n FROM t GROUP BY token""")
 def tok3_listing_tokens(spark, sf):
-    pages = table(spark, sf, "pages").select(tk.listing_tokens("html").alias("tokens"))
+    pages = spread(table(spark, sf, "pages").select("html")).select(tk.listing_tokens("html").alias("tokens"))
     return tokenizer.word_counts(pages, "tokens").withColumnRenamed("word", "token")
 
 
@@ -113,7 +114,7 @@ def tok9_length_sweep(spark, sf):
     docs, _ = encoded(spark, sf)
     docs = docs.withColumnRenamed("input_ids", "words_ids")
     docs = tokenizer.encode_merges(docs, "words", trained(spark, sf), "merge_ids")
-    raw = table(spark, sf, "documents").select("doc_id", tk.byte_ids("text").alias("byte_ids"))
+    raw = texts(spark, sf, "doc_id", "text").select("doc_id", tk.byte_ids("text").alias("byte_ids"))
     return tokenizer.length_sweep(docs.join(raw, "doc_id"), {"words": "words_ids", "merges": "merge_ids", "bytes": "byte_ids"})
 
 
@@ -143,22 +144,32 @@ HEXIDS = """b AS (SELECT doc_id, regexp_extract_all(hex(encode(text)), '..') AS
   x AS (SELECT doc_id, list_transform(h, lambda v: CAST(('0x' || v)::BIGINT AS INT)) AS ids FROM b)"""
 
 
-@query(f"""WITH {HEXIDS}, y AS (SELECT doc_id, ids, list_concat(ids, [0, 0, 0]) AS z, len(ids) AS n FROM x)
-  SELECT doc_id, md5(array_to_string(ids, ',')) AS ids8,
-    md5(array_to_string(list_transform(range(0, (n + 1) // 2), lambda i: z[2 * i + 1] + 256 * z[2 * i + 2]), ',')) AS ids16,
-    md5(array_to_string(flatten(list_transform(range(0, (n + 2) // 3), lambda i: [z[3 * i + 1] * 16 + z[3 * i + 2] // 16, z[3 * i + 2] % 16 * 256 + z[3 * i + 3]])), ',')) AS ids12 FROM y""")
+@query(f"""WITH {HEXIDS}, y AS (SELECT doc_id, ids, list_concat(ids, [0, 0, 0]) AS z, len(ids) AS n FROM x),
+  v AS (SELECT doc_id, unnest([8, 16, 12]) AS bits, unnest([ids,
+    list_transform(range(0, (n + 1) // 2), lambda i: CAST(z[2 * i + 1] + 256 * z[2 * i + 2] AS INT)),
+    flatten(list_transform(range(0, (n + 2) // 3), lambda i: [CAST(z[3 * i + 1] * 16 + z[3 * i + 2] // 16 AS INT), CAST(z[3 * i + 2] % 16 * 256 + z[3 * i + 3] AS INT)]))]) AS ids FROM y)
+  SELECT doc_id, bits, CAST(len(ids) AS INT) AS n, CAST(list_sum(ids) AS BIGINT) AS total,
+    CAST(list_sum(list_transform(ids, lambda x, i: CAST(x AS BIGINT) * i)) AS BIGINT) AS weighted FROM v""")
 def sc11_byte_ids(spark, sf):
-    def text(bits):
-        return F.md5(joined(tk.byte_ids("text", bits).cast("array<string>"))).alias(f"ids{bits}")
-
-    return table(spark, sf, "documents").select("doc_id", text(8), text(12), text(16))
+    """Integers of three widths, compared by number, sum and position-weighted sum."""
+    docs = texts(spark, sf, "doc_id", "text")
+    zero = F.lit(0).cast("bigint")
+    parts = None
+    for bits in (8, 12, 16):
+        ids = docs.select("doc_id", F.lit(bits).alias("bits"), tk.byte_ids("text", bits).alias("ids"))
+        parts = ids if parts is None else parts.unionByName(ids)
+    weighted = F.zip_with("ids", F.sequence(F.lit(1), F.size("ids")), lambda x, i: x.cast("bigint") * i)
+    return parts.select(
+        "doc_id", "bits", F.size("ids").alias("n"), F.aggregate("ids", zero, lambda acc, x: acc + x).alias("total"),
+        F.aggregate(weighted, zero, lambda acc, x: acc + x).alias("weighted"),
+    )
 
 
 @query(f"""WITH {HEXIDS} SELECT doc_id, array_to_string(list_concat(list_concat([3], list_transform(ids, lambda v: v + 7))[1:31], [4]), ',') AS ids FROM x""")
 def sc12_input_ids(spark, sf):
     """Byte ids past the specials, begin and end marks, 32 ids at most."""
     ids = tk.input_ids(tk.byte_ids("text"), shift=len(tk.SPECIALS), max_length=32, bos=tk.BOS, eos=tk.EOS)
-    return table(spark, sf, "documents").select("doc_id", joined(ids.cast("array<string>")).alias("ids"))
+    return texts(spark, sf, "doc_id", "text").select("doc_id", joined(ids.cast("array<string>")).alias("ids"))
 
 
 @query("""WITH w AS (SELECT conv_id, turn, list_transform(string_split(text, ' '), lambda x: CAST(length(x) AS INT)) AS ids FROM conversations)

@@ -14,7 +14,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 MEMBER_SCHEMA = "archive string, name string, size bigint, bytes binary"
+MEMBER_COLUMNS = ["archive", "name", "size", "bytes"]
 PARTITION_BYTES = 64 << 20
+BATCH_BYTES = 8 << 20
 
 
 def expand_archives(archives: DataFrame, names_only: bool = False, max_length: int | None = None) -> DataFrame:
@@ -23,15 +25,20 @@ def expand_archives(archives: DataFrame, names_only: bool = False, max_length: i
     def members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for path, content in zip(batch["path"], batch["content"]):
+                rows, held = [], 0
                 with zipfile.ZipFile(io.BytesIO(content)) as archive:
                     for info in sorted(archive.infolist(), key=lambda i: i.filename):
                         data = None
                         if not names_only:
                             with archive.open(info) as member:
                                 data = member.read(max_length) if max_length is not None else member.read()
-                        yield pd.DataFrame(
-                            {"archive": [path], "name": [info.filename], "size": [info.file_size], "bytes": [data]}
-                        )
+                        rows.append((path, info.filename, info.file_size, data))
+                        held += len(data or b"")
+                        if held >= BATCH_BYTES:
+                            yield pd.DataFrame(rows, columns=MEMBER_COLUMNS)
+                            rows, held = [], 0
+                if rows:
+                    yield pd.DataFrame(rows, columns=MEMBER_COLUMNS)
 
     return archives.select("path", "content").mapInPandas(members, MEMBER_SCHEMA)
 
@@ -125,6 +132,7 @@ def zip_batches(df: DataFrame, archive: str, name: str, content: str, members: i
 
         task, number = TaskContext.get().partitionId(), 0
         for batch in batches:
+            made = []
             for stem, rows in batch.groupby("archive"):
                 for low in range(0, len(rows), members):
                     part = rows.iloc[low : low + members]
@@ -132,8 +140,9 @@ def zip_batches(df: DataFrame, archive: str, name: str, content: str, members: i
                     with zipfile.ZipFile(blob, "w", zipfile.ZIP_DEFLATED) as archive_file:
                         for n, c in zip(part["name"], part["content"]):
                             archive_file.writestr(n, c)
-                    yield pd.DataFrame({"path": [f"{stem}-{task}-{number}.zip"], "content": [blob.getvalue()]})
+                    made.append((f"{stem}-{task}-{number}.zip", blob.getvalue()))
                     number += 1
+            yield pd.DataFrame(made, columns=["path", "content"])
 
     rows = df.select(F.col(archive).alias("archive"), F.col(name).alias("name"), F.col(content).cast("binary").alias("content"))
     return rows.mapInPandas(pack, "path string, content binary")

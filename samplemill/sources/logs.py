@@ -30,10 +30,13 @@ def sweep_table(rows: DataFrame, options: dict[str, str], results: dict[str, str
 
 
 def read_training_log(spark: SparkSession, path: str) -> DataFrame:
-    """``(run, ord, entry)`` with one row per log entry; ``entry`` maps metric names to numbers."""
+    """``(run, ord, entry)`` with one row per log entry; ``entry`` maps metric names to numbers.
+
+    A state file is named by the folder it lies in, as checkpoints are.
+    """
     files = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").text(path)
     state = F.from_json("value", "struct<log_history:array<map<string,double>>>")
-    run = F.regexp_replace(F.substring_index(F.col("_metadata.file_path"), "/", -1), r"\.[^.]*$", "")
+    run = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2)
     return files.select(run.alias("run"), state.alias("s")).select("run", F.posexplode("s.log_history").alias("ord", "entry"))
 
 
