@@ -110,7 +110,9 @@ def apportion(n: Column, ratios: Sequence[float], start: Sequence[int] = (0, 0,
     so for more than ``FOLD_LIMIT`` items whole periods are handed out at once and only the
     remainder is folded.
     """
-    share = [r / sum(ratios) for r in ratios]
+    # Added from left to right: compensated summation would change the last digit and with it some ties.
+    whole = ratios[0] + ratios[1] + ratios[2]
+    share = [r / whole for r in ratios]
     grid = [round(p * RATIO_GRID) for p in share]
     on_grid = sum(grid) == RATIO_GRID and all(abs(g / RATIO_GRID - p) < 1e-12 for g, p in zip(grid, share))
     n = n.cast("bigint")

@@ -111,6 +111,21 @@ def _merge(column: Column, merges: Sequence[tuple[str, str]], prefix: str) -> Co
     return column
 
 
+def _symbols(column: Column | str) -> Column:
+    return F.filter(F.split(column, MARK), lambda s: s != "")
+
+
+def _pairs(words: DataFrame) -> DataFrame:
+    """``(a, b, n)``: neighbouring symbols of ``(w, n)``, one row per occurrence."""
+    split = words.select(_symbols("w").alias("s"), "n")
+    pairs = F.arrays_zip(F.slice("s", 1, F.size("s") - 1).alias("a"), F.slice("s", 2, F.size("s")).alias("b"))
+    return split.select(F.explode(pairs).alias("p"), "n").select("p.a", "p.b", "n")
+
+
+def _summed(pairs: DataFrame) -> DataFrame:
+    return pairs.groupBy("a", "b").agg(F.sum("n").alias("n")).where("n > 0")
+
+
 def train_merges(
     counts: DataFrame,
     size: int,
@@ -120,9 +135,10 @@ def train_merges(
 ) -> Merges:
     """Byte-pair vocabulary of ``size`` entries beyond the specials, from ``(word, n)``.
 
-    Every round counts adjacent pairs over the distinct words (combined map-side) and merges
-    the most frequent pair, ties by text, together with all following pairs that do not
-    interact with it. With ``prefix`` symbols inside a word carry a continuation mark.
+    The pairs of all words are counted once. Every round merges the most frequent pair, ties
+    by text, together with all following pairs that do not interact with it, and then counts
+    pairs only in the words that changed, before and after. With ``prefix`` symbols inside a
+    word carry a continuation mark.
     """
     symbols = F.regexp_extract_all("word", F.lit("(?s)."), F.lit(0))
     if prefix:
@@ -133,25 +149,18 @@ def train_merges(
     # A word table is small, so the number of tasks is set here instead of being left to its size in bytes.
     tasks = int(words.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     words = cut(words.repartition(tasks, "w"), "words")
-    parts = F.filter(F.split("w", MARK), lambda s: s != "")
-    alphabet = [r.s for r in words.select(F.explode(F.array_distinct(parts)).alias("s")).distinct().collect()]
+    alphabet = [r.s for r in words.select(F.explode(F.array_distinct(_symbols("w"))).alias("s")).distinct().collect()]
     tokens = [*specials, *sorted(alphabet)]
     merges: list[tuple[str, str]] = []
     known = set(tokens)
-    before: DataFrame | None = None
+    pairs = cut(_summed(_pairs(words)), "pairs")
+    old_words: list[DataFrame] = []
     rounds = 0
     while len(tokens) < size + len(specials):
-        split = words.select(parts.alias("s"), "n")
-        pairs = split.select(
-            F.explode(F.arrays_zip(F.slice("s", 1, F.size("s") - 1).alias("a"), F.slice("s", 2, F.size("s")).alias("b"))).alias("p"),
-            "n",
-        )
-        best = (
-            pairs.groupBy("p.a", "p.b").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "a", "b")
-        )
+        best = pairs
         if max_length is not None:
             best = best.where(F.length("a") + F.length("b") - len(prefix) <= max_length)
-        top = best.limit(PAIRS_PER_ROUND).collect()
+        top = best.orderBy(F.desc("n"), "a", "b").limit(PAIRS_PER_ROUND).collect()
         if not top:
             break
         chosen = _independent(top, prefix, known)[: size + len(specials) - len(tokens)]
@@ -161,17 +170,25 @@ def train_merges(
             if token not in known:
                 known.add(token)
                 tokens.append(token)
-        # This round has filled the table it read, so the one before is no longer needed.
-        if before is not None:
-            before.unpersist()
-        # Words that have become one symbol have no pairs left.
-        merged = words.where(F.size(F.split("w", MARK)) > 3).withColumn("w", _merge(F.col("w"), chosen, prefix))
+        touched = F.lit(False)
+        for a, b in chosen:
+            touched = touched | F.col("w").contains(f"{MARK}{a}{MARK}{b}{MARK}")
+        merged = _merge(F.col("w"), chosen, prefix)
+        sides = F.array(F.struct(merged.alias("w"), "n"), F.struct("w", (-F.col("n")).alias("n")))
+        changed = words.where(touched).select(F.explode(sides).alias("x")).select("x.w", "x.n")
+        pairs = cut(_summed(pairs.unionByName(_pairs(changed))), "pairs")
+        # Counting has filled the words it read; the table those were made of can go.
+        while len(old_words) > 1:
+            old_words.pop(0).unpersist()
+        words = words.withColumn("w", F.when(touched, merged).otherwise(F.col("w")))
         rounds += 1
-        before = words if rounds > 1 else None
-        words = cut(merged, "words") if rounds % ROUNDS_PER_CUT == 0 else merged.persist()
-    words.unpersist()
-    if before is not None:
-        before.unpersist()
+        if rounds % ROUNDS_PER_CUT:
+            words = words.persist()
+            old_words.append(words)
+        else:
+            words = cut(words, "words")
+    for df in old_words:
+        df.unpersist()
     return Merges(tokens, merges, prefix)
 
 

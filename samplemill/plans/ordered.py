@@ -104,7 +104,8 @@ def quantile_bucket(df: DataFrame, key: str, bounds: Sequence[float]) -> DataFra
 
     Keys must be exact as doubles (epoch times, sizes, scores).
     """
-    splits = [float("-inf"), *bounds, float("inf")]
+    # An empty input has no boundaries; any one will do.
+    splits = [float("-inf"), *(bounds or [0.0]), float("inf")]
     bucketed = Bucketizer(splits=splits, inputCol="_k", outputCol="_q", handleInvalid="keep").transform(
         df.withColumn("_k", F.col(key).cast("double"))
     )

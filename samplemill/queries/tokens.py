@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from samplemill.functions import tokens as tk
 from samplemill.operators import stats, tokenizer
-from samplemill.plans.session import spread
+from samplemill.plans.session import cut, spread
 from samplemill.queries.inputs import doc_labels, joined, table, tagged_union, texts
 from samplemill.queries.registry import query
 
@@ -70,21 +70,18 @@ def tok5_encode_words(spark, sf):
     return encoded(spark, sf)[0].select("doc_id", joined(F.col("input_ids").cast("array<string>")).alias("ids"))
 
 
-def trained(spark, sf, prefix: str = ""):
-    return tokenizer.train_merges(alphabet_counts(spark, sf), size_of(spark, sf, prefix), max_length=8, prefix=prefix)
-
-
 def alphabet_counts(spark, sf):
     return tokenizer.word_counts(words(spark, sf), "words")
 
 
-def size_of(spark, sf, prefix: str = "") -> int:
-    """The alphabet of the corpus plus the wanted number of merges."""
+def trained(spark, sf, prefix: str = ""):
+    """A vocabulary of the whole alphabet and ``MERGES`` merges; the word counts are stored, as they are read twice."""
+    counts = cut(alphabet_counts(spark, sf), "counts")
     chars = F.regexp_extract_all("word", F.lit("(?s)."), F.lit(0))
     if prefix:
         chars = F.transform(chars, lambda c, i: F.when(i == 0, c).otherwise(F.concat(F.lit(prefix), c)))
-    counts = alphabet_counts(spark, sf)
-    return counts.select(F.explode(F.array_distinct(chars)).alias("c")).agg(F.count_distinct("c")).first()[0] + MERGES
+    alphabet = counts.select(F.explode(F.array_distinct(chars)).alias("c")).agg(F.count_distinct("c")).first()[0]
+    return tokenizer.train_merges(counts, alphabet + MERGES, max_length=8, prefix=prefix)
 
 
 def merge_table(spark, model):
