@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from samplemill.functions.scores import argmax, coverage, ranking_loss, ranking_precision, sigmoid, softmax
 from samplemill.plans.ordered import running_totals
+from samplemill.plans.staged import side_by_side
 
 IGNORED = -100
 
@@ -165,11 +166,7 @@ def multi_label_report(df: DataFrame, truth: str, logits: str, threshold: float
     flat = scored.select(F.posexplode(F.arrays_zip(F.col(truth).alias("t"), F.col("probs").alias("s"))).alias("cls", "_z"))
     flat = flat.select("cls", F.col("_z.t").alias("t"), F.col("_z.s").alias("score"))
     ranks = ranking_scores(flat, "score", F.col("t") == 1, ["cls"]).agg(F.avg("roc").alias("roc"), F.avg("avp").alias("avp"))
-    one = F.lit(1).alias("_one")
-    out = rows.select("*", one)
-    for part in (classes, ranks):
-        out = out.join(part.select("*", one), "_one")
-    return out.drop("_one")
+    return side_by_side(rows, classes, ranks)
 
 
 def perplexity(df: DataFrame, log_prob: str, label: str) -> DataFrame:
@@ -189,9 +186,7 @@ def language_model_report(df: DataFrame, loss: str, label: str, unigrams: DataFr
     scale = counts.join(unigrams.select("token_id", "p"), "token_id", "left").agg(
         (F.sum(F.col("_c") * log_p) / F.sum("_c")).alias("_scale")
     )
-    one = F.lit(1).alias("_one")
-    both = losses.select("*", one).join(scale.select("*", one), "_one")
-    return both.select(
+    return side_by_side(losses, scale).select(
         "ext_loss",
         F.exp("ext_loss").alias("ppl"),
         (F.exp("ext_loss") * F.exp("_scale")).alias("nppl"),
@@ -202,9 +197,7 @@ def detection_metrics(df: DataFrame, label: str, score: str) -> DataFrame:
     """Accuracy at 0.5 and area under the curve for a binary task."""
     truth = F.col(label) == 1
     acc = df.agg(F.avg((truth == (F.col(score) > 0.5)).cast("double")).alias("acc"))
-    one = F.lit(1).alias("_one")
-    roc = ranking_scores(df, score, truth).select("roc", one)
-    return acc.select("*", one).join(roc, "_one").drop("_one")
+    return side_by_side(acc, ranking_scores(df, score, truth).select("roc"))
 
 
 def family_metrics(df: DataFrame, label: str = "label", pred: str = "pred") -> DataFrame:

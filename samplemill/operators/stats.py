@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from samplemill.operators.splits import SPLITS
 from samplemill.plans.ordered import exact_quantiles, join_null_safe
+from samplemill.plans.staged import side_by_side
 
 
 def class_distribution(df: DataFrame, label: str, split: str | None = None) -> DataFrame:
@@ -71,8 +72,7 @@ def size_summary(df: DataFrame, size: str, divisor: float = 1.0, by: Sequence[st
     median = exact_quantiles(df, size, {"median": 0.5}, by).withColumn("median", F.col("median") / divisor)
     if by:
         return join_null_safe(plain, median, by)
-    one = F.lit(1).alias("_one")
-    return plain.select("*", one).join(median.select("*", one), "_one").drop("_one")
+    return side_by_side(plain, median)
 
 
 def length_counts(df: DataFrame, label: str, size: str) -> DataFrame:

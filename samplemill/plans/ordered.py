@@ -79,7 +79,11 @@ def hash_cut(
         return F.size(F.filter("_cuts", lambda c: c < rank))
 
     table = table.withColumn("_first", part(F.col("_lo") + 1)).withColumn("_last", part(F.col("_lo") + F.col("_n")))
-    placed = join_null_safe(keyed, table.drop("_n"), [*by, "_b"])
+    table = table.drop("_n")
+    if not by:
+        # At most 16 ** HASH_DIGITS rows, however large the input is.
+        table = F.broadcast(table)
+    placed = join_null_safe(keyed, table, [*by, "_b"])
     whole = placed.where("_first = _last").withColumn(name, F.col("_first"))
     w = Window.partitionBy(*by, "_b").orderBy("_h", id_col)
     divided = placed.where("_first <> _last").withColumn(name, part(F.col("_lo") + F.row_number().over(w)))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,3 +16,9 @@ def held(df: DataFrame, name: str) -> DataFrame:
     filter below ``explode``, and exploding a one-element array costs next to nothing.
     """
     return df.withColumn(name, F.explode_outer(F.array(name)))
+
+
+def side_by_side(*frames: DataFrame) -> DataFrame:
+    """Columns of several one-row tables in one row, by union and aggregation instead of a join without keys."""
+    stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
+    return stacked.agg(*[F.max(c).alias(c) for c in stacked.columns])

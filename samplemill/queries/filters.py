@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from samplemill.functions.ids import id_from_path, shard_of, with_suffix
 from samplemill.operators import balance, filters, joins
 from samplemill.operators.dedup import majority_label
+from samplemill.plans.staged import side_by_side
 from samplemill.queries.inputs import (
     DOC_LABELS,
     ORDER_LABELS,
@@ -83,9 +84,8 @@ def flt5_cap_invariants(spark, sf):
         F.count_if(F.col("n") <= cap).alias("n_small"),
         F.count_if(F.coalesce("m", F.lit(0)) < F.least("n", F.lit(cap))).alias("n_below_cap"),
     )
-    one = F.lit(1).alias("_one")
     left_over = over.agg(F.count_if(F.col("m") > cap).alias("n_over_everywhere"), F.lit(least).cast("bigint").alias("least"))
-    return left_over.select("*", one).join(both.select("*", one), "_one").drop("_one")
+    return side_by_side(left_over, both)
 
 
 def packed_flags(spark, sf):

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from samplemill.functions.ids import id_prefix
 from samplemill.operators.filters import keep_ids
 from samplemill.plans.session import work_path
+from samplemill.plans.staged import side_by_side
 from samplemill.queries.inputs import joined, table, tagged_union, texts
 from samplemill.queries.labels import threat_reports, vote_lines
 from samplemill.queries.registry import query
@@ -51,8 +52,8 @@ def src3_src4_binary_files(spark, sf):
     path = work_path(spark, "loose")
     table(spark, sf, "documents").select(F.regexp_replace("text", r"[\r\n]", " ").alias("value")).write.text(path)
     scanned = files.binary_files(spark, path, "*.txt").agg(F.sum(F.octet_length("bytes")).alias("n_bytes"), F.sum("size").alias("_size"))
-    listing = files.file_listing(spark, path, "*.txt").agg(F.sum("size").alias("_listed"), F.lit(1).alias("_one"))
-    both = scanned.withColumn("_one", F.lit(1)).join(listing, "_one")
+    listing = files.file_listing(spark, path, "*.txt").agg(F.sum("size").alias("_listed"))
+    both = side_by_side(scanned, listing)
     return both.select("n_bytes", ((F.col("_size") == F.col("n_bytes")) & (F.col("_listed") == F.col("n_bytes"))).alias("listed"))
 
 
@@ -208,8 +209,7 @@ def snk1_prefix_archives(spark, sf):
     docs = table(spark, sf, "documents").select(F.md5("text").alias("digest"), "doc_id", "text")
     sinks.write_by_prefix(docs, path, "digest", digits=1)
     stored = spark.read.parquet(path)
-    prefixes = stored.agg(F.count_distinct("prefix").alias("n_prefixes"), F.lit(1).alias("_one"))
-    return sinks.volume(stored, "text").withColumn("_one", F.lit(1)).join(prefixes, "_one").drop("_one")
+    return side_by_side(sinks.volume(stored, "text"), stored.agg(F.count_distinct("prefix").alias("n_prefixes")))
 
 
 @query("SELECT lang, count(*) AS n FROM documents GROUP BY lang")

@@ -82,7 +82,9 @@ def read_id_map(spark: SparkSession, paths: list[str], value_type: str = "bigint
 
 def read_texts(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
     """``(id, text)`` with one row per file."""
-    files = spark.read.option("wholetext", "true").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").text(path)
+    files = (
+        spark.read.option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").text(path, wholetext=True)
+    )
     return files.select(stem(F.col("_metadata.file_path")).alias("id"), F.col("value").alias("text"))
 
 

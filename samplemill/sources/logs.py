@@ -34,7 +34,7 @@ def read_training_log(spark: SparkSession, path: str) -> DataFrame:
 
     A state file is named by the folder it lies in, as checkpoints are.
     """
-    files = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").text(path)
+    files = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True)
     state = F.from_json("value", "struct<log_history:array<map<string,double>>>")
     run = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2)
     return files.select(run.alias("run"), state.alias("s")).select("run", F.posexplode("s.log_history").alias("ord", "entry"))

@@ -272,6 +272,13 @@ def test_files_and_maps(spark, tmp_path):
     assert [r.id for r in files.read_family_labels(spark, str(tmp_path / "fam.csv")).collect()] == ["a"]
 
 
+def test_report_files(spark, tmp_path):
+    (tmp_path / "s1.json").write_text('{\n"data": {"attributes": {"popular_threat_classification":\n{"suggested_threat_label": "x"}}}}')
+    (tmp_path / "s2.json").write_text("{\nbroken")
+    reports_ = files.read_texts(spark, str(tmp_path), "*.json")
+    assert {r.id: r.labels for r in labels.report_labels(reports_).collect()} == {"s1": ["x"], "s2": None}
+
+
 def test_sweep_and_training_logs(spark, tmp_path):
     lines = ['{"kwds":{"k":1},"results":"ValueError"}', '{"kwds":{"k":2},"results":{"n_to":5}}', "junk"]
     rows = logs.sweep_rows(spark.createDataFrame([(x,) for x in lines], "value string"))
