@@ -27,8 +27,9 @@ def synchronise(views: dict[str, DataFrame], key: str) -> dict[str, DataFrame]:
 
 
 def split_leakage(df: DataFrame, key: str, split: str = "split", a: str = "tr", b: str = "vl") -> DataFrame:
-    """Values of ``key`` that occur in both splits."""
-    return df.where(F.col(split) == a).select(key).intersect(df.where(F.col(split) == b).select(key))
+    """Values of ``key`` that occur in both splits. An aggregate, so that frequent values combine map-side."""
+    both = df.where(F.col(split).isin(a, b)).groupBy(key).agg(F.min(split).alias("_lo"), F.max(split).alias("_hi"))
+    return both.where("_lo <> _hi").select(key)
 
 
 def symmetric_difference(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -67,4 +68,5 @@ def ordered_mismatches(a: DataFrame, b: DataFrame, name: str, label: str, order:
 
 def id_difference(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     """Distinct ids of ``a`` that ``b`` lacks."""
-    return a.select(key).subtract(b.select(key))
+    both = a.select(key, F.lit(1).alias("_s")).unionByName(b.select(key, F.lit(2).alias("_s")))
+    return both.groupBy(key).agg(F.bit_or("_s").alias("_s")).where("_s = 1").select(key)

@@ -21,8 +21,8 @@ def clamped_sections(sections: DataFrame, file: str = "file") -> DataFrame:
     """Executable sections with bounds cut at the file end and at the next section, and their code bits.
 
     Columns: ``file, ord, offset, size, is_executable, file_length``. The neighbour is the
-    next non-empty section in table order, executable or not. A table has few sections per
-    file, so the window partitions stay small.
+    next non-empty section in table order, executable or not. The file format allows at most
+    65,535 sections per file, which bounds the window partitions.
     """
     following = F.lead("offset").over(Window.partitionBy(file).orderBy("ord"))
     placed = sections.where("size > 0").withColumn("_next", following).where("is_executable")

@@ -10,7 +10,14 @@ from pyspark.sql import functions as F
 
 from samplemill.functions.ids import SEED, sample_hash
 from samplemill.operators.filters import first_of
-from samplemill.plans.ordered import hash_cut, hash_rank, join_null_safe, ordered_rank, running_totals
+from samplemill.plans.ordered import (
+    hash_cut,
+    hash_rank,
+    join_null_safe,
+    name_rank,
+    ordered_rank,
+    running_totals,
+)
 from samplemill.plans.session import cut
 
 SPLITS = ("tr", "vl", "ts")
@@ -311,10 +318,13 @@ def shuffle_positions(df: DataFrame, id_col: str, seed: int = SEED) -> DataFrame
     return hash_rank(df, id_col, seed=seed, name="position")
 
 
-def thirds(df: DataFrame, id_col: str, key: str) -> DataFrame:
-    """Three parts of ``floor(n / 3)`` rows in key order; the remainder belongs to none."""
+def thirds(df: DataFrame, id_col: str, key: str | None = None) -> DataFrame:
+    """Three parts of ``floor(n / 3)`` rows; the remainder belongs to none.
+
+    Rows are in the order of a numeric ``key``, or of a text id without one.
+    """
     size = df.count() // 3
-    ranked = ordered_rank(df, key, id_col, name="_rank")
+    ranked = name_rank(df, id_col, name="_rank") if key is None else ordered_rank(df, key, id_col, name="_rank")
     part = F.floor((F.col("_rank") - 1) / F.lit(max(size, 1))).cast("int")
     return ranked.withColumn("third", part).where("third < 3").drop("_rank")
 

@@ -54,6 +54,12 @@ def hash_rank(df: DataFrame, id_col: str, by: Sequence[str] = (), seed: int = SE
     return _rank(keyed, by, ["_b"], ["_h", id_col], name).drop("_h", "_b")
 
 
+def name_rank(df: DataFrame, id_col: str, by: Sequence[str] = (), digits: int = HASH_DIGITS, name: str = "rank") -> DataFrame:
+    """1-based rank by a text id whose leading characters spread the rows, such as a hex digest."""
+    keyed = df.withColumn("_b", F.substring(id_col, 1, digits))
+    return _rank(keyed, by, ["_b"], [id_col], name).drop("_b")
+
+
 def hash_cut(
     df: DataFrame,
     id_col: str,

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from samplemill.operators import features
+from samplemill.operators.filters import first_of
 from samplemill.queries.inputs import joined, table, texts
 from samplemill.queries.registry import query
 
@@ -114,7 +115,9 @@ def fe7_feature_table(spark, sf):
   SELECT l_orderkey, string_agg(coalesce(v, 0), ',' ORDER BY k) AS block FROM g GROUP BY l_orderkey""")
 def fe8_directory_block(spark, sf):
     entries = F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey")))
-    rows = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(entries.alias("e"))
+    order = ["l_linenumber", "l_partkey", "l_suppkey"]
+    heads = first_of(table(spark, sf, "lineitem").select("l_orderkey", *order), "l_orderkey", order, features.DIRECTORIES)
+    rows = heads.groupBy("l_orderkey").agg(entries.alias("e"))
     rows = rows.withColumn("e", F.transform("e", lambda x: F.struct(x["l_partkey"].alias("size"), x["l_suppkey"].alias("address"))))
     block = F.transform(features.directory_block("e"), lambda x: x.cast("bigint").cast("string"))
     return rows.select("l_orderkey", joined(block).alias("block"))

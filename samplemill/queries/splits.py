@@ -287,6 +287,13 @@ def w19_thirds(spark, sf):
     return splits.thirds(table(spark, sf, "orders").select("o_orderkey"), "o_orderkey", "o_orderkey")
 
 
+@query("""WITH r AS (SELECT md5(CAST(o_orderkey AS VARCHAR)) AS name, count(*) OVER () // 3 AS size FROM orders),
+  n AS (SELECT name, size, row_number() OVER (ORDER BY name) - 1 AS rn FROM r)
+  SELECT name, CAST(rn // size AS INT) AS third FROM n WHERE rn // size < 3""")
+def w19_thirds_by_name(spark, sf):
+    return splits.thirds(table(spark, sf, "orders").select(F.md5(F.col("o_orderkey").cast("string")).alias("name")), "name")
+
+
 @query("""WITH w AS (SELECT doc_id, lang, unnest(string_split_regex(lower(text), '\\s+')) AS word, generate_subscripts(string_split_regex(lower(text), '\\s+'), 1) AS pos FROM documents),
   t AS (SELECT lang, length(word) AS tok, row_number() OVER (PARTITION BY lang ORDER BY doc_id, pos) - 1 AS off, count(*) OVER (PARTITION BY lang) AS n FROM w)
   SELECT lang, off // 128 AS block, CAST(count(*) AS BIGINT) AS n, string_agg(tok, ',' ORDER BY off) AS ids FROM t
