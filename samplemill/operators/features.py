@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from samplemill.functions.ids import as_column, bound
+from samplemill.plans.staged import exploded
 
 # Window and step of the entropy histogram, and the printable range of strings.
 WINDOW, STEP = 2048, 1024
@@ -107,7 +108,7 @@ def hashed(df: DataFrame, id_col: str, tokens: Column | str, width: int, value:
     one (token, value) per row.
     """
     if value is None:
-        long = df.select(id_col, F.explode(as_column(tokens)).alias("_t"), F.lit(1.0).alias("_v"))
+        long = exploded(df, tokens, "_t", [id_col]).withColumn("_v", F.lit(1.0))
     else:
         long = df.select(id_col, as_column(tokens).alias("_t"), value.cast("double").alias("_v"))
     return (

@@ -118,7 +118,7 @@ def ranking_scores(df: DataFrame, score: str, truth: Column, by: Sequence[str] =
 
 def one_vs_rest(df: DataFrame, label: str = "label", probs: str = "probs") -> DataFrame:
     """``roc`` and ``avp`` of every class against the others."""
-    flat = df.select(label, F.posexplode(probs).alias("cls", "score"))
+    flat = df.select(label, F.posexplode_outer(probs).alias("cls", "score")).where("cls is not null")
     return ranking_scores(flat, "score", F.col(label) == F.col("cls"), ["cls"])
 
 
@@ -134,7 +134,8 @@ def multi_label(df: DataFrame, truth: str, logits: str, threshold: float = 0.5)
 
 
 def multi_label_classes(df: DataFrame, truth: str, pred: str = "pred") -> DataFrame:
-    flat = df.select(F.posexplode(F.arrays_zip(F.col(truth).alias("t"), F.col(pred).alias("p"))).alias("cls", "_z"))
+    both = F.arrays_zip(F.col(truth).alias("t"), F.col(pred).alias("p"))
+    flat = df.select(F.posexplode_outer(both).alias("cls", "_z")).where("cls is not null")
     table = flat.groupBy("cls").agg(
         F.sum("_z.t").cast("bigint").alias("t"),
         F.sum("_z.p").cast("bigint").alias("p"),
@@ -163,8 +164,8 @@ def multi_label_report(df: DataFrame, truth: str, logits: str, threshold: float
         F.avg("jaccard").alias("jac"),
         _geometric(F.col("recall")).alias("gme"),
     )
-    flat = scored.select(F.posexplode(F.arrays_zip(F.col(truth).alias("t"), F.col("probs").alias("s"))).alias("cls", "_z"))
-    flat = flat.select("cls", F.col("_z.t").alias("t"), F.col("_z.s").alias("score"))
+    both = F.arrays_zip(F.col(truth).alias("t"), F.col("probs").alias("s"))
+    flat = scored.select(F.posexplode_outer(both).alias("cls", "_z")).where("cls is not null").select("cls", F.col("_z.t").alias("t"), F.col("_z.s").alias("score"))
     ranks = ranking_scores(flat, "score", F.col("t") == 1, ["cls"]).agg(F.avg("roc").alias("roc"), F.avg("avp").alias("avp"))
     return side_by_side(rows, classes, ranks)
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from samplemill.operators.splits import SPLITS
 from samplemill.plans.ordered import exact_quantiles, join_null_safe
-from samplemill.plans.staged import side_by_side
+from samplemill.plans.staged import exploded, side_by_side
 
 
 def class_distribution(df: DataFrame, label: str, split: str | None = None) -> DataFrame:
@@ -98,7 +98,8 @@ def unigram_probabilities(
     vocabulary-sized count table.
     """
     source = df if first is None else df.orderBy(id_col).limit(first)
-    counts = source.select(F.explode(ids).alias("token_id")).groupBy("token_id").agg(F.count(F.lit(1)).alias("n"))
+    tokens = exploded(source, ids, "token_id")
+    counts = tokens.groupBy("token_id").agg(F.count(F.lit(1)).alias("n"))
     table = vocabulary.where(~F.col("token_id").isin(*specials)).join(counts, "token_id", "left")
     n = F.coalesce(F.col("n"), F.lit(0))
     return table.withColumn("n", n).withColumn("p", F.col("n") / F.sum("n").over(Window.partitionBy()))
@@ -212,7 +213,8 @@ def paired_delta(base: DataFrame, tuned: DataFrame, keys: Sequence[str], value:
 def byte_distribution(histograms: DataFrame, histogram: str) -> DataFrame:
     """Corpus-wide count per byte value from per-sample histograms."""
     return (
-        histograms.select(F.posexplode(histogram).alias("byte", "_n"))
+        histograms.select(F.posexplode_outer(histogram).alias("byte", "_n"))
+        .where("byte is not null")
         .groupBy("byte")
         .agg(F.sum("_n").alias("n"))
     )

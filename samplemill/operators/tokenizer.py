@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from samplemill.functions.tokens import SPECIALS, UNK
 from samplemill.plans.session import cut
+from samplemill.plans.staged import exploded
 
 MARK = "\x01"
 ROUNDS_PER_CUT = 16
@@ -25,7 +26,7 @@ CACHED_WORDS = 1_000_000
 
 
 def word_counts(df: DataFrame, words: str) -> DataFrame:
-    return df.select(F.explode(words).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    return exploded(df, words, "word").groupBy("word").agg(F.count(F.lit(1)).alias("n"))
 
 
 def decomposition_summary(df: DataFrame, words: str) -> DataFrame:
@@ -52,7 +53,7 @@ def word_vocabulary(counts: DataFrame, size: int, specials: Sequence[str] = SPEC
 
 def encode_words(df: DataFrame, words: str, vocabulary: DataFrame, out: str = "input_ids") -> DataFrame:
     """Words to ids, unknown words to ``<unk>``. Map-only: the vocabulary is bounded by its training size."""
-    table = {r.token: r.token_id for r in vocabulary.select("token", "token_id").toLocalIterator()}
+    table = {r.token: r.token_id for r in vocabulary.select("token", "token_id").collect()}
     shared = df.sparkSession.sparkContext.broadcast(table)
 
     @F.pandas_udf("array<int>")
@@ -119,7 +120,7 @@ def _pairs(words: DataFrame) -> DataFrame:
     """``(a, b, n)``: neighbouring symbols of ``(w, n)``, one row per occurrence."""
     split = words.select(_symbols("w").alias("s"), "n")
     pairs = F.arrays_zip(F.slice("s", 1, F.size("s") - 1).alias("a"), F.slice("s", 2, F.size("s")).alias("b"))
-    return split.select(F.explode(pairs).alias("p"), "n").select("p.a", "p.b", "n")
+    return exploded(split, pairs, "p", ["n"]).select("p.a", "p.b", "n")
 
 
 def _summed(pairs: DataFrame) -> DataFrame:

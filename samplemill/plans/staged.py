@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -18,6 +19,15 @@ def held(df: DataFrame, name: str) -> DataFrame:
     return df.withColumn(name, F.explode_outer(F.array(name)))
 
 
+def exploded(df: DataFrame, array: Column | str, name: str, keep: Sequence[str] = ()) -> DataFrame:
+    """One row ``(*keep, name)`` per element that is not NULL.
+
+    A plain ``explode`` makes the optimizer test the array for emptiness first, and a computed
+    array is then computed twice. The outer form has no such test.
+    """
+    return df.select(*keep, F.explode_outer(array).alias(name)).where(F.col(name).isNotNull())
+
+
 def side_by_side(*frames: DataFrame) -> DataFrame:
     """Columns of several one-row tables in one row, by union and aggregation instead of a join without keys."""
     stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)

@@ -19,14 +19,14 @@ def content(spark, sf):
 def fe1_byte_histogram(spark, sf):
     rows = content(spark, sf).select("doc_id", features.byte_histogram("content").alias("h"))
     rows = rows.withColumn("s", features.shares("h"))
-    flat = rows.select("doc_id", F.posexplode(F.arrays_zip("h", "s")).alias("byte", "z"))
+    flat = rows.select("doc_id", F.posexplode_outer(F.arrays_zip("h", "s")).alias("byte", "z"))
     return flat.select("doc_id", "byte", F.col("z.h").alias("n"), F.round("z.s", 9).alias("share")).where("n > 0")
 
 
 @query()
 def fe2_byte_entropy_histogram(spark, sf):
     rows = content(spark, sf).select("doc_id", features.byte_entropy_histogram("content").alias("h"))
-    flat = rows.select("doc_id", F.posexplode("h").alias("cell", "n")).where("n > 0")
+    flat = rows.select("doc_id", F.posexplode_outer("h").alias("cell", "n")).where("n > 0")
     return flat.select("doc_id", F.floor(F.col("cell") / 16).alias("entropy_bin"), (F.col("cell") % 16).alias("nibble"), "n")
 
 

@@ -58,7 +58,7 @@ def tok4_word_vocabulary(spark, sf):
 
 def encoded(spark, sf):
     docs = words(spark, sf)
-    vocabulary = tokenizer.word_vocabulary(tokenizer.word_counts(docs, "words"), 500)
+    vocabulary = cut(tokenizer.word_vocabulary(tokenizer.word_counts(docs, "words"), 500), "vocabulary")
     return tokenizer.encode_words(docs, "words", vocabulary), vocabulary
 
 
