@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,20 +28,32 @@ def local_session(name: str = "samplemill", cores: str = "*", memory: str = "8g"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can reach: the one the cluster names, or a scratch one in local mode."""
-    named = spark.conf.get(CHECKPOINT_KEY, None) or spark.sparkContext.getConf().get(CHECKPOINT_KEY)
+    """The folder every executor can reach.
+
+    It is the one that the cluster names in ``spark.checkpoint.dir``; where that is unset, a folder in the
+    warehouse, which executors share as well.
+    """
+    named = spark.conf.get(CHECKPOINT_KEY, None)
     if named:
         return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError(f"set {CHECKPOINT_KEY} to a folder shared by the cluster")
-    made = tempfile.mkdtemp(prefix="samplemill-")
-    spark.conf.set(CHECKPOINT_KEY, made)
-    return made
+    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_samplemill"
 
 
 def work_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    """A fresh path below the shared folder; it goes when the application ends."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    _hadoop_path(spark, path, lambda fs, p: fs.deleteOnExit(p))
+    return path
+
+
+def drop_path(spark: SparkSession, path: str) -> None:
+    """Delete a folder that nothing reads any more."""
+    _hadoop_path(spark, path, lambda fs, p: fs.delete(p, True))
+
+
+def _hadoop_path(spark: SparkSession, path: str, do: Callable) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    do(at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at)
 
 
 def cut(df: DataFrame, name: str = "cut") -> DataFrame:
