@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from samplemill.llm import exact, simhash
+from samplemill.llm import exact, quality, secrets, simhash
 
 QUERIES, ORACLES = {}, {}
 
@@ -38,3 +38,37 @@ FROM n WINDOW w AS (PARTITION BY body ORDER BY size DESC, doc_id, r)"""
 )
 def op6_exact_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.dedup_exact(documents(spark, sf_dir))
+
+
+@query(
+    r"""
+WITH d AS (SELECT doc_id, source, coalesce(text, '') AS t, row_number() OVER () AS r FROM documents),
+w AS (SELECT *, list_filter(string_split_regex(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws,
+             list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM d),
+win AS (SELECT r, i, array_to_string(ws[i:i+7], ' ') AS g
+        FROM (SELECT r, ws, unnest(range(1, len(ws) - 6)) AS i FROM w WHERE len(ws) >= 8)),
+rep AS (SELECT r, i FROM win QUALIFY count(*) OVER (PARTITION BY r, g) > 1),
+cov AS (SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest(range(i, i + 8)) AS p FROM rep) GROUP BY r),
+c AS (SELECT doc_id, source, CAST(len(ws) AS BIGINT) AS n_words,
+             CAST(length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) AS BIGINT) AS word_chars,
+             CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+             CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines,
+             coalesce(n, 0) AS n_repeat_words
+      FROM w LEFT JOIN cov USING (r)),
+f AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM c),
+h AS (SELECT source, count(*) AS n, count(*) FILTER (WHERE base_failed) AS bad FROM f WHERE source IS NOT NULL GROUP BY source),
+m AS (SELECT avg(bad / n) AS mean, var_pop(bad / n) AS spread FROM h),
+p AS (SELECT mean, CASE WHEN coalesce(spread, 0) = 0 THEN 1e6
+                        ELSE least(1e6, greatest(1.0, mean * (1 - mean) / spread - 1)) END AS weight FROM m),
+rates AS (SELECT source, (bad + weight * mean) / (n + weight) AS rate FROM h, p)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND coalesce(rate <= 0.5, true) AS kept, round(rate, 6) AS host_rate
+FROM f LEFT JOIN rates USING (source)"""
+)
+def op5_host_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(documents(spark, sf_dir))
+
+
+@query()
+def op10_secret_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(documents(spark, sf_dir))
