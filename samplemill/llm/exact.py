@@ -183,7 +183,8 @@ def dedup_exact(
     variants = bodies.groupBy("sha", "body").agg(F.count(F.lit(1)).alias("n")).groupBy("sha").agg(F.count(F.lit(1)).alias("v"))
     clash = F.raise_error(F.lit("two texts have one SHA-256 digest"))
     checked = groups.join(variants, "sha").select("sha", F.when(F.col("v") == 1, F.col("g")).otherwise(clash).alias("g"))
-    out = table.join(checked, "sha", "left")
+    # Written first: a join of two shuffled tables is one whose hot digests can be split.
+    out = table.join(cut(checked, "groups"), "sha", "left")
     return out.select(
         F.col("_id").alias(id_col),
         F.when(F.col("g").isNull(), F.col("_id")).otherwise(F.col("g.i")).alias("keep_id"),

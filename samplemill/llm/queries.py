@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from samplemill.llm import exact, quality, secrets, simhash
+from samplemill.llm import exact, packing, pieces, quality, secrets, simhash
 
 QUERIES, ORACLES = {}, {}
 
@@ -72,3 +72,13 @@ def op5_host_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op10_secret_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(documents(spark, sf_dir))
+
+
+@query()
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.digests(documents(spark, sf_dir))
+
+
+@query()
+def op9_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(documents(spark, sf_dir)).drop("ids")
