@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from samplemill.llm import exact, packing, pieces, quality, secrets, simhash
+from samplemill.llm import exact, language, packing, pieces, quality, secrets, simhash, token_counts
 
 QUERIES, ORACLES = {}, {}
 
@@ -82,3 +82,13 @@ def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op9_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir)).drop("ids")
+
+
+@query()
+def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(documents(spark, sf_dir))
+
+
+@query()
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.document_counts(documents(spark, sf_dir))
