@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from samplemill.llm import exact, language, packing, pieces, quality, secrets, simhash, token_counts
+from samplemill.llm import exact, language, packing, pieces, quality, secrets, simhash, templates, token_counts
 
 QUERIES, ORACLES = {}, {}
 
@@ -92,3 +93,32 @@ def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.document_counts(documents(spark, sf_dir))
+
+
+@query(
+    r"""
+WITH d AS (SELECT doc_id, text, string_split(text, chr(10)) AS ls, row_number() OVER () AS r FROM documents),
+x AS (SELECT r, pos, regexp_replace(ls[pos], '[\x20\x09\x0B-\x0D]+', ' ', 'g') AS l
+      FROM (SELECT r, ls, unnest(range(1, len(ls) + 1)) AS pos FROM d)),
+m AS (SELECT r, pos, regexp_replace(trim(l, ' '), '[^ ]*[0-9][^ ]*', '<*>', 'g') AS line FROM x),
+k AS (SELECT *, string_split(line, ' ') AS ts FROM m WHERE line <> ''),
+leaf AS (SELECT len(ts) AS n, ts[1:3] AS head FROM k GROUP BY ALL HAVING count(DISTINCT r) >= 5),
+c AS (SELECT k.* FROM k JOIN leaf ON n = len(ts) AND head = ts[1:3]),
+per AS (SELECT line, ts, count(DISTINCT r) AS docs FROM c GROUP BY ALL),
+tok AS (SELECT line, ts, docs, unnest(range(1, len(ts) + 1)) AS place FROM per),
+con AS (SELECT len(ts) AS n, ts[1:3] AS head, place, ts[place] AS token FROM tok
+        WHERE ts[place] <> '<*>' GROUP BY ALL HAVING sum(docs) >= 5),
+f AS (SELECT line, len(ts) AS n, list({'place': place, 'token': ts[place]} ORDER BY place) AS constants
+      FROM tok JOIN con USING (place) WHERE con.n = len(ts) AND con.head = ts[1:3] AND con.token = ts[place]
+      GROUP BY ALL HAVING count(*) >= 3 AND 100 * count(*) >= 50 * len(ts)),
+tem AS (SELECT n, constants FROM c JOIN f USING (line) GROUP BY ALL HAVING count(DISTINCT r) >= 5),
+bad AS (SELECT line FROM f JOIN tem USING (n, constants)),
+gone AS (SELECT r, list(pos) AS ps FROM c WHERE line IN (SELECT line FROM bad) GROUP BY r)
+SELECT doc_id, CAST(coalesce(len(ls), 0) AS BIGINT) AS n_lines, CAST(coalesce(len(ps), 0) AS BIGINT) AS n_dropped,
+       sha256(CASE WHEN ps IS NULL THEN text
+              ELSE array_to_string([ls[i] FOR i IN range(1, len(ls) + 1) IF NOT list_contains(ps, i)], chr(10)) END) AS text_sha256
+FROM d LEFT JOIN gone USING (r)"""
+)
+def op8_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = templates.drop_recurring_lines(documents(spark, sf_dir))
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("text_sha256"))
