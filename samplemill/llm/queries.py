@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from samplemill.llm import exact, language, packing, pieces, quality, secrets, simhash, templates, token_counts
+from samplemill.llm import exact, language, packing, passages, pieces, quality, secrets, simhash, templates, token_counts
 
 QUERIES, ORACLES = {}, {}
 
@@ -122,3 +122,8 @@ FROM d LEFT JOIN gone USING (r)"""
 def op8_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = templates.drop_recurring_lines(documents(spark, sf_dir))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("text_sha256"))
+
+
+@query()
+def op4_duplicate_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.duplicate_passages(documents(spark, sf_dir))
