@@ -146,7 +146,7 @@ def dedup_exact(
     batches: int = 2,
     shard: int = SHARD,
 ) -> DataFrame:
-    """``(id_col, keep_id, group_size, kept, text_sha256)``, one row per row of ``docs``.
+    """``(id_col, keep_id, group_size, kept, text_sha256, text_key)``, one row per row of ``docs``.
 
     Texts are equal if they are identical without ASCII white space. Of equal texts the one with the most code
     points stays, then the smallest id. The table arrives in ``batches`` parts (dealt by a hash of the id). A
@@ -157,10 +157,11 @@ def dedup_exact(
 
     NULL counts as the empty text. Rows with a NULL id are kept as rows; at equal length an id goes before NULL.
     Of rows that repeat the same id and length one stays. Other columns are not read; an empty table gives no rows.
+    ``text_key`` is a hash of the original text.
     """
-    named = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
+    named = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_key"), F.col(text_col).alias("_text"))
     dealt = named.withColumn("_batch", F.expr(f"pmod(xxhash64(_id), {batches})").cast("int"))
-    digests = with_digests(dealt, "_text", ["_id", "_batch"]).withColumn("_row", F.monotonically_increasing_id())
+    digests = with_digests(dealt, "_text", ["_id", "_key", "_batch"]).withColumn("_row", F.monotonically_increasing_id())
     table = cut(digests, "digests")
     order = F.struct((-F.col("size")).alias("s"), F.col("_id").isNull().alias("z"), F.col("_id").alias("i"), F.col("_row").alias("r"))
     grouped = table.groupBy("_batch", "sha").agg(F.min(order).alias("best"), F.count(F.lit(1)).alias("n"))
@@ -191,4 +192,21 @@ def dedup_exact(
         F.coalesce("g.n", F.lit(1).cast("long")).alias("group_size"),
         F.coalesce(F.col("g.r") == F.col("_row"), F.lit(True)).alias("kept"),
         F.lower(F.hex("sha")).alias("text_sha256"),
+        F.col("_key").alias("text_key"),
     )
+
+
+def drop_exact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with the rows that ``dedup_exact`` keeps, all columns as they are.
+
+    Rows are found again by their id and text. If rows repeat both, one of them stays.
+    """
+    marked = cut(dedup_exact(docs, id_col, text_col).select(F.col(id_col).alias("_i"), F.col("text_key").alias("_k"), "kept"), "exact")
+    rows = marked.groupBy("_i", "_k").agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("n"))
+    gone = rows.where("NOT kept").select("_i", "_k")
+    same = F.col(id_col).eqNullSafe(F.col("_i")) & (F.xxhash64(text_col) == F.col("_k"))
+    out = docs.join(gone, same, "left_anti")
+    if rows.where("kept AND n > 1").isEmpty():
+        return out
+    # Only a table with repeated rows pays for telling them apart.
+    return out.withColumn("_k", F.xxhash64(text_col)).dropDuplicates([id_col, "_k"]).drop("_k")

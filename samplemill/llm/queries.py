@@ -38,7 +38,7 @@ SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION B
 FROM n WINDOW w AS (PARTITION BY body ORDER BY size DESC, doc_id, r)"""
 )
 def op6_exact_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact.dedup_exact(documents(spark, sf_dir))
+    return exact.dedup_exact(documents(spark, sf_dir)).drop("text_key")
 
 
 @query(

@@ -99,25 +99,28 @@ def _buckets(fps: DataFrame, radius: int, limit: int) -> DataFrame:
 def sliced_pairs(values: np.ndarray, starts: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Positions of the pairs within ``radius`` differing bits, of values of the same bucket.
 
-    ``starts`` has the first position of each bucket and the end of the last. Bit planes are stored vertically:
-    64 values of a bucket share one word in each of the 64 planes. A value meets a whole word at a time; the
-    planes are added up by carry-save counters that start so high that a carry out of the top plane says
-    "beyond the radius". Words in which every value is beyond it are abandoned.
+    ``values`` has a row of one or more 64-bit words per value, ``starts`` the first position of each bucket and the
+    end of the last. Bit planes are stored vertically: 64 values of a bucket share one word of each plane. A value
+    meets such a word at a time; the planes are added up by carry-save counters that start so high that a carry
+    out of the top plane says "beyond the radius". Words in which every value is beyond it are abandoned.
     """
+    values = values.reshape(len(values), -1)
     n = np.diff(starts)
     words = -(-n // 64)
     base = np.concatenate([[0], np.cumsum(words)])
     bucket = np.repeat(np.arange(len(n)), n)
     place = base[bucket] * 64 + np.arange(len(values)) - starts[bucket]
-    store, there = np.zeros(base[-1] * 64, np.uint64), np.zeros(base[-1] * 64, np.uint8)
+    store, there = np.zeros((base[-1] * 64, values.shape[1]), np.uint64), np.zeros(base[-1] * 64, np.uint8)
     store[place], there[place] = values, 1
     at = np.zeros(base[-1] * 64, np.int64)
     at[place] = np.arange(len(values))
     valid = np.packbits(there, bitorder="little").view(np.uint64)
-    planes = [
-        np.packbits(((store >> np.uint64(p)) & np.uint64(1)).astype(np.uint8), bitorder="little").view(np.uint64)
-        for p in range(BITS)
-    ]
+
+    def plane(p: int) -> np.ndarray:
+        bits = (store[:, p // 64] >> np.uint64(p % 64)) & np.uint64(1)
+        return np.packbits(bits.astype(np.uint8), bitorder="little").view(np.uint64)
+
+    planes = [plane(p) for p in range(64 * values.shape[1])]
     own = place // 64
     each = base[bucket + 1] - own  # words that a value meets: its own and the later ones
     ends = np.cumsum(each)
@@ -130,10 +133,12 @@ def sliced_pairs(values: np.ndarray, starts: np.ndarray, radius: int) -> Iterato
         w = own[q] + np.arange(len(q)) - np.repeat(np.cumsum(each[lo:hi]) - each[lo:hi], each[lo:hi])
         lo = hi
         counters = [np.full(len(q), FULL if begin >> j & 1 else 0, np.uint64) for j in range(width)]
-        over = np.zeros(len(q), np.uint64)
-        mine = values[q]
-        for p in range(BITS):
-            carry = planes[p][w] ^ (np.uint64(0) - ((mine >> np.uint64(p)) & np.uint64(1)))
+        # Places without a value are beyond the radius from the start, so that they hold nothing up.
+        over = ~valid[w]
+        for p in range(len(planes)):
+            if p % 64 == 0:
+                mine = values[q, p // 64]
+            carry = planes[p][w] ^ (np.uint64(0) - ((mine >> np.uint64(p % 64)) & np.uint64(1)))
             for j in range(width):
                 counters[j], carry = counters[j] ^ carry, counters[j] & carry
             over |= carry
@@ -142,7 +147,7 @@ def sliced_pairs(values: np.ndarray, starts: np.ndarray, radius: int) -> Iterato
                 if 4 * alive.sum() < 3 * len(q):
                     q, w, mine, over = q[alive], w[alive], mine[alive], over[alive]
                     counters = [c[alive] for c in counters]
-        hits = ~over & valid[w]
+        hits = ~over
         bit = (place[q] % 64).astype(np.uint64)
         later = FULL << bit & ~(np.uint64(1) << bit)
         hits = np.where(w == own[q], hits & later, hits)
