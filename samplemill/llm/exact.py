@@ -203,10 +203,10 @@ def drop_exact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """
     marked = cut(dedup_exact(docs, id_col, text_col).select(F.col(id_col).alias("_i"), F.col("text_key").alias("_k"), "kept"), "exact")
     rows = marked.groupBy("_i", "_k").agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("n"))
-    gone = rows.where("NOT kept").select("_i", "_k")
-    same = F.col(id_col).eqNullSafe(F.col("_i")) & (F.xxhash64(text_col) == F.col("_k"))
+    gone = rows.where("NOT kept")
+    same = docs[id_col].eqNullSafe(gone["_i"]) & (F.xxhash64(docs[text_col]) == gone["_k"])
     out = docs.join(gone, same, "left_anti")
     if rows.where("kept AND n > 1").isEmpty():
         return out
     # Only a table with repeated rows pays for telling them apart.
-    return out.withColumn("_k", F.xxhash64(text_col)).dropDuplicates([id_col, "_k"]).drop("_k")
+    return out.withColumn("_text_hash", F.xxhash64(text_col)).dropDuplicates([id_col, "_text_hash"]).drop("_text_hash")

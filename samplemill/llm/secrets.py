@@ -21,16 +21,19 @@ MIN_VALUE, MIN_ACCESS = 6, 20
 #: Runs that the models judge; shorter ones carry too little evidence.
 RUN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 WORD = re.compile(r"[A-Za-z0-9+/_=-]{4,}")
-ALPHABET = b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-."
+#: What the models tell apart: letters without their case, digits, and marks between words as one.
+ALPHABET = b"abcdefghijklmnopqrstuvwxyz0123456789+=-"
 SIZE = len(ALPHABET)
 CODE = np.full(256, -1, np.int16)
 CODE[np.frombuffer(ALPHABET, np.uint8)] = np.arange(SIZE)
+CODE[np.frombuffer(ALPHABET[:26].upper(), np.uint8)] = np.arange(26)
+CODE[np.frombuffer(b"/_.", np.uint8)] = CODE[ord("-")]
 
 #: Documents from which the models are learnt, on average: the bound of the sample.
 SAMPLE = 20_000
-#: A run is random if its log-likelihood ratio (nats) is this much in favour, in total and per character, and it
-#: has so many different characters (a ruler of dashes is as rare as a key, but no key).
-MIN_RATIO, MIN_RATIO_EACH, MIN_DISTINCT = 40.0, 2.4, 8
+#: A run is random if its log-likelihood ratio (nats) is this much in favour, in total and per character, and it has
+#: so many different characters and digits (a ruler of dashes or an unusual name is as rare as a key, but no key).
+MIN_RATIO, MIN_RATIO_EACH, MIN_DISTINCT, MIN_DIGITS = 15.0, 0.8, 8, 2
 
 
 def base_spans(text: str) -> list[tuple[int, str, int]]:
@@ -69,8 +72,8 @@ def train(docs: DataFrame, id_col: str, text_col: str, sample: int = SAMPLE) ->
 
     The labelled samples are what the fixed patterns find (random) and all other words (ordinary), in whole texts
     of about ``sample`` rows taken by a hash of the id. Pair counts are added up on the cluster; only the two
-    fixed-size tables reach the driver. Pairs of random strings get the weight of one string of every kind on
-    top (a uniform prior), so the model of random strings does not only know the kinds that the sample has.
+    fixed-size tables reach the driver. Half of the model of random strings is the uniform one, so that it does not
+    only know the kinds of keys that the sample has.
     """
     share = min(1.0, sample / max(1, docs.count()))
     chosen = docs.where(F.pmod(F.xxhash64(F.col(id_col)), F.lit(1 << 30)) < int(share * (1 << 30)))
@@ -92,11 +95,18 @@ def train(docs: DataFrame, id_col: str, text_col: str, sample: int = SAMPLE) ->
     counted = np.zeros((2, SIZE * SIZE))
     for kind, cell, n in rows:
         counted[kind, cell] = n
-    random, ordinary = counted.reshape(2, SIZE, SIZE)
-    random = random / max(1.0, random.sum()) + 1.0 / SIZE**2
-    ordinary = ordinary + 0.1
-    each = [np.log(x / x.sum(axis=1, keepdims=True)) for x in (random, ordinary)]
-    return (each[0] - each[1]).ravel()
+    each = [_transitions(x, even) for x, even in zip(counted.reshape(2, SIZE, SIZE), (0.5, 0.001))]
+    return (np.log(each[0]) - np.log(each[1])).ravel()
+
+
+def _transitions(counts: np.ndarray, even: float) -> np.ndarray:
+    """Probabilities of the next character; rare first characters fall back on how frequent the next is at all.
+
+    The share ``even`` of all probability goes to all characters alike.
+    """
+    single = counts.sum(axis=0) / max(1.0, counts.sum()) if counts.any() else np.full(SIZE, 1.0 / SIZE)
+    mixed = (counts + 5 * single) / (counts.sum(axis=1, keepdims=True) + 5)
+    return (1 - even) * mixed + even / SIZE
 
 
 def find_spans(text: str, ratios: np.ndarray) -> tuple[list[tuple[int, str, int]], list[tuple[int, str, int]]]:
@@ -116,7 +126,8 @@ def find_spans(text: str, ratios: np.ndarray) -> tuple[list[tuple[int, str, int]
         if i < len(covered) and covered[i][0] < b:
             continue
         ratio = float(ratios[_pairs(m[0])].sum())
-        if ratio >= MIN_RATIO and ratio >= MIN_RATIO_EACH * (b - a) and len(set(m[0])) >= MIN_DISTINCT:
+        varied = len(set(m[0])) >= MIN_DISTINCT and sum(c.isdigit() for c in m[0]) >= MIN_DIGITS
+        if varied and ratio >= max(MIN_RATIO, MIN_RATIO_EACH * (b - a)):
             more.append((a, "markov", b))
     order = (*KINDS, "markov")
     return base, sorted(base + more, key=lambda s: (s[0], order.index(s[1])))
@@ -131,7 +142,8 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample
 
     Spans are ``kind:start:end`` in code points, the end exclusive, by start and then by kind. Base spans come from
     fixed patterns. To these the models add ``markov`` spans: runs of 20 or more key characters that overlap no
-    base span and are more likely under the model of random strings than under that of ordinary identifiers.
+    base span, have digits, and are far more likely under the model of random strings than under that of ordinary
+    identifiers. The models do not see the case of letters.
 
     NULL is the empty text. Whole texts are scanned. NULL ids and repeated rows stay as rows, other columns are not
     read, and an empty table gives no rows.

@@ -177,6 +177,5 @@ def near_duplicates(
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """``docs`` with one row of each group of near-duplicates; see ``near_duplicates``."""
     dropped = cut(near_duplicates(docs, id_col, text_col, similarity), "near-duplicates")
-    dropped = dropped.select(F.col(id_col).alias("_i"), F.col("key").alias("_k"))
-    same = F.col(id_col).eqNullSafe(F.col("_i")) & (F.xxhash64(text_col) == F.col("_k"))
+    same = docs[id_col].eqNullSafe(dropped[id_col]) & (F.xxhash64(docs[text_col]) == dropped["key"])
     return docs.join(dropped, same, "left_anti")
