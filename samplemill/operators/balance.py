@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from samplemill.functions.ids import SEED, sample_hash
+from samplemill.functions.ids import SEED
 from samplemill.plans.ordered import hash_cut, hash_rank, join_null_safe
 from samplemill.plans.session import cut
 
 TOLERANCE = 0.025
-FIRST_RANKS = 1_000
-SHARD_ROWS = 1_000_000
 
 
 def bias_targets(n_minority: int, n_majority: int, ratio: float) -> tuple[int, int]:
@@ -90,66 +88,32 @@ def class_weights(df: DataFrame, label: str, beta: float = 0.999) -> DataFrame:
     )
 
 
-def cap_label_imbalance(df: DataFrame, id_col: str, labels: str, ratio: float, seed: int = SEED) -> DataFrame:
+def cap_label_imbalance(
+    df: DataFrame, id_col: str, labels: str, ratio: float, seed: int = SEED, split: str | None = None
+) -> DataFrame:
     """Multi-label imbalance cap: no row is left whose labels are all over ``ratio`` times the rarest.
 
-    Rounds of bounded removal. In each round a label may lose at most its excess, and a row
-    is removed if it fits in the allowance of all its labels. Rows are ranked per label; a
-    label with very many candidates is ranked in hash shards, each with its exact part of the
-    allowance, so that no task holds it whole. If no row fits, the next round ranks just the
-    first candidates of each label; the first one in hash order always fits, so the loop ends.
+    With ``split``, every split has its own rarest label and its own cap. Rounds of bounded removal: in each, a label
+    may lose at most its excess, and a row goes if, in hash order among the rows that may go, its rank in each of its
+    labels is within what the label may lose. The first row in hash order always is, so the rounds end. Ranks are
+    exact and found in hash buckets, so a label may hold any share of the rows.
     """
-    flat = cut(
-        df.select(id_col, F.explode(F.array_distinct(labels)).alias("_label")).withColumn(
-            "_h", sample_hash(id_col, seed)
-        ),
-        "flat",
-    )
-    least, largest = _label_counts(flat).agg(F.min("n"), F.max("n")).first()
-    if least is None:
-        return df
-    cap = int(ratio * least)
-    digits = next(d for d in range(4) if largest <= SHARD_ROWS * 16**d or d == 3)
+    part = F.lit("") if split is None else F.col(split).cast("string")
+    flat = cut(df.select(id_col, part.alias("_split"), F.explode(F.array_distinct(labels)).alias("_label")), "flat")
+    keys = ["_split", "_label"]
+    caps = cut(_label_counts(flat).groupBy("_split").agg(F.floor(ratio * F.min("n")).alias("_cap")), "caps")
     while True:
-        over = _label_counts(flat).select("_label", F.greatest(F.lit(0), F.col("n") - cap).alias("_excess"))
-        free = F.min("_excess").over(Window.partitionBy(id_col)) > 0
-        rows = flat.join(over, "_label").withColumn("_free", free).where("_free").drop("_free")
+        counts = join_null_safe(_label_counts(flat), caps, ["_split"])
+        over = counts.select(*keys, F.greatest(F.lit(0), F.col("n") - F.col("_cap")).alias("_excess"))
+        least = F.min("_excess").over(Window.partitionBy(id_col, "_split"))
+        rows = join_null_safe(flat, over, keys).withColumn("_least", least).where("_least > 0").drop("_least")
         rows = cut(rows, "candidates")
         if rows.isEmpty():
             return df.join(flat.select(id_col).distinct(), id_col, "left_semi")
-        gone = _fitting(_ranked(rows, id_col, digits), id_col)
-        if digits and gone.isEmpty():
-            w = Window.partitionBy("_label").orderBy("_h", id_col)
-            firsts = rows.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= FIRST_RANKS)
-            ranked = rows.join(firsts.select("_label", id_col, "_rn"), ["_label", id_col], "left")
-            ok = F.coalesce(F.col("_rn") <= F.col("_excess"), F.lit(False))
-            gone = _fitting(ranked.withColumn("_ok", ok), id_col)
-        flat = cut(flat.join(gone, id_col, "left_anti"), "flat")
+        ranked = hash_rank(rows, id_col, keys, seed, "_rank")
+        gone = ranked.groupBy(id_col).agg(F.bool_and(F.col("_rank") <= F.col("_excess")).alias("_ok")).where("_ok")
+        flat = cut(flat.join(gone.select(id_col), id_col, "left_anti"), "flat")
 
 
 def _label_counts(flat: DataFrame) -> DataFrame:
-    return flat.groupBy("_label").agg(F.count(F.lit(1)).alias("n"))
-
-
-def _ranked(rows: DataFrame, id_col: str, digits: int) -> DataFrame:
-    """Mark rows whose rank in their label (and hash shard) is inside the allowance."""
-    if not digits:
-        w = Window.partitionBy("_label").orderBy("_h", id_col)
-        return rows.withColumn("_ok", F.row_number().over(w) <= F.col("_excess"))
-    rows = rows.withColumn("_s", F.substring("_h", 1, digits))
-    upto = Window.partitionBy("_label").orderBy("_s").rowsBetween(Window.unboundedPreceding, 0)
-    parts = rows.groupBy("_label", "_s").agg(F.count(F.lit(1)).alias("_have"), F.max("_excess").alias("_excess"))
-    parts = parts.withColumn("_upto", F.sum("_have").over(upto)).withColumn(
-        "_all", F.sum("_have").over(Window.partitionBy("_label"))
-    )
-
-    def due(n: Column) -> Column:
-        return F.floor(F.least(F.col("_excess"), F.col("_all")) * n / F.col("_all"))
-
-    parts = parts.select("_label", "_s", (due(F.col("_upto")) - due(F.col("_upto") - F.col("_have"))).alias("_may"))
-    w = Window.partitionBy("_label", "_s").orderBy("_h", id_col)
-    return rows.join(parts, ["_label", "_s"]).withColumn("_ok", F.row_number().over(w) <= F.col("_may"))
-
-
-def _fitting(marked: DataFrame, id_col: str) -> DataFrame:
-    return marked.groupBy(id_col).agg(F.bool_and("_ok").alias("_ok")).where("_ok").select(id_col)
+    return flat.groupBy("_split", "_label").agg(F.count(F.lit(1)).alias("n"))

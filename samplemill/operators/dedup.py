@@ -11,7 +11,6 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from samplemill.plans.skew import hot_split_join
 
 
 def keep_earliest(df: DataFrame, digest: str, order: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
@@ -39,7 +38,7 @@ def drop_leaks(df: DataFrame, digest: str, side: str) -> DataFrame:
         .where("_lo = _hi")
         .select(digest)
     )
-    return hot_split_join(df, clean, digest)
+    return df.join(clean, digest)
 
 
 def dedup_across_sides(df: DataFrame, digest: str, side: str, order: Sequence[str]) -> DataFrame:

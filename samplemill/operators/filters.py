@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from samplemill.functions.ids import SEED, as_column, id_prefix, shard_of
 from samplemill.plans.ordered import join_null_safe, ordered_rank
-from samplemill.plans.skew import hot_split_join
 
 PROTOCOLS = ("any", "yes", "no", "unk")
 
@@ -154,27 +153,23 @@ def exclusion_reasons(
     """Add ``reason``, the first rule that excludes a sample, or NULL.
 
     Rules in order: empty, not valid, used for fine-tuning, digest used for fine-tuning,
-    later copy of a kept sample. Flags are joined on the unique id; the digest rule is
-    turned into a set of ids first, so that a digest with very many copies never becomes
-    the key of a join between two large sides.
+    later copy of a kept sample. The id lists are one table of flags, joined once.
     """
-    def flag(ids: DataFrame, name: str) -> DataFrame:
-        return ids.select(id_col).distinct().withColumn(name, F.lit(True))
-
-    listed = df.join(flag(empty, "_empty"), id_col, "left")
-    listed = listed.join(flag(valid, "_valid"), id_col, "left")
-    listed = listed.join(flag(finetune, "_used"), id_col, "left")
-    clean = hot_split_join(df.select(digest, id_col), finetune_digests.select(digest).distinct(), digest)
-    listed = listed.join(flag(clean, "_same"), id_col, "left")
+    lists = [ids.select(id_col).withColumn("_flag", F.lit(1 << i)) for i, ids in enumerate((empty, valid, finetune))]
+    flags = lists[0].unionByName(lists[1]).unionByName(lists[2]).groupBy(id_col).agg(F.bit_or("_flag").alias("_flags"))
+    used = finetune_digests.select(digest).distinct().withColumn("_same", F.lit(True))
+    flag = F.coalesce("_flags", F.lit(0))
     reason = (
-        F.when(F.col("_empty"), "empty")
-        .when(F.col("_valid").isNull(), "invalid")
-        .when(F.col("_used"), "finetune")
+        F.when(flag.bitwiseAND(1) > 0, "empty")
+        .when(flag.bitwiseAND(2) == 0, "invalid")
+        .when(flag.bitwiseAND(4) > 0, "finetune")
         .when(F.col("_same"), "finetune_digest")
     )
-    listed = listed.withColumn("reason", reason).drop("_empty", "_valid", "_used", "_same")
+    listed = df.join(flags, id_col, "left").join(used, digest, "left").withColumn("reason", reason)
+    listed = listed.select(*df.columns, "reason")
     if not dedup:
         return listed
+    # The first sample that no rule excludes keeps its digest; an aggregate combines copies before the shuffle.
     first = (
         listed.where("reason is null").groupBy(digest).agg(F.min(id_col).alias(id_col)).select(id_col)
         .withColumn("_first", F.lit(True))

@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from samplemill.operators.filters import with_view_prefix
-from samplemill.plans.skew import hot_split_join
 
 
 def with_labels(files: DataFrame, labels: DataFrame, key: str) -> DataFrame:
@@ -36,8 +35,8 @@ def pending(ids: DataFrame, done: DataFrame, key: str) -> DataFrame:
 
 
 def label_via_digest(files: DataFrame, digest_labels: DataFrame, digest: str) -> DataFrame:
-    """Second hop of id -> digest -> label. Copies of one file may dominate, hence the split join."""
-    return hot_split_join(files, digest_labels, digest)
+    """Second hop of id -> digest -> label. The adaptive planner splits a digest that dominates."""
+    return files.join(digest_labels, digest)
 
 
 def override_union(maps: Sequence[DataFrame], key: str, value: str) -> DataFrame:

@@ -106,12 +106,13 @@ def ranking_scores(df: DataFrame, score: str, truth: Column, by: Sequence[str] =
     """``roc`` (rank-sum area, NaN with one class only) and ``avp`` (step-wise average precision)."""
     placed = _score_counts(df, score, truth, by)
     pos, neg = F.col("_pos"), F.col("_neg")
-    wins = F.sum(pos * (F.col("_neg_lt") + neg / 2))
-    p, n = F.max("_p"), F.max("_n")
+    # Products of counts leave the range of long integers long before the counts do.
+    wins = F.sum(pos.cast("double") * (F.col("_neg_lt") + neg / 2))
+    p, n = F.max("_p").cast("double"), F.max("_n").cast("double")
     hits = F.col("_p") - F.col("_pos_lt")
     shown = hits + F.col("_n") - F.col("_neg_lt")
     return placed.groupBy(*by).agg(
-        F.when((p > 0) & (n > 0), wins / (p * n).cast("double")).otherwise(F.lit(float("nan"))).alias("roc"),
+        F.when((p > 0) & (n > 0), wins / (p * n)).otherwise(F.lit(float("nan"))).alias("roc"),
         F.sum(F.when(F.col("_p") > 0, pos / F.col("_p") * (hits / shown)).otherwise(F.lit(0.0))).alias("avp"),
     )
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from samplemill.functions.reports import DEPTH, REPORT_TYPE, VALUES_TYPE, json_body
@@ -101,10 +101,14 @@ def packing_map(flags: DataFrame, id_col: str, mode: str, include: Sequence[str]
     """``is_packed`` per sample: any of the included modes says so."""
     packed = F.bool_or("is_obfuscated")
     if not null_is_unknown:
-        packed = F.coalesce(packed, F.lit(False))
+        packed = unknown_as_false(packed)
     return flags.where(F.col(mode).isin(*include)).groupBy(id_col).agg(packed.alias("is_packed"))
 
 
+def unknown_as_false(flag: Column | str) -> Column:
+    return F.coalesce(flag, F.lit(False))
+
+
 def not_packed(packed: DataFrame, id_col: str) -> DataFrame:
     return packed.where(~F.col("is_packed")).select(id_col).orderBy(id_col)
 

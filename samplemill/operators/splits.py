@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from fractions import Fraction
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -21,33 +22,23 @@ from samplemill.plans.ordered import (
 from samplemill.plans.session import cut
 
 SPLITS = ("tr", "vl", "ts")
-FOLD_LIMIT = 10_000
-RATIO_GRID = 1_000
+#: Ratios are fractions with a common denominator up to this.
+DENOMINATOR = 10_000
 
 
 def integer_sizes(total: int, sizes: Sequence[int | float]) -> tuple[int, int, int]:
-    """Split sizes as counts. Shares are floored; what is left goes to test, else to validation."""
-    kinds = {type(s) for s in sizes}
-    if len(kinds) != 1:
-        raise TypeError("sizes must be all int or all float")
-    if kinds == {int}:
+    """Split sizes as counts. Shares are floored; the last part that is not empty, test or validation, gets the rest."""
+    if all(isinstance(s, int) for s in sizes):
         return tuple(sizes)
-    tr, vl, ts = (math.floor(total * s) for s in sizes)
-    left = total - tr - vl - ts
-    if ts > 0:
-        ts += left
-    elif vl > 0:
-        vl += left
-    if tr + vl + ts != total:
-        raise ValueError(f"sizes {tr}, {vl}, {ts} do not add up to {total}")
-    return tr, vl, ts
-
-
-def float_sizes(total: int, sizes: Sequence[int | float]) -> tuple[float, float, float]:
-    kinds = {type(s) for s in sizes}
-    if len(kinds) != 1:
+    if any(isinstance(s, int) for s in sizes):
         raise TypeError("sizes must be all int or all float")
-    return tuple(sizes) if kinds == {float} else tuple(s / total for s in sizes)
+    counts = [math.floor(total * s) for s in sizes]
+    rest = total - sum(counts)
+    last = max((i for i, n in enumerate(counts) if n), default=0)
+    if rest < 0 or rest and last == 0:
+        raise ValueError(f"the shares {tuple(sizes)} of {total} rows leave {rest} over")
+    counts[last] += rest
+    return tuple(counts)
 
 
 def part_name(part: Column) -> Column:
@@ -110,41 +101,45 @@ def guaranteed_split(
     return seeded.unionByName(rest)
 
 
+def _turns(ratios: Sequence[float], start: Sequence[int]) -> tuple[list[tuple[int, ...]], list[int]]:
+    """Counts after 0, 1, 2, ... items, up to the first period of the turns, and what each target gets per period.
+
+    Ratios are taken as fractions with a common denominator ``d``. Only differences between shares and counts decide
+    whose turn it is, so once ``d`` items have changed none of them, the turns repeat for ever.
+    """
+    parts = [Fraction(r).limit_denominator(DENOMINATOR) for r in ratios]
+    shares = [p / sum(parts) for p in parts]
+    d = math.lcm(*(s.denominator for s in shares))
+    if d > DENOMINATOR:
+        raise ValueError(f"the ratios {tuple(ratios)} need a common denominator of at most {DENOMINATOR}")
+    due = [int(s * d) for s in shares]
+    counts = [tuple(start)]
+    while len(counts) <= d + 1 or any(n - m != x for n, m, x in zip(counts[-1], counts[-1 - d], due)):
+        now = sum(counts[-1])
+        # Before the first item nobody is behind, and the largest share begins.
+        behind = [x * now - d * n for x, n in zip(due, counts[-1])] if now else due
+        turn = behind.index(max(behind))
+        counts.append(tuple(n + (i == turn) for i, n in enumerate(counts[-1])))
+        if len(counts) > 100 * DENOMINATOR:
+            raise ValueError(f"{tuple(start)} is too far from {tuple(ratios)}")
+    return counts, due
+
+
 def apportion(n: Column, ratios: Sequence[float], start: Sequence[int] = (0, 0, 0)) -> Column:
-    """Give ``n`` items one by one to the target furthest below its share; returns three counts.
+    """Give ``n`` items one by one to the target furthest below its share, the first of equals; returns three counts.
 
-    The deficits of this rule repeat with the period of the ratios (a multiple of 1/1000),
-    so for more than ``FOLD_LIMIT`` items whole periods are handed out at once and only the
-    remainder is folded.
+    The turns of one period are worked out beforehand; any number of items is then whole periods and a place in one,
+    in exact integers.
     """
-    # Added from left to right: compensated summation would change the last digit and with it some ties.
-    whole = ratios[0] + ratios[1] + ratios[2]
-    share = [r / whole for r in ratios]
-    grid = [round(p * RATIO_GRID) for p in share]
-    on_grid = sum(grid) == RATIO_GRID and all(abs(g / RATIO_GRID - p) < 1e-12 for g, p in zip(grid, share))
+    counts, due = _turns(ratios, start)
+    d, last = sum(due), len(counts) - 1
     n = n.cast("bigint")
-    folded = F.when(n > FOLD_LIMIT, n % RATIO_GRID).otherwise(n) if on_grid else n
-    periods = ((n - folded) / RATIO_GRID).cast("bigint")
-    zero = F.struct(
-        *[(periods * g + F.lit(s)).cast("bigint").alias(x) for g, s, x in zip(grid, start, SPLITS)]
-    )
-    total = (n + sum(start)).cast("double")
-
-    def give(acc: Column, _: Column) -> Column:
-        have = [acc[x] for x in SPLITS]
-        now = have[0] + have[1] + have[2]
-        gaps = [
-            F.lit(p) * total - F.when(now != 0, h / now).otherwise(F.lit(0.0)) * total for p, h in zip(share, have)
-        ]
-        first = (gaps[0] >= gaps[1]) & (gaps[0] >= gaps[2])
-        second = ~first & (gaps[1] >= gaps[0]) & (gaps[1] >= gaps[2])
-        picks = [first, second, ~first & ~second]
-        return F.struct(*[(h + c.cast("bigint")).alias(x) for h, c, x in zip(have, picks, SPLITS)])
-
-    steps = F.when(folded > 0, F.sequence(F.lit(1).cast("bigint"), folded)).otherwise(
-        F.array().cast("array<bigint>")
+    place = F.when(n <= last, n).otherwise(last - d + F.pmod(n - (last - d), F.lit(d).cast("bigint")))
+    periods = ((n - place) / d).cast("bigint")
+    table = [F.array(*[F.lit(c[i]).cast("bigint") for c in counts]) for i in range(len(SPLITS))]
+    return F.struct(
+        *[(F.element_at(t, place.cast("int") + 1) + periods * x).alias(s) for t, x, s in zip(table, due, SPLITS)]
     )
-    return F.aggregate(steps, zero, give)
 
 
 def class_quotas(df: DataFrame, label: str, ratios: Sequence[float]) -> DataFrame:
@@ -308,11 +303,6 @@ def temporal_checks(df: DataFrame, ts: str, label: str | None = None) -> DataFra
     return df.groupBy(*keys).agg(*aggs).withColumn("ok", ok)
 
 
-def shuffled(df: DataFrame, id_col: str, seed: int = SEED) -> DataFrame:
-    """Rows in hash order."""
-    return df.withColumn("_h", sample_hash(id_col, seed)).orderBy("_h", id_col).drop("_h")
-
-
 def shuffle_positions(df: DataFrame, id_col: str, seed: int = SEED) -> DataFrame:
     """The permutation itself: position of each row in hash order."""
     return hash_rank(df, id_col, seed=seed, name="position")

@@ -14,11 +14,14 @@ from collections.abc import Sequence
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from samplemill.functions.ids import SEED, sample_hash
 
 HASH_DIGITS = 3
 HOT_DIGITS = 2
+#: Leading bytes of a text key that decide its bucket.
+TEXT_BYTES = 7
 
 
 def _offsets(keyed: DataFrame, by: Sequence[str], buckets: Sequence[str]) -> DataFrame:
@@ -101,26 +104,45 @@ def order_buckets(df: DataFrame) -> int:
     return min(4096, max(64, 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
 
 
-def quantile_bounds(df: DataFrame, key: str, buckets: int | None = None) -> list[float]:
-    """At most ``buckets - 1`` distinct inner boundaries of a numeric key (the only values sent to the driver)."""
+def order_key(df: DataFrame, key: str) -> Column:
+    """A number that never falls where ``key`` rises: times in microseconds, the first bytes of text, numbers as they are."""
+    kind = df.schema[key].dataType
+    if isinstance(kind, T.TimestampType):
+        return F.unix_micros(key)
+    if isinstance(kind, T.TimestampNTZType):
+        return F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', `{key}`)")
+    if isinstance(kind, T.DateType):
+        return F.unix_date(key)
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        first = F.rpad(F.hex(F.substring(F.col(key).cast("binary"), 1, TEXT_BYTES)), 2 * TEXT_BYTES, "0")
+        return F.conv(first, 16, 10).cast("bigint")
+    return F.col(key)
+
+
+def quantile_bounds(df: DataFrame, key: str, buckets: int | None = None) -> list:
+    """At most ``buckets - 1`` distinct inner boundaries of the order key, in its own type (the only values sent to the driver)."""
     buckets = buckets or order_buckets(df)
     shares = [i / buckets for i in range(1, buckets)]
-    row = df.agg(F.percentile_approx(F.col(key).cast("double"), shares, 20 * buckets).alias("q")).first()
+    row = df.agg(F.percentile_approx(order_key(df, key), shares, 20 * buckets).alias("q")).first()
     return sorted(set(row.q)) if row and row.q else []
 
 
-def quantile_bucket(df: DataFrame, key: str, bounds: Sequence[float]) -> DataFrame:
-    """Add ``_q``, the bucket of ``key``, and ``_on``, true where the key is the lower bound of its bucket.
+def quantile_bucket(df: DataFrame, key: str, bounds: Sequence) -> DataFrame:
+    """Add ``_q``, the bucket of ``key``, and ``_side``: 0 below, 1 at and 2 above the bucket's bound.
 
-    Keys must be exact as doubles (epoch times, sizes, scores).
+    Buckets are looked up as doubles. That never puts a larger key into an earlier bucket, but keys beyond 2 ** 53
+    near a bound may share its bucket on either side of it; ``_side`` compares them exactly, in their own type.
     """
-    # An empty input has no boundaries; any one will do.
-    splits = [float("-inf"), *(bounds or [0.0]), float("inf")]
+    exact = {float(b): b for b in reversed(list(bounds))} or {0.0: 0}
+    doubles = sorted(exact)
+    splits = [float("-inf"), *doubles, float("inf")]
     bucketed = Bucketizer(splits=splits, inputCol="_k", outputCol="_q", handleInvalid="keep").transform(
-        df.withColumn("_k", F.col(key).cast("double"))
+        df.withColumn("_o", order_key(df, key)).withColumn("_k", F.col("_o").cast("double"))
     )
-    lower = F.element_at(F.array(*[F.lit(s) for s in splits]), F.col("_q").cast("int") + 1)
-    return bucketed.withColumn("_on", F.coalesce(F.col("_k") == lower, F.lit(False))).drop("_k")
+    # The first bucket has no bound: everything in it is above.
+    bound = F.element_at(F.array(F.lit(None), *[F.lit(exact[d]) for d in doubles]), F.least(F.col("_q").cast("int") + 1, F.lit(len(doubles) + 1)))
+    side = F.when(F.col("_o") < bound, 0).when(F.col("_o") == bound, 1).otherwise(2)
+    return bucketed.withColumn("_side", side).drop("_k", "_o")
 
 
 def ordered_rank(
@@ -133,14 +155,16 @@ def ordered_rank(
     buckets: int | None = None,
 ) -> DataFrame:
     """1-based rank by ``(key, sample hash, id)``, exact also when one key holds most rows."""
+    # Rows at a bound all have that key, so that hash prefixes may divide them further; text is only compared by its
+    # first bytes there, but hardly repeats.
+    divisible = not isinstance(df.schema[key].dataType, (T.StringType, T.BinaryType))
+    prefix = F.substring("_h", 1, HOT_DIGITS) if divisible else F.lit("")
     keyed = (
         quantile_bucket(df, key, quantile_bounds(df, key, buckets))
         .withColumn("_h", sample_hash(id_col, seed))
-        .withColumn("_off", ~F.col("_on"))
-        .withColumn("_s", F.when(F.col("_on"), F.substring("_h", 1, HOT_DIGITS)).otherwise(F.lit("")))
-        .drop("_on")
+        .withColumn("_s", F.when(F.col("_side") == 1, prefix).otherwise(F.lit("")))
     )
-    return _rank(keyed, by, ["_q", "_off", "_s"], [key, "_h", id_col], name).drop("_q", "_off", "_s", "_h")
+    return _rank(keyed, by, ["_q", "_side", "_s"], [key, "_h", id_col], name).drop("_q", "_side", "_s", "_h")
 
 
 def running_totals(
@@ -157,7 +181,7 @@ def running_totals(
     value columns to the name of the sum over the whole group.
     """
     totals = totals or {}
-    keyed = quantile_bucket(df, key, quantile_bounds(df, key, buckets)).drop("_on")
+    keyed = quantile_bucket(df, key, quantile_bounds(df, key, buckets)).drop("_side")
     earlier = Window.partitionBy(*by).orderBy("_q").rowsBetween(Window.unboundedPreceding, -1)
     inside = Window.partitionBy(*by, "_q").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
     table = keyed.groupBy(*by, "_q").agg(*[F.sum(v).alias(f"_t_{v}") for v in sums])

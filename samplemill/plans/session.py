@@ -66,12 +66,3 @@ def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     path = work_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Use all cores for work that is heavy per row when the input has fewer splits than there are cores.
-
-    A table of many files is left as it is, so at scale this adds no shuffle.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -227,8 +227,7 @@ def ag7_consolidate(spark, sf):
 def ag7_packing_map(spark, sf):
     flags = packing.consolidate(scanner_reports(spark, sf), "id", "mode", "raw")
     strict = packing.packing_map(flags, "id", "mode")
-    loose = packing.packing_map(flags, "id", "mode", null_is_unknown=False).withColumnRenamed("is_packed", "is_packed_or_false")
-    return strict.join(loose, "id")
+    return strict.withColumn("is_packed_or_false", packing.unknown_as_false("is_packed"))
 
 
 @query(f"WITH {SCANS}, m AS (SELECT id, bool_or(obf) AS p FROM flags GROUP BY id) SELECT id FROM m WHERE NOT p")

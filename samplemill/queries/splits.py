@@ -192,32 +192,29 @@ def w10_guaranteed_split(spark, sf):
     return splits.guaranteed_split(docs, "doc_id", "label", (0.8, 0.1, 0.1), 4)
 
 
-def quota_sql(source: str, label: str, ratios: tuple[float, float, float]) -> str:
-    """One by one apportionment as a recursive CTE ``quota(label, n, tr, vl, ts)``."""
-    p = [f"CAST({r} AS DOUBLE)" for r in ratios]
-    total = " + ".join(p)
+def quota_sql(source: str, label: str, ratios: tuple[int, int, int]) -> str:
+    """One by one apportionment in whole numbers as a recursive CTE ``quota(label, n, tr, vl, ts)``."""
 
-    def gap(i: int, x: str) -> str:
-        return f"(({p[i]}) / ({total}) * n - CASE WHEN tr + vl + ts <> 0 THEN {x} / (tr + vl + ts) ELSE 0 END * n)"
+    def behind(i: int, x: str) -> str:
+        return f"(CASE WHEN tr + vl + ts = 0 THEN {ratios[i]} ELSE {ratios[i]} * (tr + vl + ts) - {sum(ratios)} * {x} END)"
 
-    a, b, c = gap(0, "tr"), gap(1, "vl"), gap(2, "ts")
+    a, b, c = behind(0, "tr"), behind(1, "vl"), behind(2, "ts")
     first, second = f"({a} >= {b} AND {a} >= {c})", f"({b} >= {a} AND {b} >= {c})"
     return f"""fold AS (
-    SELECT {label} AS label, CAST(count(*) AS DOUBLE) AS n, 0.0::DOUBLE AS tr, 0.0::DOUBLE AS vl, 0.0::DOUBLE AS ts FROM {source} GROUP BY 1
+    SELECT {label} AS label, CAST(count(*) AS BIGINT) AS n, 0::BIGINT AS tr, 0::BIGINT AS vl, 0::BIGINT AS ts FROM {source} GROUP BY 1
     UNION ALL SELECT label, n, CASE WHEN {first} THEN tr + 1 ELSE tr END,
       CASE WHEN NOT {first} AND {second} THEN vl + 1 ELSE vl END,
       CASE WHEN NOT {first} AND NOT {second} THEN ts + 1 ELSE ts END FROM fold WHERE tr + vl + ts < n),
-  quota AS (SELECT label, CAST(n AS BIGINT) AS n, CAST(tr AS BIGINT) AS tr, CAST(vl AS BIGINT) AS vl, CAST(ts AS BIGINT) AS ts
-    FROM fold WHERE tr + vl + ts = n)"""
+  quota AS (SELECT label, n, tr, vl, ts FROM fold WHERE tr + vl + ts = n)"""
 
 
-@query(f"""WITH RECURSIVE {quota_sql('documents', 'lang', (0.6, 0.2, 0.2))} SELECT * FROM quota""")
+@query(f"""WITH RECURSIVE {quota_sql('documents', 'lang', (6, 2, 2))} SELECT * FROM quota""")
 def w11_class_quotas(spark, sf):
     docs = table(spark, sf, "documents").select(F.col("lang").alias("label"))
     return splits.class_quotas(docs, "label", (0.6, 0.2, 0.2))
 
 
-@query(f"""WITH RECURSIVE {ORDER_SAMPLES}, {SAMPLES}, {quota_sql('samples', 'lang', (0.7, 0.2, 0.1))},
+@query(f"""WITH RECURSIVE {ORDER_SAMPLES}, {SAMPLES}, {quota_sql('samples', 'lang', (7, 2, 1))},
   r AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY ts, {h('doc_id')}, doc_id) AS rn FROM samples)
   SELECT doc_id, lang, CASE WHEN rn <= tr THEN 'tr' WHEN rn <= tr + vl THEN 'vl' ELSE 'ts' END AS split
   FROM r JOIN quota ON label = lang""")

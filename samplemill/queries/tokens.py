@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from samplemill.functions import tokens as tk
 from samplemill.operators import stats, tokenizer
-from samplemill.plans.session import cut, spread
+from samplemill.plans.session import cut
 from samplemill.queries.inputs import doc_labels, joined, table, tagged_union, texts
 from samplemill.queries.registry import query
 
@@ -47,7 +47,7 @@ def tok2_decomposition_summary(spark, sf):
 
 @query("""WITH t AS (SELECT unnest(regexp_extract_all(html, '0x|[0-9A-F]|[a-zG-Z_]+|[^a-zA-Z0-9_\\s\\v]')) AS token FROM pages) SELECT token, count(*) AS n FROM t GROUP BY token""")
 def tok3_listing_tokens(spark, sf):
-    pages = spread(table(spark, sf, "pages").select("html")).select(tk.listing_tokens("html").alias("tokens"))
+    pages = table(spark, sf, "pages").select("html").select(tk.listing_tokens("html").alias("tokens"))
     return tokenizer.word_counts(pages, "tokens").withColumnRenamed("word", "token")
 
 

@@ -8,7 +8,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from samplemill.plans import ordered
-from samplemill.plans.skew import hot_split_join
 
 
 def md5(i, seed=42):
@@ -62,13 +61,17 @@ def test_exact_quantiles(spark):
     assert [got.a, got.b, got.c] == pytest.approx(list(np.quantile(values, [0.1, 0.5, 0.99])))
 
 
-@pytest.mark.parametrize("how", ["inner", "left"])
-def test_hot_split_join(spark, how):
-    left = spark.createDataFrame([(i, "hot" if i % 3 == 0 else f"k{i % 900}") for i in range(2000)], "id int, k string")
-    right = spark.createDataFrame([("hot", 1)] + [(f"k{i}", i) for i in range(0, 900, 2)], "k string, v int")
-    got = sorted((r.id, r.k, r.v) for r in hot_split_join(left, right, "k", how).collect())
-    want = sorted((r.id, r.k, r.v) for r in left.join(right, "k", how).collect())
-    assert sorted(got, key=repr) == sorted(want, key=repr)
+@pytest.mark.parametrize("kind", ["bigint", "string", "timestamp", "date"])
+def test_keys_are_compared_in_their_own_type(spark, kind):
+    rng = np.random.default_rng(5)
+    base = 2**60 + rng.integers(0, 3000, 2000)
+    df = spark.createDataFrame([(int(i), int(b)) for i, b in enumerate(base)], "id bigint, b bigint")
+    key = {"bigint": F.col("b"), "string": F.md5(F.col("b").cast("string")), "timestamp": F.timestamp_micros(F.col("b") - F.lit(2**60 - 10**15)), "date": F.expr("date_add(date'1970-01-01', cast(b % 5000 as int))")}[kind]
+    df = df.withColumn("k", key)
+    rows = df.withColumn("h", ordered.sample_hash("id")).collect()
+    want = {r.id: i + 1 for i, r in enumerate(sorted(rows, key=lambda r: (r.k, r.h, r.id)))}
+    got = {r.id: r["rank"] for r in ordered.ordered_rank(df, "k", "id", buckets=16).collect()}
+    assert got == want
 
 
 def test_empty_input(spark):

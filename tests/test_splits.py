@@ -1,7 +1,9 @@
 """Splits, quotas and balancing: worked examples, sequential models, properties."""
 
+import hashlib
 import random
 from collections import Counter
+from fractions import Fraction
 
 import pytest
 from pyspark.sql import functions as F
@@ -14,7 +16,6 @@ def test_integer_sizes():
     assert splits.integer_sizes(101, (0.8, 0.1, 0.1)) == (80, 10, 11)
     assert splits.integer_sizes(101, (0.8, 0.2, 0.0)) == (80, 21, 0)
     assert splits.integer_sizes(7, (3, 2, 2)) == (3, 2, 2)
-    assert splits.float_sizes(100, (80, 10, 10)) == (0.8, 0.1, 0.1)
     with pytest.raises(TypeError):
         splits.integer_sizes(10, (0.5, 5, 0.0))
     with pytest.raises(ValueError):
@@ -42,6 +43,56 @@ def test_apportion_of_many_items_stays_proportional(spark):
     assert all(abs(g - p * (10**9 + 7)) <= 1 for g, p in zip(got, (0.7, 0.2, 0.1)))
 
 
+@pytest.mark.parametrize("ratios", [(0.7, 0.2, 0.1), (0.2, 0.6, 0.2), (1 / 3, 1 / 3, 1 / 3), (0.125, 0.5, 0.375), (0, 1, 3)])
+def test_apportion_equals_handing_out_one_by_one(spark, ratios):
+    whole = sum(Fraction(r).limit_denominator(1000) for r in ratios)
+    shares = [Fraction(r).limit_denominator(1000) / whole for r in ratios]
+    have, want = [0, 0, 0], [(0, 0, 0)]
+    for _ in range(150):
+        now = sum(have)
+        gaps = [s - (Fraction(h, now) if now else 0) for s, h in zip(shares, have)]
+        have[gaps.index(max(gaps))] += 1
+        want.append(tuple(have))
+    rows = spark.range(151).select("id", splits.apportion(F.col("id"), ratios).alias("q")).orderBy("id").collect()
+    assert [tuple(r.q) for r in rows] == want
+
+
+def test_apportion_of_billions_into_thirds(spark):
+    got = spark.range(1).select(splits.apportion(F.lit(3 * 10**9 + 1), (1 / 3, 1 / 3, 1 / 3)).alias("q")).first().q
+    assert tuple(got) == (10**9 + 1, 10**9, 10**9)
+    with pytest.raises(ValueError):
+        splits.apportion(F.lit(5), (0.5, 0.2, 2**-0.5))
+
+
+def plain_cap(rows, ratio):
+    """The rounds of the label cap, one set of rows after the other."""
+    key = lambda i: (hashlib.md5(f"42:{i}".encode()).hexdigest(), i)
+    cap = int(ratio * min(Counter(x for _, xs in rows for x in set(xs)).values()))
+    rows = {i: set(xs) for i, xs in rows}
+    while True:
+        n = Counter(x for xs in rows.values() for x in xs)
+        free = sorted((i for i, xs in rows.items() if all(n[x] > cap for x in xs)), key=key)
+        if not free:
+            return set(rows)
+        rank, gone = Counter(), []
+        for i in free:
+            rank.update(rows[i])
+            if all(rank[x] <= n[x] - cap for x in rows[i]):
+                gone.append(i)
+        for i in gone:
+            del rows[i]
+
+
+@pytest.mark.parametrize("partitions", [1, 7])
+def test_label_cap_per_split(spark, partitions):
+    rng = random.Random(9)
+    rows = [(i, rng.sample("abcd", rng.choice([1, 1, 2])) if rng.random() < 0.9 else ["rare"], "tr" if i % 3 else "vl") for i in range(600)]
+    df = spark.createDataFrame(rows, "id int, labels array<string>, split string").repartition(partitions)
+    got = {r.id for r in balance.cap_label_imbalance(df, "id", "labels", 1.5, split="split").collect()}
+    assert got == set().union(*(plain_cap([(i, xs) for i, xs, s in rows if s == part], 1.5) for part in ("tr", "vl")))
+    assert len(got) < 600
+
+
 def sequential_temporal(times, k):
     """Indices that train: sort, cut at k, move the tie group to the side that holds more of it."""
     times = sorted(times)
@@ -155,9 +206,7 @@ def multi(spark, n=600):
     return spark.createDataFrame(rows, "id int, labels array<string>"), dict(rows)
 
 
-@pytest.mark.parametrize("shard_rows", [1_000_000, 10])
-def test_label_cap_leaves_no_candidate(spark, monkeypatch, shard_rows):
-    monkeypatch.setattr(balance, "SHARD_ROWS", shard_rows)
+def test_label_cap_leaves_no_candidate(spark):
     df, rows = multi(spark)
     before = Counter(x for ls in rows.values() for x in ls)
     cap = int(2 * min(before.values()))
