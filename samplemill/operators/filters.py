@@ -207,14 +207,19 @@ def with_prefix(df: DataFrame, id_col: str, length: int, prefix: str) -> DataFra
 
 
 def attach_archive(df: DataFrame, id_col: str, archives: DataFrame, length: int, check: bool = False) -> DataFrame:
-    """Find the archive whose stem is the id prefix; with ``check`` a sample without one is an error."""
+    """Find the archive whose stem is the id prefix; with ``check`` a sample without one is an error of the job."""
     keyed = df.withColumn("_prefix", id_prefix(id_col, length))
     stems = archives.select("archive", F.regexp_replace(F.substring_index("archive", "/", -1), r"\.[^.]*$", "").alias("_prefix"))
-    if check:
-        lost = keyed.select("_prefix").distinct().join(stems, "_prefix", "left_anti").count()
-        if lost:
-            raise ValueError(f"{lost} id prefixes have no archive")
-    return keyed.join(stems, "_prefix").drop("_prefix")
+    if not check:
+        return keyed.join(stems, "_prefix").drop("_prefix")
+    joined = keyed.join(stems, "_prefix", "left").drop("_prefix")
+    return demanded(joined, id_col, "archive", "an id prefix has no archive", keep=True)
+
+
+def demanded(joined: DataFrame, key: str, found: str, message: str, keep: bool = False) -> DataFrame:
+    """Result of a left join in which every row must have a partner: a row without ``found`` ends the job."""
+    sure = F.when(F.col(found).isNull(), F.raise_error(F.lit(message))).otherwise(F.col(key))
+    return joined.withColumn(key, sure) if keep else joined.withColumn(key, sure).drop(found)
 
 
 def sample_meta(content: Column | str, limit: int) -> list[Column]:

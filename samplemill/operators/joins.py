@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from samplemill.operators.filters import with_view_prefix
+from samplemill.operators.filters import demanded, with_view_prefix
 
 
 def with_labels(files: DataFrame, labels: DataFrame, key: str) -> DataFrame:
@@ -85,12 +85,11 @@ def view_mismatches(views: dict[str, DataFrame], name: str, label: str) -> DataF
 
 
 def with_features(split: DataFrame, features: DataFrame, key: str, check: bool = True) -> DataFrame:
-    """Attach feature vectors; with ``check`` a sample without features is an error."""
-    if check:
-        lost = split.join(features.select(key), key, "left_anti").count()
-        if lost:
-            raise ValueError(f"{lost} samples have no features")
-    return split.join(features, key)
+    """Attach feature vectors; with ``check`` a sample without features is an error of the job."""
+    if not check:
+        return split.join(features, key)
+    joined = split.join(features.withColumn("_found", F.lit(True)), key, "left")
+    return demanded(joined, key, "_found", "a sample has no features")
 
 
 def with_options(df: DataFrame, options: dict[str, Sequence]) -> DataFrame:

@@ -93,18 +93,17 @@ def single_label_report(df: DataFrame, label: str = "label", pred: str = "pred",
     )
 
 
-def _score_counts(df: DataFrame, score: str, truth: Column, by: Sequence[str]) -> DataFrame:
-    counts = df.groupBy(*by, score).agg(
-        F.count_if(truth).alias("_pos"), F.count_if(~truth).alias("_neg")
-    )
-    return running_totals(
-        counts, score, {"_pos": "_pos_lt", "_neg": "_neg_lt"}, by, totals={"_pos": "_p", "_neg": "_n"}
-    )
-
-
 def ranking_scores(df: DataFrame, score: str, truth: Column, by: Sequence[str] = ()) -> DataFrame:
     """``roc`` (rank-sum area, NaN with one class only) and ``avp`` (step-wise average precision)."""
-    placed = _score_counts(df, score, truth, by)
+    counts = df.groupBy(*by, score).agg(F.count_if(truth).alias("_pos"), F.count_if(~truth).alias("_neg"))
+    return ranking_of_counts(counts, score, by)
+
+
+def ranking_of_counts(counts: DataFrame, score: str, by: Sequence[str] = ()) -> DataFrame:
+    """The same from ``_pos`` and ``_neg``, the rows of each class per distinct score."""
+    placed = running_totals(
+        counts, score, {"_pos": "_pos_lt", "_neg": "_neg_lt"}, by, totals={"_pos": "_p", "_neg": "_n"}
+    )
     pos, neg = F.col("_pos"), F.col("_neg")
     # Products of counts leave the range of long integers long before the counts do.
     wins = F.sum(pos.cast("double") * (F.col("_neg_lt") + neg / 2))

@@ -40,7 +40,7 @@ def imbalance(df: DataFrame, label: str, split: str | None = None) -> DataFrame:
 
 
 def split_summary(df: DataFrame, positive: Column, split: str = "split") -> DataFrame:
-    """Counts per split, share of the total and share of the positive class, in percent (half-even)."""
+    """Counts per split, share of the total and share of the positive class, in percent (half-even; NaN of nothing)."""
     aggs = [F.count(F.lit(1)).alias("n_to"), F.count_if(positive).alias("p_to")]
     for s in SPLITS:
         here = F.col(split) == s
@@ -48,7 +48,7 @@ def split_summary(df: DataFrame, positive: Column, split: str = "split") -> Data
     out = df.agg(*aggs)
 
     def percent(x: Column, n: Column) -> Column:
-        return F.when(n > 0, F.bround(F.lit(100.0) * x / n, 0))
+        return F.when(n > 0, F.bround(F.lit(100.0) * x / n, 0)).otherwise(F.lit(float("nan")))
 
     return out.select(
         "n_to",

@@ -10,6 +10,7 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 from dataclasses import dataclass, field
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -22,6 +23,7 @@ from samplemill.plans.staged import exploded
 MARK = "\x01"
 ROUNDS_PER_CUT = 16
 PAIRS_PER_ROUND = 256
+POOL = 4096
 CACHED_WORDS = 1_000_000
 
 
@@ -77,28 +79,35 @@ class Merges:
         self.ids = {t: i for i, t in enumerate(self.tokens)}
 
 
+class Pair(NamedTuple):
+    a: str
+    b: str
+    n: int
+
+
 def _joined(left: str, right: str, prefix: str) -> str:
     return left + (right.removeprefix(prefix) if prefix else right)
 
 
-def _independent(pairs: Sequence, prefix: str, known: set[str]) -> list[tuple[str, str]]:
+def _independent(pairs: Sequence[Pair], prefix: str, known: set[str], floor: int) -> list[tuple[str, str]]:
     """The leading pairs of a sorted list that one-by-one merging would take in the same order.
 
     A merge changes only pairs that share a symbol with it, and a pair it creates is at most
     as frequent as one of those. So pairs may be merged together down to the first pair that
-    shares a symbol with an earlier one, as long as they are strictly more frequent.
+    shares a symbol with an earlier one, as long as they are strictly more frequent than it and
+    than ``floor``, the most that a pair outside the list may have.
     """
-    taken: list = []
+    taken: list[Pair] = []
     touched: set[str] = set()
-    barrier = pairs[-1].n if len(pairs) >= PAIRS_PER_ROUND else 0
+    barrier = floor
     for row in pairs:
         token = _joined(row.a, row.b, prefix)
         if touched & {row.a, row.b}:
-            barrier = row.n
+            barrier = max(barrier, row.n)
             break
         taken.append(row)
         if row.a == row.b or token in known:
-            barrier = row.n
+            barrier = max(barrier, row.n)
             break
         touched |= {row.a, row.b, token}
     return [(r.a, r.b) for i, r in enumerate(taken) if i == 0 or r.n > barrier]
@@ -127,6 +136,32 @@ def _summed(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy("a", "b").agg(F.sum("n").alias("n")).where("n > 0")
 
 
+class _Pool:
+    """The most frequent pairs with their exact counts; all other pairs have ``floor`` at most."""
+
+    def __init__(self, words: DataFrame, prefix: str, max_length: int | None):
+        self.prefix, self.max_length = prefix, max_length
+        counted = _summed(_pairs(words))
+        if max_length is not None:
+            counted = counted.where(F.length("a") + F.length("b") - len(prefix) <= max_length)
+        rows = counted.orderBy(F.desc("n"), "a", "b").limit(POOL + 1).collect()
+        self.floor = rows[POOL].n if len(rows) > POOL else 0
+        self.counts = {(r.a, r.b): r.n for r in rows[:POOL]}
+
+    def best(self) -> list[Pair]:
+        """Pairs that are certainly the most frequent ones, in merge order; none if the words must be counted anew."""
+        pairs = [Pair(a, b, n) for (a, b), n in self.counts.items() if n > self.floor]
+        return sorted(pairs, key=lambda p: (-p.n, p.a, p.b))[:PAIRS_PER_ROUND]
+
+    def apply(self, changes: Sequence) -> None:
+        """Count changes of a round. A pair with a new token has all its occurrences among them."""
+        for a, b, n in changes:
+            if (a, b) in self.counts:
+                self.counts[a, b] += n
+            elif n > self.floor and (self.max_length is None or len(a) + len(b) - len(self.prefix) <= self.max_length):
+                self.counts[a, b] = n
+
+
 def train_merges(
     counts: DataFrame,
     size: int,
@@ -136,10 +171,11 @@ def train_merges(
 ) -> Merges:
     """Byte-pair vocabulary of ``size`` entries beyond the specials, from ``(word, n)``.
 
-    The pairs of all words are counted once. Every round merges the most frequent pair, ties
-    by text, together with all following pairs that do not interact with it, and then counts
-    pairs only in the words that changed, before and after. With ``prefix`` symbols inside a
-    word carry a continuation mark.
+    The pairs of all words are counted once, and the ``POOL`` most frequent ones kept. Every round merges the most
+    frequent pair, ties by text, together with all following pairs that do not interact with it, and counts pairs
+    only in the words that changed, before and after. Pairs outside the pool can only become rarer, so all is counted
+    again no sooner than the best pair is as rare as those may be. With ``prefix`` symbols inside a word carry a
+    continuation mark. The driver holds the pool and per round the changes, which the vocabulary bounds.
     """
     symbols = F.regexp_extract_all("word", F.lit("(?s)."), F.lit(0))
     if prefix:
@@ -154,20 +190,23 @@ def train_merges(
     tokens = [*specials, *sorted(alphabet)]
     merges: list[tuple[str, str]] = []
     known = set(tokens)
-    pairs = cut(_summed(_pairs(words)), "pairs")
+    pool = _Pool(words, prefix, max_length)
     old_words: list[DataFrame] = []
     rounds = 0
     while len(tokens) < size + len(specials):
-        best = pairs
-        if max_length is not None:
-            best = best.where(F.length("a") + F.length("b") - len(prefix) <= max_length)
-        top = best.orderBy(F.desc("n"), "a", "b").limit(PAIRS_PER_ROUND).collect()
+        top = pool.best()
+        if not top and pool.floor:
+            pool = _Pool(words, prefix, max_length)
+            top = pool.best() or [Pair(a, b, n) for (a, b), n in pool.counts.items()][:1]
         if not top:
             break
-        chosen = _independent(top, prefix, known)[: size + len(specials) - len(tokens)]
+        floor = top[-1].n if len(top) == PAIRS_PER_ROUND else pool.floor
+        chosen = _independent(top, prefix, known, floor)[: size + len(specials) - len(tokens)]
+        repeated = False
         for a, b in chosen:
             merges.append((a, b))
             token = _joined(a, b, prefix)
+            repeated |= token in known
             if token not in known:
                 known.add(token)
                 tokens.append(token)
@@ -175,9 +214,10 @@ def train_merges(
         for a, b in chosen:
             touched = touched | F.col("w").contains(f"{MARK}{a}{MARK}{b}{MARK}")
         merged = _merge(F.col("w"), chosen, prefix)
-        sides = F.array(F.struct(merged.alias("w"), "n"), F.struct("w", (-F.col("n")).alias("n")))
-        changed = words.where(touched).select(F.explode(sides).alias("x")).select("x.w", "x.n")
-        pairs = cut(_summed(pairs.unionByName(_pairs(changed))), "pairs")
+        if not repeated:
+            sides = F.array(F.struct(merged.alias("w"), "n"), F.struct("w", (-F.col("n")).alias("n")))
+            changed = words.where(touched).select(F.explode(sides).alias("x")).select("x.w", "x.n")
+            pool.apply(_pairs(changed).groupBy("a", "b").agg(F.sum("n").alias("n")).where("n <> 0").collect())
         # Counting has filled the words it read; the table those were made of can go.
         while len(old_words) > 1:
             old_words.pop(0).unpersist()
@@ -188,6 +228,9 @@ def train_merges(
             old_words.append(words)
         else:
             words = cut(words, "words")
+        if repeated:
+            # A second way to spell an old token adds to pairs that may lie outside the pool.
+            pool = _Pool(words, prefix, max_length)
     for df in old_words:
         df.unpersist()
     return Merges(tokens, merges, prefix)

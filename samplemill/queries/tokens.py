@@ -108,11 +108,13 @@ def tok8_continuation_merges(spark, sf):
 @query()
 def tok9_length_sweep(spark, sf):
     """Sequence lengths of the documents under three tokenisers."""
-    docs, _ = encoded(spark, sf)
-    docs = docs.withColumnRenamed("input_ids", "words_ids")
+    vocabulary = cut(tokenizer.word_vocabulary(alphabet_counts(spark, sf), 500), "vocabulary")
+    split = F.filter(F.split(F.lower("text"), r"\s+"), lambda w: w != "")
+    docs = texts(spark, sf, "text").withColumn("words", split)
+    docs = tokenizer.encode_words(docs, "words", vocabulary, "word_ids")
     docs = tokenizer.encode_merges(docs, "words", trained(spark, sf), "merge_ids")
-    raw = texts(spark, sf, "doc_id", "text").select("doc_id", tk.byte_ids("text").alias("byte_ids"))
-    return tokenizer.length_sweep(docs.join(raw, "doc_id"), {"words": "words_ids", "merges": "merge_ids", "bytes": "byte_ids"})
+    docs = docs.withColumn("byte_ids", tk.byte_ids("text"))
+    return tokenizer.length_sweep(docs, {"words": "word_ids", "merges": "merge_ids", "bytes": "byte_ids"})
 
 
 @query(f"""WITH {ENCODED}, n AS (SELECT doc_id, count(*) AS n FROM i GROUP BY doc_id)
@@ -149,12 +151,10 @@ HEXIDS = """b AS (SELECT doc_id, regexp_extract_all(hex(encode(text)), '..') AS
     CAST(list_sum(list_transform(ids, lambda x, i: CAST(x AS BIGINT) * i)) AS BIGINT) AS weighted FROM v""")
 def sc11_byte_ids(spark, sf):
     """Integers of three widths, compared by number, sum and position-weighted sum."""
-    docs = texts(spark, sf, "doc_id", "text")
+    widths = (8, 12, 16)
     zero = F.lit(0).cast("bigint")
-    parts = None
-    for bits in (8, 12, 16):
-        ids = docs.select("doc_id", F.lit(bits).alias("bits"), tk.byte_ids("text", bits).alias("ids"))
-        parts = ids if parts is None else parts.unionByName(ids)
+    found = texts(spark, sf, "doc_id", "text").select("doc_id", F.posexplode(tk.byte_ids_of_widths("text", widths)).alias("_w", "ids"))
+    parts = found.withColumn("bits", F.element_at(F.array(*[F.lit(w) for w in widths]), F.col("_w") + 1))
     weighted = F.zip_with("ids", F.sequence(F.lit(1), F.size("ids")), lambda x, i: x.cast("bigint") * i)
     return parts.select(
         "doc_id", "bits", F.size("ids").alias("n"), F.aggregate("ids", zero, lambda acc, x: acc + x).alias("total"),

@@ -312,3 +312,28 @@ def test_zip_blobs_round_trip(spark):
     first = blobs.first()
     assert len(zipfile.ZipFile(io.BytesIO(first.content)).namelist()) <= 20
     assert archives.expand_archives(blobs).select("name").distinct().count() == 150
+
+
+def test_rank_scores_of_billions_of_rows(spark):
+    from samplemill.operators import metrics
+
+    counts = spark.createDataFrame([(0.1, 0, 4 * 10**9), (0.5, 10**9, 10**9), (0.9, 4 * 10**9, 0)], "s double, _pos bigint, _neg bigint")
+    got = metrics.ranking_of_counts(counts, "s").first()
+    # Ties count one half: (4 * 5 + 1 * 4 + 1 * 0.5) / 25.
+    assert got.roc == pytest.approx(0.98)
+
+
+def test_missing_partners_end_the_job(spark):
+    from samplemill.operators import filters, joins
+
+    ids = spark.createDataFrame([("aa",), ("bb",)], "id string")
+    features = spark.createDataFrame([("aa", 1)], "id string, v int")
+    with pytest.raises(Exception, match="no features"):
+        joins.with_features(ids, features, "id").collect()
+    assert joins.with_features(ids, features, "id", check=False).count() == 1
+    whole = joins.with_features(ids.where("id = 'aa'"), features, "id")
+    assert whole.columns == ["id", "v"] and whole.collect()[0].v == 1
+    archives = spark.createDataFrame([("x/a.zip",)], "archive string")
+    with pytest.raises(Exception, match="no archive"):
+        filters.attach_archive(ids, "id", archives, 1, check=True).collect()
+    assert filters.attach_archive(ids, "id", archives, 1).count() == 1

@@ -6,8 +6,6 @@ from oracle import compare, duck
 from samplemill.queries import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
-# Vocabulary training is checked on a small corpus in test_tokens.py.
-SLOW = {"tok6_train_merges", "tok7_apply_merges", "tok8_continuation_merges", "tok9_length_sweep"}
 
 
 @pytest.fixture(scope="module")
@@ -21,7 +19,7 @@ def test_matches_sql(spark, con, name):
     assert problem is None
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES) - SLOW))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
 def test_runs_without_sql(spark, con, name):
     got, _ = compare(spark, con, SF, QUERIES[name], None)
     assert got

@@ -60,17 +60,23 @@ def test_training_equals_sequential_merging(spark, prefix, max_length):
 
 
 def test_independent_pairs_stop_at_shared_symbols():
-    Row = tuple
-
-    class Pair(Row):
-        a, b, n = (property(lambda s, i=i: s[i]) for i in range(3))
-
-    listed = [Pair(("t", "h", 9)), Pair(("e", "r", 8)), Pair(("h", "e", 8)), Pair(("x", "y", 7))]
-    assert tokenizer._independent(listed, "", set()) == [("t", "h")]
-    listed[2] = Pair(("h", "e", 7))
-    assert tokenizer._independent(listed, "", set()) == [("t", "h"), ("e", "r")]
-    assert tokenizer._independent([Pair(("a", "a", 5)), Pair(("x", "y", 4))], "", set()) == [("a", "a")]
-    assert tokenizer._independent([Pair(("a", "b", 5)), Pair(("x", "y", 4))], "", {"ab"}) == [("a", "b")]
+    P = tokenizer.Pair
+    listed = [P("t", "h", 9), P("e", "r", 8), P("h", "e", 8), P("x", "y", 7)]
+    assert tokenizer._independent(listed, "", set(), 0) == [("t", "h")]
+    listed[2] = P("h", "e", 7)
+    assert tokenizer._independent(listed, "", set(), 0) == [("t", "h"), ("e", "r")]
+    assert tokenizer._independent([P("a", "a", 5), P("x", "y", 4)], "", set(), 0) == [("a", "a")]
+    assert tokenizer._independent([P("a", "b", 5), P("x", "y", 4)], "", {"ab"}, 0) == [("a", "b")]
+    assert tokenizer._independent([P("a", "b", 5), P("x", "y", 4)], "", set(), 4) == [("a", "b")]
+
+
+@pytest.mark.parametrize("pool", [1, 3, 10])
+def test_a_small_pool_is_filled_again(spark, monkeypatch, pool):
+    monkeypatch.setattr(tokenizer, "POOL", pool)
+    df = spark.createDataFrame([(CORPUS,)], "words array<string>")
+    size = len({c for w in CORPUS for c in w}) + 12
+    model = tokenizer.train_merges(tokenizer.word_counts(df, "words"), size)
+    assert model.merges == sequential(CORPUS, size, None, "")[1]
 
 
 def test_word_vocabulary_and_unknown_words(spark):
