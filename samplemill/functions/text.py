@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import unicodedata
 
 import pandas as pd
@@ -109,18 +111,36 @@ def printable_bytes(content: Column | str) -> Column:
     return F.replace(F.translate(latin1(content), source, target), F.lit("\x00"), F.lit(chr(OFFSET)))
 
 
-@F.pandas_udf(T.StringType())
-def capitalize_hex(texts: pd.Series) -> pd.Series:
-    """Upper-case the digits after ``0x`` and the name after ``fun_`` up to ``(``.
-
-    Lower-case input is expected, as the listing writer gives it.
-    """
-    # Hex runs end at the first character that is not alphanumeric; function names end at "(".
-    pattern = r"0x[^\W_]*|fun_[^(]*"
+#: What may change how the following characters are written.
+MARKS = re.compile(r"0x|fun_|[\W_]")
+
+
+def _raised(text: str) -> str:
+    """Two switches: ``0x`` turns the hex one on until a character that is no letter or digit, ``fun_`` the name one
+    until a ``(`` that does not already end a hex run. Characters after either are upper case; marks are not."""
+    out, at, in_hex, in_name = [], 0, False, False
+    for mark in MARKS.finditer(text):
+        piece, found = text[at : mark.start()], mark.group()
+        at = mark.end()
+        if found == "fun_":
+            piece, found = piece + "fun", "_"
+        out.append(piece.upper() if in_hex or in_name else piece)
+        if mark.group() == "0x":
+            in_hex = True
+        elif mark.group() == "fun_":
+            in_name = True
+        elif in_hex:
+            in_hex = False
+        elif found == "(":
+            in_name = False
+        elif in_name:
+            found = found.upper()
+        out.append(found)
+    out.append(text[at:].upper() if in_hex or in_name else text[at:])
+    return "".join(out)
 
-    def raise_case(match) -> str:
-        word = match.group(0)
-        head = 2 if word.startswith("0x") else 4
-        return (word[:head] + word[head:].upper()).replace("0X", "0x")
 
-    return texts.str.replace(pattern, raise_case, regex=True)
+@F.pandas_udf(T.StringType())
+def capitalize_hex(texts: pd.Series) -> pd.Series:
+    """Upper-case the digits after ``0x`` and the name after ``fun_`` up to ``(``."""
+    return texts.map(_raised, na_action="ignore")

@@ -71,3 +71,13 @@ def section_bounds(sections: DataFrame, file: str = "file") -> DataFrame:
     return files.join(found, file, "left").select(
         file, F.coalesce(F.col("bounds").cast("array<struct<lo:bigint,hi:bigint>>"), none).alias("bounds"), code.alias("code")
     )
+
+
+def section_content(df: DataFrame, content: str = "content", bounds: str = "bounds", out: str = "code_bytes") -> DataFrame:
+    """Add the bytes within the kept bounds, one region after the other; NULL content gives NULL, no bounds no bytes."""
+
+    parts = F.transform(
+        bounds, lambda b: F.substring(F.col(content), b["lo"].cast("int") + 1, (b["hi"] - b["lo"]).cast("int"))
+    )
+    empty = F.substring(F.col(content), F.lit(1), F.lit(0))
+    return df.withColumn(out, F.aggregate(parts, empty, lambda acc, p: F.concat(acc, p)))

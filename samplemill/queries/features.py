@@ -23,7 +23,12 @@ def fe1_byte_histogram(spark, sf):
     return flat.select("doc_id", "byte", F.col("z.h").alias("n"), F.round("z.s", 9).alias("share")).where("n > 0")
 
 
-@query()
+@query("""WITH b AS (SELECT doc_id, hex(encode(text)) AS h, strlen(text) AS len FROM documents),
+  s AS (SELECT doc_id, h, unnest(range(0, greatest(len - 2048, 0) + 1, 1024)) AS st FROM b),
+  w AS (SELECT doc_id, st, unnest(regexp_extract_all(substr(h, 2 * st + 1, 4096), '..')) AS x FROM s),
+  n AS (SELECT doc_id, st, substr(x, 1, 1) AS nibble, count(*) AS c FROM w GROUP BY ALL),
+  e AS (SELECT doc_id, st, least(15, CAST(floor(-4 * sum(c / 2048 * log2(c / 2048))) AS BIGINT)) AS entropy_bin FROM n GROUP BY ALL)
+  SELECT doc_id, entropy_bin, CAST(('0x' || nibble)::BIGINT AS INT) AS nibble, CAST(sum(c) AS BIGINT) AS n FROM n JOIN e USING (doc_id, st) GROUP BY ALL""")
 def fe2_byte_entropy_histogram(spark, sf):
     rows = content(spark, sf).select("doc_id", features.byte_entropy_histogram("content").alias("h"))
     flat = rows.select("doc_id", F.posexplode_outer("h").alias("cell", "n")).where("n > 0")

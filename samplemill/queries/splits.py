@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from samplemill.functions.tokens import chunk_index
 from samplemill.operators import balance, dedup, splits, stats
 from samplemill.operators.blocks import packed_blocks
 from samplemill.operators.filters import first_of
-from samplemill.operators.sections import clamped_sections, section_bounds
+from samplemill.operators.sections import clamped_sections, section_bounds, section_content
 from samplemill.plans import recipes
 from samplemill.queries.inputs import (
     DOC_LABELS,
@@ -350,6 +351,22 @@ def w21_section_bounds(spark, sf):
     return bounds.select("file", joined(text).alias("bounds"), "code")
 
 
+@query("""WITH w AS (SELECT doc_id, hex(encode(text)) AS h, strlen(text) AS n, unnest(range(1, 4)) AS ord FROM documents),
+  b AS (SELECT doc_id, h, ord, n * (ord - 1) // 3 AS lo, n * (ord - 1) // 3 + least(n * ord // 3 - n * (ord - 1) // 3, 200 * ord) AS hi FROM w WHERE ord <> 2)
+  SELECT doc_id, CAST(sum(hi - lo) AS BIGINT) AS n_bytes, md5(string_agg(substr(h, 2 * lo + 1, 2 * (hi - lo)), '' ORDER BY ord)) AS digest FROM b GROUP BY doc_id""")
+def w21_section_content(spark, sf):
+    """The first and the last third of a document as executable regions, cut out of its bytes."""
+    docs = table(spark, sf, "documents").select("doc_id", F.col("text").cast("binary").alias("content"))
+    n = F.octet_length("content").cast("bigint")
+
+    def region(ord_: int) -> Column:
+        low, high = F.floor(n * (ord_ - 1) / 3), F.floor(n * ord_ / 3)
+        return F.struct(low.cast("bigint").alias("lo"), (low + F.least(high - low, F.lit(200 * ord_))).cast("bigint").alias("hi"))
+
+    cut_out = section_content(docs.withColumn("bounds", F.array(region(1), region(3))))
+    return cut_out.select("doc_id", F.octet_length("code_bytes").cast("bigint").alias("n_bytes"), F.md5(F.hex("code_bytes")).alias("digest"))
+
+
 @query(f"""WITH c AS (SELECT source AS label, count(*) AS n FROM documents GROUP BY source HAVING count(*) > 1),
   q AS (SELECT label, n, least(greatest(1, floor(n * CAST(0.8 AS DOUBLE))), n - 1) AS a FROM c),
   r AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY {h('doc_id')}, doc_id) AS rn FROM documents)

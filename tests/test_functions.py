@@ -144,6 +144,8 @@ def test_capitalize_hex(spark):
     rng = random.Random(2)
     lines = ["mov eax,0x1fab", "call fun_00ab12cd(eax)", "0x10xff 0xz-a"]
     lines += [" ".join(rng.choice(["add", "0xab1c", "fun_00ff(", "ff", "[0x1f+ebx]"]) for _ in range(12)) for _ in range(20)]
+    parts = ["fun_", "0x", "ab", "(", "mov", "_", "fun", "x", "0", " ", "é", "f", "1F", ")"]
+    lines += ["".join(rng.choices(parts, k=rng.randint(1, 14))) for _ in range(3000)]
     df = spark.createDataFrame([(x,) for x in lines], "t string")
     assert [r.x for r in df.select(text.capitalize_hex("t").alias("x")).collect()] == [capitalized(x) for x in lines]
 
