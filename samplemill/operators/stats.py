@@ -94,10 +94,13 @@ def unigram_probabilities(
 ) -> DataFrame:
     """Probability of every vocabulary id; specials are left out, unseen ids get 0.
 
-    ``first`` limits the count to the first samples by id. The total is taken over the
-    vocabulary-sized count table.
+    ``first`` limits the count to the first samples by id: only ids are sorted, and the last of them
+    is what their token arrays are compared with. The total is taken over the vocabulary-sized count table.
     """
-    source = df if first is None else df.orderBy(id_col).limit(first)
+    source = df
+    if first is not None:
+        last = df.select(id_col).orderBy(id_col).limit(first).agg(F.max(id_col)).first()[0]
+        source = df.where(F.col(id_col) <= F.lit(last))
     tokens = exploded(source, ids, "token_id")
     counts = tokens.groupBy("token_id").agg(F.count(F.lit(1)).alias("n"))
     table = vocabulary.where(~F.col("token_id").isin(*specials)).join(counts, "token_id", "left")

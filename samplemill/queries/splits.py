@@ -74,6 +74,48 @@ def e1_biased_corpus(spark, sf):
     return corpus.select("doc_id", "polarity", "split")
 
 
+UNIQUE_UNKNOWN = UNIQUE.replace(
+    "JOIN ranges r USING (ds_ord) WHERE",
+    "JOIN ranges r USING (ds_ord) LEFT JOIN labels l ON l.doc_id = s.doc_id WHERE l.quality IS NULL AND s.n_chars BETWEEN 200 AND 20000 AND",
+)
+
+
+def packed_flags(spark, sf):
+    return table(spark, sf, "labels").select("doc_id", (F.col("quality") == 1).alias("is_packed"))
+
+
+@query(f"""WITH {UNIQUE_UNKNOWN},
+  top AS (SELECT lang, count(*) AS n FROM uniq GROUP BY lang ORDER BY n DESC, lang LIMIT 3),
+  frequent AS (SELECT * FROM uniq WHERE lang IN (SELECT lang FROM top WHERE n >= 4)),
+  c AS (SELECT lang, count(*) AS n FROM frequent GROUP BY lang),
+  r AS (SELECT f.doc_id, f.lang, f.ts, c.n, row_number() OVER (PARTITION BY f.lang ORDER BY f.ts, {h('f.doc_id')}, f.doc_id) AS place FROM frequent f JOIN c USING (lang)),
+  src AS (SELECT doc_id, lang, ts FROM r WHERE place > n - floor(2.0 * (SELECT min(n) FROM c))), {temporal_sql('src', 'ts', 0.7)},
+  ids AS (SELECT lang, CAST(row_number() OVER (ORDER BY count(*) DESC, lang) - 1 AS INT) AS label_id FROM src GROUP BY lang)
+  SELECT doc_id, lang, label_id, CASE WHEN ts < (SELECT t FROM cutoff) THEN 'tr' ELSE 'vl' END AS split FROM src JOIN ids USING (lang)""")
+def e1_full_corpus(spark, sf):
+    """Time, packing state, size, copies, class frequency, class cap, temporal split, label ids."""
+    corpus = recipes.detection_corpus(
+        samples(spark, sf), ranges(spark, sf), packed=packed_flags(spark, sf), packing="unk", sizes_from_to=(200, 20000),
+        top_k=3, min_freq=4, cap=2.0, sizes=(0.7, 0.3, 0.0), ids=True,
+    )
+    return corpus.select("doc_id", "lang", "label_id", "split")
+
+
+def rebalanced(part: str) -> str:
+    """``BIASED`` over one split."""
+    return BIASED.replace("targets", f"targets_{part}").replace("biased", f"biased_{part}").replace("base", f"base_{part}")
+
+
+@query(f"""WITH {UNIQUE}, src AS (SELECT * FROM uniq), {temporal_sql('src', 'ts', 0.75)},
+  sp AS (SELECT doc_id, polarity, CASE WHEN ts < (SELECT t FROM cutoff) THEN 'tr' ELSE 'vl' END AS split FROM src),
+  base_tr AS (SELECT * FROM sp WHERE split = 'tr'), {rebalanced('tr')}, base_vl AS (SELECT * FROM sp WHERE split = 'vl'), {rebalanced('vl')}
+  SELECT doc_id, polarity, 'tr' AS split FROM biased_tr UNION ALL SELECT doc_id, polarity, 'vl' FROM biased_vl""")
+def e1_rebalanced_corpus(spark, sf):
+    """The class ratio is restored within every split."""
+    corpus = recipes.detection_corpus(samples(spark, sf), ranges(spark, sf), sizes=(0.75, 0.25, 0.0), ratio_after=0.3)
+    return corpus.select("doc_id", "polarity", "split")
+
+
 GUARANTEED_TAIL = """classes AS (SELECT count(DISTINCT label) AS c FROM base),
   total AS (SELECT count(*) AS n FROM base),
   sz AS (SELECT floor(n * CAST({a} AS DOUBLE)) AS tr, floor(n * CAST({b} AS DOUBLE)) AS vl, n FROM total),
@@ -367,6 +409,21 @@ def w21_section_content(spark, sf):
     return cut_out.select("doc_id", F.octet_length("code_bytes").cast("bigint").alias("n_bytes"), F.md5(F.hex("code_bytes")).alias("digest"))
 
 
+@query(f"""WITH {DOC_LABELS}, d AS (SELECT min(doc_id) AS doc_id FROM documents GROUP BY md5(text)),
+  f AS (SELECT flat.* FROM flat JOIN d USING (doc_id)),
+  top AS (SELECT label, count(*) AS n FROM f GROUP BY label ORDER BY n DESC, label LIMIT 6),
+  k AS (SELECT f.* FROM f JOIN top USING (label) WHERE top.n >= 5)
+  SELECT label, CAST(count(*) AS BIGINT) AS n, TRUE AS in_all FROM k GROUP BY label""")
+def e2_multi_label_corpus(spark, sf):
+    """Files without copies and rare labels, and whether every label is in every split as often as it can be sure to be."""
+    digests = table(spark, sf, "documents").select("doc_id", F.md5("text").alias("digest"))
+    corpus = recipes.multi_label_corpus(digests.join(doc_labels(spark, sf), "doc_id"), 6, 5, per_label=2)
+    wide = stats.distribution_table(corpus.select("split", F.explode("labels").alias("label")), "label")
+    # Six labels may claim two rows each for each of three splits.
+    sure = (F.col("n_all") < 36) | (F.least("n_tr", "n_vl", "n_ts") >= 2)
+    return wide.select("label", F.col("n_all").alias("n"), sure.alias("in_all"))
+
+
 @query(f"""WITH c AS (SELECT source AS label, count(*) AS n FROM documents GROUP BY source HAVING count(*) > 1),
   q AS (SELECT label, n, least(greatest(1, floor(n * CAST(0.8 AS DOUBLE))), n - 1) AS a FROM c),
   r AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY {h('doc_id')}, doc_id) AS rn FROM documents)

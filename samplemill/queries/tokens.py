@@ -133,6 +133,17 @@ def ag12_unigram_probabilities(spark, sf):
     return probs.select("token_id", "n", F.round("p", 9).alias("p"))
 
 
+@query(f"""WITH {ENCODED}, few AS (SELECT doc_id FROM documents ORDER BY doc_id LIMIT 50),
+  n AS (SELECT token_id, count(*) AS n FROM i WHERE token_id > 6 AND doc_id IN (SELECT doc_id FROM few) GROUP BY token_id)
+  SELECT v.token_id, coalesce(n.n, 0) AS n, round(coalesce(n.n, 0) / (SELECT sum(n) FROM n), 9) AS p FROM v LEFT JOIN n USING (token_id) WHERE v.token_id > 6""")
+def ag12_first_samples(spark, sf):
+    """The same from the first 50 samples by id."""
+    docs, vocabulary = encoded(spark, sf)
+    special = list(range(len(tk.SPECIALS)))
+    probs = stats.unigram_probabilities(docs, "input_ids", vocabulary.select("token_id"), special, "doc_id", 50)
+    return probs.select("token_id", "n", F.round("p", 9).alias("p"))
+
+
 @query(f"WITH {WORDS}, {VOCAB} SELECT CAST(length(token) AS INT) AS length, count(*) AS n FROM v WHERE token_id > 6 GROUP BY 1")
 def ag14_token_lengths(spark, sf):
     vocabulary = tokenizer.word_vocabulary(alphabet_counts(spark, sf), 500)
