@@ -16,48 +16,64 @@ MIN_CONSTANT, MIN_CONSTANT_PERCENT = 3, 50
 FIELD = "<*>"
 
 
-def masked(line: Column) -> Column:
-    """The line with single blanks between its tokens, and a variable field for every token with a digit."""
-    plain = F.trim(F.regexp_replace(line, r"[\x20\x09\x0B-\x0D]+", " "))
-    return F.when(plain.rlike("[0-9]"), F.regexp_replace(plain, "[^ ]*[0-9][^ ]*", FIELD)).otherwise(plain)
+def masked_lines(text: Column) -> Column:
+    """The lines with single blanks between their tokens, and a variable field for every token with a digit."""
+    lines = F.split(text, "\n")
+    # Most texts have neither odd white space nor digits, and their lines need no second look.
+    single = F.when(
+        text.rlike(r"[\t\x0B\f\r]| [ \n]|\n |^ | $"),
+        F.transform(lines, lambda x: F.trim(F.regexp_replace(x, r"[\x20\t\x0B\f\r]+", " "))),
+    ).otherwise(lines)
+
+    def fields(line: Column) -> Column:
+        return F.when(line.rlike("[0-9]"), F.regexp_replace(line, "[^ ]*[0-9][^ ]*", FIELD)).otherwise(line)
+
+    return F.when(text.rlike("[0-9]"), F.transform(single, fields)).otherwise(single)
 
 
 def _leaf(line: Column, depth: int) -> list[Column]:
-    tokens = (F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit(""))) + 1).cast("int")
-    return [tokens.alias("n"), F.substring_index(line, " ", depth).alias("head")]
+    blanks = F.octet_length(line) - F.octet_length(F.replace(line, F.lit(" "), F.lit("")))
+    return [(blanks + 1).alias("n"), F.substring_index(line, " ", depth).alias("head")]
 
 
 def recurring_lines(docs: DataFrame, text_col: str = "text", depth: int = DEPTH, min_docs: int = MIN_DOCS) -> DataFrame:
     """``(digest, positions)``: which lines of the text with that MD5 digest belong to recurring templates."""
-    texts = docs.select(F.md5(F.col(text_col)).alias("digest"), F.transform(F.split(text_col, "\n"), masked).alias("lines"))
+    text = F.col(text_col)
 
-    # 1. Leaves of the tree by documents: a small table of counts and leading tokens.
-    leaves = F.array_distinct(F.transform("lines", lambda x: F.struct(*_leaf(x, depth))))
-    found = texts.select(F.explode(leaves).alias("leaf")).where("leaf.head <> ''").groupBy("leaf.n", "leaf.head")
-    leaves = cut(found.agg(F.count(F.lit(1)).alias("docs")).where(F.col("docs") >= min_docs).drop("docs"), "leaves")
+    # 1. Leaves of the tree by documents: a small table of counts and leading tokens, numbered as it is written.
+    heads = F.array_distinct(F.transform(masked_lines(text), lambda x: F.struct(*_leaf(x, depth))))
+    found = docs.select(F.explode(heads).alias("h")).where("h.head <> ''").groupBy("h.n", "h.head")
+    found = found.agg(F.count(F.lit(1)).alias("docs")).where(F.col("docs") >= min_docs)
+    leaves = cut(found.select("n", "head", F.monotonically_increasing_id().alias("leaf")), "leaves")
 
     # 2. Lines in recurring leaves. Copies of a text are one row, so `copies` is the documents that have it.
-    lines = texts.select("digest", F.posexplode("lines").alias("pos", "line")).where("line <> ''")
-    lines = lines.select("digest", "pos", "line", *_leaf(F.col("line"), depth)).join(leaves, ["n", "head"])
-    lines = cut(lines.groupBy("digest", "pos", "line", "n", "head").agg(F.count(F.lit(1)).alias("copies")), "lines")
+    lines = docs.select(F.md5(text).alias("digest"), F.posexplode(masked_lines(text)).alias("pos", "line"))
+    lines = lines.select("digest", "pos", "line", *_leaf(F.col("line"), depth)).where("head <> ''").join(leaves, ["n", "head"])
+    lines = lines.groupBy("digest", "pos", "line", "leaf").agg(F.count(F.lit(1)).alias("copies"))
+    lines = cut(lines, "lines")
+    texts = lines.groupBy("line", "leaf", "digest").agg(F.max("copies").alias("copies"))
+    distinct = texts.groupBy("line", "leaf").agg(F.sum("copies").alias("docs"))
+    distinct = cut(distinct.withColumn("id", F.monotonically_increasing_id()), "distinct-lines")
 
     # 3. Fields: in its leaf, a token stays at its place if enough documents have it there.
-    per_text = lines.groupBy("line", "n", "head", "digest").agg(F.max("copies").alias("copies"))
-    distinct = cut(per_text.groupBy("line", "n", "head").agg(F.sum("copies").alias("docs")), "distinct-lines")
-    tokens = distinct.select("line", "n", "head", "docs", F.posexplode(F.split("line", " ")).alias("at", "token"))
+    words = F.split("line", " ")
+    tokens = distinct.select("id", "leaf", "docs", F.size(words).alias("n"), F.posexplode(words).alias("at", "token"))
     tokens = tokens.where(F.col("token") != FIELD)
-    constant = tokens.groupBy("n", "head", "at", "token").agg(F.sum("docs").alias("docs"))
+    constant = tokens.groupBy("leaf", "at", "token").agg(F.sum("docs").alias("docs"))
     constant = constant.where(F.col("docs") >= min_docs).drop("docs")
-    fields = tokens.join(constant, ["n", "head", "at", "token"]).groupBy("line", "n")
+    fields = tokens.join(constant, ["leaf", "at", "token"]).groupBy("id", "leaf", "n")
     fields = fields.agg(F.sort_array(F.collect_list(F.struct("at", "token"))).alias("constants"))
     size = F.size("constants")
     fields = fields.where((size >= MIN_CONSTANT) & (100 * size >= MIN_CONSTANT_PERCENT * F.col("n")))
+    # The leaf and the constants make the template.
+    fields = cut(fields.select("id", F.md5(F.concat_ws("\n", "leaf", F.to_json("constants"))).alias("template")), "fields")
 
     # 4. Templates that enough documents have, and the lines under them.
-    known = per_text.join(fields, ["line", "n"]).groupBy("n", "constants", "digest").agg(F.max("copies").alias("copies"))
-    templates = known.groupBy("n", "constants").agg(F.sum("copies").alias("docs")).where(F.col("docs") >= min_docs)
-    recurring = cut(fields.join(templates, ["n", "constants"], "left_semi").select("line"), "recurring")
-    dropped = lines.join(recurring, "line", "left_semi")
+    named = texts.join(distinct.select("line", "id"), "line").join(fields, "id")
+    known = named.groupBy("template", "digest").agg(F.max("copies").alias("copies"))
+    templates = known.groupBy("template").agg(F.sum("copies").alias("docs")).where(F.col("docs") >= min_docs)
+    recurring = fields.join(templates, "template", "left_semi").join(distinct, "id").select("line")
+    dropped = lines.join(cut(recurring, "recurring"), "line", "left_semi")
     return cut(dropped.groupBy("digest").agg(F.collect_set("pos").alias("positions")), "dropped")
 
 
