@@ -29,11 +29,6 @@ def id_from_path(path: Column | str) -> Column:
     return F.substring_index(F.substring_index(as_column(path), "/", -1), ".", 1)
 
 
-def archive_from_path(path: Column | str) -> Column:
-    """Name of the folder or archive that holds a member."""
-    return F.element_at(F.split(as_column(path), "/"), -2)
-
-
 def with_suffix(path: Column | str, suffix: str) -> Column:
     """Append ``suffix`` where it is missing."""
     p = as_column(path)

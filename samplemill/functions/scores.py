@@ -38,12 +38,6 @@ def sigmoid(logits: Column | str) -> Column:
     return F.transform(as_column(logits), lambda x: F.lit(1.0) / (F.lit(1.0) + F.exp(-x)))
 
 
-def normalized(x: Column | str, total: Column) -> Column:
-    return as_column(x) / total
-
-
-
-
 def _scores_where(truth: Column, scores: Column, value: int) -> Column:
     zipped = F.zip_with(truth, scores, lambda t, s: F.when(t == value, s))
     return F.filter(zipped, lambda s: s.isNotNull())

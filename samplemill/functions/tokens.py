@@ -143,14 +143,3 @@ def windows(ids: Column | str, length: int, stride: int = 0) -> Column:
 def chunk_index(ids: Column | str, size: int) -> Column:
     """For each position the number of the chunk it lies in."""
     return F.transform(as_column(ids), lambda _, i: F.floor(i / size).cast("bigint"))
-
-
-def static_alphabet(bits: int = 8) -> Sequence[str]:
-    """Byte-level vocabulary without training: the specials, then one entry per unit value."""
-    if bits == 8:
-        units = [chr(i) for i in range(256)]
-    elif bits in (12, 16):
-        units = [chr(i) + chr(j) for i in range(2 ** (bits - 8)) for j in range(256)]
-    else:
-        raise ValueError(f"unsupported width: {bits}")
-    return [*SPECIALS, *units]

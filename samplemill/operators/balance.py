@@ -67,14 +67,14 @@ def oversample(df: DataFrame, id_col: str, label: str, shares: dict, seed: int =
     for value, share in shares.items():
         p = F.when(F.col(label) == F.lit(value), F.lit(float(share))).otherwise(p)
     extra = F.greatest(F.lit(0.0), F.coalesce((p * total - F.col("_n")) / (1 - p), F.lit(0.0))).cast("bigint")
-    table = counts.withColumn("_extra", extra)
-    ranked = join_null_safe(hash_rank(df, id_col, [label], seed, "_rank"), table, [label])
     every = F.floor(F.col("_extra") / F.col("_n"))
-    more = (F.col("_rank") <= F.col("_extra") - every * F.col("_n")).cast("bigint")
-    return (
-        ranked.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("bigint"), every + more)))
-        .drop("_n", "_extra", "_rank")
+    table = counts.withColumn("_extra", extra).select(
+        label, every.alias("_every"), F.array(F.col("_extra") - every * F.col("_n")).alias("cuts")
     )
+    # Only the hash buckets with the cut between the rows repeated once more and the others are ranked.
+    parts = join_null_safe(hash_cut(df, id_col, table, [label], seed, "_part"), table.drop("cuts"), [label])
+    times = F.col("_every") + (F.col("_part") == 0).cast("bigint")
+    return parts.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("bigint"), times))).drop("_every", "_part")
 
 
 def class_weights(df: DataFrame, label: str, beta: float = 0.999) -> DataFrame:

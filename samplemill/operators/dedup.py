@@ -20,16 +20,6 @@ def keep_earliest(df: DataFrame, digest: str, order: Sequence[str], by: Sequence
     return df.groupBy(*by, digest).agg(first.alias("_r")).select(*by, digest, *[F.col(f"_r.{c}") for c in rest])
 
 
-def leaking_digests(df: DataFrame, digest: str, side: str) -> DataFrame:
-    """Digests that occur on more than one side."""
-    return (
-        df.groupBy(digest)
-        .agg(F.min(side).alias("_lo"), F.max(side).alias("_hi"))
-        .where("_lo <> _hi")
-        .select(digest)
-    )
-
-
 def drop_leaks(df: DataFrame, digest: str, side: str) -> DataFrame:
     """Remove all rows whose digest occurs on more than one side."""
     clean = (

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from samplemill.functions.ids import SEED, as_column, id_prefix, shard_of
-from samplemill.plans.ordered import join_null_safe, ordered_rank
+from samplemill.plans.ordered import ordered_cut
 
 PROTOCOLS = ("any", "yes", "no", "unk")
 
@@ -61,17 +61,13 @@ def keep_frequent_labels(
 def cap_imbalance(df: DataFrame, label: str, order: str, id_col: str, ratio: float, seed: int = SEED) -> DataFrame:
     """Keep the last ``floor(ratio * smallest class)`` rows of each class in ``order``.
 
-    Classes at or below the cap pass without being ranked; the others are ranked in order
-    buckets, so that one huge class is spread over many tasks.
+    Of the classes above the cap, only rows in the order bucket that the cut goes through are ranked.
     """
     counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
     least = counts.agg(F.min("_n")).first()[0] or 0
     cap = int(ratio * least)
-    large = counts.where(F.col("_n") > cap)
-    small = df.join(large.select(label), label, "left_anti")
-    ranked = ordered_rank(df.join(large.select(label), label, "left_semi"), order, id_col, [label], seed, "_rank")
-    rest = join_null_safe(ranked, large, [label]).where(F.col("_rank") > F.col("_n") - cap).drop("_rank", "_n")
-    return small.unionByName(rest)
+    cuts = counts.select(label, F.array(F.greatest(F.lit(0).cast("bigint"), F.col("_n") - cap)).alias("cuts"))
+    return ordered_cut(df, order, id_col, cuts, [label], seed, "_part").where("_part = 1").drop("_part")
 
 
 def packing_state(df: DataFrame, packed: DataFrame, key: str) -> DataFrame:

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -49,17 +51,26 @@ def override_union(maps: Sequence[DataFrame], key: str, value: str) -> DataFrame
 
 
 def merge_views(views: dict[str, DataFrame], name: str, label: str, check: bool = False) -> DataFrame:
-    """Join the views of a sample side by side, columns prefixed by view, with one label."""
-    if check:
-        bad = view_mismatches(views, name, label).where("n_mismatch > 0").count()
-        if bad:
-            raise ValueError("the views disagree on names or labels")
+    """Join the views of a sample side by side, columns prefixed by view, with one label.
+
+    With ``check`` a name that a view lacks, or another label for it, is an error of the job.
+    """
     out: DataFrame | None = None
+    doubts = []
     for view, df in views.items():
-        kept = df if out is None else df.drop(label)
-        side = with_view_prefix(kept, view, keep=(name, label))
-        out = side if out is None else out.join(side, name)
-    return out
+        side = with_view_prefix(df if check or out is None else df.drop(label), view, keep=(name, label))
+        if check:
+            side = side.withColumn(f"_in_{view}", F.lit(True))
+            doubts.append(F.col(f"_in_{view}").isNull())
+            if out is not None:
+                side = side.withColumnRenamed(label, f"_label_{view}")
+                doubts.append(~F.col(label).eqNullSafe(F.col(f"_label_{view}")))
+        out = side if out is None else out.join(side, name, "full" if check else "inner")
+    if not check:
+        return out
+    error = F.raise_error(F.lit("the views disagree on names or labels"))
+    sure = out.withColumn(label, F.when(reduce(or_, doubts), error).otherwise(F.col(label)))
+    return sure.drop(*[f"_{kind}_{view}" for kind in ("in", "label") for view in views])
 
 
 def view_mismatches(views: dict[str, DataFrame], name: str, label: str) -> DataFrame:

@@ -14,8 +14,8 @@ from samplemill.operators.filters import first_of
 from samplemill.plans.ordered import (
     hash_cut,
     hash_rank,
-    join_null_safe,
     name_rank,
+    ordered_cut,
     ordered_rank,
     running_totals,
 )
@@ -151,13 +151,10 @@ def temporal_class_split(
     df: DataFrame, id_col: str, label: str, ts: str, ratios: Sequence[float], seed: int = SEED
 ) -> DataFrame:
     """Within each class the oldest rows train, the next validate, the newest test."""
-    quotas = class_quotas(df, label, ratios).select(label, *[F.col(s).alias(f"_q_{s}") for s in SPLITS])
-    ranked = join_null_safe(ordered_rank(df, ts, id_col, [label], seed, "_rank"), quotas, [label])
-    rank = F.col("_rank")
-    split = (
-        F.when(rank <= F.col("_q_tr"), "tr").when(rank <= F.col("_q_tr") + F.col("_q_vl"), "vl").otherwise("ts")
-    )
-    return ranked.withColumn("split", split).drop("_rank", *[f"_q_{s}" for s in SPLITS])
+    quotas = class_quotas(df, label, ratios)
+    cuts = quotas.select(label, F.array("tr", F.col("tr") + F.col("vl")).alias("cuts"))
+    parts = ordered_cut(df, ts, id_col, cuts, [label], seed, "_part")
+    return parts.withColumn("split", part_name(F.col("_part"))).drop("_part")
 
 
 def temporal_boundary(df: DataFrame, ts: str, tr_size: int) -> int | None:

@@ -20,6 +20,7 @@ from samplemill.functions.ids import SEED, sample_hash
 
 HASH_DIGITS = 3
 HOT_DIGITS = 2
+KEY_BUCKETS = ["_q", "_side", "_s"]
 #: Leading bytes of a text key that decide its bucket.
 TEXT_BYTES = 7
 
@@ -78,7 +79,28 @@ def hash_cut(
     buckets that a cut goes through are shuffled and sorted.
     """
     keyed = df.withColumn("_h", sample_hash(id_col, seed)).withColumn("_b", F.substring("_h", 1, HASH_DIGITS))
-    table = _offsets(keyed, by, ["_b"])
+    return _cut(keyed, by, ["_b"], ["_h", id_col], cuts, name).drop("_h", "_b")
+
+
+def ordered_cut(
+    df: DataFrame,
+    key: str,
+    id_col: str,
+    cuts: Sequence[int] | DataFrame,
+    by: Sequence[str] = (),
+    seed: int = SEED,
+    name: str = "part",
+    buckets: int | None = None,
+) -> DataFrame:
+    """Cut the order by ``(key, sample hash, id)`` at given positions, as ``hash_cut`` does with the hash order."""
+    keyed = _in_key_order(df, key, id_col, seed, buckets)
+    return _cut(keyed, by, KEY_BUCKETS, [key, "_h", id_col], cuts, name).drop(*KEY_BUCKETS, "_h")
+
+
+def _cut(
+    keyed: DataFrame, by: Sequence[str], buckets: Sequence[str], order: Sequence[str], cuts: Sequence[int] | DataFrame, name: str
+) -> DataFrame:
+    table = _offsets(keyed, by, buckets)
     if isinstance(cuts, DataFrame):
         table = join_null_safe(table, cuts.select(*by, F.col("cuts").alias("_cuts")), by)
     else:
@@ -90,13 +112,13 @@ def hash_cut(
     table = table.withColumn("_first", part(F.col("_lo") + 1)).withColumn("_last", part(F.col("_lo") + F.col("_n")))
     table = table.drop("_n")
     if not by:
-        # At most 16 ** HASH_DIGITS rows, however large the input is.
+        # As many rows as there are buckets, however large the input is.
         table = F.broadcast(table)
-    placed = join_null_safe(keyed, table, [*by, "_b"])
+    placed = join_null_safe(keyed, table, [*by, *buckets])
     whole = placed.where("_first = _last").withColumn(name, F.col("_first"))
-    w = Window.partitionBy(*by, "_b").orderBy("_h", id_col)
+    w = Window.partitionBy(*by, *buckets).orderBy(*order)
     divided = placed.where("_first <> _last").withColumn(name, part(F.col("_lo") + F.row_number().over(w)))
-    return whole.unionByName(divided).drop("_h", "_b", "_lo", "_cuts", "_first", "_last")
+    return whole.unionByName(divided).drop("_lo", "_cuts", "_first", "_last")
 
 
 def order_buckets(df: DataFrame) -> int:
@@ -155,16 +177,21 @@ def ordered_rank(
     buckets: int | None = None,
 ) -> DataFrame:
     """1-based rank by ``(key, sample hash, id)``, exact also when one key holds most rows."""
+    keyed = _in_key_order(df, key, id_col, seed, buckets)
+    return _rank(keyed, by, KEY_BUCKETS, [key, "_h", id_col], name).drop(*KEY_BUCKETS, "_h")
+
+
+def _in_key_order(df: DataFrame, key: str, id_col: str, seed: int, buckets: int | None) -> DataFrame:
+    """Add ``KEY_BUCKETS``, which never fall where the key rises, and the sample hash ``_h``."""
     # Rows at a bound all have that key, so that hash prefixes may divide them further; text is only compared by its
     # first bytes there, but hardly repeats.
     divisible = not isinstance(df.schema[key].dataType, (T.StringType, T.BinaryType))
     prefix = F.substring("_h", 1, HOT_DIGITS) if divisible else F.lit("")
-    keyed = (
+    return (
         quantile_bucket(df, key, quantile_bounds(df, key, buckets))
         .withColumn("_h", sample_hash(id_col, seed))
         .withColumn("_s", F.when(F.col("_side") == 1, prefix).otherwise(F.lit("")))
     )
-    return _rank(keyed, by, ["_q", "_side", "_s"], [key, "_h", id_col], name).drop("_q", "_side", "_s", "_h")
 
 
 def running_totals(

@@ -8,12 +8,9 @@ from samplemill.functions.votes import sort_votes
 from samplemill.operators import audit, balance, dedup, encoding, features, splits, stats
 from samplemill.queries.inputs import (
     DOC_LABELS,
-    ORDER_SAMPLES,
     SAMPLES,
     doc_labels,
-    epoch,
     h,
-    order_samples,
     samples,
     table,
     tagged_union,
@@ -286,6 +283,3 @@ def tk4_most_common(spark, sf):
 def sc20_label_ids_and_shares(spark, sf):
     ids = encoding.label_ids(table(spark, sf, "documents").select("source"), "source")
     return encoding.probabilities(ids, "n", 4)
-
-
-__all__ = ["ORDER_SAMPLES", "epoch", "order_samples"]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from samplemill.functions.ids import id_from_path, shard_of, with_suffix
+from samplemill.functions.ids import id_from_path, with_suffix
 from samplemill.operators import balance, filters, joins
 from samplemill.operators.dedup import majority_label
 from samplemill.plans.staged import side_by_side

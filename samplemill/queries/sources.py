@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from samplemill.functions.ids import id_prefix
 from samplemill.operators.filters import keep_ids
 from samplemill.plans.session import work_path
 from samplemill.plans.staged import side_by_side
@@ -263,6 +262,3 @@ def sc19_decoded_payloads(spark, sf):
     docs = texts(spark, sf, "doc_id", "text").select("doc_id", alg.alias("alg"), F.col("text").cast("binary").alias("content"))
     packed = docs.mapInPandas(compressed, "doc_id bigint, alg string, content binary")
     return payloads.decoded(packed, "doc_id", "content").select("id", "alg", F.md5("bytes").alias("digest"), "error")
-
-
-__all__ = ["id_prefix"]

@@ -23,7 +23,6 @@ from samplemill.queries.inputs import (
     ranges,
     samples,
     table,
-    tagged_union,
     texts,
 )
 from samplemill.queries.registry import query
@@ -449,6 +448,3 @@ def tk6_time_order(spark, sf):
     from samplemill.plans.ordered import ordered_rank
 
     return ordered_rank(order_samples(spark, sf).select("o_orderkey", "ts"), "ts", "o_orderkey")
-
-
-__all__ = ["tagged_union"]

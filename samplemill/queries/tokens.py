@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from samplemill.functions import tokens as tk
 from samplemill.operators import stats, tokenizer
 from samplemill.plans.session import cut
-from samplemill.queries.inputs import doc_labels, joined, table, tagged_union, texts
+from samplemill.queries.inputs import doc_labels, joined, table, texts
 from samplemill.queries.registry import query
 
 MERGES = 40
@@ -224,6 +224,3 @@ def sc21_template(spark, sf):
         "conv_id", "turn", joined(tk.with_template("a").cast("array<string>")).alias("single"),
         joined(tk.with_template("a", "b").cast("array<string>")).alias("pair"),
     )
-
-
-__all__ = ["tagged_union"]

@@ -155,7 +155,6 @@ def test_byte_ids(spark):
     assert one(spark, tokens.byte_ids("b", 8), b=data) == list(data)
     assert one(spark, tokens.byte_ids("b", 16), b=data[:3]) == [0x3412, 0x0056]
     assert one(spark, tokens.byte_ids("b", 12), b=data) == [0x123, 0x456, 0xFF0, 0x000]
-    assert len(tokens.static_alphabet(8)) == 263 and len(tokens.static_alphabet(12)) == 4103
 
 
 def test_input_ids_and_padding(spark):
@@ -339,3 +338,16 @@ def test_missing_partners_end_the_job(spark):
     with pytest.raises(Exception, match="no archive"):
         filters.attach_archive(ids, "id", archives, 1, check=True).collect()
     assert filters.attach_archive(ids, "id", archives, 1).count() == 1
+
+
+def test_views_that_disagree_end_the_job(spark):
+    from samplemill.operators import joins
+
+    a = spark.createDataFrame([("x", "l", 1), ("y", "m", 2)], "name string, label string, v int")
+    for rows in ([("x", "l", 3)], [("x", "l", 3), ("y", "other", 4)], [("x", "l", 3), ("y", "m", 4), ("z", "m", 5)]):
+        b = spark.createDataFrame(rows, "name string, label string, w int")
+        with pytest.raises(Exception, match="views disagree"):
+            joins.merge_views({"a": a, "b": b}, "name", "label", check=True).collect()
+    b = spark.createDataFrame([("x", "l", 3), ("y", "m", 4)], "name string, label string, w int")
+    merged = [joins.merge_views({"a": a, "b": b}, "name", "label", check=c) for c in (True, False)]
+    assert merged[0].columns == merged[1].columns and sorted(merged[0].collect()) == sorted(merged[1].collect())
