@@ -17,10 +17,10 @@ MIN_LANGUAGE_SHARE = 0.5
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents without a letter or without a main language; ``lang`` becomes the language found."""
-    model = language.train(docs)
-    found = language.with_language(docs, model)
-    kept = found.where((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= MIN_LANGUAGE_SHARE))
-    return kept.withColumn("lang", F.col("lang_pred")).select(*docs.columns)
+    found, share, spans = "_language", "_language_share", "_language_spans"
+    labelled = language.with_language(docs, language.train(docs), names=(found, share, spans))
+    kept = labelled.where((F.col(found) != language.UNKNOWN) & (F.col(share) >= MIN_LANGUAGE_SHARE))
+    return kept.withColumn("lang", F.col(found)).select(*docs.columns)
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -10,21 +10,27 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from samplemill.llm.shingles import mix
+from samplemill.plans.session import cut
+
 UNKNOWN = "und"
 #: Rows per language from which the model is learnt, on average, and the features that it keeps.
 SAMPLE = 2000
 FEATURES = 200_000
 #: Labels are a small closed set; more of them mean that the column is no language.
 MAX_LANGUAGES = 1000
-ORDERS = (1, 2, 3, 4)
+ORDERS = (1, 2, 3)
 #: What a change of language costs, and the most that one word can say against a language (nats).
 PENALTY, WORST = 12.0, 10.0
 #: Words that a Python worker keeps with their scores.
 CACHE = 300_000
+#: Text that a Python worker labels at once.
+SLICE_BYTES = 4_000_000
 
 WORD = re.compile(r"[^\W\d_]+")
 
@@ -48,23 +54,39 @@ _STARTS = [a for a, _ in RANGES]
 
 def script(word: str) -> str:
     """The script of most letters of a word; the first to reach that count on a tie."""
-    if word.isascii():
+    if max(word) < "\u0370":
         return "latin"
     return Counter(RANGES[bisect_right(_STARTS, ord(c)) - 1][1] for c in word).most_common(1)[0][0]
 
 
-def features(word: str) -> list[str]:
-    """Runs of one to four characters of the lower-case word between boundary marks."""
-    w = f"<{word.lower()}>"
-    return [w[i : i + n] for n in ORDERS for i in range(len(w) - n + 1)]
+def features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the runs of one to three characters of lower-case words between boundary marks, and whose they are."""
+    marked = [f"<{w.lower()}>" for w in words]
+    codes = np.frombuffer("".join(marked).encode("utf-32-le"), "<u4").astype(np.uint64)
+    sizes = np.array([len(w) for w in marked], np.int64)
+    word = np.repeat(np.arange(len(words)), sizes)
+    left = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(codes))  # characters from here to the end of the word
+    hashes, whose = [], []
+    running = np.zeros(len(codes), np.uint64)
+    for n in range(1, max(ORDERS) + 1):
+        keep = left >= n
+        running = running[keep] * np.uint64(0xD6E8FEB86659FD93)
+        starts = np.flatnonzero(keep) if n == 1 else starts[keep]
+        running += codes[starts + n - 1] + np.uint64(1)
+        left, word = left[keep], word[keep]
+        if n in ORDERS:
+            # The length is in the lowest bits.
+            hashes.append(mix(running) & ~np.uint64(7) | np.uint64(n))
+            whose.append(word)
+    return np.concatenate(hashes), np.concatenate(whose)
 
 
 @dataclass
 class Model:
-    """Log-probabilities of features per language, and the languages that each script leaves as candidates."""
+    """Log-probabilities of features (sorted hashes) per language, and the languages that each script leaves."""
 
     languages: list[str]
-    rows: dict[str, int]
+    hashes: np.ndarray
     table: np.ndarray
     candidates: dict[str, np.ndarray]
     known: dict[str, int] = field(default_factory=dict)
@@ -76,17 +98,16 @@ class Model:
 
     def _learn(self, words: list[str]) -> None:
         """Scores of new words: the mean over the feature lengths, relative to the best candidate language."""
-        found = [[r for f in features(w) if (r := self.rows.get(f)) is not None] for w in words]
-        flat = np.array([r for rs in found for r in (*rs, len(self.table) - 1)], np.int64)
-        ends = np.cumsum([len(rs) + 1 for rs in found])
-        starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
-        score = np.add.reduceat(self.table[flat], starts, axis=0) / len(ORDERS)
-        for script_name in {s for w in words if (s := script(w)) in self.candidates}:
-            out = np.flatnonzero(~self.candidates[script_name])
-            of_script = [i for i, w in enumerate(words) if script(w) == script_name]
-            score[np.ix_(of_script, out)] = -np.inf
+        hashes, whose = features(words)
+        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        found = self.hashes[at] == hashes
+        at, whose = at[found], whose[found]
+        score = np.stack([np.bincount(whose, column[at], len(words)) for column in self.table.T], axis=1) / len(ORDERS)
+        of = np.array([script(w) for w in words])
+        for name in set(of.tolist()) & set(self.candidates):
+            score[np.ix_(np.flatnonzero(of == name), np.flatnonzero(~self.candidates[name]))] = -np.inf
         score = np.maximum(score - score.max(axis=1, keepdims=True), -WORST)
-        letters = np.array([sum(c.isalpha() for c in w) for w in words], np.int64)
+        letters = np.array([len(w) if w.isalpha() else sum(c.isalpha() for c in w) for w in words], np.int64)
         score[letters == 0] = 0
         first = len(self.known)
         self.known.update(zip(words, range(first, first + len(words))))
@@ -172,7 +193,7 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", sampl
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
     languages = sorted(sizes)
     if not languages:
-        return Model([], {}, np.zeros((1, 0)), {})
+        return Model([], np.zeros(1, np.uint64), np.zeros((1, 0)), {})
     full = 1 << 30
     bound = F.lit(full)
     for lang, n in sizes.items():
@@ -186,37 +207,48 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", sampl
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 words.setdefault(lang, Counter()).update(WORD.findall(text.as_py()))
             for lang, counted in words.items():
-                grams: Counter = Counter()
-                for word, n in counted.items():
-                    grams["\0" + script(word)] += n * len(word)
-                    for f in features(word):
-                        grams[f] += n
-                arrays = [pa.array([lang] * len(grams)), pa.array(list(grams)), pa.array(list(grams.values()), pa.int64())]
-                yield pa.RecordBatch.from_arrays(arrays, names=["lang", "f", "n"])
-
-    counted = chosen.mapInArrow(run, "lang string, f string, n long").groupBy("f", "lang").agg(F.sum("n").alias("n"))
-    scripts = counted.where(F.col("f").startswith("\0")).collect()
-    wide = counted.where(~F.col("f").startswith("\0")).groupBy("f").agg(
+                if not counted:
+                    continue
+                times = np.fromiter(counted.values(), np.int64, len(counted))
+                hashes, whose = features(list(counted))
+                distinct, inverse = np.unique(hashes, return_inverse=True)
+                n = np.bincount(inverse, times[whose]).astype(np.int64)
+                scripts: Counter = Counter()
+                for word, t in counted.items():
+                    scripts[script(word)] += t * len(word)
+                names = [None] * len(distinct) + list(scripts)
+                f = [*distinct.view(np.int64).tolist(), *[0] * len(scripts)]
+                arrays = [pa.array([lang] * len(f)), pa.array(f, pa.int64()), pa.array(names, pa.string())]
+                arrays.append(pa.array([*n.tolist(), *scripts.values()], pa.int64()))
+                yield pa.RecordBatch.from_arrays(arrays, names=["lang", "f", "script", "n"])
+
+    counted = chosen.mapInArrow(run, "lang string, f long, script string, n long")
+    counted = cut(counted.groupBy("f", "script", "lang").agg(F.sum("n").alias("n")), "features")
+    scripts = counted.where("script IS NOT NULL").collect()
+    wide = counted.where("script IS NULL").groupBy("f").agg(
         F.sum("n").alias("n"), F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("of")
     )
     rows = wide.where("n > 1").orderBy(F.desc("n"), "f").limit(most).collect()
+    hashes = np.array([r["f"] for r in rows], np.int64).view(np.uint64)
+    order = np.argsort(hashes)
+    hashes = hashes[order]
     place = {lang: i for i, lang in enumerate(languages)}
     counts = np.zeros((len(rows), len(languages)))
-    for i, r in enumerate(rows):
-        for lang, n in r["of"].items():
+    for i, o in enumerate(order.tolist()):
+        for lang, n in rows[o]["of"].items():
             counts[i, place[lang]] = n
-    # Probabilities among the features of the same length; a last row of zeros for words without features.
-    table = np.zeros((len(rows) + 1, len(languages)))
-    lengths = np.array([len(r["f"]) for r in rows])
+    # Probabilities among the features of the same length, which is in the lowest bits of a hash.
+    table = np.zeros((max(1, len(rows)), len(languages)))
     for n in ORDERS:
-        own = np.flatnonzero(lengths == n)
+        own = np.flatnonzero((hashes & np.uint64(7)) == np.uint64(n))
         table[own] = np.log((counts[own] + 0.5) / (counts[own].sum(axis=0) + 0.5 * max(1, len(own))))
+    hashes = hashes if len(rows) else np.zeros(1, np.uint64)
     letters: dict[str, np.ndarray] = {}
-    for f, lang, n in scripts:
-        letters.setdefault(f[1:], np.zeros(len(languages)))[place[lang]] = n
+    for r in scripts:
+        letters.setdefault(r.script, np.zeros(len(languages)))[place[r.lang]] = r.n
     total = sum(letters.values(), np.zeros(len(languages)))
     candidates = {s: n >= 0.01 * total for s, n in letters.items() if (n >= 0.01 * total).any()}
-    return Model(languages, {r["f"]: i for i, r in enumerate(rows)}, table, candidates)
+    return Model(languages, hashes, table, candidates)
 
 
 def _labelled(texts: list[str], model: Model, penalty: float) -> list[tuple[str, float, str]]:
@@ -257,30 +289,45 @@ def _labelled(texts: list[str], model: Model, penalty: float) -> list[tuple[str,
     return out
 
 
-def with_language(docs: DataFrame, model: Model, text_col: str = "text", penalty: float = PENALTY) -> DataFrame:
-    """``docs`` with ``lang_pred``, ``score`` and ``spans`` appended; only the text is an input of the prediction.
+def _slices(batch: pa.RecordBatch, at: int) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch with about ``SLICE_BYTES`` of text each; a longer text is a part of its own."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(at)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    part = np.cumsum(sizes) // SLICE_BYTES
+    cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
+    for a, b in zip(cuts, cuts[1:]):
+        if b > a:
+            yield batch.slice(a, b - a)
+
+
+def with_language(
+    docs: DataFrame,
+    model: Model,
+    text_col: str = "text",
+    penalty: float = PENALTY,
+    names: tuple[str, str, str] = ("lang_pred", "score", "spans"),
+) -> DataFrame:
+    """``docs`` with the columns of ``names`` appended; only the text is an input of the prediction.
 
     Words are maximal runs of letters. Every word has a score per language from its features; languages that do
     not use the word's script get the worst score. The path through the whole text that maximises the sum of the
     scores, less ``penalty`` per change of language, labels every word, and with that spans of the text
-    (``language:start:end`` in code points, comma-joined). ``lang_pred`` is the language of most letters (the first
-    in order on a tie) and ``score`` its share of them. A text that is NULL or has no letter is ``und`` with score 0
+    (``language:start:end`` in code points, comma-joined). The first new column is the language of most letters
+    (the first in order on a tie), the second its share of them. A text that is NULL or has no letter is ``und`` with score 0
     and no spans, and so is every text if nothing was learnt. Rows and other columns stay as they are, repeated rows
     and NULLs in other columns too; columns named like the new ones are replaced. An empty table gives no rows.
     """
-    docs = docs.drop("lang_pred", "score", "spans")
-    names = (*docs.columns, "lang_pred", "score", "spans")
-    schema = T.StructType([*docs.schema.fields]).add("lang_pred", "string").add("score", "double").add("spans", "string")
+    docs = docs.drop(*names)
+    new = [T.StructField(n, t) for n, t in zip(names, (T.StringType(), T.DoubleType(), T.StringType()))]
+    schema = T.StructType([*docs.schema.fields, *new])
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(0, batch.num_rows, 4000):
-                part = batch.slice(i, 4000)
+            for part in _slices(batch, at):
                 rows = _labelled([t or "" for t in part.column(at).to_pylist()], model, penalty)
                 lang, score, spans = zip(*rows)
                 arrays = [pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(spans, pa.string())]
-                yield pa.RecordBatch.from_arrays([*part.columns, *arrays], names=names)
+                yield pa.RecordBatch.from_arrays([*part.columns, *arrays], names=schema.names)
 
     return docs.mapInArrow(run, schema)
 
