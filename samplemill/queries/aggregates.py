@@ -115,6 +115,22 @@ def ag13_length_sketch(spark, sf):
     return stats.length_sketch(docs, "ids", [0.25, 0.5, 0.95], ["lang"])
 
 
+@query("""SELECT lang, CAST(unnest([0.25, 0.5, 0.95]) AS DOUBLE) AS share, TRUE AS close FROM documents GROUP BY lang""")
+def ag13_sketch_error(spark, sf):
+    """Each sketched quantile has a rank within five hundredths of what was asked for."""
+    shares = [0.25, 0.5, 0.95]
+    docs = texts(spark, sf, "lang", "text").select("lang", F.split("text", r"\s+").alias("ids"))
+    sketch = stats.length_sketch(docs, "ids", shares, ["lang"])
+    asked = sketch.select("lang", F.posexplode("quantiles").alias("i", "value"))
+    ranked = docs.select("lang", F.size("ids").alias("size")).join(asked, "lang").groupBy("lang", "i").agg(
+        F.avg((F.col("size") < F.col("value")).cast("double")).alias("below"),
+        F.avg((F.col("size") <= F.col("value")).cast("double")).alias("upto"),
+    )
+    share = F.element_at(F.array(*[F.lit(s) for s in shares]), F.col("i") + 1)
+    close = (F.col("below") - 0.05 <= share) & (share <= F.col("upto") + 0.05)
+    return ranked.select("lang", share.alias("share"), close.alias("close"))
+
+
 @query("""SELECT l_returnflag, count(l_discount) AS n, round(avg(l_discount), 6) AS mean,
   round(1.959963984540054 * stddev_pop(l_discount) / sqrt(count(l_discount)), 8) AS half_width FROM lineitem GROUP BY l_returnflag""")
 def ag15_confidence_interval(spark, sf):

@@ -46,14 +46,19 @@ def fe2_window_totals(spark, sf):
 @query("""WITH r AS (SELECT doc_id, text, regexp_extract_all(text, '[\\x20-\\x7f]{5,}') AS runs FROM documents),
   j AS (SELECT doc_id, text, len(runs) AS n, array_to_string(runs, '') AS all_ FROM r),
   c AS (SELECT doc_id, ch, count(*) AS k FROM (SELECT doc_id, unnest(string_split(all_, '')) AS ch FROM j WHERE length(all_) > 0) GROUP BY doc_id, ch),
-  e AS (SELECT doc_id, -sum(k / t * log2(k / t)) AS entropy FROM (SELECT *, sum(k) OVER (PARTITION BY doc_id) AS t FROM c) GROUP BY doc_id)
-  SELECT j.doc_id, n AS numstrings, length(all_) AS printables, round(CASE WHEN n > 0 THEN length(all_) / n ELSE 0 END, 6) AS avlength, round(coalesce(e.entropy, 0), 6) AS entropy,
+  e AS (SELECT doc_id, -sum(k / t * log2(k / t)) AS entropy FROM (SELECT *, sum(k) OVER (PARTITION BY doc_id) AS t FROM c) GROUP BY doc_id),
+  d AS (SELECT doc_id, sum(k / t * (ascii(ch) - 32)) AS centre, sum(k / t * k / t) AS peak FROM (SELECT *, sum(k) OVER (PARTITION BY doc_id) AS t FROM c) GROUP BY doc_id)
+  SELECT j.doc_id, round(coalesce(d.centre, 0), 6) AS centre, round(coalesce(d.peak, 0), 6) AS peak, n AS numstrings, length(all_) AS printables, round(CASE WHEN n > 0 THEN length(all_) / n ELSE 0 END, 6) AS avlength, round(coalesce(e.entropy, 0), 6) AS entropy,
     len(regexp_extract_all(text, '(?i)c:\\\\')) AS paths, len(regexp_extract_all(text, '(?i)https?://')) AS urls,
-    len(regexp_extract_all(text, 'HKEY_')) AS registry, len(regexp_extract_all(text, 'MZ')) AS mz FROM j LEFT JOIN e USING (doc_id)""")
+    len(regexp_extract_all(text, 'HKEY_')) AS registry, len(regexp_extract_all(text, 'MZ')) AS mz FROM j LEFT JOIN e USING (doc_id) LEFT JOIN d USING (doc_id)""")
 def fe3_fe4_string_features(spark, sf):
+    """The distribution over the 96 printable characters is compared by its mean and its sum of squares."""
     rows = features.string_features(content(spark, sf), "content")
+    place = F.transform("printabledist", lambda x, i: x * i)
+    square = F.transform("printabledist", lambda x: x * x)
+    total = lambda c: F.round(F.aggregate(c, F.lit(0.0), lambda acc, x: acc + x), 6)
     return rows.select(
-        "doc_id", "numstrings", "printables", F.round("avlength", 6).alias("avlength"), F.round("entropy", 6).alias("entropy"),
+        "doc_id", total(place).alias("centre"), total(square).alias("peak"), "numstrings", "printables", F.round("avlength", 6).alias("avlength"), F.round("entropy", 6).alias("entropy"),
         "paths", "urls", "registry", "mz",
     )
 

@@ -196,6 +196,17 @@ def w7_labels_per_class(spark, sf):
     return splits.labels_per_class(doc_labels(spark, sf), "doc_id", "labels", 20).select("doc_id", joined("labels").alias("labels"))
 
 
+@query(f"""WITH {DOC_LABELS}, n AS (SELECT label, least(count(*), 20) AS need FROM flat GROUP BY label)
+  SELECT sum(need) AS most, TRUE AS few FROM n""")
+def w7_per_class_bound(spark, sf):
+    """No more samples are chosen than the labels need in all; a sample serves all its labels."""
+    all_rows = doc_labels(spark, sf)
+    need = stats.class_distribution(all_rows.select("labels"), "labels")
+    most = need.agg(F.sum(F.least("n", F.lit(20).cast("bigint")))).first()[0]
+    chosen = splits.labels_per_class(all_rows, "doc_id", "labels", 20)
+    return chosen.agg(F.lit(most).alias("most"), (F.count(F.lit(1)) <= most).alias("few"))
+
+
 @query(f"""WITH {DOC_LABELS} SELECT label, least(count(*), 20) AS need, TRUE AS enough FROM flat GROUP BY label""")
 def w7_per_class_invariants(spark, sf):
     """Every label has at least ``min(k, n)`` of the chosen samples."""

@@ -117,12 +117,21 @@ def tok9_length_sweep(spark, sf):
     return tokenizer.length_sweep(docs, {"words": "word_ids", "merges": "merge_ids", "bytes": "byte_ids"})
 
 
-@query(f"""WITH {ENCODED}, n AS (SELECT doc_id, count(*) AS n FROM i GROUP BY doc_id)
-  SELECT doc_id, CAST(unnest(range(0, greatest(0, CAST(ceil((n - 64) / 48) AS BIGINT)) + 1)) AS INT) AS win,
-    CAST(least(64, n - 48 * unnest(range(0, greatest(0, CAST(ceil((n - 64) / 48) AS BIGINT)) + 1))) AS INT) AS length FROM n""")
+@query(f"""WITH {ENCODED}, n AS (SELECT doc_id, count(*) AS n FROM i GROUP BY doc_id),
+  wins AS (SELECT doc_id, CAST(unnest(range(0, greatest(0, CAST(ceil((n - 64) / 48) AS BIGINT)) + 1)) AS INT) AS win FROM n)
+  SELECT wins.doc_id, win, CAST(count(*) AS INT) AS length, CAST(sum(token_id) AS BIGINT) AS total, CAST(sum(token_id * (pos - 48 * win)) AS BIGINT) AS weighted
+  FROM wins JOIN i ON i.doc_id = wins.doc_id AND i.pos > 48 * win AND i.pos <= 48 * win + 64 GROUP BY wins.doc_id, win""")
 def tok7_overflow_windows(spark, sf):
+    """Windows, compared by number, sum and position-weighted sum of their ids."""
     docs, _ = encoded(spark, sf)
-    return docs.select("doc_id", F.posexplode(tk.windows("input_ids", 64, 16)).alias("win", "_w")).select("doc_id", "win", F.size("_w").alias("length"))
+    wins = docs.select("doc_id", F.posexplode(tk.windows("input_ids", 64, 16)).alias("win", "_w"))
+    zero = F.lit(0).cast("bigint")
+    weighted = F.transform("_w", lambda x, i: x.cast("bigint") * (i + 1))
+    add = lambda acc, x: acc + x
+    return wins.select(
+        "doc_id", "win", F.size("_w").alias("length"),
+        F.aggregate("_w", zero, add).alias("total"), F.aggregate(weighted, zero, add).alias("weighted"),
+    )
 
 
 @query(f"""WITH {ENCODED}, n AS (SELECT token_id, count(*) AS n FROM i WHERE token_id > 6 GROUP BY token_id)
