@@ -31,9 +31,14 @@ def masked_lines(text: Column) -> Column:
     return F.when(text.rlike("[0-9]"), F.transform(single, fields)).otherwise(single)
 
 
-def _leaf(line: Column, depth: int) -> list[Column]:
-    blanks = F.octet_length(line) - F.octet_length(F.replace(line, F.lit(" "), F.lit("")))
-    return [(blanks + 1).alias("n"), F.substring_index(line, " ", depth).alias("head")]
+def _count(text: Column, mark: str) -> Column:
+    """How often a one-byte character occurs."""
+    return F.octet_length(text) - F.octet_length(F.replace(text, F.lit(mark), F.lit("")))
+
+
+def _leaf(line: Column, depth: int) -> Column:
+    """The path to the leaf: the number of tokens, then the first of them."""
+    return F.concat((_count(line, " ") + 1).cast("string"), F.lit(" "), F.substring_index(line, " ", depth))
 
 
 def recurring_lines(docs: DataFrame, text_col: str = "text", depth: int = DEPTH, min_docs: int = MIN_DOCS) -> DataFrame:
@@ -41,14 +46,15 @@ def recurring_lines(docs: DataFrame, text_col: str = "text", depth: int = DEPTH,
     text = F.col(text_col)
 
     # 1. Leaves of the tree by documents: a small table of counts and leading tokens, numbered as it is written.
-    heads = F.array_distinct(F.transform(masked_lines(text), lambda x: F.struct(*_leaf(x, depth))))
-    found = docs.select(F.explode(heads).alias("h")).where("h.head <> ''").groupBy("h.n", "h.head")
+    # Leaves are plain text there, which is made distinct by hashing. An outer explode does not make the array twice.
+    paths = F.array_distinct(F.transform(masked_lines(text), lambda x: _leaf(x, depth)))
+    found = docs.select(F.explode_outer(paths).alias("path")).where("path <> '1 '").groupBy("path")
     found = found.agg(F.count(F.lit(1)).alias("docs")).where(F.col("docs") >= min_docs)
-    leaves = cut(found.select("n", "head", F.monotonically_increasing_id().alias("leaf")), "leaves")
+    leaves = cut(found.select("path", F.monotonically_increasing_id().alias("leaf")), "leaves")
 
     # 2. Lines in recurring leaves. Copies of a text are one row, so `copies` is the documents that have it.
-    lines = docs.select(F.md5(text).alias("digest"), F.posexplode(masked_lines(text)).alias("pos", "line"))
-    lines = lines.select("digest", "pos", "line", *_leaf(F.col("line"), depth)).where("head <> ''").join(leaves, ["n", "head"])
+    lines = docs.select(F.md5(text).alias("digest"), F.posexplode_outer(masked_lines(text)).alias("pos", "line"))
+    lines = lines.where("line <> ''").withColumn("path", _leaf(F.col("line"), depth)).join(leaves, "path")
     lines = lines.groupBy("digest", "pos", "line", "leaf").agg(F.count(F.lit(1)).alias("copies"))
     lines = cut(lines, "lines")
     texts = lines.groupBy("line", "leaf", "digest").agg(F.max("copies").alias("copies"))
@@ -57,7 +63,7 @@ def recurring_lines(docs: DataFrame, text_col: str = "text", depth: int = DEPTH,
 
     # 3. Fields: in its leaf, a token stays at its place if enough documents have it there.
     words = F.split("line", " ")
-    tokens = distinct.select("id", "leaf", "docs", F.size(words).alias("n"), F.posexplode(words).alias("at", "token"))
+    tokens = distinct.select("id", "leaf", "docs", F.size(words).alias("n"), F.posexplode_outer(words).alias("at", "token"))
     tokens = tokens.where(F.col("token") != FIELD)
     constant = tokens.groupBy("leaf", "at", "token").agg(F.sum("docs").alias("docs"))
     constant = constant.where(F.col("docs") >= min_docs).drop("docs")
@@ -104,6 +110,6 @@ def drop_recurring_lines(
     return out.select(
         F.col("_id").alias(id_col),
         text.alias(text_col),
-        F.when(F.col("_text").isNull(), 0).otherwise(F.size(lines)).cast("long").alias("n_lines"),
+        F.coalesce(_count(F.col("_text"), "\n") + 1, F.lit(0)).cast("long").alias("n_lines"),
         F.coalesce(F.size("positions"), F.lit(0)).cast("long").alias("n_dropped"),
     )
