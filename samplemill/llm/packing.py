@@ -29,7 +29,7 @@ CACHE = 800_000
 
 
 #: A word of Latin letters that neither normalisation nor splitting changes but for its case, and marks after it.
-PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,]*)")
+PLAIN = re.compile("^([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,]*)$", re.MULTILINE)
 
 
 class WordEncoder:
@@ -67,37 +67,35 @@ class WordEncoder:
         return [np.array(e.ids, "<u2").tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
 
     def _learn(self, words: list[str]) -> None:
-        plain, other = [], []
-        for w in words:
-            m = PLAIN.fullmatch(w)
-            if m:
-                plain.append((w, m[1].lower(), m[2]))
-            else:
-                other.append(w)
-        other += {tail for _, _, tail in plain if tail not in self.known}
-        self.known.update(zip(other, self._library(other)))
-        stems = [w.encode() for w in {stem for _, stem, _ in plain if stem not in self.stems}]
-        codes = np.frombuffer(b"".join(stems), np.uint8)
-        sizes = np.array([len(w) for w in stems], np.int64)
+        plain = PLAIN.findall("\n".join(words))
+        names = list(map("".join, plain))
+        other = {tail for _, tail in plain}.difference(self.known).union(set(words).difference(names))
+        self.known.update(zip(other, self._library(list(other))))
+        # The case of these letters changes one by one, so that all words may be joined for it.
+        lower = "\n".join([stem for stem, _ in plain]).lower().split("\n") if plain else []
+        stems = list(set(lower).difference(self.stems))
+        spelt = [w.encode() for w in stems]
+        codes = np.frombuffer(b"".join(spelt), np.uint8)
+        sizes = np.array([len(w) for w in spelt], np.int64)
         symbols = self.inside[codes]
         ends = np.cumsum(sizes) - 1
         symbols[ends] = self.final[codes[ends]]
         ids, sizes = self.table.run(symbols, sizes)
         body, ends = ids.astype("<u2").tobytes(), 2 * np.cumsum(sizes)
-        for w, a, b in zip(stems, (ends - 2 * sizes).tolist(), ends.tolist()):
-            self.stems[w.decode()] = body[a:b]
-        for w, stem, tail in plain:
-            self.known[w] = self.stems[stem] + self.known[tail]
+        self.stems.update(zip(stems, [body[a:b] for a, b in zip((ends - 2 * sizes).tolist(), ends.tolist())]))
+        of_stem, of_tail = self.stems, self.known
+        ids_of = [of_stem[stem] + of_tail[tail] if tail else of_stem[stem] for stem, (_, tail) in zip(lower, plain)]
+        self.known.update(zip(names, ids_of))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         parts = [t.replace("\n", " ").split(" ") for t in texts]
         if len(self.known) + len(self.stems) > CACHE:
             self._forget()
-        new = list({w for words in parts for w in words if w not in self.known})
+        new = list(set().union(*parts).difference(self.known))
         for i in range(0, len(new), 20_000):
             self._learn(new[i : i + 20_000])
-        known = self.known
-        return [b"".join([known[w] for w in words]) for words in parts]
+        ids_of = self.known.__getitem__
+        return [b"".join(map(ids_of, words)) for words in parts]
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
