@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from samplemill.llm.graph import components
+from samplemill.llm.graph import components, roots
 from samplemill.llm.shingles import SHINGLER, mix
 from samplemill.llm.simhash import sliced_pairs
 from samplemill.plans.session import cut
@@ -20,6 +20,8 @@ SIMILARITY = 0.8
 WIDTH, TABLES, KEY_BITS = 2, 40, 16
 #: Values of a bucket that are compared at once, and those that every part of a larger bucket has in common.
 BUCKET, LEADERS = 4096, 64
+#: The turns in which candidates are tested; turn 0 takes all that are left.
+TURNS = (1, 2, 0)
 
 
 def shingle_set(text: str | None) -> np.ndarray:
@@ -86,26 +88,71 @@ def _keyed(nodes: DataFrame, tables: int, bits: int) -> DataFrame:
     return nodes.mapInArrow(run, "node long, fp binary, ks array<long>").select("node", "fp", F.explode("ks").alias("k"))
 
 
-def _candidates(buckets: DataFrame, most: int) -> DataFrame:
-    """``(a, b)``: every value with the smallest and the largest of the smaller values within the radius."""
+def _flat(column: pa.ListArray) -> tuple[pa.StructArray, np.ndarray, np.ndarray, np.ndarray]:
+    """The members of all arrays of structs ``(node, fp, ...)``: nodes, fingerprints, and where each array starts."""
+    flat = column.flatten()
+    nodes = flat.field(0).to_numpy(zero_copy_only=False)
+    values = np.frombuffer(b"".join(flat.field(1).to_pylist()), np.uint64).reshape(len(nodes), -1)
+    return flat, nodes, values, column.offsets.to_numpy() - column.offsets[0].as_py()
+
+
+def _groups(buckets: DataFrame, most: int) -> DataFrame:
+    """``(g, node, fp)``: what pairs within the radius connect in a bucket; a group of several tables is there once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for i in range(0, whole.num_rows, 2000):
-                column = whole.slice(i, 2000).column(0)
-                flat = column.flatten()
-                nodes = flat.field(0).to_numpy(zero_copy_only=False)
-                values = np.frombuffer(b"".join(flat.field(1).to_pylist()), np.uint64).reshape(len(nodes), -1)
-                starts = column.offsets.to_numpy() - column.offsets[0].as_py()
+                flat, nodes, values, starts = _flat(whole.slice(i, 2000).column(0))
+                root = np.arange(len(nodes))
                 for a, b in sliced_pairs(values, starts, most):
-                    low, high = np.minimum(nodes[a], nodes[b]), np.maximum(nodes[a], nodes[b])
-                    order = np.lexsort((low, high))
-                    low, high = low[order], high[order]
-                    edge = high[1:] != high[:-1] if len(high) else np.zeros(0, bool)
-                    chosen = np.flatnonzero(np.append(True, edge) | np.append(edge, True)) if len(high) else np.zeros(0, np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(high[chosen]), pa.array(low[chosen])], names=["a", "b"])
+                    # What is known goes in as links too, so the pairs of a dense bucket are never kept.
+                    known = np.flatnonzero(root != np.arange(len(root)))
+                    root = roots(len(values), np.concatenate([known, a]), np.concatenate([root[known], b]))
+                order = np.lexsort((nodes, root))
+                order = order[np.bincount(root, minlength=len(root))[root[order]] > 1]
+                first = np.flatnonzero(np.append(True, np.diff(root[order]) != 0)) if len(order) else np.zeros(0, np.int64)
+                offsets = pa.array(np.append(first, len(order)).astype(np.int32))
+                yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(offsets, flat.take(pa.array(order)))], names=["vs"])
+
+    # Groups are numbered before they are exploded.
+    found = buckets.mapInArrow(run, buckets.schema).distinct().withColumn("g", F.monotonically_increasing_id())
+    return found.select("g", F.explode("vs").alias("v")).select("g", "v.node", "v.fp")
+
+
+def _candidates(groups: DataFrame, found: DataFrame | None, most: int, turn: int) -> DataFrame:
+    """``(a, b)``: the pairs of a group within the radius that ``found`` does not connect yet.
 
-    return buckets.mapInArrow(run, "a long, b long").where("a <> b").distinct()
+    All of them in turn 0. In other turns every value with the first and the last of the values before it, in an
+    order of that turn.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for i in range(0, whole.num_rows, 2000):
+                flat, nodes, values, starts = _flat(whole.slice(i, 2000).column(0))
+                root = flat.field(2).to_numpy(zero_copy_only=False)
+                rank = mix(nodes.view(np.uint64) + np.uint64(turn))
+                for a, b in sliced_pairs(values, starts, most):
+                    apart = root[a] != root[b]
+                    a, b = a[apart], b[apart]
+                    if turn and len(a):
+                        swap = rank[a] > rank[b]
+                        low, high = np.where(swap, b, a), np.where(swap, a, b)
+                        order = np.lexsort((rank[low], high))
+                        low, high = low[order], high[order]
+                        edge = high[1:] != high[:-1]
+                        chosen = np.append(True, edge) | np.append(edge, True)
+                        a, b = high[chosen], low[chosen]
+                    for k in range(0, len(a), 1 << 16):
+                        x, y = nodes[a[k : k + (1 << 16)]], nodes[b[k : k + (1 << 16)]]
+                        yield pa.RecordBatch.from_arrays([pa.array(np.maximum(x, y)), pa.array(np.minimum(x, y))], names=["a", "b"])
+
+    named = groups.withColumn("root", F.col("node"))
+    if found is not None:
+        named = groups.join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    members = F.collect_list(F.struct("node", "fp", "root")).alias("vs")
+    open_ = named.groupBy("g").agg(members, F.min("root").alias("f"), F.max("root").alias("m")).where("f <> m")
+    return open_.select("vs").mapInArrow(run, "a long, b long").distinct()
 
 
 def _buckets(keyed: DataFrame, limit: int) -> DataFrame:
@@ -122,11 +169,10 @@ def _buckets(keyed: DataFrame, limit: int) -> DataFrame:
     return dealt.groupBy("k", "part").agg(F.collect_list(F.struct("node", "fp")).alias("vs")).where(F.size("vs") > 1).select("vs")
 
 
-def _verified(docs: DataFrame, texts: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
-    """The candidate pairs whose shingle sets have the similarity."""
-    involved = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+def _sets(docs: DataFrame, texts: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``(node, s)``: the shingle sets of the nodes."""
     # One text stands for all texts with the same fingerprint node.
-    keys = texts.groupBy("node").agg(F.min("key").alias("key")).join(involved, "node")
+    keys = texts.groupBy("node").agg(F.min("key").alias("key")).join(nodes, "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -135,13 +181,35 @@ def _verified(docs: DataFrame, texts: DataFrame, pairs: DataFrame, similarity: f
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int32()))], names=["node", "s"])
 
     found = docs.select("key", "_text").join(keys, "key").select("node", "_text").mapInArrow(run, "node long, s array<int>")
-    sets = cut(found.dropDuplicates(["node"]), "shingle-sets")
+    return found.dropDuplicates(["node"])
+
+
+def _verified(sets: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
+    """The candidate pairs whose shingle sets have the similarity."""
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("s").alias("x")), "a")
     both = both.join(sets.select(F.col("node").alias("b"), F.col("s").alias("y")), "b")
     common = F.size(F.array_intersect("x", "y"))
     return both.where(common >= similarity * (F.size("x") + F.size("y") - common)).select("a", "b")
 
 
+def _connected(groups: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """``(node, root)``: what the pairs of the groups that have the similarity connect.
+
+    Two turns test few pairs of each value, which connects most of what is alike; the last tests every pair that is
+    still apart, so no pair within the radius is left out and large groups of copies never become all their pairs.
+    """
+    found = None
+    for turn in TURNS:
+        pairs = cut(_candidates(groups, found, radius(similarity), turn), "candidates")
+        if found is not None and pairs.isEmpty():
+            break
+        links = _verified(sets, pairs, similarity)
+        if found is not None:
+            links = links.unionByName(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
+        found = components(links)
+    return found
+
+
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, tables: int = TABLES
 ) -> DataFrame:
@@ -153,8 +221,8 @@ def near_duplicates(
 
     Candidates agree in all sampled bits of at least one of ``tables`` keys and in most of 128 bits, compared in bit
     slices. For a pair of similarity 0.8, 0.85 and 0.9 that happens with probabilities of about 0.9, 0.97 and 0.99
-    while keys have 16 bits, up to a million texts; keys get a bit more whenever the table doubles. Candidates
-    are then decided by their full shingle sets.
+    while keys have 16 bits, up to a million texts; keys get a bit more whenever the table doubles. Every
+    candidate pair is then decided by its full shingle sets, unless verified pairs connect it already.
 
     Texts without a word are near-duplicates of nothing. Equal rows are kept or dropped together. Other columns
     are not read; an empty table gives no rows.
@@ -164,8 +232,9 @@ def near_duplicates(
     nodes = texts.groupBy("node").agg(F.min("fp").alias("fp"))
     bits = max(KEY_BITS, math.ceil(math.log2(max(1, texts.count()))) - 4)
     buckets = _buckets(_keyed(cut(nodes, "nodes"), tables, bits), BUCKET)
-    pairs = cut(_candidates(buckets, radius(similarity)), "candidates")
-    found = components(_verified(named, texts, pairs, similarity))
+    groups = cut(_groups(buckets, radius(similarity)), "groups")
+    sets = cut(_sets(named, texts, groups.select("node").distinct()), "shingle-sets")
+    found = _connected(groups, sets, similarity)
     grouped = texts.join(found, "node", "left").select("key", F.coalesce("root", "node").alias("root"))
     rows = cut(named.select("_id", "key").join(grouped, "key"), "grouped")
     order = F.struct(F.col("_id").isNull().alias("z"), F.col("_id").alias("i"), F.col("key").alias("k"))
