@@ -16,10 +16,10 @@ from samplemill.llm.simhash import sliced_pairs
 from samplemill.plans.session import cut
 
 SIMILARITY = 0.8
-#: Words of 64 bits of a fingerprint, tables, and the fewest bits of a table's key.
+#: Words of 64 bits of a fingerprint, tables with the fewest bits of a key, and those bits.
 WIDTH, TABLES, KEY_BITS = 2, 40, 16
-#: Values of a bucket that are compared at once, and those that every part of a larger bucket has in common.
-BUCKET, LEADERS = 4096, 64
+#: Values of a bucket that are compared at once.
+BUCKET = 4096
 #: The turns in which candidates are tested; turn 0 takes all that are left.
 TURNS = (1, 2, 0)
 
@@ -56,6 +56,24 @@ def radius(similarity: float) -> int:
     return int(math.ceil(n * p + 2.6 * math.sqrt(n * p * (1 - p))))
 
 
+def recall(similarity: float, bits: int, tables: int) -> float:
+    """The expected share of pairs of that similarity that agree in a key and are within the radius for it."""
+    p, n = share_of_bits(similarity), 64 * WIDTH
+    found = 0.0
+    for d in range(radius(similarity) + 1):
+        agree = math.comb(n - d, bits) / math.comb(n, bits)
+        found += math.comb(n, d) * p**d * (1 - p) ** (n - d) * (1 - (1 - agree) ** tables)
+    return found
+
+
+def tables_for(similarity: float, bits: int, tables: int = TABLES) -> int:
+    """Tables with which keys of ``bits`` bits find as large a share as ``tables`` tables with the fewest bits."""
+    want, most = recall(similarity, KEY_BITS, tables), tables
+    while recall(similarity, bits, most) < want:
+        most += 1
+    return most
+
+
 def _texts(docs: DataFrame) -> DataFrame:
     """``(key, fp)`` of every text that has a word; ``key`` is a hash of the text."""
 
@@ -156,16 +174,18 @@ def _candidates(groups: DataFrame, found: DataFrame | None, most: int, turn: int
 
 
 def _buckets(keyed: DataFrame, limit: int) -> DataFrame:
-    """Arrays of values with the same key. A bucket of over ``limit`` values is dealt to several arrays.
+    """Arrays of values: any two with the same key are together in one of them.
 
-    All arrays of such a bucket also get the same few leaders, so a group of any size meets in its leaders.
+    A bucket of over ``limit`` values is cut into blocks of about half as many, and each two blocks are an array.
     """
     sizes = cut(keyed.groupBy("k").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "bucket-sizes")
-    met = keyed.join(sizes, "k").withColumn("parts", F.ceil(F.col("n") / limit).cast("int"))
-    mine = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
-    leads = F.pmod(F.xxhash64("node", F.lit(1)), F.col("n")) < LEADERS
-    places = F.when((F.col("parts") > 1) & leads, F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array(mine))
-    dealt = met.select("k", "node", "fp", F.explode(places).alias("part"))
+    blocks = F.when(F.col("n") <= limit, 1).otherwise(F.ceil(2 * F.col("n") / limit)).cast("int")
+    met = keyed.join(sizes, "k").withColumn("blocks", blocks)
+    met = met.withColumn("mine", F.pmod(F.xxhash64("node", "k"), F.col("blocks")).cast("int"))
+    others = F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: x != F.col("mine"))
+    pairs = F.transform(others, lambda x: F.struct(F.least("mine", x).alias("i"), F.greatest("mine", x).alias("j")))
+    alone = F.array(F.struct(F.col("mine").alias("i"), F.col("mine").alias("j")))
+    dealt = met.select("k", "node", "fp", F.explode(F.when(F.col("blocks") > 1, pairs).otherwise(alone)).alias("part"))
     return dealt.groupBy("k", "part").agg(F.collect_list(F.struct("node", "fp")).alias("vs")).where(F.size("vs") > 1).select("vs")
 
 
@@ -219,10 +239,11 @@ def near_duplicates(
     more, and so are texts that are connected through others. ``key`` is a hash of the whole text. Of each group the
     row with the smallest id stays (a row without an id after those with one, then by the key).
 
-    Candidates agree in all sampled bits of at least one of ``tables`` keys and in most of 128 bits, compared in bit
-    slices. For a pair of similarity 0.8, 0.85 and 0.9 that happens with probabilities of about 0.9, 0.97 and 0.99
-    while keys have 16 bits, up to a million texts; keys get a bit more whenever the table doubles. Every
-    candidate pair is then decided by its full shingle sets, unless verified pairs connect it already.
+    Candidates agree in all sampled bits of at least one of the keys and in most of 128 bits, compared in bit
+    slices. For a pair of similarity 0.8, 0.85 and 0.9 that happens with probabilities of about 0.87, 0.95 and 0.98.
+    ``tables`` keys have 16 bits, up to a million texts; keys get a bit more whenever the table doubles, and there
+    are then so many more of them that the probability at ``similarity`` stays. Every candidate pair is then
+    decided by its full shingle sets, unless verified pairs connect it already.
 
     Texts without a word are near-duplicates of nothing. Equal rows are kept or dropped together. Other columns
     are not read; an empty table gives no rows.
@@ -231,7 +252,7 @@ def near_duplicates(
     texts = cut(_texts(named).distinct().withColumn("node", F.xxhash64("fp")), "wide-fingerprints")
     nodes = texts.groupBy("node").agg(F.min("fp").alias("fp"))
     bits = max(KEY_BITS, math.ceil(math.log2(max(1, texts.count()))) - 4)
-    buckets = _buckets(_keyed(cut(nodes, "nodes"), tables, bits), BUCKET)
+    buckets = _buckets(_keyed(cut(nodes, "nodes"), tables_for(similarity, bits, tables), bits), BUCKET)
     groups = cut(_groups(buckets, radius(similarity)), "groups")
     sets = cut(_sets(named, texts, groups.select("node").distinct()), "shingle-sets")
     found = _connected(groups, sets, similarity)

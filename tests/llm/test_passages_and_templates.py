@@ -107,6 +107,21 @@ def test_near_copies_among_pages_with_the_same_boilerplate(docs_of):
     assert all(root[i] == root[keep] for i, keep in got)
 
 
+def test_values_of_a_large_bucket_all_meet(spark):
+    keyed = spark.createDataFrame([(node, bytearray(16), 7) for node in range(60)], "node long, fp binary, k long")
+    met = [[v.node for v in r.vs] for r in similar._buckets(keyed, 10).collect()]
+    assert {p for vs in met for p in itertools.combinations(sorted(vs), 2)} == set(itertools.combinations(range(60), 2))
+    assert max(map(len, met)) < 30
+
+
+def test_longer_keys_get_more_tables():
+    want = similar.recall(0.8, 16, 40)
+    assert similar.tables_for(0.8, 16) == 40
+    for bits in (17, 20, 24):
+        tables = similar.tables_for(0.8, bits)
+        assert similar.recall(0.8, bits, tables) >= want > similar.recall(0.8, bits, tables - 1)
+
+
 def test_fields_vary_and_templates_go(docs_of):
     names = ["ada", "bob", "cyd", "dan", "eve", "fay", "gus", "hal"]
     rows = [(i, f"Page {i} of 40\nwritten today for {n} by the editor\nthis line is only in document {chr(97 + i)}\n") for i, n in enumerate(names)]
