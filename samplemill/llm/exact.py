@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from samplemill.llm.workers import free_names
 from samplemill.plans.session import cut
 
 SPACE = b" \t\n\v\f\r"
@@ -209,4 +210,5 @@ def drop_exact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     if rows.where("kept AND n > 1").isEmpty():
         return out
     # Only a table with repeated rows pays for telling them apart.
-    return out.withColumn("_text_hash", F.xxhash64(text_col)).dropDuplicates([id_col, "_text_hash"]).drop("_text_hash")
+    (digest,) = free_names(docs.columns, "_text_hash")
+    return out.withColumn(digest, F.xxhash64(text_col)).dropDuplicates([id_col, digest]).drop(digest)

@@ -10,12 +10,12 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from samplemill.llm.shingles import mix
+from samplemill.llm.workers import byte_slices, use_caches
 from samplemill.plans.session import cut
 
 UNKNOWN = "und"
@@ -27,10 +27,8 @@ MAX_LANGUAGES = 1000
 ORDERS = (1, 2, 3)
 #: What a change of language costs, and the most that one word can say against a language (nats).
 PENALTY, WORST = 12.0, 10.0
-#: Words that a Python worker keeps with their scores.
-CACHE = 300_000
-#: Text that a Python worker labels at once.
-SLICE_BYTES = 4_000_000
+#: Bytes that a Python worker keeps of words and their scores, and what a word takes besides its scores.
+CACHE, ENTRY = 40 << 20, 160
 
 WORD = re.compile(r"[^\W\d_]+")
 
@@ -118,7 +116,7 @@ class Model:
 
     def numbers(self, words: list[str]) -> np.ndarray:
         """Places of words in ``scores`` and ``letters``."""
-        if len(self.known) > CACHE:
+        if len(self.known) * (ENTRY + 16 * len(self.languages)) > CACHE:
             self.known, self.scores, self.letters = {}, None, None
         known = self.known
         new = [w for w in set(words) if w not in known]
@@ -289,16 +287,6 @@ def _labelled(texts: list[str], model: Model, penalty: float) -> list[tuple[str,
     return out
 
 
-def _slices(batch: pa.RecordBatch, at: int) -> Iterator[pa.RecordBatch]:
-    """Parts of a batch with about ``SLICE_BYTES`` of text each; a longer text is a part of its own."""
-    sizes = pc.fill_null(pc.binary_length(batch.column(at)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-    part = np.cumsum(sizes) // SLICE_BYTES
-    cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
-    for a, b in zip(cuts, cuts[1:]):
-        if b > a:
-            yield batch.slice(a, b - a)
-
-
 def with_language(
     docs: DataFrame,
     model: Model,
@@ -322,8 +310,9 @@ def with_language(
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        use_caches("language")
         for batch in batches:
-            for part in _slices(batch, at):
+            for part in byte_slices(batch, at):
                 rows = _labelled([t or "" for t in part.column(at).to_pylist()], model, penalty)
                 lang, score, spans = zip(*rows)
                 arrays = [pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(spans, pa.string())]

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from samplemill.llm.merges import MergeTable
+from samplemill.llm.workers import byte_slices, on_change, use_caches
 from samplemill.plans.session import cut
 
 LENGTH = 2048
@@ -24,8 +25,8 @@ WINDOW = 64
 END = 1
 #: Windows whose totals are added up together, so that no task sees all of them.
 GROUP = 4096
-#: Entries of the caches of encoded words in a Python worker (about 150 bytes each).
-CACHE = 800_000
+#: Bytes of the caches of encoded words in a Python worker, and what an entry takes besides the word and its ids.
+CACHE, ENTRY = 120 << 20, 140
 
 
 #: A word of Latin letters that neither normalisation nor splitting changes but for its case, and marks after it.
@@ -57,11 +58,12 @@ class WordEncoder:
         shown |= {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in shown)}
         self.inside = np.array([vocab[shown[b]] for b in range(256)], np.int64)
         self.final = np.array([vocab[shown[b] + final] for b in range(256)], np.int64)
-        self._forget()
+        self.forget()
 
-    def _forget(self) -> None:
+    def forget(self) -> None:
         self.known: dict[str, bytes] = {"": b""}
         self.stems: dict[str, bytes] = {}
+        self.held = 0
 
     def _library(self, words: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u2").tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
@@ -74,6 +76,7 @@ class WordEncoder:
         # The case of these letters changes one by one, so that all words may be joined for it.
         lower = "\n".join([stem for stem, _ in plain]).lower().split("\n") if plain else []
         stems = list(set(lower).difference(self.stems))
+        self.held += ENTRY * (len(words) + len(stems)) + 2 * sum(map(len, words)) + 2 * sum(map(len, stems))
         spelt = [w.encode() for w in stems]
         codes = np.frombuffer(b"".join(spelt), np.uint8)
         sizes = np.array([len(w) for w in spelt], np.int64)
@@ -87,10 +90,10 @@ class WordEncoder:
         ids_of = [of_stem[stem] + of_tail[tail] if tail else of_stem[stem] for stem, (_, tail) in zip(lower, plain)]
         self.known.update(zip(names, ids_of))
 
-    def encode(self, texts: list[str]) -> list[bytes]:
+    def encode(self, texts: list[str], cache: int = CACHE) -> list[bytes]:
         parts = [t.replace("\n", " ").split(" ") for t in texts]
-        if len(self.known) + len(self.stems) > CACHE:
-            self._forget()
+        if self.held > cache:
+            self.forget()
         new = list(set().union(*parts).difference(self.known))
         for i in range(0, len(new), 20_000):
             self._learn(new[i : i + 20_000])
@@ -101,14 +104,23 @@ class WordEncoder:
 _ENCODERS: dict[str, WordEncoder] = {}
 
 
+def _forget() -> None:
+    for encoder in _ENCODERS.values():
+        encoder.forget()
+
+
+on_change("packing", _forget)
+
+
 def _encoder(path: str) -> WordEncoder:
     """One per Python worker and file."""
+    use_caches("packing")
     if path not in _ENCODERS:
         _ENCODERS[path] = WordEncoder(path)
     return _ENCODERS[path]
 
 
-def with_ids(docs: DataFrame, text_col: str, keep: list[str], path: str, end: int) -> DataFrame:
+def with_ids(docs: DataFrame, text_col: str, keep: list[str], path: str, end: int, cache: int = CACHE) -> DataFrame:
     """``(*keep, n, ids)``: the ids of every text and the end id, as little-endian 16-bit integers."""
     schema = docs.select(*keep).schema.add("n", "long").add("ids", "binary")
     last = np.array([end], "<u2").tobytes()
@@ -116,9 +128,8 @@ def with_ids(docs: DataFrame, text_col: str, keep: list[str], path: str, end: in
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(path)
         for batch in batches:
-            for i in range(0, batch.num_rows, 500):
-                part = batch.slice(i, 500)
-                ids = [x + last for x in encoder.encode([t.as_py() or "" for t in part.column(len(keep))])]
+            for part in byte_slices(batch, len(keep), 1 << 20):
+                ids = [x + last for x in encoder.encode([t.as_py() or "" for t in part.column(len(keep))], cache)]
                 n = pa.array([len(x) // 2 for x in ids], pa.int64())
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], n, pa.array(ids, pa.binary())], names=schema.names)
 
@@ -190,8 +201,7 @@ def _pieces(placed: DataFrame, length: int, id_type) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(0, batch.num_rows, 500):
-                part = batch.slice(i, 500)
+            for part in byte_slices(batch, 2, 1 << 20):
                 rows, source, bodies = [], [], []
                 for k, (n, ids, at) in enumerate(zip(*(part.column(j).to_pylist() for j in (1, 2, 3)))):
                     wide = np.frombuffer(ids, "<u2").astype("<u4")
@@ -221,6 +231,7 @@ def pack(
     window: int = WINDOW,
     tokenizer: str | None = None,
     end: int = END,
+    cache: int = CACHE,
 ) -> DataFrame:
     """``(id_col, start, length, ids_crc32, doc_tokens, sequence_id, offset, ids)``: one row per piece of a document.
 
@@ -232,12 +243,13 @@ def pack(
     dry is filled by the others at their ratio.
 
     A NULL text is empty: one piece with the end id. NULL sources are one queue. NULL ids and repeated rows are
-    packed like all others. Other columns are not read. An empty table gives no rows.
+    packed like all others. Other columns are not read. An empty table gives no rows. ``cache`` are the bytes of
+    encoded words that a Python worker keeps.
     """
     path = tokenizer or public_tokenizers.path("word_bpe_49k.json")
     named = docs.select(F.col(id_col).alias("_id"), F.col(source_col).alias("source"), F.col(text_col).alias("_text"))
     # Rows are numbered as they are written: partition and place within it.
-    encoded = with_ids(named, "_text", ["_id", "source"], path, end)
+    encoded = with_ids(named, "_text", ["_id", "source"], path, end, cache)
     table = cut(encoded.withColumn("row", F.monotonically_increasing_id()), "ids")
     placed = place(table.select("row", "source", "n"), targets, window * length)
     pieces = _pieces(table.join(placed, "row"), length, named.schema["_id"].dataType)

@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from samplemill.llm.workers import byte_slices, use_caches
+
 # The kinds of base spans in the order in which they are listed.
 KINDS = ("assign", "access", "hex")
 ASSIGN = re.compile(r"""(?:(?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
@@ -174,7 +176,8 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mask: str = "[SECRET]", sample: int = SAMPLE) -> DataFrame:
     """``docs`` with every span of its texts replaced by ``mask``; overlapping spans are replaced as one.
 
-    All rows and columns stay; texts without a span, and NULL, are unchanged.
+    All rows and columns stay; texts without a span, and NULL, are unchanged. Repeated rows and NULLs in other columns
+    stay as they are; an empty table gives no rows.
     """
     ratios = train(docs.select(id_col, text_col), id_col, text_col, sample)
     at = docs.columns.index(text_col)
@@ -191,8 +194,10 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mask
         return "".join([*out, text[end:]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        use_caches("secrets")
         for batch in batches:
-            texts = pa.array([cleaned(t.as_py()) for t in batch.column(at)], batch.schema.field(at).type)
-            yield batch.set_column(at, batch.schema.field(at), texts)
+            for part in byte_slices(batch, at):
+                texts = pa.array([cleaned(t.as_py()) for t in part.column(at)], batch.schema.field(at).type)
+                yield part.set_column(at, batch.schema.field(at), texts)
 
     return docs.mapInArrow(run, docs.schema)

@@ -5,9 +5,12 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
+from samplemill.llm.workers import on_change, use_caches
+
 SHINGLE = 5
-#: Words that a Python worker keeps with their hashes.
-CACHE = 400_000
+#: Bytes of words that a Python worker keeps with their hashes (with its entry, a word takes about 150 bytes more).
+CACHE = 24 << 20
+ENTRY = 150
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -24,16 +27,22 @@ class Shingler:
     """64-bit hashes of all runs of five words; words as elsewhere, with A-Z in lower case."""
 
     def __init__(self):
+        self.forget()
+
+    def forget(self) -> None:
         self.known: dict[bytes, int] = {}
+        self.held = 0
 
     def words(self, text: str) -> np.ndarray:
         words = text.encode().lower().split()
-        if len(self.known) > CACHE:
-            self.known = {}
+        use_caches("shingles")
+        if self.held > CACHE:
+            self.forget()
         known = self.known
         for w in set(words):
             if w not in known:
                 known[w] = xxhash.xxh64_intdigest(w)
+                self.held += len(w) + ENTRY
         return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
 
     @staticmethod
@@ -49,3 +58,4 @@ class Shingler:
 
 #: One per Python worker.
 SHINGLER = Shingler()
+on_change("shingles", SHINGLER.forget)

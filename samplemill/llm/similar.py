@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from samplemill.llm.graph import components, roots
 from samplemill.llm.shingles import SHINGLER, mix
 from samplemill.llm.simhash import sliced_pairs
+from samplemill.llm.workers import byte_slices
 from samplemill.plans.session import cut
 
 SIMILARITY = 0.8
@@ -79,11 +80,12 @@ def _texts(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = []
-            for text in batch.column(1):
-                hashes = shingle_set(text.as_py())
-                fps.append(wide_fingerprint(hashes).tobytes() if len(hashes) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.binary())], names=["key", "fp"])
+            for part in byte_slices(batch, 1):
+                fps = []
+                for text in part.column(1):
+                    hashes = shingle_set(text.as_py())
+                    fps.append(wide_fingerprint(hashes).tobytes() if len(hashes) else None)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fps, pa.binary())], names=["key", "fp"])
 
     return docs.select("key", "_text").mapInArrow(run, "key long, fp binary").where("fp IS NOT NULL")
 
@@ -196,9 +198,10 @@ def _sets(docs: DataFrame, texts: DataFrame, nodes: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            # Half of each hash is enough here: two shingles of a pair of texts hardly ever share it.
-            sets = [shingle_set(t.as_py()).view(np.int64).astype(np.int32) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int32()))], names=["node", "s"])
+            for part in byte_slices(batch, 1):
+                # Half of each hash is enough here: two shingles of a pair of texts hardly ever share it.
+                sets = [shingle_set(t.as_py()).view(np.int64).astype(np.int32) for t in part.column(1)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int32()))], names=["node", "s"])
 
     found = docs.select("key", "_text").join(keys, "key").select("node", "_text").mapInArrow(run, "node long, s array<int>")
     return found.dropDuplicates(["node"])

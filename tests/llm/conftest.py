@@ -1,6 +1,6 @@
 import pytest
 
-COLUMNS = "doc_id bigint, text string, lang string, source string, n_chars bigint, _id string, _text string, fp string, key int, row int, score string, at int, n int, _i int, _k int, spans int"
+COLUMNS = "doc_id bigint, text string, lang string, source string, n_chars bigint, _id string, _text string, fp string, key int, row int, score string, at int, n int, _i int, _k int, spans int, _text_hash string, _language string, _language_share string, kept string"
 
 
 @pytest.fixture(scope="session")
@@ -11,7 +11,7 @@ def docs_of(spark):
         full = []
         for r in rows:
             doc_id, text, lang, source = (*r, None, None)[:4]
-            full.append((doc_id, text, lang, source, None if text is None else len(text), "x", "y", "z", 1, 2, "s", 3, 4, 5, 6, 7))
+            full.append((doc_id, text, lang, source, None if text is None else len(text), "x", "y", "z", 1, 2, "s", 3, 4, 5, 6, 7, "h", "MINE", "half", "no"))
         return spark.createDataFrame(full, COLUMNS)
 
     return make

@@ -78,6 +78,8 @@ def test_pipeline_stages(spark, messy):
     for name, stage in corpus_pipeline.STAGES[:-1]:
         docs = stage(spark, docs, "")
         assert docs.columns == columns, name
+        others = docs.select("_text_hash", "_language", "_language_share", "_i", "_k", "n", "kept").distinct().collect()
+        assert [tuple(r) for r in others] == [("h", "MINE", "half", 5, 6, 4, "no")], name
     assert sorted(r.doc_id for r in docs.collect()) == [1, 7, 8, 9]
     assert corpus_pipeline.STAGES[-1][1](spark, docs, "").count() > 0
     for _, stage in corpus_pipeline.STAGES:
