@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from samplemill.llm import exact, language, packing, passages, pieces, quality, secrets, simhash, templates, token_counts
+from samplemill.llm import conversations, exact, html_text, language, packing, passages, pieces, quality
+from samplemill.llm import search, secrets, simhash, templates, token_counts
 
 QUERIES, ORACLES = {}, {}
 
@@ -127,3 +128,86 @@ def op8_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op4_duplicate_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passages.duplicate_passages(documents(spark, sf_dir))
+
+
+@query(
+    r"""
+WITH t AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(
+             translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+             '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ts FROM documents WHERE text IS NOT NULL),
+d AS (SELECT * FROM t WHERE len(ts) > 0),
+c AS (SELECT count(*) AS docs, CAST(sum(len(ts)) AS BIGINT) AS terms FROM d),
+p AS (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(ts) AS term FROM d) GROUP BY ALL),
+f AS (SELECT term, count(*) AS df FROM p GROUP BY term),
+w AS (SELECT term, CAST(floor(1000 * ln(CAST(2 * docs + 2 AS DOUBLE) / CAST(2 * df + 1 AS DOUBLE))) AS BIGINT) AS w FROM f, c),
+m AS (SELECT r, doc_id, 50 + (50 * len(ts) * docs) // terms AS m FROM d, c),
+q AS (SELECT row_number() OVER () AS i, item_id, text FROM benchmark),
+i AS (SELECT DISTINCT i, item_id, unnest(regexp_extract_all(
+             translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+             '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM q),
+s AS (SELECT i, item_id, r, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * m))) AS BIGINT) AS score
+      FROM i JOIN p USING (term) JOIN w USING (term) JOIN m USING (r) GROUP BY ALL)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id NULLS LAST) AS INTEGER) AS rank, doc_id, score
+FROM s WHERE score > 0 QUALIFY rank <= 50"""
+)
+def op11_term_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.search(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+@query(
+    r"""
+WITH RECURSIVE n AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS name FROM conversations),
+h AS (SELECT *, xor(4294967295, list_reduce(list_concat([4294967295], [ascii(x) FOR x IN string_split(name, '')]),
+             lambda c, x: list_reduce(list_concat([xor(c, x)], range(8)),
+                                      lambda v, _: xor(v >> 1, 3988292384 * (v & 1))))) % 20 AS rule FROM n),
+d AS (SELECT conv_id, turn, CASE rule WHEN 4 THEN 'user' ELSE role END AS role,
+             CASE rule WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+             unnest(CASE rule WHEN 3 THEN [1, 2] ELSE [1] END) AS copy FROM h WHERE rule <> 0),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS pos FROM d),
+k AS (SELECT conv_id, turn, pos, role, text, left(role, 1) AS initial, rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS body,
+             row_number() OVER (PARTITION BY conv_id, role, text ORDER BY pos) > 1 AS seen,
+             lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY pos) AS before FROM o),
+r AS (SELECT *, CASE WHEN body = '' THEN 'blank' WHEN seen THEN 'duplicate'
+                     WHEN right(body, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault FROM k),
+ins AS (SELECT * FROM (VALUES (0, '', 0, []::VARCHAR[]), (1, '', 1, []), (2, '', 2, []), (3, '', 3, []),
+          (0, 'I', 2, ['user:']), (1, 'I', 2, ['user:']), (2, 'I', 3, ['assistant:']), (3, 'I', 2, ['user:']),
+          (0, 'II', 3, ['user:', 'assistant:']), (1, 'II', 3, ['user:', 'assistant:'])) AS v(p, letters, q, lines)),
+act AS (SELECT * FROM (VALUES ('D', 0, 0, 3, ''), ('D', 1, 1, 3, ''), ('D', 2, 2, 3, ''), ('D', 3, 3, 3, ''),
+          ('K', 0, 1, 0, 's'), ('K', 0, 2, 0, 'u'), ('K', 1, 2, 0, 'u'), ('K', 3, 2, 0, 'u'), ('K', 2, 3, 0, 'a'),
+          ('R', 0, 2, 2, 'user'), ('R', 1, 2, 2, 'user'), ('R', 3, 2, 2, 'user'), ('R', 2, 3, 2, 'assistant')) AS v(letter, q, t, price, who)),
+step AS (SELECT conv_id, pos, p, t, letters || letter AS letters,
+                2 * len(letters) + price + CASE WHEN letter <> 'D' AND fault = 'truncated' THEN 1 ELSE 0 END AS price,
+                list_concat(lines, CASE letter WHEN 'D' THEN [] WHEN 'K' THEN [role || ':' || text] ELSE [who || ':' || text] END) AS lines
+         FROM r, ins JOIN act USING (q)
+         WHERE (letter = 'D' OR fault NOT IN ('blank', 'duplicate')) AND (letter <> 'K' OR who = initial)),
+ids AS (SELECT DISTINCT conv_id FROM n),
+best AS (
+  SELECT conv_id, CAST(0 AS BIGINT) AS pos, 0 AS st, {'cost': CAST(0 AS BIGINT), 'audit': '', 'lines': []::VARCHAR[]} AS b FROM ids
+  UNION ALL
+  SELECT s.conv_id, s.pos, s.t, min({'cost': CAST(b.cost + s.price AS BIGINT), 'audit': b.audit || s.letters, 'lines': list_concat(b.lines, s.lines)})
+  FROM best JOIN step AS s ON s.conv_id IS NOT DISTINCT FROM best.conv_id AND s.pos = best.pos + 1 AND s.p = best.st
+  GROUP BY s.conv_id, s.pos, s.t),
+size AS (SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+                count(*) FILTER (WHERE fault = 'blank') AS blank, count(*) FILTER (WHERE fault = 'duplicate') AS duplicate,
+                count(*) FILTER (WHERE fault = 'truncated') AS truncated,
+                count(*) FILTER (WHERE before IS NOT NULL AND before || initial NOT IN ('su', 'ua', 'au')) AS illegal FROM r GROUP BY conv_id),
+done AS (SELECT best.conv_id, min({'cost': b.cost + CASE st WHEN 1 THEN 4 WHEN 2 THEN 2 ELSE 0 END,
+                 'audit': b.audit || CASE st WHEN 1 THEN 'II' WHEN 2 THEN 'I' ELSE '' END,
+                 'lines': list_concat(b.lines, CASE st WHEN 1 THEN ['user:', 'assistant:'] WHEN 2 THEN ['assistant:'] ELSE [] END)}) AS b
+         FROM best LEFT JOIN size ON size.conv_id IS NOT DISTINCT FROM best.conv_id WHERE best.pos = coalesce(n, 0) GROUP BY best.conv_id)
+SELECT done.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+       coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, CAST(b.cost AS BIGINT) AS cost, b.audit AS audit,
+       sha256(array_to_string(b.lines, chr(10))) AS repaired_sha256
+FROM done LEFT JOIN size ON size.conv_id IS NOT DISTINCT FROM done.conv_id"""
+)
+def op12_repaired_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    damaged = conversations.damage(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+    out = conversations.repair(damaged, there="there")
+    return out.withColumn("repaired_sha256", F.sha2("repaired", 256)).drop("repaired")
+
+
+@query()
+def op13_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
