@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from samplemill.functions.ids import SEED
-from samplemill.plans.ordered import ordered_rank
+from samplemill.plans.ordered import KEY_BUCKETS, in_key_order, join_null_safe
+from samplemill.plans.session import cut
 
 
 def ids_in_all(views: dict[str, DataFrame], key: str) -> DataFrame:
@@ -46,24 +47,48 @@ def symmetric_difference(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def ordered_mismatches(a: DataFrame, b: DataFrame, name: str, label: str, order: str, seed: int = SEED) -> DataFrame:
-    """Compare two views position by position: differing names, differing labels, missing positions."""
-    left = ordered_rank(a, order, name, ["split"], seed, "_pos").select(
-        "split", "_pos", F.col(name).alias("_na"), F.col(label).alias("_la"), F.lit(True).alias("_a")
+    """Compare two views position by position: differing names, differing labels, missing positions.
+
+    Both views are cut into the same buckets of their common order. Where a bucket starts at the same position in
+    both, and counts and order-free sums of hashes say that the same rows are in it, all of its positions agree. Rows
+    are ranked and compared only in the other buckets.
+    """
+    view = [F.col("split"), F.col(order).alias("_key"), F.col(name).alias("_n"), F.col(label).alias("_l")]
+    both = cut(a.select(*view, F.lit(0).alias("_v")).unionByName(b.select(*view, F.lit(1).alias("_v"))), "views")
+    keyed = in_key_order(both, "_key", "_n", seed, None)
+
+    buckets, at = ["split", *KEY_BUCKETS], Window.partitionBy("split").orderBy(*KEY_BUCKETS)
+    sums = []
+    for v in (0, 1):
+        mine = F.col("_v") == v
+        marks = [F.sum(F.when(mine, F.xxhash64(*order).cast("decimal(20,0)"))) for order in (("_key", "_n", "_l"), ("_l", "_n", "_key"))]
+        sums += [F.count_if(mine).alias(f"_n{v}"), F.array(*marks).alias(f"_m{v}")]
+    table = keyed.groupBy(*buckets).agg(*sums)
+    for v in (0, 1):
+        before = F.sum(f"_n{v}").over(at.rowsBetween(Window.unboundedPreceding, -1))
+        table = table.withColumn(f"_lo{v}", F.coalesce(before, F.lit(0).cast("bigint")))
+    same = (F.col("_n0") == F.col("_n1")) & (F.col("_lo0") == F.col("_lo1")) & (F.col("_m0") == F.col("_m1"))
+    table = cut(table.withColumn("_same", same).drop("_m0", "_m1"), "fingerprints")
+
+    open_ = join_null_safe(keyed, table.where("NOT _same").select(*buckets, "_lo0", "_lo1"), buckets)
+    rank = F.row_number().over(Window.partitionBy(*buckets, "_v").orderBy("_key", "_h", "_n"))
+    placed = open_.withColumn("_pos", F.when(F.col("_v") == 0, F.col("_lo0")).otherwise(F.col("_lo1")) + rank)
+    # A position has one row of each view at most.
+    pairs = placed.groupBy("split", "_pos").agg(
+        *[F.max(F.when(F.col("_v") == v, F.struct("_n", "_l"))).alias(f"_{v}") for v in (0, 1)]
     )
-    right = ordered_rank(b, order, name, ["split"], seed, "_pos").select(
-        "split", "_pos", F.col(name).alias("_nb"), F.col(label).alias("_lb"), F.lit(True).alias("_b")
-    )
-    both = F.col("_a") & F.col("_b")
-    return (
-        left.join(right, ["split", "_pos"], "full")
-        .groupBy("split")
-        .agg(
-            F.count(F.lit(1)).alias("n"),
-            F.count_if(both & ~F.col("_na").eqNullSafe(F.col("_nb"))).alias("n_name"),
-            F.count_if(both & ~F.col("_la").eqNullSafe(F.col("_lb"))).alias("n_label"),
-            F.count_if(F.coalesce(both, F.lit(False)) == False).alias("n_lone"),  # noqa: E712
-        )
+    there = F.col("_0").isNotNull() & F.col("_1").isNotNull()
+    found = pairs.select(
+        "split",
+        F.lit(1).alias("n"),
+        (there & ~F.col("_0._n").eqNullSafe(F.col("_1._n"))).cast("bigint").alias("n_name"),
+        (there & ~F.col("_0._l").eqNullSafe(F.col("_1._l"))).cast("bigint").alias("n_label"),
+        (~there).cast("bigint").alias("n_lone"),
     )
+    zero = F.lit(0).cast("bigint")
+    alike = table.where("_same").select("split", F.col("_n0").alias("n"), *[zero.alias(c) for c in ("n_name", "n_label", "n_lone")])
+    columns = ("n", "n_name", "n_label", "n_lone")
+    return found.unionByName(alike).groupBy("split").agg(*[F.sum(c).alias(c) for c in columns])
 
 
 def id_difference(a: DataFrame, b: DataFrame, key: str) -> DataFrame:

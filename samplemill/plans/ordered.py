@@ -3,12 +3,14 @@
 All of them share one idea. A coarse bucket that is monotone in the sort order is counted
 first (a small table, combined map-side), the counts are turned into offsets, and only the
 rows of one bucket are ever sorted together. Buckets come from the leading digits of the
-sample hash, or from approximate quantiles of a numeric key. A key that equals a quantile
-boundary may be held by very many rows, so such keys get a bucket per hash prefix.
+sample hash, from approximate quantiles of a numeric key, or from a sample of whole strings.
+A key that equals a boundary may be held by very many rows, so such keys get a bucket per hash
+prefix.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
 from pyspark.ml.feature import Bucketizer
@@ -21,8 +23,9 @@ from samplemill.functions.ids import SEED, sample_hash
 HASH_DIGITS = 3
 HOT_DIGITS = 2
 KEY_BUCKETS = ["_q", "_side", "_s"]
-#: Leading bytes of a text key that decide its bucket.
-TEXT_BYTES = 7
+#: Text keys: sampled keys per bucket (with 40, no bucket is likely to hold twice the mean), and the longest bound.
+OVERSAMPLE = 40
+BOUND_CHARS = 1024
 
 
 def _offsets(keyed: DataFrame, by: Sequence[str], buckets: Sequence[str]) -> DataFrame:
@@ -58,10 +61,10 @@ def hash_rank(df: DataFrame, id_col: str, by: Sequence[str] = (), seed: int = SE
     return _rank(keyed, by, ["_b"], ["_h", id_col], name).drop("_h", "_b")
 
 
-def name_rank(df: DataFrame, id_col: str, by: Sequence[str] = (), digits: int = HASH_DIGITS, name: str = "rank") -> DataFrame:
-    """1-based rank by a text id whose leading characters spread the rows, such as a hex digest."""
-    keyed = df.withColumn("_b", F.substring(id_col, 1, digits))
-    return _rank(keyed, by, ["_b"], [id_col], name).drop("_b")
+def name_rank(df: DataFrame, id_col: str, by: Sequence[str] = (), name: str = "rank", buckets: int | None = None) -> DataFrame:
+    """1-based rank by a text id, whatever prefix the ids have in common."""
+    keyed = in_key_order(df, id_col, id_col, SEED, buckets)
+    return _rank(keyed, by, KEY_BUCKETS, [id_col], name).drop(*KEY_BUCKETS, "_h")
 
 
 def hash_cut(
@@ -93,7 +96,7 @@ def ordered_cut(
     buckets: int | None = None,
 ) -> DataFrame:
     """Cut the order by ``(key, sample hash, id)`` at given positions, as ``hash_cut`` does with the hash order."""
-    keyed = _in_key_order(df, key, id_col, seed, buckets)
+    keyed = in_key_order(df, key, id_col, seed, buckets)
     return _cut(keyed, by, KEY_BUCKETS, [key, "_h", id_col], cuts, name).drop(*KEY_BUCKETS, "_h")
 
 
@@ -126,8 +129,12 @@ def order_buckets(df: DataFrame) -> int:
     return min(4096, max(64, 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
 
 
+def is_text(df: DataFrame, key: str) -> bool:
+    return isinstance(df.schema[key].dataType, (T.StringType, T.BinaryType))
+
+
 def order_key(df: DataFrame, key: str) -> Column:
-    """A number that never falls where ``key`` rises: times in microseconds, the first bytes of text, numbers as they are."""
+    """A value in the order of ``key``: times in microseconds, bytes as hex text, text and numbers as they are."""
     kind = df.schema[key].dataType
     if isinstance(kind, T.TimestampType):
         return F.unix_micros(key)
@@ -135,26 +142,43 @@ def order_key(df: DataFrame, key: str) -> Column:
         return F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', `{key}`)")
     if isinstance(kind, T.DateType):
         return F.unix_date(key)
-    if isinstance(kind, (T.StringType, T.BinaryType)):
-        first = F.rpad(F.hex(F.substring(F.col(key).cast("binary"), 1, TEXT_BYTES)), 2 * TEXT_BYTES, "0")
-        return F.conv(first, 16, 10).cast("bigint")
+    if isinstance(kind, T.BinaryType):
+        return F.hex(key)
     return F.col(key)
 
 
 def quantile_bounds(df: DataFrame, key: str, buckets: int | None = None) -> list:
     """At most ``buckets - 1`` distinct inner boundaries of the order key, in its own type (the only values sent to the driver)."""
     buckets = buckets or order_buckets(df)
+    if is_text(df, key):
+        return _text_bounds(df, key, buckets)
     shares = [i / buckets for i in range(1, buckets)]
     row = df.agg(F.percentile_approx(order_key(df, key), shares, 20 * buckets).alias("q")).first()
     return sorted(set(row.q)) if row and row.q else []
 
 
+def _text_bounds(df: DataFrame, key: str, buckets: int) -> list[str]:
+    """Quantiles of a sample of about ``OVERSAMPLE`` whole strings per bucket.
+
+    What falls between two bounds is compared in full, so a common prefix does no harm up to ``BOUND_CHARS`` characters.
+    """
+    keys = df.select(order_key(df, key).alias("_k")).where("_k IS NOT NULL")
+    n, wanted = keys.count(), OVERSAMPLE * buckets
+    sampled = keys if n <= wanted else keys.sample(min(1.0, wanted / n), SEED)
+    # Python orders strings by code point, which is the order of their UTF-8 bytes and so Spark's.
+    found = sorted(r[0] for r in sampled.select(F.left("_k", F.lit(BOUND_CHARS))).collect())
+    return sorted({found[i * len(found) // buckets] for i in range(1, buckets)}) if found else []
+
+
 def quantile_bucket(df: DataFrame, key: str, bounds: Sequence) -> DataFrame:
     """Add ``_q``, the bucket of ``key``, and ``_side``: 0 below, 1 at and 2 above the bucket's bound.
 
-    Buckets are looked up as doubles. That never puts a larger key into an earlier bucket, but keys beyond 2 ** 53
-    near a bound may share its bucket on either side of it; ``_side`` compares them exactly, in their own type.
+    Buckets of numbers are looked up as doubles. That never puts a larger key into an earlier bucket, but keys beyond
+    2 ** 53 near a bound may share its bucket on either side of it; ``_side`` compares them exactly, in their own
+    type. Buckets of text are looked up by binary search in the sorted bounds. NULL is in the last bucket.
     """
+    if is_text(df, key):
+        return _text_bucket(df, key, bounds)
     exact = {float(b): b for b in reversed(list(bounds))} or {0.0: 0}
     doubles = sorted(exact)
     splits = [float("-inf"), *doubles, float("inf")]
@@ -167,6 +191,20 @@ def quantile_bucket(df: DataFrame, key: str, bounds: Sequence) -> DataFrame:
     return bucketed.withColumn("_side", side).drop("_k", "_o")
 
 
+def _text_bucket(df: DataFrame, key: str, bounds: Sequence[str]) -> DataFrame:
+    # One literal however many bounds there are; it is parsed once, when the plan is made.
+    table = F.from_json(F.lit(json.dumps(list(bounds))), "array<string>")
+    steps = [1 << i for i in reversed(range(len(bounds).bit_length()))]
+    halved = F.aggregate(
+        F.array(*[F.lit(x) for x in steps]) if steps else F.array().cast("array<int>"),
+        F.lit(0),
+        lambda at, step: F.when(F.get(table, at + step - 1) <= F.col("_o"), at + step).otherwise(at),
+    )
+    placed = df.withColumn("_o", order_key(df, key))
+    placed = placed.withColumn("_q", F.when(F.col("_o").isNull(), len(bounds) + 1).otherwise(halved))
+    return placed.withColumn("_side", F.when(F.get(table, F.col("_q") - 1) == F.col("_o"), 1).otherwise(2)).drop("_o")
+
+
 def ordered_rank(
     df: DataFrame,
     key: str,
@@ -177,20 +215,17 @@ def ordered_rank(
     buckets: int | None = None,
 ) -> DataFrame:
     """1-based rank by ``(key, sample hash, id)``, exact also when one key holds most rows."""
-    keyed = _in_key_order(df, key, id_col, seed, buckets)
+    keyed = in_key_order(df, key, id_col, seed, buckets)
     return _rank(keyed, by, KEY_BUCKETS, [key, "_h", id_col], name).drop(*KEY_BUCKETS, "_h")
 
 
-def _in_key_order(df: DataFrame, key: str, id_col: str, seed: int, buckets: int | None) -> DataFrame:
+def in_key_order(df: DataFrame, key: str, id_col: str, seed: int, buckets: int | None) -> DataFrame:
     """Add ``KEY_BUCKETS``, which never fall where the key rises, and the sample hash ``_h``."""
-    # Rows at a bound all have that key, so that hash prefixes may divide them further; text is only compared by its
-    # first bytes there, but hardly repeats.
-    divisible = not isinstance(df.schema[key].dataType, (T.StringType, T.BinaryType))
-    prefix = F.substring("_h", 1, HOT_DIGITS) if divisible else F.lit("")
+    # Rows at a bound all have that key, so that hash prefixes may divide them further.
     return (
         quantile_bucket(df, key, quantile_bounds(df, key, buckets))
         .withColumn("_h", sample_hash(id_col, seed))
-        .withColumn("_s", F.when(F.col("_side") == 1, prefix).otherwise(F.lit("")))
+        .withColumn("_s", F.when(F.col("_side") == 1, F.substring("_h", 1, HOT_DIGITS)).otherwise(F.lit("")))
     )
 
 

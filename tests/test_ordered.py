@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from samplemill.functions.ids import sample_hash
 from samplemill.plans import ordered
 
 
@@ -79,3 +80,26 @@ def test_empty_input(spark):
     assert ordered.ordered_rank(df, "t", "id").count() == 0
     assert ordered.hash_cut(df, "id", [5]).count() == 0
     assert ordered.exact_quantiles(df.withColumn("g", F.lit(1)), "t", {"q": 0.5}, ["g"]).count() == 0
+
+
+def test_text_buckets_on_a_common_prefix(spark):
+    """200,000 ids that differ in their last ten characters only: no bucket has twice the mean."""
+    ids = spark.range(200_000).select(F.concat(F.lit("a-prefix-of-20-chars"), F.lpad(F.col("id").cast("string"), 10, "0")).alias("name"))
+    bounds = ordered.quantile_bounds(ids, "name", 64)
+    sizes = [r["count"] for r in ordered.quantile_bucket(ids, "name", bounds).groupBy("_q").count().collect()]
+    assert len(sizes) == 64 and max(sizes) < 2 * 200_000 / 64
+    assert ordered.name_rank(ids, "name").where(F.col("rank") != F.substring("name", 21, 10).cast("int") + 1).isEmpty()
+
+
+def test_text_order_with_ties_and_odd_strings(spark):
+    """Hot strings, strings beyond the longest bound, bytes, NULL, and characters of every length."""
+    rng = random.Random(4)
+    words = ["", "a", "ab", "é", "z\U0001F600", "\ue000", "hot", "hot", "x" * 1500 + "a", "x" * 1500 + "b", "x" * 1500, "q\"\\u\n", "\x01"]
+    rows = [(i, rng.choice(words) if rng.random() < 0.7 else "hot") for i in range(600)] + [(600, None)]
+    df = spark.createDataFrame(rows, "id int, t string")
+    for key, frame in (("t", df), ("b", df.withColumn("b", F.col("t").cast("binary")))):
+        for buckets in (2, 8, 64):
+            got = {r.id: r["rank"] for r in ordered.ordered_rank(frame, key, "id", buckets=buckets).collect()}
+            hashed = {r.id: r.h for r in df.select("id", sample_hash("id").alias("h")).collect()}
+            order = sorted((i for i, t in rows if t is not None), key=lambda i: (rows[i][1].encode(), hashed[i], i))
+            assert [got[i] for i in order] == list(range(1, 601)) and got[600] == 601
