@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from samplemill.functions.ids import as_column
 
@@ -15,6 +17,8 @@ from samplemill.functions.ids import as_column
 SPECIALS = ("<pad>", "<unk>", "<msk>", "<bos>", "<eos>", "<cls>", "<sep>")
 PAD, UNK, MSK, BOS, EOS, CLS, SEP = range(len(SPECIALS))
 RAW_WORD_BYTES = 16
+#: Contents that are converted to ids at once.
+ROWS_AT_ONCE = 500
 
 # One token: a hex prefix, a hex digit, a run of other word characters, or a single symbol.
 LISTING_TOKEN = r"0x|[0-9A-F]|[a-zG-Z_]+|[^a-zA-Z0-9_\s]"
@@ -56,13 +60,33 @@ def byte_ids(content: Column | str, bits: int = 8) -> Column:
     return F.pandas_udf(convert, "array<int>")(as_column(content).cast("binary"))
 
 
-def byte_ids_of_widths(content: Column | str, widths: Sequence[int]) -> Column:
-    """``byte_ids`` for several widths in one pass over the content: an array of arrays."""
+def with_byte_ids(df: DataFrame, content: str, widths: Sequence[int] = (8, 12, 16), name: str = "ids") -> DataFrame:
+    """``df`` with the columns ``ids_8``, ``ids_12`` and so on: ``byte_ids`` of several widths in one pass.
 
-    def convert(contents: pd.Series) -> pd.Series:
-        return contents.map(lambda b: None if b is None else [_integers(bytes(b), w) for w in widths])
-
-    return F.pandas_udf(convert, "array<array<int>>")(as_column(content).cast("binary"))
+    A batch of contents is converted as a whole: each list column is one flat array and its offsets.
+    """
+    if set(widths) - {8, 12, 16}:
+        raise ValueError(f"unsupported widths: {widths}")
+    schema = T.StructType([*df.schema.fields, *(T.StructField(f"{name}_{w}", T.ArrayType(T.IntegerType())) for w in widths)])
+    at = df.columns.index(content)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for i in range(0, whole.num_rows, ROWS_AT_ONCE):
+                batch = whole.slice(i, ROWS_AT_ONCE)
+                contents = batch.column(at).cast(pa.binary())
+                bodies = [b or b"" for b in contents.to_pylist()]
+                arrays = []
+                for bits in widths:
+                    group = {8: 1, 12: 3, 16: 2}[bits]
+                    flat = _integers(b"".join(b + bytes(-len(b) % group) for b in bodies), bits)
+                    per_group = {8: 1, 12: 2, 16: 1}[bits]
+                    sizes = [-(-len(b) // group) * per_group for b in bodies]
+                    offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32), mask=np.append(contents.is_null().to_numpy(zero_copy_only=False), False))
+                    arrays.append(pa.ListArray.from_arrays(offsets, pa.array(flat, pa.int32())))
+                yield pa.RecordBatch.from_arrays([*batch.columns, *arrays], names=schema.names)
+
+    return df.mapInArrow(run, schema)
 
 
 def _integers(b: bytes, bits: int) -> np.ndarray:

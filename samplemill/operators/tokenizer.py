@@ -1,29 +1,33 @@
 """Vocabulary training and encoding.
 
-Training works on the table of distinct words with their counts, which is all that a merge
-round has to read. The vocabulary is bounded by its requested size and is the only thing
-that reaches the driver.
+Training works on the table of distinct words with their counts and on postings of it, of which a
+merge round reads what it touches. The vocabulary is bounded by its requested size and is the only
+thing that reaches the driver.
 """
 
 from __future__ import annotations
 
-import re
-from collections.abc import Sequence
+from bisect import bisect_right
+from collections import Counter
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from dataclasses import dataclass, field
+from heapq import heappop, heappush
 from typing import NamedTuple
+from zlib import crc32
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from samplemill.functions.tokens import SPECIALS, UNK
-from samplemill.plans.session import cut
+from samplemill.plans.session import cut, work_path
 from samplemill.plans.staged import exploded
 
-MARK = "\x01"
-ROUNDS_PER_CUT = 16
 PAIRS_PER_ROUND = 256
 POOL = 4096
+#: Folders of postings.
+FOLDERS = 32
 CACHED_WORDS = 1_000_000
 
 
@@ -113,35 +117,138 @@ def _independent(pairs: Sequence[Pair], prefix: str, known: set[str], floor: int
     return [(r.a, r.b) for i, r in enumerate(taken) if i == 0 or r.n > barrier]
 
 
-def _merge(column: Column, merges: Sequence[tuple[str, str]], prefix: str) -> Column:
-    for a, b in merges:
-        pattern = MARK + re.escape(a) + MARK + re.escape(b) + f"(?={MARK})"
-        token = _joined(a, b, prefix).replace("\\", "\\\\").replace("$", "\\$")
-        column = F.regexp_replace(column, pattern, MARK + token)
-    return column
+def _ranks(merges: Sequence[tuple[str, str]]) -> dict[tuple[str, str], list[int]]:
+    """The places of every pair in the list of merges, ascending; a pair may be merged again later on."""
+    ranks: dict[tuple[str, str], list[int]] = {}
+    for i, pair in enumerate(merges):
+        ranks.setdefault(pair, []).append(i)
+    return ranks
 
 
-def _symbols(column: Column | str) -> Column:
-    return F.filter(F.split(column, MARK), lambda s: s != "")
-
-
-def _pairs(words: DataFrame) -> DataFrame:
-    """``(a, b, n)``: neighbouring symbols of ``(w, n)``, one row per occurrence."""
-    split = words.select(_symbols("w").alias("s"), "n")
-    pairs = F.arrays_zip(F.slice("s", 1, F.size("s") - 1).alias("a"), F.slice("s", 2, F.size("s")).alias("b"))
-    return exploded(split, pairs, "p", ["n"]).select("p.a", "p.b", "n")
+def merge_symbols(parts: list[str], ranks: dict[tuple[str, str], list[int]], prefix: str = "", again: bool = True) -> list[str]:
+    """Merge the adjacent pair of lowest rank, all its occurrences from the left, until none is known.
 
+    With ``again`` a merge may lead to pairs of a lower rank, which go next (encoding). Without it every merge
+    of the list is applied once, in order, which gives the symbols at that point of the training. Symbols are a linked
+    list, and pairs wait in a heap, so that a word of any length takes ``n log n`` steps.
+    """
+    n = len(parts)
+    after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+    heap: list[tuple[int, int, str, str]] = []
+
+    def offer(i: int, done: int) -> None:
+        j = after[i]
+        found = ranks.get((parts[i], parts[j])) if j < n else None
+        if found is not None:
+            at = 0 if again else bisect_right(found, done)
+            if at < len(found):
+                heappush(heap, (found[at], i, parts[i], parts[j]))
+
+    for i in range(n - 1):
+        offer(i, -1)
+    while heap:
+        rank, changed = heap[0][0], []
+        while heap and heap[0][0] == rank:
+            _, i, a, b = heappop(heap)
+            j = after[i]
+            if parts[i] != a or j >= n or parts[j] != b:
+                continue
+            parts[i], parts[j], after[i] = _joined(a, b, prefix), "", after[j]
+            if after[j] < n:
+                before[after[j]] = i
+            changed.append(i)
+        for i in changed:
+            offer(i, rank)
+            if before[i] >= 0:
+                offer(before[i], rank)
+    return [p for p in parts if p]
+
+
+def _letters(word: str, prefix: str) -> list[str]:
+    return [c if i == 0 else prefix + c for i, c in enumerate(word)]
+
+
+#: Changed pairs that a task holds before it passes them on.
+HELD_PAIRS = 200_000
+
+
+def _counted(words: DataFrame, changes: Callable[[str], Iterable[tuple[tuple[str, str], int]]]) -> DataFrame:
+    """``(a, b, n)``: what ``changes`` says of the pairs of every word ``(word, n)``, times the word's count."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: Counter = Counter()
+
+        def rows() -> pa.RecordBatch:
+            a, b = zip(*found) if found else ((), ())
+            arrays = [pa.array(a, pa.string()), pa.array(b, pa.string()), pa.array(found.values(), pa.int64())]
+            return pa.RecordBatch.from_arrays(arrays, names=["a", "b", "n"])
+
+        for batch in batches:
+            for word, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                for pair, times in changes(word):
+                    found[pair] += n * times
+            if len(found) > HELD_PAIRS:
+                yield rows()
+                found.clear()
+        yield rows()
+
+    pairs = words.select("word", "n").mapInArrow(run, "a string, b string, n bigint")
+    return pairs.groupBy("a", "b").agg(F.sum("n").alias("n"))
+
+
+def _pair_counts(words: DataFrame, merges: Sequence[tuple[str, str]], prefix: str) -> DataFrame:
+    """Neighbouring symbols of all words after the given merges."""
+    ranks = _ranks(merges)
+
+    def pairs(word: str) -> Iterable[tuple[tuple[str, str], int]]:
+        parts = merge_symbols(_letters(word, prefix), ranks, prefix, False)
+        return ((p, 1) for p in zip(parts, parts[1:]))
+
+    return _counted(words, pairs).where("n > 0")
+
+
+class _Index:
+    """The words by the pairs of letters in them: a posting is the word itself, in the folder of its pair of letters.
+
+    Symbols of a word are a function of the word and the merges so far, so no round ever rewrites it. A merge of two
+    symbols happens only in words that have the last letter of the first next to the first letter of the second, and
+    a round reads only the folders of such pairs of letters.
+    """
 
-def _summed(pairs: DataFrame) -> DataFrame:
-    return pairs.groupBy("a", "b").agg(F.sum("n").alias("n")).where("n > 0")
+    def __init__(self, words: DataFrame, prefix: str):
+        self.prefix = prefix
+        grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("word") - 1), lambda i: F.substring(F.col("word"), i, F.lit(2))))
+        rows = exploded(words.where(F.length("word") > 1), grams, "gram", ["word", "n"])
+        rows = rows.withColumn("g", self._folder(F.col("gram")))
+        # A folder is written by several tasks, as a pair of letters may be in many words.
+        writers = 1 + 2 * int(words.sparkSession.conf.get("spark.sql.shuffle.partitions")) // FOLDERS
+        spread = F.pmod(F.xxhash64("word"), F.lit(writers))
+        path = work_path(words.sparkSession, "postings")
+        rows.repartition("g", spread).sortWithinPartitions("g", "gram").write.partitionBy("g").parquet(path)
+        self.rows = words.sparkSession.read.schema("word string, n bigint, gram string, g int").parquet(path)
+
+    @staticmethod
+    def _folder(gram: Column) -> Column:
+        return (F.crc32(gram.cast("binary")) % FOLDERS).cast("int")
+
+    def words_with(self, pairs: Sequence[tuple[str, str]]) -> DataFrame:
+        """``(word, n)`` of all words that may have one of the pairs, once each."""
+        raw = [tuple(x.removeprefix(self.prefix) for x in pair) for pair in pairs]
+        grams = [a[-1] + b[0] for a, b in raw]
+        # Of the postings of a word, that of the first pair that it has counts.
+        first = F.lit(None).cast("string")
+        for (a, b), gram in reversed(list(zip(raw, grams))):
+            first = F.when(F.contains("word", F.lit(a + b)), F.lit(gram)).otherwise(first)
+        folders = {crc32(g.encode()) % FOLDERS for g in grams}
+        here = F.col("g").isin(sorted(folders)) & F.col("gram").isin(sorted(set(grams)))
+        return self.rows.where(here & (F.col("gram") == first)).select("word", "n")
 
 
 class _Pool:
     """The most frequent pairs with their exact counts; all other pairs have ``floor`` at most."""
 
-    def __init__(self, words: DataFrame, prefix: str, max_length: int | None):
+    def __init__(self, counted: DataFrame, prefix: str, max_length: int | None):
         self.prefix, self.max_length = prefix, max_length
-        counted = _summed(_pairs(words))
         if max_length is not None:
             counted = counted.where(F.length("a") + F.length("b") - len(prefix) <= max_length)
         rows = counted.orderBy(F.desc("n"), "a", "b").limit(POOL + 1).collect()
@@ -153,92 +260,93 @@ class _Pool:
         pairs = [Pair(a, b, n) for (a, b), n in self.counts.items() if n > self.floor]
         return sorted(pairs, key=lambda p: (-p.n, p.a, p.b))[:PAIRS_PER_ROUND]
 
-    def apply(self, changes: Sequence) -> None:
-        """Count changes of a round. A pair with a new token has all its occurrences among them."""
+    def apply(self, changes: Sequence, fresh: set[str]) -> None:
+        """Count changes of a round, after which ``fresh`` are new tokens: their pairs have all occurrences among the changes."""
+        floor = self.floor
         for a, b, n in changes:
             if (a, b) in self.counts:
                 self.counts[a, b] += n
-            elif n > self.floor and (self.max_length is None or len(a) + len(b) - len(self.prefix) <= self.max_length):
-                self.counts[a, b] = n
+            elif self.max_length is None or len(a) + len(b) - len(self.prefix) <= self.max_length:
+                if a not in fresh and b not in fresh:
+                    # A second way to spell an old token adds to pairs outside the pool.
+                    floor = max(floor, self.floor + n)
+                elif n > self.floor:
+                    self.counts[a, b] = n
+        self.floor = floor
 
 
 def train_merges(
     counts: DataFrame,
-    size: int,
+    size: int | None = None,
     max_length: int | None = None,
     prefix: str = "",
     specials: Sequence[str] = SPECIALS,
+    merges: int | None = None,
 ) -> Merges:
-    """Byte-pair vocabulary of ``size`` entries beyond the specials, from ``(word, n)``.
+    """Byte-pair vocabulary from ``(word, n)``: of ``size`` entries beyond the specials, or with ``merges`` merged pairs.
 
     The pairs of all words are counted once, and the ``POOL`` most frequent ones kept. Every round merges the most
     frequent pair, ties by text, together with all following pairs that do not interact with it, and counts pairs
-    only in the words that changed, before and after. Pairs outside the pool can only become rarer, so all is counted
-    again no sooner than the best pair is as rare as those may be. With ``prefix`` symbols inside a word carry a
-    continuation mark. The driver holds the pool and per round the changes, which the vocabulary bounds.
+    only in the words that have one of them, before and after. Such words are found by postings. Pairs outside the pool
+    have a bound that changes raise, so all is counted again no sooner than the best pair is as rare as that. With
+    ``prefix`` symbols inside a word carry a continuation mark. The driver holds the pool and per round the changes,
+    which the vocabulary bounds.
     """
+    if (size is None) == (merges is None):
+        raise ValueError("either the size of the vocabulary or the number of merges")
+    # A word table is small, so the number of tasks is set here instead of being left to its size in bytes.
+    tasks = int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    words = cut(counts.where(F.length("word") > 0).select("word", "n").repartition(tasks, "word"), "words")
     symbols = F.regexp_extract_all("word", F.lit("(?s)."), F.lit(0))
     if prefix:
         symbols = F.transform(symbols, lambda c, i: F.when(i == 0, c).otherwise(F.concat(F.lit(prefix), c)))
-    words = counts.where(F.length("word") > 0).select(
-        F.concat(F.lit(MARK), F.array_join(symbols, MARK), F.lit(MARK)).alias("w"), "n"
-    )
-    # A word table is small, so the number of tasks is set here instead of being left to its size in bytes.
-    tasks = int(words.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    words = cut(words.repartition(tasks, "w"), "words")
-    alphabet = [r.s for r in words.select(F.explode(F.array_distinct(_symbols("w"))).alias("s")).distinct().collect()]
+    alphabet = [r.s for r in words.select(F.explode(F.array_distinct(symbols)).alias("s")).distinct().collect()]
     tokens = [*specials, *sorted(alphabet)]
-    merges: list[tuple[str, str]] = []
-    known = set(tokens)
-    pool = _Pool(words, prefix, max_length)
-    old_words: list[DataFrame] = []
-    rounds = 0
-    while len(tokens) < size + len(specials):
+    known, done = set(tokens), []
+    index = _Index(words, prefix)
+    pool = _Pool(_pair_counts(words, done, prefix), prefix, max_length)
+
+    def missing() -> int:
+        return merges - len(done) if size is None else size + len(specials) - len(tokens)
+
+    while missing() > 0:
         top = pool.best()
         if not top and pool.floor:
-            pool = _Pool(words, prefix, max_length)
+            pool = _Pool(_pair_counts(words, done, prefix), prefix, max_length)
             top = pool.best() or [Pair(a, b, n) for (a, b), n in pool.counts.items()][:1]
         if not top:
             break
         floor = top[-1].n if len(top) == PAIRS_PER_ROUND else pool.floor
-        chosen = _independent(top, prefix, known, floor)[: size + len(specials) - len(tokens)]
-        repeated = False
-        for a, b in chosen:
-            merges.append((a, b))
-            token = _joined(a, b, prefix)
-            repeated |= token in known
+        chosen = _independent(top, prefix, known, floor)[: missing()]
+        fresh = {_joined(a, b, prefix) for a, b in chosen} - known
+        if missing() > len(chosen):
+            pool.apply(_changes(index.words_with(chosen), done, chosen, prefix).collect(), fresh)
+        done += chosen
+        for token in (_joined(a, b, prefix) for a, b in chosen):
             if token not in known:
                 known.add(token)
                 tokens.append(token)
-        touched = F.lit(False)
-        for a, b in chosen:
-            touched = touched | F.col("w").contains(f"{MARK}{a}{MARK}{b}{MARK}")
-        merged = _merge(F.col("w"), chosen, prefix)
-        if not repeated:
-            sides = F.array(F.struct(merged.alias("w"), "n"), F.struct("w", (-F.col("n")).alias("n")))
-            changed = words.where(touched).select(F.explode(sides).alias("x")).select("x.w", "x.n")
-            pool.apply(_pairs(changed).groupBy("a", "b").agg(F.sum("n").alias("n")).where("n <> 0").collect())
-        # Counting has filled the words it read; the table those were made of can go.
-        while len(old_words) > 1:
-            old_words.pop(0).unpersist()
-        words = words.withColumn("w", F.when(touched, merged).otherwise(F.col("w")))
-        rounds += 1
-        if rounds % ROUNDS_PER_CUT:
-            words = words.persist()
-            old_words.append(words)
-        else:
-            words = cut(words, "words")
-        if repeated:
-            # A second way to spell an old token adds to pairs that may lie outside the pool.
-            pool = _Pool(words, prefix, max_length)
-    for df in old_words:
-        df.unpersist()
-    return Merges(tokens, merges, prefix)
+    return Merges(tokens, done, prefix)
+
+
+def _changes(words: DataFrame, done: Sequence[tuple[str, str]], chosen: Sequence[tuple[str, str]], prefix: str) -> DataFrame:
+    """``(a, b, n)``: by how much the count of a pair differs once ``chosen`` are merged, too."""
+    ranks, more = _ranks(done), _ranks(chosen)
+
+    def pairs(word: str) -> Iterable[tuple[tuple[str, str], int]]:
+        old = merge_symbols(_letters(word, prefix), ranks, prefix, False)
+        new = merge_symbols(list(old), more, prefix, False)
+        if len(old) == len(new):
+            return
+        for parts, sign in ((old, -1), (new, 1)):
+            yield from ((p, sign) for p in zip(parts, parts[1:]))
+
+    return _counted(words, pairs).where("n <> 0")
 
 
 def encode_merges(df: DataFrame, words: str, model: Merges, out: str = "input_ids") -> DataFrame:
     """Apply a trained vocabulary to word arrays. Map-only; each task caches the words it has seen."""
-    ranks = {pair: i for i, pair in reversed(list(enumerate(model.merges)))}
+    ranks = _ranks(model.merges)
     shared = df.sparkSession.sparkContext.broadcast((model.ids, ranks, model.prefix))
 
     @F.pandas_udf("array<int>")
@@ -251,7 +359,7 @@ def encode_merges(df: DataFrame, words: str, model: Merges, out: str = "input_id
             if found is None:
                 if len(cache) >= CACHED_WORDS:
                     cache.clear()
-                found = cache[word] = [ids.get(s, UNK) for s in _apply(word, known_ranks, prefix)]
+                found = cache[word] = [ids.get(s, UNK) for s in merge_symbols(_letters(word, prefix), known_ranks, prefix)]
             return found
 
         return batches.map(lambda ws: None if ws is None else [i for w in ws if w for i in ids_of(w)])
@@ -259,26 +367,6 @@ def encode_merges(df: DataFrame, words: str, model: Merges, out: str = "input_id
     return df.withColumn(out, encode(F.col(words)))
 
 
-def _apply(word: str, ranks: dict[tuple[str, str], int], prefix: str) -> list[str]:
-    """Merge the adjacent pair of lowest rank until none is known."""
-    parts = [c if i == 0 else prefix + c for i, c in enumerate(word)]
-    while len(parts) > 1:
-        known = [(ranks[p], p) for p in zip(parts, parts[1:]) if p in ranks]
-        if not known:
-            break
-        a, b = min(known)[1]
-        merged, i = [], 0
-        while i < len(parts):
-            if parts[i : i + 2] == [a, b]:
-                merged.append(_joined(a, b, prefix))
-                i += 2
-            else:
-                merged.append(parts[i])
-                i += 1
-        parts = merged
-    return parts
-
-
 def length_sweep(df: DataFrame, encoded: dict[str, str]) -> DataFrame:
     """Sequence lengths under several tokenisers side by side: ``(config, length, n)``."""
     sizes = F.array(*[F.struct(F.lit(k).alias("config"), F.size(c).alias("length")) for k, c in encoded.items()])

@@ -75,13 +75,8 @@ def alphabet_counts(spark, sf):
 
 
 def trained(spark, sf, prefix: str = ""):
-    """A vocabulary of the whole alphabet and ``MERGES`` merges; the word counts are stored, as they are read twice."""
-    counts = cut(alphabet_counts(spark, sf), "counts")
-    chars = F.regexp_extract_all("word", F.lit("(?s)."), F.lit(0))
-    if prefix:
-        chars = F.transform(chars, lambda c, i: F.when(i == 0, c).otherwise(F.concat(F.lit(prefix), c)))
-    alphabet = counts.select(F.explode(F.array_distinct(chars)).alias("c")).agg(F.count_distinct("c")).first()[0]
-    return tokenizer.train_merges(counts, alphabet + MERGES, max_length=8, prefix=prefix)
+    """A vocabulary of the whole alphabet and ``MERGES`` merges."""
+    return tokenizer.train_merges(alphabet_counts(spark, sf), max_length=8, prefix=prefix, merges=MERGES)
 
 
 def merge_table(spark, model):
@@ -89,23 +84,50 @@ def merge_table(spark, model):
     return spark.createDataFrame(rows, "rank int, first string, second string")
 
 
-@query()
+def merged_sql(prefix: str = "") -> str:
+    """Tables of one merge after the other over all distinct words; symbols stand between chr(1) and chr(2)."""
+    return f"""{WORDS},
+  st AS (SELECT 0 AS rank, word, n, '' AS a, '' AS b, array_to_string(list_transform(regexp_extract_all(word, '(?s).'),
+      lambda x, i: chr(1) || CASE WHEN i = 1 THEN '' ELSE '{prefix}' END || x || chr(2)), '') AS s FROM c WHERE word <> ''
+    UNION ALL
+    SELECT rank + 1, word, n, p.a, p.b, replace(s, chr(1) || p.a || chr(2) || chr(1) || p.b || chr(2), chr(1) || p.a || substr(p.b, {len(prefix) + 1}) || chr(2))
+    FROM st, (SELECT a, b FROM (SELECT n, unnest(x[:-2]) AS a, unnest(x[2:]) AS b FROM (SELECT n, string_split(substr(s, 2, length(s) - 2), chr(2) || chr(1)) AS x FROM st))
+      WHERE length(a) + length(b) <= {8 + len(prefix)} GROUP BY a, b ORDER BY sum(n) DESC, a, b LIMIT 1) AS p
+    WHERE rank < {MERGES}),
+  m AS (SELECT DISTINCT rank - 1 AS rank, a AS first, b AS second FROM st WHERE rank > 0)"""
+
+
+MERGE_IDS = f"""{merged_sql()},
+  alphabet AS (SELECT DISTINCT unnest(regexp_extract_all(word, '(?s).')) AS token FROM c),
+  ids AS (SELECT token, row_number() OVER (ORDER BY rank, token) + 6 AS token_id
+    FROM (SELECT token, -1 AS rank FROM alphabet UNION ALL SELECT first || second, rank FROM m)),
+  parts AS (SELECT word, k, token_id FROM (SELECT word, unnest(x) AS token, generate_subscripts(x, 1) AS k
+      FROM (SELECT word, string_split(substr(s, 2, length(s) - 2), chr(2) || chr(1)) AS x FROM st WHERE rank = {MERGES})) JOIN ids USING (token)),
+  coded AS (SELECT doc_id, count(*) AS n_ids, md5(string_agg(token_id, ',' ORDER BY pos, k)) AS digest FROM f JOIN parts USING (word) GROUP BY doc_id)"""
+
+
+@query(f"WITH RECURSIVE {merged_sql()} SELECT CAST(rank AS INT) AS rank, first, second FROM m")
 def tok6_train_merges(spark, sf):
     return merge_table(spark, trained(spark, sf))
 
 
-@query()
+@query(f"""WITH RECURSIVE {MERGE_IDS}
+  SELECT doc_id, CAST(coalesce(n_ids, 0) AS INT) AS n_ids, coalesce(digest, md5('')) AS digest FROM w LEFT JOIN coded USING (doc_id)""")
 def tok7_apply_merges(spark, sf):
     docs = tokenizer.encode_merges(words(spark, sf), "words", trained(spark, sf))
     return docs.select("doc_id", F.size("input_ids").alias("n_ids"), F.md5(joined(F.col("input_ids").cast("array<string>"))).alias("digest"))
 
 
-@query()
+@query(f"WITH RECURSIVE {merged_sql('##')} SELECT CAST(rank AS INT) AS rank, first, second FROM m")
 def tok8_continuation_merges(spark, sf):
     return merge_table(spark, trained(spark, sf, "##"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {MERGE_IDS}, sizes AS (
+    SELECT 'words' AS config, len(words) AS length FROM w
+    UNION ALL SELECT 'merges', coalesce(n_ids, 0) FROM w LEFT JOIN coded USING (doc_id)
+    UNION ALL SELECT 'bytes', octet_length(encode(text)) FROM documents)
+  SELECT config, CAST(length AS INT) AS length, count(*) AS n FROM sizes GROUP BY ALL""")
 def tok9_length_sweep(spark, sf):
     """Sequence lengths of the documents under three tokenisers."""
     vocabulary = cut(tokenizer.word_vocabulary(alphabet_counts(spark, sf), 500), "vocabulary")
@@ -171,15 +193,16 @@ HEXIDS = """b AS (SELECT doc_id, regexp_extract_all(hex(encode(text)), '..') AS
     CAST(list_sum(list_transform(ids, lambda x, i: CAST(x AS BIGINT) * i)) AS BIGINT) AS weighted FROM v""")
 def sc11_byte_ids(spark, sf):
     """Integers of three widths, compared by number, sum and position-weighted sum."""
-    widths = (8, 12, 16)
     zero = F.lit(0).cast("bigint")
-    found = texts(spark, sf, "doc_id", "text").select("doc_id", F.posexplode(tk.byte_ids_of_widths("text", widths)).alias("_w", "ids"))
-    parts = found.withColumn("bits", F.element_at(F.array(*[F.lit(w) for w in widths]), F.col("_w") + 1))
-    weighted = F.zip_with("ids", F.sequence(F.lit(1), F.size("ids")), lambda x, i: x.cast("bigint") * i)
-    return parts.select(
-        "doc_id", "bits", F.size("ids").alias("n"), F.aggregate("ids", zero, lambda acc, x: acc + x).alias("total"),
-        F.aggregate(weighted, zero, lambda acc, x: acc + x).alias("weighted"),
-    )
+    found = tk.with_byte_ids(texts(spark, sf, "doc_id", "text"), "text")
+
+    def summary(bits: int):
+        ids = F.col(f"ids_{bits}")
+        total = F.aggregate(ids, zero, lambda acc, x: acc + x)
+        weighted = F.aggregate(F.transform(ids, lambda x, i: x.cast("bigint") * (i + 1)), zero, lambda acc, x: acc + x)
+        return F.struct(F.lit(bits).alias("bits"), F.size(ids).alias("n"), total.alias("total"), weighted.alias("weighted"))
+
+    return found.select("doc_id", F.explode(F.array(*[summary(w) for w in (8, 16, 12)])).alias("s")).select("doc_id", "s.*")
 
 
 @query(f"""WITH {HEXIDS} SELECT doc_id, array_to_string(list_concat(list_concat([3], list_transform(ids, lambda v: v + 7))[1:31], [4]), ',') AS ids FROM x""")

@@ -1,5 +1,7 @@
 """Vocabulary training and encoding against one-by-one merging."""
 
+import random
+import time
 from collections import Counter
 
 import pytest
@@ -70,6 +72,62 @@ def test_independent_pairs_stop_at_shared_symbols():
     assert tokenizer._independent([P("a", "b", 5), P("x", "y", 4)], "", set(), 4) == [("a", "b")]
 
 
+def test_five_hundred_merges(spark):
+    rng = random.Random(7)
+    words = ["".join(rng.choices("abcdefgh\U0001F600é", weights=[9, 7, 5, 4, 3, 2, 2, 1, 1, 1], k=rng.randint(1, 14))) for _ in range(3000)]
+    df = spark.createDataFrame([(words,)], "words array<string>")
+    model = tokenizer.train_merges(tokenizer.word_counts(df, "words"), merges=500)
+    _, merges, parts = sequential(words, 500 + len(set("".join(words))), None, "")
+    assert len(merges) == 500 and model.merges == merges
+    names = {i: t for t, i in model.ids.items()}
+    encoded = tokenizer.encode_merges(df, "words", model).first().input_ids
+    assert [names[i] for i in encoded] == [s for w in words for s in parts[w]]
+
+
+def test_a_round_reads_the_postings_of_its_pairs(spark):
+    words = spark.createDataFrame([(f"{a}{b}{c}", 1) for a in "abcdefghij" for b in "klmnopqrst" for c in "uvwxyz0123"], "word string, n bigint")
+    index = tokenizer._Index(words, "")
+    found = index.words_with([("a", "k"), ("b", "k")])
+    assert sorted(r.word for r in found.collect()) == sorted(f"{a}k{c}" for a in "ab" for c in "uvwxyz0123")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [g#" in plan and "In(gram, [ak,bk])" in plan
+    # A word with both pairs comes once.
+    both = tokenizer._Index(spark.createDataFrame([("akbk", 3)], "word string, n bigint"), "")
+    assert [tuple(r) for r in both.words_with([("a", "k"), ("b", "k")]).collect()] == [("akbk", 3)]
+
+
+def test_long_words_merge_in_little_time():
+    rng = random.Random(1)
+    word = "".join(rng.choices("ab", k=100_000))
+    ranks = tokenizer._ranks([("a", "b"), ("ab", "a"), ("b", "b"), ("aba", "ab"), ("bb", "bb")])
+    start = time.time()
+    parts = tokenizer.merge_symbols(list(word), ranks)
+    assert time.time() - start < 1 and "".join(parts) == word
+
+
+@pytest.mark.parametrize("again", [True, False])
+def test_merging_with_second_spellings(again):
+    """Against rescanning: pairs of a lower rank may come up again, or every merge counts once."""
+    rng = random.Random(5)
+    merges = [("a", "b"), ("b", "c"), ("a", "bc"), ("abc", "d"), ("abc", "abc"), ("ab", "c"), ("c", "c"), ("abc", "d"), ("d", "abc")]
+    ranks = tokenizer._ranks(merges)
+    for _ in range(2000):
+        word = "".join(rng.choices("abcd", k=rng.randint(0, 14)))
+        parts, at = list(word), -1
+        while True:
+            known = [(r, p) for p in zip(parts, parts[1:]) for r in ranks.get(p, ()) if again or r > at]
+            if not known:
+                break
+            at, (a, b) = min(known)
+            out, i = [], 0
+            while i < len(parts):
+                step = 2 if parts[i : i + 2] == [a, b] else 1
+                out.append("".join(parts[i : i + step]))
+                i += step
+            parts = out
+        assert tokenizer.merge_symbols(list(word), ranks, "", again) == parts, word
+
+
 @pytest.mark.parametrize("pool", [1, 3, 10])
 def test_a_small_pool_is_filled_again(spark, monkeypatch, pool):
     monkeypatch.setattr(tokenizer, "POOL", pool)
