@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from samplemill.functions.reports import id_mismatch
 from samplemill.operators.filters import keep_ids
 from samplemill.plans.session import work_path
 from samplemill.plans.staged import side_by_side
@@ -110,10 +112,37 @@ def src7_snk4_id_maps(spark, sf):
     return files.read_id_map(spark, paths)
 
 
+@query("""SELECT CAST(o_orderkey AS VARCHAR) AS id, CASE WHEN o_orderstatus = 'F' THEN 'a "quoted", {open' || chr(92) || ' value' ELSE o_orderpriority || ',[' || o_custkey || '],' END AS value FROM orders""")
+def src7_object_map(spark, sf):
+    """All orders in one JSON object on one line; values have commas, quotes, brackets and backslashes."""
+    path = work_path(spark, "objectmap")
+    odd = F.concat(F.lit('a "quoted", {open\\ value'))
+    plain = F.concat("o_orderpriority", F.lit(",["), "o_custkey", F.lit("],"))
+    orders = table(spark, sf, "orders").select("o_orderkey", F.when(F.col("o_orderstatus") == "F", odd).otherwise(plain).alias("value"))
+    sinks.write_object_map(orders, path, "o_orderkey", "value")
+    return files.read_id_map(spark, [path], "string", layout="object")
+
+
+@query("SELECT count(*) AS n, TRUE AS in_order FROM orders")
+def snk4_sorted_lines(spark, sf):
+    """Lines of an id map in the order in which they stand in its files: sorted within each, and from file to file."""
+    path = work_path(spark, "idmap")
+    sinks.write_id_map(table(spark, sf, "orders").select("o_orderkey", "o_custkey"), path, "o_orderkey", "o_custkey")
+    lines = spark.read.text(path).select(
+        F.get(F.map_keys(F.from_json("value", "map<string,bigint>")), F.lit(0)).cast("bigint").alias("id"),
+        F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"),
+    )
+    inside = Window.partitionBy("file", "block").orderBy("at")
+    lines = lines.withColumn("ok", F.coalesce(F.lag("id").over(inside) < F.col("id"), F.lit(True)))
+    blocks = lines.groupBy("file", "block").agg(F.count(F.lit(1)).alias("n"), F.bool_and("ok").alias("ok"), F.min("id").alias("lo"), F.max("id").alias("hi"))
+    after = F.coalesce(F.lag("hi").over(Window.partitionBy().orderBy("file", "block")) < F.col("lo"), F.lit(True))
+    return blocks.withColumn("ok", F.col("ok") & after).agg(F.sum("n").alias("n"), F.bool_and("ok").alias("in_order"))
+
+
 @query("""WITH v AS (SELECT l_orderkey AS id, l_returnflag || l_linestatus AS value, count(*) AS n FROM lineitem GROUP BY ALL),
   g AS (SELECT id, string_agg(value, ',' ORDER BY n DESC, value) AS names FROM v GROUP BY id)
   SELECT CASE WHEN substr(o_orderpriority, 1, 1) NOT IN ('1', '5') THEN names END AS labels, count(*) AS n FROM g JOIN orders ON o_orderkey = id GROUP BY 1""")
-def src8_report_files(spark, sf):
+def src8_report_lines(spark, sf):
     """Threat reports written as JSON lines and read back with broken and incomplete ones among them."""
     path = work_path(spark, "reports")
     threat_reports(spark, sf).select(F.col("text").alias("value")).write.text(path)
@@ -122,6 +151,28 @@ def src8_report_files(spark, sf):
     return labels.groupBy("labels").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("""WITH v AS (SELECT l_suppkey AS id, l_returnflag || l_linestatus AS value, count(*) AS n FROM lineitem GROUP BY ALL),
+  g AS (SELECT id, string_agg(value, ',' ORDER BY n DESC, value) AS names FROM v GROUP BY id)
+  SELECT 'supplier' || id AS id, CASE WHEN id % 5 > 1 THEN names END AS labels, id % 5 IN (0, 2) AS misnamed FROM g""")
+def src8_report_files(spark, sf):
+    """One report per file, its id from the file's name: some are cut off, some lack their votes, some name another id."""
+    path = work_path(spark, "reports")
+    votes = table(spark, sf, "lineitem").groupBy("l_suppkey", F.concat("l_returnflag", "l_linestatus").alias("value")).agg(F.count(F.lit(1)).alias("count"))
+    listed = votes.groupBy("l_suppkey").agg(F.sort_array(F.collect_list(F.struct("value", "count"))).alias("names"))
+    name, kind = F.concat(F.lit("supplier"), "l_suppkey"), F.col("l_suppkey") % 5
+    attributes = F.struct(
+        F.when(kind != 1, F.struct(F.col("names").alias("popular_threat_name"))).alias("popular_threat_classification"),
+        F.when(kind == 2, "another").otherwise(name).alias("sha256"),
+    )
+    body = F.to_json(F.struct(F.struct(attributes.alias("attributes")).alias("data")))
+    body = F.when(kind == 0, F.substring(body, F.lit(1), F.length(body) - 5)).otherwise(body)
+    sinks.write_files(listed.select(F.concat(name, F.lit(".json")).alias("file"), body.alias("body")), path, "file", "body")
+    reports = files.read_texts(spark, path, "*.json")
+    labels = lb.report_labels(reports, "name").select("id", joined("labels").alias("labels"))
+    wrong = reports.select(F.col("id").alias("i"), id_mismatch("text", "id").alias("misnamed"))
+    return labels.join(wrong, F.col("id") == F.col("i")).select("id", "labels", "misnamed")
+
+
 @query("""WITH n AS (SELECT l_orderkey AS id, CAST(count(DISTINCT (l_returnflag, CASE WHEN l_linestatus = 'F' THEN 's' || (l_suppkey % 3) ELSE 's' || (l_suppkey % 3) || ':p' || (l_partkey % 2) END)) AS INT) AS n FROM lineitem GROUP BY 1)
   SELECT CAST(id AS VARCHAR) AS id, n AS flagged, n AS n_votes FROM n""")
 def src9_vote_file(spark, sf):

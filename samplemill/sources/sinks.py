@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from samplemill.functions.ids import id_prefix, sample_hash
-from samplemill.plans.session import shared_dir
+from samplemill.plans.session import cut, shared_dir
 
 
 def write_by_prefix(df: DataFrame, path: str, id_col: str, digits: int = 2, files: int = 4) -> None:
@@ -58,6 +59,43 @@ def write_id_map(df: DataFrame, path: str, id_col: str, value: str) -> None:
     df.orderBy(id_col).select(entry.alias("value")).write.text(path)
 
 
+def write_object_map(df: DataFrame, path: str, id_col: str, value: str) -> None:
+    """One file with one JSON object ``{id: value, ...}`` on one line, sorted by id.
+
+    Rows are sorted by all tasks; one task writes the file, as a file has one writer.
+    """
+    entry = F.concat(F.to_json(F.array(F.col(id_col).cast("string"))), F.lit(":"), F.to_json(F.array(value)))
+    # Both come as arrays of one element, whose brackets go.
+    entry = F.regexp_replace(entry, r'^\["(.*)"\]:\[(.*)\]$', '"$1":$2')
+    place = F.monotonically_increasing_id()
+    rows = df.orderBy(id_col).select(place.alias("_p"), entry.alias("value"))
+    spark = df.sparkSession
+    ends = spark.createDataFrame([(-1, "{"), (1 << 62, "}")], "_p bigint, value string")
+    lines = cut(rows, "entries").unionByName(ends).coalesce(1).sortWithinPartitions("_p")
+    # The first entry follows the bracket, all others a comma. Blanks between them are part of no entry.
+    first = F.lag("value").over(Window.partitionBy().orderBy("_p")) == "{"
+    mark = F.when(first | (F.col("_p") < 0) | (F.col("_p") == 1 << 62), "").otherwise(",")
+    lines.select(F.concat(mark, "value").alias("value")).write.text(path, lineSep=" ")
+
+
+def write_files(df: DataFrame, path: str, name: str, content: str) -> None:
+    """One file per row below ``path``, named by a column. A task that runs again writes the same files again."""
+    fields = df.select(F.col(name).cast("string").alias("name"), F.col(content).cast("binary").alias("content"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        target, root = fs.FileSystem.from_uri(path if ":" in path else f"file://{path}")
+        target.create_dir(root, recursive=True)
+        for batch in batches:
+            for file, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                with target.open_output_stream(f"{root}/{file}") as out:
+                    out.write(body or b"")
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], names=["n"])
+
+    fields.mapInArrow(run, "n bigint").agg(F.sum("n")).collect()
+
+
 def keep_lines(spark: SparkSession, source: str, target: str, ids: DataFrame, key: str = "id") -> None:
     """Copy the lines whose first word is a listed id."""
     lines = spark.read.text(source).withColumn(key, F.substring_index("value", " ", 1))
