@@ -2,16 +2,12 @@
 
 from __future__ import annotations
 
-import re
-
 import unicodedata
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from samplemill.functions.ids import as_column
+from samplemill.functions.ids import as_column, bound
 
 # Letters that have no decomposition, with their ASCII spelling.
 LIGATURES = {
@@ -111,36 +107,60 @@ def printable_bytes(content: Column | str) -> Column:
     return F.replace(F.translate(latin1(content), source, target), F.lit("\x00"), F.lit(chr(OFFSET)))
 
 
-#: What may change how the following characters are written.
-MARKS = re.compile(r"0x|fun_|[\W_]")
-
-
-def _raised(text: str) -> str:
-    """Two switches: ``0x`` turns the hex one on until a character that is no letter or digit, ``fun_`` the name one
-    until a ``(`` that does not already end a hex run. Characters after either are upper case; marks are not."""
-    out, at, in_hex, in_name = [], 0, False, False
-    for mark in MARKS.finditer(text):
-        piece, found = text[at : mark.start()], mark.group()
-        at = mark.end()
-        if found == "fun_":
-            piece, found = piece + "fun", "_"
-        out.append(piece.upper() if in_hex or in_name else piece)
-        if mark.group() == "0x":
-            in_hex = True
-        elif mark.group() == "fun_":
-            in_name = True
-        elif in_hex:
-            in_hex = False
-        elif found == "(":
-            in_name = False
-        elif in_name:
-            found = found.upper()
-        out.append(found)
-    out.append(text[at:].upper() if in_hex or in_name else text[at:])
-    return "".join(out)
-
-
-@F.pandas_udf(T.StringType())
-def capitalize_hex(texts: pd.Series) -> pd.Series:
-    """Upper-case the digits after ``0x`` and the name after ``fun_`` up to ``(``."""
-    return texts.map(_raised, na_action="ignore")
+#: What a text consists of here: marks that may change how the following characters are written, and runs without one.
+PIECES = r"0x|fun_|[^\p{L}\p{N}]|(?:(?!0x|fun_)[\p{L}\p{N}])++"
+#: Pieces that are put together at once.
+PIECES_AT_ONCE = 256
+
+
+def capitalize_hex(text: Column | str) -> Column:
+    """Upper-case the digits after ``0x`` and the name after ``fun_`` up to ``(``.
+
+    Two switches: ``0x`` turns the hex one on until a character that is no letter or digit, ``fun_`` the name one
+    until a ``(`` that does not already end a hex run. Letters and digits after either are upper case, and so is
+    the word ``fun``; marks are not. The switches are a fold over the pieces of the text, once for their state at the
+    start of every group of pieces, then within each group.
+    """
+    pieces = F.regexp_extract_all(as_column(text), F.lit(PIECES), F.lit(0))
+    state = lambda hex_, name: F.struct(hex_.alias("hex"), name.alias("name"))
+    off = state(F.lit(False), F.lit(False))
+    is_mark = lambda p: p.rlike(r"^(0x|fun_|[^\p{L}\p{N}])$")
+
+    def after(s: Column, p: Column) -> Column:
+        ends = is_mark(p) & (p != "fun_") & (p != "0x")
+        hex_ = F.when(p == "0x", True).when(ends, False).otherwise(s["hex"])
+        name = F.when(p == "fun_", True).when((p == "(") & ~s["hex"], False).otherwise(s["name"])
+        return state(hex_, name)
+
+    def shown(s: Column, p: Column) -> Column:
+        raised = s["hex"] | s["name"]
+        return F.when(raised & (p == "fun_"), "FUN_").when(raised & ~is_mark(p), F.upper(p)).otherwise(p)
+
+    def folded(ps: Column) -> Column:
+        n = F.size(ps)
+        groups = F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)), F.lit(PIECES_AT_ONCE))
+        group = lambda at: F.slice(ps, at + 1, F.lit(PIECES_AT_ONCE))
+        # The state at the start of every group.
+        none = F.array().cast("array<struct<hex:boolean,name:boolean>>")
+        start = F.struct(off.alias("s"), none.alias("all"))
+        states = F.aggregate(
+            groups,
+            start,
+            lambda acc, at: F.struct(
+                F.aggregate(group(at), acc["s"], after).alias("s"), F.concat(acc["all"], F.array(acc["s"])).alias("all")
+            ),
+            lambda acc: acc["all"],
+        )
+
+        def written(at: Column, s: Column) -> Column:
+            begin = F.struct(s.alias("s"), F.lit("").alias("out"))
+            return F.aggregate(
+                group(at),
+                begin,
+                lambda acc, p: F.struct(after(acc["s"], p).alias("s"), F.concat(acc["out"], shown(acc["s"], p)).alias("out")),
+                lambda acc: acc["out"],
+            )
+
+        return F.array_join(F.zip_with(groups, states, written), "")
+
+    return bound(pieces, folded)

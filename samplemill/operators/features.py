@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -46,15 +47,23 @@ def byte_entropy_histogram(contents: pd.Series) -> pd.Series:
 
 
 def _entropy_counts(values: np.ndarray) -> np.ndarray:
-    nibbles = values >> 4
-    starts = np.arange(0, max(len(values) - WINDOW, 0) + 1, STEP)
-    out = np.zeros((16, 16), dtype=np.int64)
-    for low in range(0, len(starts), BLOCK_BYTES // WINDOW):
-        blocks = [np.bincount(nibbles[s : s + WINDOW], minlength=16) for s in starts[low : low + BLOCK_BYTES // WINDOW]]
-        counts = np.array(blocks)
-        p = counts.astype(np.float32) / WINDOW
-        bits = -np.where(counts > 0, p * np.log2(np.where(counts > 0, p, 1)), 0).sum(axis=1) * 2
-        np.add.at(out, np.minimum((bits * 2).astype(int), 15), counts)
+    """Nibbles are counted once, per step; a window is the difference of two running counts."""
+    if len(values) < WINDOW:
+        counts = np.bincount(values >> 4, minlength=16)[None, :]
+    else:
+        steps, width = (len(values) - WINDOW) // STEP + WINDOW // STEP, WINDOW // STEP
+        running = np.zeros((steps + 1, 16), np.int64)
+        for low in range(0, steps, BLOCK_BYTES // STEP):
+            high = min(steps, low + BLOCK_BYTES // STEP)
+            cells = values[low * STEP : high * STEP].reshape(-1, STEP) >> 4
+            cells = cells + (16 * np.arange(high - low, dtype=np.int32))[:, None]
+            running[low + 1 : high + 1] = np.bincount(cells.ravel(), minlength=16 * (high - low)).reshape(-1, 16)
+        np.cumsum(running, axis=0, out=running)
+        counts = running[width:] - running[:-width]
+    p = counts.astype(np.float32) / WINDOW
+    bits = -np.where(counts > 0, p * np.log2(np.where(counts > 0, p, 1)), 0).sum(axis=1) * 2
+    out = np.zeros((16, 16), np.int64)
+    np.add.at(out, np.minimum((bits * 2).astype(int), 15), counts)
     return out.reshape(-1)
 
 
@@ -170,14 +179,159 @@ def concatenated(blocks: Sequence[Column | str]) -> Column:
     )
 
 
-def feature_table(df: DataFrame, id_col: str, content: str) -> DataFrame:
-    """``(id, features)``: byte histogram, byte-entropy histogram and string block of every sample."""
-    counted = df.withColumn("_b", byte_histogram(F.col(content))).withColumn("_e", byte_entropy_histogram(F.col(content)))
-    shared = counted.withColumn("_bytes", shares("_b")).withColumn("_entropy", shares("_e"))
-    featured = string_features(shared, content)
+# The blocks of a sample's vector in order, with their widths.
+BLOCKS = {
+    "bytes": 256,
+    "entropy": 256,
+    "strings": 104,
+    "general": 10,
+    "header": 62,
+    "sections": 255,
+    "imports": 1280,
+    "exports": 128,
+    "directories": 30,
+}
+WIDTH = sum(BLOCKS.values())
+# Columns of the general and the header block in order; names in brackets are hashed to that many buckets.
+GENERAL = ("size", "vsize", "has_debug", "exports", "imports", "has_relocations", "has_resources", "has_signature", "has_tls", "symbols")
+HEADER = (
+    ("timestamp", 0),
+    ("machine", 10),
+    ("characteristics", 10),
+    ("subsystem", 10),
+    ("dll_characteristics", 10),
+    ("magic", 10),
+    ("major_image_version", 0),
+    ("minor_image_version", 0),
+    ("major_linker_version", 0),
+    ("minor_linker_version", 0),
+    ("major_operating_system_version", 0),
+    ("minor_operating_system_version", 0),
+    ("major_subsystem_version", 0),
+    ("minor_subsystem_version", 0),
+    ("sizeof_code", 0),
+    ("sizeof_headers", 0),
+    ("sizeof_heap_commit", 0),
+)
+SECTION_WIDTH, LIBRARY_WIDTH, FUNCTION_WIDTH = 50, 256, 1024
+CLIPPED = 10_000
+
+
+def offset_of(block: str) -> int:
+    names = list(BLOCKS)
+    return sum(BLOCKS[n] for n in names[: names.index(block)])
+
+
+def _placed(df: DataFrame, id_col: str, place: Column | int, value: Column) -> DataFrame:
+    place = F.lit(place) if isinstance(place, int) else place
+    return df.select(id_col, place.cast("int").alias("place"), value.cast("double").alias("value"))
+
+
+def _hashed(df: DataFrame, id_col: str, first: int, width: int, token: Column, value: Column | None = None) -> DataFrame:
+    """One signed value per row whose token is not NULL, in the bucket of the token."""
+    value = F.lit(1.0) if value is None else value
+    return _placed(df.where(token.isNotNull()), id_col, first + hash_bucket(token, width), hash_sign(token) * value)
+
+
+def _from_arrays(df: DataFrame, id_col: str, first: int, values: Column) -> DataFrame:
+    flat = df.select(id_col, F.posexplode(values).alias("_p", "_x"))
+    return _placed(flat, id_col, first + F.col("_p"), F.col("_x"))
+
+
+def content_block(contents: DataFrame, id_col: str, content: str) -> DataFrame:
+    """``(id, place, value)``: byte and byte-entropy shares, the string block, and the size."""
+    counted = contents.select(id_col, content, byte_histogram(F.col(content)).alias("_b"), byte_entropy_histogram(F.col(content)).alias("_e"))
+    featured = string_features(counted.withColumn("_bytes", shares("_b")).withColumn("_entropy", shares("_e")), content)
     one = lambda c: F.array(F.col(c).cast("double"))
-    block = F.concat(
+    strings = F.concat(
         one("numstrings"), one("avlength"), one("printables"), F.col("printabledist"),
         one("entropy"), one("paths"), one("urls"), one("registry"), one("mz"),
-    )
-    return featured.select(id_col, concatenated(["_bytes", "_entropy", block]).alias("features"))
+    )
+    size = F.array(F.octet_length(content).cast("double"))
+    # These blocks are next to each other, in this order, and the size is the first of the general block.
+    return _from_arrays(featured, id_col, offset_of("bytes"), F.concat("_bytes", "_entropy", strings, size))
+
+
+def header_block(headers: DataFrame, id_col: str) -> DataFrame:
+    """``(id, place, value)`` of the general and the header columns that the table has; arrays of names are hashed."""
+    first, parts = offset_of("general"), []
+    plain = [(first + i, c) for i, c in enumerate(GENERAL) if c not in ("size", "exports", "imports")]
+    at = offset_of("header")
+    for name, width in HEADER:
+        if not width:
+            plain.append((at, name))
+        elif name in headers.columns:
+            names = F.col(name) if isinstance(headers.schema[name].dataType, T.ArrayType) else F.array(name)
+            parts.append(_hashed(headers.select(id_col, F.explode(names).alias("_t")), id_col, at, width, F.col("_t")))
+        at += width or 1
+    there = [F.struct(F.lit(place).alias("place"), F.col(c).cast("double").alias("value")) for place, c in plain if c in headers.columns]
+    if there:
+        flat = headers.select(id_col, F.explode(F.array(*there)).alias("_x"))
+        parts.append(_placed(flat, id_col, F.col("_x.place"), F.col("_x.value")))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def section_block(sections: DataFrame, id_col: str) -> DataFrame:
+    """``(id, place, value)`` from ``(id, name, size, vsize, entropy, props, is_entry)``: counts, then hashed names.
+
+    Sizes, entropies and virtual sizes are added up by section name, then come the name and the properties of
+    the entry section.
+    """
+    first, has = offset_of("sections"), lambda p: F.array_contains("props", p)
+    flags = [F.lit(True), F.col("size") == 0, F.col("name") == "", has("MEM_READ") & has("MEM_EXECUTE"), has("MEM_WRITE")]
+    marks = F.array(*[f.cast("double") for f in flags])
+    parts, at = [_from_arrays(sections, id_col, first, marks)], first + len(flags)
+    for column in ("size", "entropy", "vsize"):
+        parts.append(_hashed(sections, id_col, at, SECTION_WIDTH, F.col("name"), F.col(column).cast("double")))
+        at += SECTION_WIDTH
+    entry = sections.where("is_entry")
+    parts.append(_hashed(entry.select(id_col, "name").distinct(), id_col, at, SECTION_WIDTH, F.col("name")))
+    props = entry.select(id_col, F.explode("props").alias("_t"))
+    parts.append(_hashed(props, id_col, at + SECTION_WIDTH, SECTION_WIDTH, F.col("_t")))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def import_block(imports: DataFrame, id_col: str) -> DataFrame:
+    """``(id, place, value)`` from ``(id, library, function)``: libraries once each, functions as often as listed, their number."""
+    tokens = import_tokens(imports.withColumn("function", F.left("function", F.lit(CLIPPED))), id_col)
+    first, n = offset_of("imports"), F.col("n").cast("double")
+    libraries = _hashed(tokens.where("kind = 'library'"), id_col, first, LIBRARY_WIDTH, F.col("token"))
+    functions = _hashed(tokens.where("kind = 'function'"), id_col, first + LIBRARY_WIDTH, FUNCTION_WIDTH, F.col("token"), n)
+    number = _placed(tokens.where("kind = 'function'"), id_col, offset_of("general") + GENERAL.index("imports"), n)
+    return libraries.unionByName(functions).unionByName(number)
+
+
+def export_block(exports: DataFrame, id_col: str) -> DataFrame:
+    """``(id, place, value)`` from ``(id, name)``: hashed names, and their number."""
+    names = _hashed(exports, id_col, offset_of("exports"), BLOCKS["exports"], F.left("name", F.lit(CLIPPED)))
+    return names.unionByName(_placed(exports, id_col, offset_of("general") + GENERAL.index("exports"), F.lit(1.0)))
+
+
+def directories_block(directories: DataFrame, id_col: str) -> DataFrame:
+    """``(id, place, value)`` from ``(id, at, size, address)`` with places from 0; the first 15 count."""
+    pair = F.array(F.col("size").cast("double"), F.col("address").cast("double"))
+    flat = directories.where(F.col("at").between(0, DIRECTORIES - 1)).select(id_col, "at", F.posexplode(pair).alias("_p", "_x"))
+    return _placed(flat, id_col, offset_of("directories") + 2 * F.col("at") + F.col("_p"), F.col("_x"))
+
+
+def feature_values(blocks: Sequence[DataFrame], id_col: str) -> DataFrame:
+    """``(id, place, value)`` with one row per place that is not zero, from blocks that may have several."""
+    values = reduce(DataFrame.unionByName, blocks)
+    return values.groupBy(id_col, "place").agg(F.sum("value").alias("value")).where("value <> 0")
+
+
+def feature_vectors(blocks: Sequence[DataFrame], id_col: str) -> DataFrame:
+    """``(id, features)``: one float vector of all blocks per sample, zero where a sample has no row in a block's table.
+
+    Blocks are sparse tables, so they are put together by one union and aggregates by id, without a join.
+    """
+    found = feature_values(blocks, id_col).groupBy(id_col).agg(F.collect_list(F.struct("place", "value")).alias("_x"))
+    return found.select(id_col, _filled(F.col("_x.place"), F.col("_x.value")).alias("features"))
+
+
+@F.pandas_udf(T.ArrayType(T.FloatType()))
+def _filled(places: pd.Series, values: pd.Series) -> pd.Series:
+    out = np.zeros((len(places), WIDTH), np.float32)
+    for row, at, value in zip(out, places, values):
+        row[at] = value
+    return pd.Series(list(out))

@@ -6,6 +6,8 @@ import math
 from collections.abc import Sequence
 from fractions import Fraction
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,8 +24,10 @@ from samplemill.plans.ordered import (
 from samplemill.plans.session import cut
 
 SPLITS = ("tr", "vl", "ts")
-#: Ratios are fractions with a common denominator up to this.
-DENOMINATOR = 10_000
+#: Ratios are fractions with a common denominator up to this; others are refused.
+DENOMINATOR = 1_000_000
+#: Turns that are written into the query itself; longer lists go with the tasks.
+INLINE_TURNS = 10_000
 
 
 def integer_sizes(total: int, sizes: Sequence[int | float]) -> tuple[int, int, int]:
@@ -101,45 +105,61 @@ def guaranteed_split(
     return seeded.unionByName(rest)
 
 
-def _turns(ratios: Sequence[float], start: Sequence[int]) -> tuple[list[tuple[int, ...]], list[int]]:
-    """Counts after 0, 1, 2, ... items, up to the first period of the turns, and what each target gets per period.
-
-    Ratios are taken as fractions with a common denominator ``d``. Only differences between shares and counts decide
-    whose turn it is, so once ``d`` items have changed none of them, the turns repeat for ever.
-    """
+def _shares(ratios: Sequence[float]) -> list[int]:
+    """What each target gets of a period, whose length is the common denominator of the shares."""
     parts = [Fraction(r).limit_denominator(DENOMINATOR) for r in ratios]
     shares = [p / sum(parts) for p in parts]
     d = math.lcm(*(s.denominator for s in shares))
-    if d > DENOMINATOR:
-        raise ValueError(f"the ratios {tuple(ratios)} need a common denominator of at most {DENOMINATOR}")
-    due = [int(s * d) for s in shares]
-    counts = [tuple(start)]
-    while len(counts) <= d + 1 or any(n - m != x for n, m, x in zip(counts[-1], counts[-1 - d], due)):
-        now = sum(counts[-1])
+    if d > DENOMINATOR or any(float(p) != float(r) for p, r in zip(parts, ratios)):
+        raise ValueError(f"the ratios {tuple(ratios)} are no fractions with a common denominator of at most {DENOMINATOR}")
+    return [int(s * d) for s in shares]
+
+
+def _turns(due: Sequence[int], start: Sequence[int]) -> np.ndarray:
+    """Counts after 0, 1, 2, ... items, up to the end of the first period of the turns.
+
+    Only differences between shares and counts decide whose turn it is, so once a period of items has changed none of
+    them, the turns repeat for ever.
+    """
+    d, total = sum(due), sum(start)
+    counts = np.zeros((3 * d + 100, len(due)), np.int64)
+    counts[0] = now = list(start)
+    for k in range(1, 10 * d + 10 * DENOMINATOR):
         # Before the first item nobody is behind, and the largest share begins.
-        behind = [x * now - d * n for x, n in zip(due, counts[-1])] if now else due
+        behind = [x * total - d * n for x, n in zip(due, now)] if total else due
         turn = behind.index(max(behind))
-        counts.append(tuple(n + (i == turn) for i, n in enumerate(counts[-1])))
-        if len(counts) > 100 * DENOMINATOR:
-            raise ValueError(f"{tuple(start)} is too far from {tuple(ratios)}")
-    return counts, due
+        now[turn] += 1
+        total += 1
+        if k == len(counts):
+            counts = np.concatenate([counts, np.zeros_like(counts)])
+        counts[k] = now
+        if k > d and (counts[k] - counts[k - d] == due).all():
+            return counts[: k + 1]
+    raise ValueError(f"{tuple(start)} is too far from the ratios")
 
 
 def apportion(n: Column, ratios: Sequence[float], start: Sequence[int] = (0, 0, 0)) -> Column:
     """Give ``n`` items one by one to the target furthest below its share, the first of equals; returns three counts.
 
     The turns of one period are worked out beforehand; any number of items is then whole periods and a place in one,
-    in exact integers.
+    in exact integers. Ratios are taken as they are or refused, never rounded.
     """
-    counts, due = _turns(ratios, start)
+    due = _shares(ratios)
+    counts = _turns(due, start)
     d, last = sum(due), len(counts) - 1
     n = n.cast("bigint")
     place = F.when(n <= last, n).otherwise(last - d + F.pmod(n - (last - d), F.lit(d).cast("bigint")))
-    periods = ((n - place) / d).cast("bigint")
-    table = [F.array(*[F.lit(c[i]).cast("bigint") for c in counts]) for i in range(len(SPLITS))]
-    return F.struct(
-        *[(F.element_at(t, place.cast("int") + 1) + periods * x).alias(s) for t, x, s in zip(table, due, SPLITS)]
-    )
+    periods = F.floor((n - place) / F.lit(d).cast("decimal(20,0)")).cast("bigint")
+    if len(counts) <= INLINE_TURNS:
+        found = F.array(*[F.element_at(F.array(*[F.lit(int(c)).cast("bigint") for c in column]), place.cast("int") + 1) for column in counts.T])
+    else:
+
+        @F.pandas_udf("array<bigint>")
+        def at(places: pd.Series) -> pd.Series:
+            return pd.Series(list(counts[places.to_numpy()]))
+
+        found = at(place)
+    return F.struct(*[(F.get(found, F.lit(i)) + periods * x).alias(s) for i, (x, s) in enumerate(zip(due, SPLITS))])
 
 
 def class_quotas(df: DataFrame, label: str, ratios: Sequence[float]) -> DataFrame:
@@ -215,14 +235,42 @@ def few_shot_split(
     return tr.unionByName(vl).drop("_n")
 
 
+def _labelled(df: DataFrame, id_col: str, labels: str, seed: int) -> DataFrame:
+    """``(id_col, _label, _h)``: the distinct labels of every sample."""
+    flat = df.select(id_col, F.explode(F.array_distinct(labels)).alias("_label"))
+    return cut(flat.withColumn("_h", sample_hash(id_col, seed)), "labels")
+
+
+def without_needless(chosen: DataFrame, id_col: str, need: DataFrame) -> DataFrame:
+    """Ids of the chosen samples ``(id_col, _label, _h)`` less those that no label needs ``(_label, _need)``.
+
+    A round looks at all samples whose labels all have more samples than they need. Of these, a label lets as many go as
+    it has too many, the last in hash order first, and a sample goes if all its labels let it go. So no label
+    ever has too few, the last sample in hash order always goes, and in the end every sample is needed by a label.
+    """
+    while True:
+        have = chosen.groupBy("_label").agg(F.count(F.lit(1)).alias("_have"))
+        spare = have.join(need, "_label").select("_label", (F.col("_have") - F.col("_need")).alias("_spare"))
+        free = chosen.join(spare, "_label").groupBy(id_col, "_h").agg(
+            F.min("_spare").alias("_least"), F.collect_list(F.struct("_label", "_spare")).alias("_l")
+        )
+        free = free.where("_least > 0").select(id_col, "_h", F.explode("_l").alias("_l")).select(id_col, "_h", "_l.*")
+        place = F.row_number().over(Window.partitionBy("_label").orderBy(F.desc("_h"), F.desc(id_col)))
+        ranked = free.withColumn("_goes", place <= F.col("_spare"))
+        gone = cut(ranked.groupBy(id_col).agg(F.bool_and("_goes").alias("_g")).where("_g").select(id_col), "needless")
+        if gone.isEmpty():
+            return chosen.select(id_col).distinct()
+        chosen = cut(chosen.join(gone, id_col, "left_anti"), "chosen")
+
+
 def labels_per_class(df: DataFrame, id_col: str, labels: str, k: int, seed: int = SEED) -> DataFrame:
-    """Multi-label sample set in which every label has at least ``min(k, n)`` samples.
+    """Multi-label sample set in which every label has at least ``min(k, n)`` samples, and no sample is needless.
 
     Each round takes, for every label still short of ``k``, its next samples in hash order.
-    A sample taken for one label counts for all its labels, so later rounds need less.
+    A sample taken for one label counts for all its labels, so later rounds need less. Samples that
+    turn out to be needed by no label are left out again.
     """
-    flat = df.select(id_col, F.explode(F.array_distinct(labels)).alias("_label"))
-    flat = cut(flat.withColumn("_h", sample_hash(id_col, seed)), "labels")
+    flat = _labelled(df, id_col, labels, seed)
     need = cut(
         flat.groupBy("_label").agg(F.least(F.count(F.lit(1)), F.lit(k).cast("bigint")).alias("_need")), "need"
     )
@@ -247,8 +295,10 @@ def labels_per_class(df: DataFrame, id_col: str, labels: str, k: int, seed: int
         )
         new = cut(chosen.unionByName(picked), "chosen")
         if new.count() == chosen.count():
-            return df.join(chosen, id_col, "left_semi")
+            break
         chosen = new
+    kept = without_needless(cut(flat.join(chosen, id_col, "left_semi"), "chosen"), id_col, need)
+    return df.join(cut(kept, "kept"), id_col, "left_semi")
 
 
 def guaranteed_label_split(
@@ -256,25 +306,25 @@ def guaranteed_label_split(
 ) -> DataFrame:
     """Multi-label split: each split first gets ``per_label`` samples of every label, then fills up.
 
-    All rows are assigned. A label with too few samples seeds the earlier splits first. Where
-    the seeds of a split exceed its size, the later splits get correspondingly fewer rows.
+    All rows are assigned. A label with too few samples seeds the earlier splits first. No seed is needless in its
+    split. Where the seeds of a split exceed its size, the later splits get correspondingly fewer rows.
     """
-    total = df.count()
+    ids = cut(df.select(id_col, labels), "samples")
+    total = ids.count()
     sizes = integer_sizes(total, sizes)
-    left, seeded = df, None
+    flat = _labelled(ids, id_col, labels, seed)
+    seeded = ids.select(id_col, F.lit("").alias("split")).limit(0)
     for name, size in zip(SPLITS, sizes):
         if size == 0:
             continue
-        flat = left.select(id_col, F.explode(F.array_distinct(labels)).alias("_label")).withColumn(
-            "_h", sample_hash(id_col, seed)
-        )
         w = Window.partitionBy("_label").orderBy("_h", id_col)
-        picked = (
-            flat.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= per_label).select(id_col).distinct()
-        )
-        picked = cut(picked.withColumn("split", F.lit(name)), "seeds")
-        seeded = picked if seeded is None else seeded.unionByName(picked)
-        left = left.join(picked, id_col, "left_anti")
+        heads = flat.join(seeded, id_col, "left_anti").withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= per_label)
+        heads = cut(heads.drop("_rn"), "heads")
+        need = heads.groupBy("_label").agg(F.count(F.lit(1)).alias("_need"))
+        # Heads of one label have other labels, too, which then may have more than they need.
+        chosen = cut(flat.join(heads.select(id_col).distinct(), id_col, "left_semi"), "chosen")
+        picked = without_needless(chosen, id_col, cut(need, "need"))
+        seeded = cut(seeded.unionByName(picked.withColumn("split", F.lit(name))), "seeds")
     have = {r["split"]: r["n"] for r in seeded.groupBy("split").agg(F.count(F.lit(1)).alias("n")).collect()}
     rest_size = total - sum(have.values())
     want = [max(0, s - have.get(n, 0)) for n, s in zip(SPLITS, sizes)]
@@ -282,8 +332,9 @@ def guaranteed_label_split(
     tr = min(want[0], rest_size)
     vl = min(want[1], rest_size - tr)
     cuts = [tr if last > 0 else rest_size, tr + vl if last > 1 else rest_size, rest_size]
-    rest = hash_cut(left, id_col, cuts, seed=seed, name="_part").withColumn("split", part_name(F.col("_part")))
-    return df.join(seeded, id_col).unionByName(rest.drop("_part"))
+    rest = cut(ids.select(id_col).join(seeded, id_col, "left_anti"), "rest")
+    rest = hash_cut(rest, id_col, cuts, seed=seed, name="_part").withColumn("split", part_name(F.col("_part")))
+    return df.join(seeded.unionByName(rest.select(id_col, "split")), id_col)
 
 
 def temporal_checks(df: DataFrame, ts: str, label: str | None = None) -> DataFrame:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from samplemill.operators import features
-from samplemill.operators.filters import first_of
+from samplemill.operators.filters import first_of, keep_ids
 from samplemill.queries.inputs import joined, table, texts
 from samplemill.queries.registry import query
 
@@ -113,10 +114,90 @@ def fe6_import_tokens(spark, sf):
     return features.import_tokens(imports, "l_orderkey")
 
 
-@query()
+def hashed_sql(table: str, token: str, first: int, width: int, value: str = "1") -> str:
+    return f"SELECT doc_id, {first} + {BUCKET.format(token, width)}, {SIGN.format(token)} * CAST({value} AS DOUBLE) FROM {table}"
+
+
+FEATURES_SQL = f"""WITH b AS (SELECT doc_id, strlen(text) AS size, unnest(regexp_extract_all(hex(encode(text)), '..')) AS b FROM documents),
+  h AS (SELECT doc_id, hex(encode(text)) AS h, strlen(text) AS len FROM documents),
+  st AS (SELECT doc_id, h, unnest(range(0, greatest(len - 2048, 0) + 1, 1024)) AS st FROM h),
+  w AS (SELECT doc_id, st, unnest(regexp_extract_all(substr(h, 2 * st + 1, 4096), '..')) AS x FROM st),
+  n AS (SELECT doc_id, st, substr(x, 1, 1) AS nibble, count(*) AS c FROM w GROUP BY ALL),
+  e AS (SELECT doc_id, st, least(15, CAST(floor(-4 * sum(c / 2048 * log2(c / 2048))) AS BIGINT)) AS bin FROM n GROUP BY ALL),
+  eh AS (SELECT doc_id, 256 + 16 * bin + CAST(('0x' || nibble)::BIGINT AS INT) AS place, sum(c) AS c FROM n JOIN e USING (doc_id, st) GROUP BY ALL),
+  r AS (SELECT doc_id, text, regexp_extract_all(text, '[\\x20-\\x7f]{{5,}}') AS runs FROM documents),
+  j AS (SELECT doc_id, text, len(runs) AS n, array_to_string(runs, '') AS all_ FROM r),
+  ch AS (SELECT doc_id, ch, count(*) AS k FROM (SELECT doc_id, unnest(string_split(all_, '')) AS ch FROM j WHERE length(all_) > 0) GROUP BY doc_id, ch),
+  cs AS (SELECT *, sum(k) OVER (PARTITION BY doc_id) AS t FROM ch),
+  hd AS (SELECT doc_id, o.* FROM documents JOIN orders AS o ON o_orderkey = doc_id),
+  li AS (SELECT doc_id, l.*, row_number() OVER (PARTITION BY doc_id ORDER BY l_linenumber, l_partkey, l_suppkey) - 1 AS nth FROM documents JOIN lineitem AS l ON l_orderkey = doc_id),
+  im AS (SELECT doc_id, lower('LIB' || (l_suppkey % 5)) AS lib, 'Fn' || (l_partkey % 50) AS f FROM li),
+  libs AS (SELECT DISTINCT doc_id, lib FROM im), fns AS (SELECT doc_id, lib || ':' || f AS f FROM im), ex AS (SELECT doc_id, 'Exp' || (l_suppkey % 20) AS x FROM li),
+  names AS (SELECT *, CASE WHEN l_quantity < 5 THEN '' ELSE 'sec' || l_linenumber END AS name FROM li),
+  entry AS (SELECT DISTINCT doc_id, name FROM names WHERE l_linenumber = 1),
+  props AS (SELECT doc_id, unnest(list_filter([CASE WHEN l_returnflag = 'A' THEN 'MEM_READ' END, CASE WHEN l_linestatus = 'F' THEN 'MEM_EXECUTE' END,
+    CASE WHEN l_returnflag = 'R' THEN 'MEM_WRITE' END], lambda x: x IS NOT NULL)) AS p FROM names WHERE l_linenumber = 1),
+  kinds AS (SELECT doc_id, unnest([o_orderstatus, o_orderpriority]) AS k FROM hd),
+  v(doc_id, place, value) AS (
+    SELECT doc_id, CAST(('0x' || b)::BIGINT AS INT), count(*) / any_value(size) FROM b GROUP BY doc_id, b
+    UNION ALL SELECT doc_id, place, c / sum(c) OVER (PARTITION BY doc_id) FROM eh
+    UNION ALL SELECT doc_id, unnest([512, 513, 514, 612, 613, 614, 615, 616]), unnest([n, CASE WHEN n > 0 THEN length(all_) / n ELSE 0 END, length(all_),
+      len(regexp_extract_all(text, '(?i)c:\\\\')), len(regexp_extract_all(text, '(?i)https?://')), len(regexp_extract_all(text, 'HKEY_')), len(regexp_extract_all(text, 'MZ')), strlen(text)]) FROM j
+    UNION ALL SELECT doc_id, 515 + ascii(ch) - 32, k / t FROM cs
+    UNION ALL SELECT doc_id, 611, -sum(k / t * log2(k / t)) FROM cs GROUP BY doc_id
+    UNION ALL SELECT doc_id, unnest([617, 618, 625, 626, 678, 685]), unnest([o_custkey, o_orderkey % 2, o_custkey % 7, date_diff('day', DATE '1970-01-01', CAST(o_orderdate AS DATE)), o_custkey % 11, o_custkey * 512]) FROM hd
+    UNION ALL {hashed_sql('hd', 'o_orderpriority', 627, 10)}
+    UNION ALL {hashed_sql('kinds', 'k', 637, 10)}
+    UNION ALL {hashed_sql('hd', 'o_orderstatus', 647, 10)}
+    UNION ALL SELECT doc_id, unnest([688, 689, 690, 691, 692]), unnest([1, CAST(l_tax = 0 OR l_partkey = 0 AS INT), CAST(name = '' AS INT), CAST(l_returnflag = 'A' AND l_linestatus = 'F' AS INT), CAST(l_returnflag = 'R' AS INT)]) FROM names
+    UNION ALL {hashed_sql('names', 'name', 693, 50, 'CASE WHEN l_tax = 0 THEN 0 ELSE l_partkey END')}
+    UNION ALL {hashed_sql('names', 'name', 743, 50, 'round(100 * l_discount)')}
+    UNION ALL {hashed_sql('names', 'name', 793, 50, 'l_suppkey')}
+    UNION ALL {hashed_sql('entry', 'name', 843, 50)}
+    UNION ALL {hashed_sql('props', 'p', 893, 50)}
+    UNION ALL {hashed_sql('libs', 'lib', 943, 256)}
+    UNION ALL {hashed_sql('fns', 'f', 1199, 1024)}
+    UNION ALL SELECT doc_id, 620, 1 FROM fns
+    UNION ALL {hashed_sql('ex', 'x', 2223, 128)}
+    UNION ALL SELECT doc_id, 619, 1 FROM ex
+    UNION ALL SELECT doc_id, CAST(2351 + 2 * nth AS INT), l_partkey FROM li WHERE nth < 15
+    UNION ALL SELECT doc_id, CAST(2352 + 2 * nth AS INT), l_suppkey FROM li WHERE nth < 15),
+  s AS (SELECT doc_id, place, sum(CAST(value AS DOUBLE)) AS value FROM v GROUP BY ALL)
+  SELECT doc_id, CAST(place AS INT) AS place, round(CAST(CAST(value AS FLOAT) AS DOUBLE), 6) AS value FROM s WHERE value <> 0"""
+
+
+@query(FEATURES_SQL)
 def fe7_feature_table(spark, sf):
-    rows = features.feature_table(content(spark, sf), "doc_id", "content")
-    return rows.select("doc_id", F.size("features").alias("width"), joined(F.transform("features", lambda x: F.round(x, 4).cast("string"))).alias("features"))
+    """Vectors of nine blocks for all documents; their orders and lines stand in for headers and parsed tables."""
+    docs = content(spark, sf)
+    ids = docs.select("doc_id")
+    orders = keep_ids(table(spark, sf, "orders").withColumnRenamed("o_orderkey", "doc_id"), ids, "doc_id")
+    headers = orders.select(
+        "doc_id", F.col("o_custkey").alias("vsize"), (F.col("doc_id") % 2).alias("has_debug"), (F.col("o_custkey") % 7).alias("symbols"),
+        F.expr("datediff(cast(o_orderdate AS date), DATE'1970-01-01')").alias("timestamp"), F.col("o_orderpriority").alias("machine"),
+        F.array("o_orderstatus", "o_orderpriority").alias("characteristics"), F.col("o_orderstatus").alias("subsystem"),
+        (F.col("o_custkey") % 11).alias("minor_image_version"), (F.col("o_custkey") * 512).alias("sizeof_code"),
+    )
+    lines = keep_ids(table(spark, sf, "lineitem").withColumnRenamed("l_orderkey", "doc_id"), ids, "doc_id")
+    flag = F.col("l_returnflag")
+    sections = lines.select(
+        "doc_id", F.when(F.col("l_quantity") < 5, "").otherwise(F.concat(F.lit("sec"), "l_linenumber")).alias("name"),
+        F.when(F.col("l_tax") == 0, 0).otherwise(F.col("l_partkey")).alias("size"), F.col("l_suppkey").alias("vsize"),
+        F.round(100 * F.col("l_discount")).alias("entropy"), (F.col("l_linenumber") == 1).alias("is_entry"),
+        F.array_compact(F.array(F.when(flag == "A", "MEM_READ"), F.when(F.col("l_linestatus") == "F", "MEM_EXECUTE"), F.when(flag == "R", "MEM_WRITE"))).alias("props"),
+    )
+    imports = lines.select("doc_id", F.concat(F.lit("LIB"), F.col("l_suppkey") % 5).alias("library"), F.concat(F.lit("Fn"), F.col("l_partkey") % 50).alias("function"))
+    exports = lines.select("doc_id", F.concat(F.lit("Exp"), F.col("l_suppkey") % 20).alias("name"))
+    order = ["l_linenumber", "l_partkey", "l_suppkey"]
+    place = F.row_number().over(Window.partitionBy("doc_id").orderBy(*order)) - 1
+    directories = lines.select("doc_id", place.alias("at"), F.col("l_partkey").alias("size"), F.col("l_suppkey").alias("address"))
+    blocks = [
+        features.content_block(docs, "doc_id", "content"), features.header_block(headers, "doc_id"), features.section_block(sections, "doc_id"),
+        features.import_block(imports, "doc_id"), features.export_block(exports, "doc_id"), features.directories_block(directories, "doc_id"),
+    ]
+    vectors = features.feature_vectors(blocks, "doc_id")
+    flat = vectors.select("doc_id", F.posexplode("features").alias("place", "value")).where("value <> 0")
+    return flat.select("doc_id", "place", F.round(F.col("value").cast("double"), 6).alias("value"))
 
 
 @query("""WITH e AS (SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) - 1 AS i, l_partkey, l_suppkey FROM lineitem),

@@ -285,7 +285,15 @@ def sc7_without_signatures(spark, sf):
     return texts(spark, sf, "doc_id", "text").select("doc_id", F.md5(tx.without_signatures(listing)).alias("digest"))
 
 
-@query()
+@query("""WITH t AS (SELECT doc_id, replace(replace('0x' || md5(text) || ' ' || lower(text), 'fun_', chr(2)), '0x', chr(3)) AS x FROM documents),
+  p AS (SELECT doc_id, unnest(a) AS p, generate_subscripts(a, 1) AS i FROM (SELECT doc_id, regexp_extract_all(x, '[\\p{L}\\p{N}]+|[^\\p{L}\\p{N}]') AS a FROM t)),
+  m AS (SELECT *, CASE WHEN p = chr(3) THEN 'x' WHEN p = chr(2) THEN 'f' WHEN NOT regexp_matches(p, '[\\p{L}\\p{N}]') THEN 'o' END AS kind FROM p),
+  s AS (SELECT *, coalesce(last_value(CASE kind WHEN 'x' THEN TRUE WHEN 'o' THEN FALSE END IGNORE NULLS) OVER w, FALSE) AS in_hex FROM m
+    WINDOW w AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+  u AS (SELECT *, in_hex OR coalesce(last_value(CASE WHEN kind = 'f' THEN TRUE WHEN p = '(' AND NOT in_hex THEN FALSE END IGNORE NULLS) OVER w, FALSE) AS up FROM s
+    WINDOW w AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+  SELECT doc_id, string_agg(CASE kind WHEN 'x' THEN '0x' WHEN 'f' THEN CASE WHEN up THEN 'FUN_' ELSE 'fun_' END WHEN 'o' THEN p ELSE CASE WHEN up THEN upper(p) ELSE p END END, '' ORDER BY i) AS listing
+  FROM u GROUP BY doc_id""")
 def sc8_capitalize_hex(spark, sf):
     listing = F.concat(F.lit("0x"), F.md5("text"), F.lit(" "), F.lower("text"))
     return texts(spark, sf, "doc_id", "text").select("doc_id", tx.capitalize_hex(listing).alias("listing"))

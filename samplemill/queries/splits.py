@@ -11,6 +11,8 @@ from samplemill.operators.blocks import packed_blocks
 from samplemill.operators.filters import first_of
 from samplemill.operators.sections import clamped_sections, section_bounds, section_content
 from samplemill.plans import recipes
+from samplemill.plans.session import cut
+from samplemill.plans.staged import side_by_side
 from samplemill.queries.inputs import (
     DOC_LABELS,
     ORDER_SAMPLES,
@@ -221,6 +223,18 @@ def w7_per_class_invariants(spark, sf):
     )
 
 
+@query(f"""WITH {DOC_LABELS} SELECT count(DISTINCT label) AS n_labels, TRUE AS all_needed FROM flat""")
+def w7_per_class_minimal(spark, sf):
+    """Without any one of the chosen samples, some label would have too few."""
+    all_rows = doc_labels(spark, sf)
+    chosen = cut(splits.labels_per_class(all_rows, "doc_id", "labels", 20), "chosen")
+    need = stats.class_distribution(all_rows.select("labels"), "labels").select("labels", F.least("n", F.lit(20).cast("bigint")).alias("need"))
+    have = stats.class_distribution(chosen.select("labels"), "labels").withColumnRenamed("n", "m")
+    tight = need.join(have, "labels", "left").select("labels", (F.col("m") <= F.col("need")).alias("tight"))
+    each = chosen.select("doc_id", F.explode("labels").alias("labels")).join(tight, "labels").groupBy("doc_id").agg(F.bool_or("tight").alias("needed"))
+    return side_by_side(tight.agg(F.count(F.lit(1)).alias("n_labels")), each.agg(F.bool_and("needed").alias("all_needed")))
+
+
 def rank_sql(id_sql: str, name: str) -> str:
     return f"row_number() OVER (ORDER BY {h(id_sql)}, {id_sql}) AS {name}"
 
@@ -344,6 +358,21 @@ def w19_thirds_by_name(spark, sf):
     return splits.thirds(table(spark, sf, "orders").select(F.md5(F.col("o_orderkey").cast("string")).alias("name")), "name")
 
 
+PREFIXED = "concat('corpus-sample-number-', lpad(CAST({0} AS VARCHAR), 12, '0'))"
+
+
+def prefixed(key: str):
+    """Text ids whose first 21 characters are the same."""
+    return F.concat(F.lit("corpus-sample-number-"), F.lpad(F.col(key).cast("string"), 12, "0"))
+
+
+@query(f"""WITH r AS (SELECT {PREFIXED.format('o_orderkey')} AS name, count(*) OVER () // 3 AS size FROM orders),
+  n AS (SELECT name, size, row_number() OVER (ORDER BY name) - 1 AS rn FROM r)
+  SELECT name, CAST(rn // size AS INT) AS third FROM n WHERE rn // size < 3""")
+def w19_thirds_by_prefixed_name(spark, sf):
+    return splits.thirds(table(spark, sf, "orders").select(prefixed("o_orderkey").alias("name")), "name")
+
+
 @query("""WITH w AS (SELECT doc_id, lang, unnest(string_split_regex(lower(text), '\\s+')) AS word, generate_subscripts(string_split_regex(lower(text), '\\s+'), 1) AS pos FROM documents),
   t AS (SELECT lang, length(word) AS tok, row_number() OVER (PARTITION BY lang ORDER BY doc_id, pos) - 1 AS off, count(*) OVER (PARTITION BY lang) AS n FROM w)
   SELECT lang, off // 128 AS block, CAST(count(*) AS BIGINT) AS n, string_agg(tok, ',' ORDER BY off) AS ids FROM t
@@ -459,3 +488,14 @@ def tk6_time_order(spark, sf):
     from samplemill.plans.ordered import ordered_rank
 
     return ordered_rank(order_samples(spark, sf).select("o_orderkey", "ts"), "ts", "o_orderkey")
+
+
+@query(f"""SELECT l_orderkey, l_linenumber, name, row_number() OVER (ORDER BY name, md5('42:' || CAST(1000 * l_orderkey + l_linenumber AS VARCHAR)), 1000 * l_orderkey + l_linenumber) AS rank
+  FROM (SELECT *, {PREFIXED.format('l_partkey')} AS name FROM lineitem)""")
+def tk6_text_order(spark, sf):
+    """Position of every line in the order of a text that many lines share."""
+    from samplemill.plans.ordered import ordered_rank
+
+    lines = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", prefixed("l_partkey").alias("name"))
+    lines = lines.withColumn("id", 1000 * F.col("l_orderkey") + F.col("l_linenumber"))
+    return ordered_rank(lines, "name", "id").drop("id")

@@ -249,3 +249,58 @@ def test_summary_rounds_half_to_even(spark):
     df = spark.createDataFrame([("tr",)] * 1 + [("vl",)] * 199, "split string")
     got = stats.split_summary(df, F.lit(True)).first()
     assert (got.pct_tr, got.pct_vl, got.pct_ts) == (0.0, 100.0, 0.0) and math.isnan(got.pos_ts)
+
+
+@pytest.mark.parametrize("ratios, n, want", [
+    ((0.33333, 0.33333, 0.33334), 3_000_000_000, (999_990_000, 999_990_000, 1_000_020_000)),
+    ((0.33333, 0.33333, 0.33334), 100_000, (33333, 33333, 33334)),
+    ((1 / 3, 1 / 3, 1 / 3), 9_000_000_000_000_000_000, (3_000_000_000_000_000_000,) * 3),
+    ((0.6, 0.2, 0.2), 10, (6, 2, 2)),
+])
+def test_quotas_of_any_ratio(spark, ratios, n, want):
+    row = spark.range(1).select(splits.apportion(F.lit(n).cast("bigint"), ratios).alias("q")).first().q
+    assert tuple(row) == want
+
+
+def test_quotas_turn_by_turn_on_fine_ratios(spark):
+    ratios, now, want = (0.61237, 0.28763, 0.1), [0, 0, 0], {}
+    shares = [Fraction(str(r)) for r in ratios]
+    for n in range(1, 700):
+        behind = [s * (n - 1) - x for s, x in zip(shares, now)] if n > 1 else shares
+        now[behind.index(max(behind))] += 1
+        want[n] = tuple(now)
+    got = spark.range(1, 700).select("id", splits.apportion(F.col("id"), ratios).alias("q")).collect()
+    assert {r.id: tuple(r.q) for r in got} == want
+
+
+def test_ratios_are_refused_not_rounded():
+    for ratios in ((0.1234567, 0.5, 0.3765433), (2**0.5 / 2, 0.1, 0.1)):
+        with pytest.raises(ValueError, match="common denominator"):
+            splits.apportion(F.col("n"), ratios)
+
+
+def test_no_chosen_sample_is_needless(spark):
+    rng = random.Random(3)
+    rows = [(i, sorted({rng.choice("abcdefghij") for _ in range(rng.randint(1, 6))})) for i in range(400)] + [(i, ["a"]) for i in range(400, 900)]
+    df = spark.createDataFrame(rows, "id int, labels array<string>")
+    n = Counter(x for _, ls in rows for x in ls)
+    for k in (1, 7, 60):
+        chosen = splits.labels_per_class(df, "id", "labels", k).collect()
+        have = Counter(x for r in chosen for x in r.labels)
+        need = {x: min(k, n[x]) for x in n}
+        assert all(have[x] >= need[x] for x in n)
+        assert all(any(have[x] == need[x] for x in r.labels) for r in chosen)
+
+
+def test_label_split_seeds(spark):
+    rng = random.Random(8)
+    rows = [(i, sorted({rng.choice("abcde") for _ in range(rng.randint(1, 3))})) for i in range(300)] + [(300, ["rare"]), (301, ["rare"])]
+    df = spark.createDataFrame(rows, "id int, labels array<string>")
+    got = splits.guaranteed_label_split(df, "id", "labels", (0.6, 0.2, 0.2), 3).collect()
+    assert sorted(r.id for r in got) == list(range(302))
+    sizes = Counter(r.split for r in got)
+    assert (sizes["tr"], sizes["vl"], sizes["ts"]) == (181, 60, 61)
+    for split in ("tr", "vl", "ts"):
+        have = Counter(x for r in got if r.split == split for x in r.labels)
+        assert all(have[x] >= 3 for x in "abcde")
+    assert {r.split for r in got if "rare" in r.labels} == {"tr"}
