@@ -18,11 +18,13 @@ from samplemill.plans.session import cut
 
 SIMILARITY = 0.8
 #: Words of 64 bits of a fingerprint, tables with the fewest bits of a key, and those bits.
-WIDTH, TABLES, KEY_BITS = 2, 40, 16
+WIDTH, TABLES, KEY_BITS = 2, 40, 14
 #: Values of a bucket that are compared at once.
 BUCKET = 4096
-#: The turns in which candidates are tested; turn 0 takes all that are left.
-TURNS = (1, 2, 0)
+#: Shingle hashes that go with a fingerprint: the smallest ones, which are the whole set of most texts.
+SKETCH = 1024
+#: Rows of groups and pairs that a task decides at once, and standard errors that a partial set is given.
+ROWS, PAIRS, ERRORS = 4096, 1 << 15, 4.0
 
 
 def shingle_set(text: str | None) -> np.ndarray:
@@ -34,6 +36,11 @@ def shingle_set(text: str | None) -> np.ndarray:
     return np.unique(found)
 
 
+def half(hashes: np.ndarray) -> np.ndarray:
+    """Half of each hash is enough for a set: two shingles of a pair of texts hardly ever share it."""
+    return np.unique(hashes.view(np.int64).astype(np.int32))
+
+
 def wide_fingerprint(hashes: np.ndarray) -> np.ndarray:
     """``WIDTH`` words of bits that are set in over half of the hashes, each word from hashes mixed anew."""
     out = np.zeros(WIDTH, np.uint64)
@@ -76,18 +83,27 @@ def tables_for(similarity: float, bits: int, tables: int = TABLES) -> int:
 
 
 def _texts(docs: DataFrame) -> DataFrame:
-    """``(key, fp)`` of every text that has a word; ``key`` is a hash of the text."""
+    """``(key, fp, size, s)`` of every text that has a word: fingerprint, size of its shingle set, and its smallest hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in byte_slices(batch, 1):
-                fps = []
-                for text in part.column(1):
+                keys, fps, sizes, sets = [], [], [], []
+                for key, text in zip(part.column(0).to_pylist(), part.column(1)):
                     hashes = shingle_set(text.as_py())
-                    fps.append(wide_fingerprint(hashes).tobytes() if len(hashes) else None)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fps, pa.binary())], names=["key", "fp"])
+                    if len(hashes):
+                        keys.append(key)
+                        fps.append(wide_fingerprint(hashes).tobytes())
+                        found = half(hashes)
+                        sizes.append(len(found))
+                        sets.append(found[:SKETCH])
+                ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
+                flat = np.concatenate(sets) if sets else np.zeros(0, np.int32)
+                arrays = [pa.array(keys, pa.int64()), pa.array(fps, pa.binary()), pa.array(sizes, pa.int32())]
+                arrays.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(flat, pa.int32())))
+                yield pa.RecordBatch.from_arrays(arrays, names=["key", "fp", "size", "s"])
 
-    return docs.select("key", "_text").mapInArrow(run, "key long, fp binary").where("fp IS NOT NULL")
+    return docs.select("key", "_text").mapInArrow(run, "key long, fp binary, size int, s array<int>")
 
 
 def _keyed(nodes: DataFrame, tables: int, bits: int) -> DataFrame:
@@ -139,40 +155,114 @@ def _groups(buckets: DataFrame, most: int) -> DataFrame:
     return found.select("g", F.explode("vs").alias("v")).select("g", "v.node", "v.fp")
 
 
-def _candidates(groups: DataFrame, found: DataFrame | None, most: int, turn: int) -> DataFrame:
-    """``(a, b)``: the pairs of a group within the radius that ``found`` does not connect yet.
+def _common(a: np.ndarray, b: np.ndarray, sets: list[np.ndarray]) -> np.ndarray:
+    """How many hashes the sets ``a[i]`` and ``b[i]`` have in common.
 
-    All of them in turn 0. In other turns every value with the first and the last of the values before it, in an
-    order of that turn.
+    Few pairs are intersected one by one. Where many pairs share few sets, every set is a row of bits, one per hash
+    that several of the sets have, and words of two rows are compared at a time.
     """
+    used, where = np.unique(np.concatenate([a, b]), return_inverse=True)
+    if len(a) <= 4 * len(used):
+        return np.array([len(np.intersect1d(sets[x], sets[y], assume_unique=True)) for x, y in zip(a.tolist(), b.tolist())], np.int64)
+    a, b = where[: len(a)], where[len(a) :]
+    flat = np.concatenate([sets[i] for i in used])
+    owner = np.repeat(np.arange(len(used)), [len(sets[i]) for i in used])
+    _, column, times = np.unique(flat, return_inverse=True, return_counts=True)
+    several = times > 1
+    column, owner = (np.cumsum(several) - 1)[column[several[column]]], owner[several[column]]
+    order = np.argsort(column, kind="stable")
+    column, owner = column[order], owner[order]
+    out, step = np.zeros(len(a), np.int64), 1 << 12
+    for low in range(0, int(several.sum()), step):
+        i, j = np.searchsorted(column, [low, low + step])
+        bits = np.zeros((len(used), step), np.uint8)
+        bits[owner[i:j], column[i:j] - low] = 1
+        rows = np.packbits(bits, axis=1).view(np.uint64)
+        for k in range(0, len(a), 4096):
+            both = rows[a[k : k + 4096]] & rows[b[k : k + 4096]]
+            out[k : k + 4096] += np.bitwise_count(both).sum(axis=1, dtype=np.int64)
+    return out
+
+
+def _judged(a: np.ndarray, b: np.ndarray, sizes: np.ndarray, sets: list[np.ndarray], similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Which pairs have the similarity, and which may have it but have sets that are not all there.
+
+    Of a set that is only there in part, all hashes up to the largest one are. What two sets share up to the lower of
+    these bounds is a random sample of all that they share, and is given ``ERRORS`` standard errors.
+    """
+    common = _common(a, b, sets)
+    most = np.array([s[-1] for s in sets], np.int64)
+    part = sizes > SKETCH
+    bound = np.minimum(np.where(part[a], most[a], 1 << 32), np.where(part[b], most[b], 1 << 32))
+    x, y = sizes[a].copy(), sizes[b].copy()
+    for i in np.flatnonzero(part[a] | part[b]).tolist():
+        x[i] = np.searchsorted(sets[a[i]], bound[i], "right")
+        y[i] = np.searchsorted(sets[b[i]], bound[i], "right")
+    union = x + y - common
+    whole = ~(part[a] | part[b])
+    sure = whole & (common >= similarity * union)
+    slack = ERRORS * np.sqrt(similarity * (1 - similarity) * union)
+    near = np.minimum(sizes[a], sizes[b]) >= similarity * np.maximum(sizes[a], sizes[b])
+    return sure, ~whole & near & (common >= similarity * union - slack)
+
+
+def _links(members: DataFrame, most: int, similarity: float) -> DataFrame:
+    """``(a, b, sure)`` from the rows ``(g, node, fp, size, s)`` of groups: links that have the similarity, or may have it.
+
+    Every pair of a group within the radius is compared by its sets unless links found before connect it, and of the
+    links that are sure only those that connect something new are given, so a group gives fewer of these than it
+    has members. Pairs that need their full sets are all given; only texts of over ``SKETCH`` shingles have such.
+    """
+
+    def decide(rows: pa.Table) -> pa.RecordBatch:
+        g, nodes, sizes = (rows.column(n).to_numpy() for n in ("g", "node", "size"))
+        values = np.frombuffer(b"".join(rows.column("fp").to_pylist()), np.uint64).reshape(len(nodes), -1)
+        lists = rows.column("s").combine_chunks()
+        flat, ends = lists.flatten().to_numpy(), lists.offsets.to_numpy() - lists.offsets[0].as_py()
+        sets = [flat[i:j] for i, j in zip(ends, ends[1:])]
+        starts = np.append(np.flatnonzero(np.append(True, g[1:] != g[:-1])), len(g))
+        root, links, open_ = np.arange(len(g)), [], []
+        for a, b in sliced_pairs(values, starts, most):
+            at, step = 0, ROWS
+            while at < len(a):
+                x, y = a[at : at + step], b[at : at + step]
+                at, step = at + step, min(2 * step, PAIRS)
+                apart = (root[x] != root[y]) & (nodes[x] != nodes[y])
+                x, y = x[apart], y[apart]
+                if not len(x):
+                    continue
+                sure, unsure = _judged(x, y, sizes.astype(np.int64), sets, similarity)
+                known = np.flatnonzero(root != np.arange(len(root)))
+                root = roots(len(g), np.concatenate([known, x[sure]]), np.concatenate([root[known], y[sure]]))
+                open_.append(np.stack([x[unsure], y[unsure]]))
+        known = np.flatnonzero(root != np.arange(len(root)))
+        pairs = np.concatenate([np.zeros((2, 0), np.int64), *open_], axis=1)
+        pairs = pairs[:, root[pairs[0]] != root[pairs[1]]]
+        x, y = nodes[np.concatenate([known, pairs[0]])], nodes[np.concatenate([root[known], pairs[1]])]
+        sure = np.arange(len(x)) < len(known)
+        arrays = [pa.array(np.maximum(x, y)), pa.array(np.minimum(x, y)), pa.array(sure)]
+        return pa.RecordBatch.from_arrays(arrays, names=["a", "b", "sure"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
         for whole in batches:
-            for i in range(0, whole.num_rows, 2000):
-                flat, nodes, values, starts = _flat(whole.slice(i, 2000).column(0))
-                root = flat.field(2).to_numpy(zero_copy_only=False)
-                rank = mix(nodes.view(np.uint64) + np.uint64(turn))
-                for a, b in sliced_pairs(values, starts, most):
-                    apart = root[a] != root[b]
-                    a, b = a[apart], b[apart]
-                    if turn and len(a):
-                        swap = rank[a] > rank[b]
-                        low, high = np.where(swap, b, a), np.where(swap, a, b)
-                        order = np.lexsort((rank[low], high))
-                        low, high = low[order], high[order]
-                        edge = high[1:] != high[:-1]
-                        chosen = np.append(True, edge) | np.append(edge, True)
-                        a, b = high[chosen], low[chosen]
-                    for k in range(0, len(a), 1 << 16):
-                        x, y = nodes[a[k : k + (1 << 16)]], nodes[b[k : k + (1 << 16)]]
-                        yield pa.RecordBatch.from_arrays([pa.array(np.maximum(x, y)), pa.array(np.minimum(x, y))], names=["a", "b"])
-
-    named = groups.withColumn("root", F.col("node"))
-    if found is not None:
-        named = groups.join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    members = F.collect_list(F.struct("node", "fp", "root")).alias("vs")
-    open_ = named.groupBy("g").agg(members, F.min("root").alias("f"), F.max("root").alias("m")).where("f <> m")
-    return open_.select("vs").mapInArrow(run, "a long, b long").distinct()
+            for at in range(0, whole.num_rows, ROWS):
+                batch = whole.slice(at, ROWS)
+                g = batch.column(0).to_numpy()
+                # What comes before the batch's last group is complete, and so is what is held if that begins anew.
+                last = int(np.searchsorted(g, g[-1]))
+                if last:
+                    yield decide(pa.Table.from_batches([*held, batch.slice(0, last)]))
+                    held = []
+                elif held and held[0].column(0)[0].as_py() != g[0]:
+                    yield decide(pa.Table.from_batches(held))
+                    held = []
+                held.append(batch.slice(last))
+        if held:
+            yield decide(pa.Table.from_batches(held))
+
+    rows = members.select("g", "node", "fp", "size", "s").repartition("g").sortWithinPartitions("g")
+    return rows.mapInArrow(run, "a long, b long, sure boolean").distinct()
 
 
 def _buckets(keyed: DataFrame, limit: int) -> DataFrame:
@@ -192,15 +282,13 @@ def _buckets(keyed: DataFrame, limit: int) -> DataFrame:
 
 
 def _sets(docs: DataFrame, texts: DataFrame, nodes: DataFrame) -> DataFrame:
-    """``(node, s)``: the shingle sets of the nodes."""
-    # One text stands for all texts with the same fingerprint node.
+    """``(node, s)``: the full shingle sets of the nodes."""
     keys = texts.groupBy("node").agg(F.min("key").alias("key")).join(nodes, "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in byte_slices(batch, 1):
-                # Half of each hash is enough here: two shingles of a pair of texts hardly ever share it.
-                sets = [shingle_set(t.as_py()).view(np.int64).astype(np.int32) for t in part.column(1)]
+                sets = [half(shingle_set(t.as_py())) for t in part.column(1)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int32()))], names=["node", "s"])
 
     found = docs.select("key", "_text").join(keys, "key").select("node", "_text").mapInArrow(run, "node long, s array<int>")
@@ -215,24 +303,6 @@ def _verified(sets: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame
     return both.where(common >= similarity * (F.size("x") + F.size("y") - common)).select("a", "b")
 
 
-def _connected(groups: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """``(node, root)``: what the pairs of the groups that have the similarity connect.
-
-    Two turns test few pairs of each value, which connects most of what is alike; the last tests every pair that is
-    still apart, so no pair within the radius is left out and large groups of copies never become all their pairs.
-    """
-    found = None
-    for turn in TURNS:
-        pairs = cut(_candidates(groups, found, radius(similarity), turn), "candidates")
-        if found is not None and pairs.isEmpty():
-            break
-        links = _verified(sets, pairs, similarity)
-        if found is not None:
-            links = links.unionByName(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
-        found = components(links)
-    return found
-
-
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, tables: int = TABLES
 ) -> DataFrame:
@@ -243,22 +313,30 @@ def near_duplicates(
     row with the smallest id stays (a row without an id after those with one, then by the key).
 
     Candidates agree in all sampled bits of at least one of the keys and in most of 128 bits, compared in bit
-    slices. For a pair of similarity 0.8, 0.85 and 0.9 that happens with probabilities of about 0.87, 0.95 and 0.98.
-    ``tables`` keys have 16 bits, up to a million texts; keys get a bit more whenever the table doubles, and there
-    are then so many more of them that the probability at ``similarity`` stays. Every candidate pair is then
-    decided by its full shingle sets, unless verified pairs connect it already.
+    slices. For a pair of similarity 0.8, 0.85 and 0.9 that happens with probabilities of about 0.93, 0.97 and 0.99.
+    ``tables`` keys have 14 bits, up to 262,144 texts; keys get a bit more whenever the table doubles, and there
+    are then so many more of them that the probability at ``similarity`` stays. Every candidate pair is decided by its
+    shingle sets in the task that finds it, unless pairs decided before connect it already; pairs of texts with over
+    1,024 shingles are sifted by a part of their sets there, and those that remain meet once more with all of them.
 
     Texts without a word are near-duplicates of nothing. Equal rows are kept or dropped together. Other columns
     are not read; an empty table gives no rows.
     """
     named = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("key"), F.col(text_col).alias("_text"))
-    texts = cut(_texts(named).distinct().withColumn("node", F.xxhash64("fp")), "wide-fingerprints")
-    nodes = texts.groupBy("node").agg(F.min("fp").alias("fp"))
+    # Texts with the same set are one node; equal fingerprints of different sets are two.
+    sketches = cut(_texts(named).withColumn("node", F.xxhash64("size", "s")), "wide-fingerprints")
+    texts = cut(sketches.select("key", "node", "fp").distinct(), "texts")
     bits = max(KEY_BITS, math.ceil(math.log2(max(1, texts.count()))) - 4)
-    buckets = _buckets(_keyed(cut(nodes, "nodes"), tables_for(similarity, bits, tables), bits), BUCKET)
-    groups = cut(_groups(buckets, radius(similarity)), "groups")
-    sets = cut(_sets(named, texts, groups.select("node").distinct()), "shingle-sets")
-    found = _connected(groups, sets, similarity)
+    keyed = _keyed(cut(texts.select("node", "fp").dropDuplicates(["node"]), "nodes"), tables_for(similarity, bits, tables), bits)
+    groups = cut(_groups(_buckets(keyed, BUCKET), radius(similarity)), "groups")
+    wanted = sketches.select("node", "fp", "size", "s").join(groups.select("node").distinct(), "node", "left_semi")
+    members = groups.select("g", "node").join(wanted.dropDuplicates(["node"]), "node")
+    links = cut(_links(members, radius(similarity), similarity), "links")
+    sure, unsure = links.where("sure").select("a", "b"), links.where("NOT sure").select("a", "b")
+    if not unsure.isEmpty():
+        asked = unsure.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        sure = sure.unionByName(_verified(cut(_sets(named, texts, asked), "shingle-sets"), unsure, similarity))
+    found = components(sure)
     grouped = texts.join(found, "node", "left").select("key", F.coalesce("root", "node").alias("root"))
     rows = cut(named.select("_id", "key").join(grouped, "key"), "grouped")
     order = F.struct(F.col("_id").isNull().alias("z"), F.col("_id").alias("i"), F.col("key").alias("k"))
