@@ -103,16 +103,17 @@ x AS (SELECT r, pos, regexp_replace(ls[pos], '[\x20\x09\x0B-\x0D]+', ' ', 'g') A
       FROM (SELECT r, ls, unnest(range(1, len(ls) + 1)) AS pos FROM d)),
 m AS (SELECT r, pos, regexp_replace(trim(l, ' '), '[^ ]*[0-9][^ ]*', '<*>', 'g') AS line FROM x),
 k AS (SELECT *, string_split(line, ' ') AS ts FROM m WHERE line <> ''),
-leaf AS (SELECT len(ts) AS n, ts[1:3] AS head FROM k GROUP BY ALL HAVING count(DISTINCT r) >= 5),
-c AS (SELECT k.* FROM k JOIN leaf ON n = len(ts) AND head = ts[1:3]),
-per AS (SELECT line, ts, count(DISTINCT r) AS docs FROM c GROUP BY ALL),
-tok AS (SELECT line, ts, docs, unnest(range(1, len(ts) + 1)) AS place FROM per),
+leaf AS (SELECT len(ts) AS n, ts[1:3] AS head, count(DISTINCT r) AS all_docs FROM k GROUP BY ALL HAVING count(DISTINCT r) >= 5),
+c AS (SELECT k.*, all_docs FROM k JOIN leaf ON n = len(ts) AND head = ts[1:3]),
+tok AS (SELECT r, line, ts, all_docs, unnest(range(1, len(ts) + 1)) AS place FROM (SELECT DISTINCT r, line, ts, all_docs FROM c)),
 con AS (SELECT len(ts) AS n, ts[1:3] AS head, place, ts[place] AS token FROM tok
-        WHERE ts[place] <> '<*>' GROUP BY ALL HAVING sum(docs) >= 5),
-f AS (SELECT line, len(ts) AS n, list({'place': place, 'token': ts[place]} ORDER BY place) AS constants
-      FROM tok JOIN con USING (place) WHERE con.n = len(ts) AND con.head = ts[1:3] AND con.token = ts[place]
-      GROUP BY ALL HAVING count(*) >= 3 AND 100 * count(*) >= 50 * len(ts)),
-tem AS (SELECT n, constants FROM c JOIN f USING (line) GROUP BY ALL HAVING count(DISTINCT r) >= 5),
+        WHERE ts[place] <> '<*>' GROUP BY ALL HAVING count(DISTINCT r) >= greatest(5, ceil(any_value(all_docs) * 10 / 100))),
+one AS (SELECT DISTINCT line, ts, all_docs, place FROM tok),
+f AS (SELECT line, len(ts) AS n, all_docs, list({'place': place, 'token': ts[place]} ORDER BY place) AS constants
+      FROM one JOIN con USING (place) WHERE con.n = len(ts) AND con.head = ts[1:3] AND con.token = ts[place]
+      GROUP BY line, ts, all_docs HAVING count(*) >= 3 AND 100 * count(*) >= 50 * len(ts)
+         AND 100 * count(*) FILTER (place > 3) >= 50 * len(list_filter(ts[4:], lambda x: x <> '<*>'))),
+tem AS (SELECT n, constants FROM c JOIN f USING (line) GROUP BY ALL HAVING count(DISTINCT r) >= greatest(5, ceil(any_value(f.all_docs) * 10 / 100))),
 bad AS (SELECT line FROM f JOIN tem USING (n, constants)),
 gone AS (SELECT r, list(pos) AS ps FROM c WHERE line IN (SELECT line FROM bad) GROUP BY r)
 SELECT doc_id, CAST(coalesce(len(ls), 0) AS BIGINT) AS n_lines, CAST(coalesce(len(ps), 0) AS BIGINT) AS n_dropped,
