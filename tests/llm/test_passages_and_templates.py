@@ -3,6 +3,7 @@ import itertools
 import random
 
 import numpy as np
+import pytest
 from conftest import prose
 
 from samplemill.llm import passages, similar, templates
@@ -63,6 +64,46 @@ def test_a_common_passage_gives_a_row_per_document(docs_of):
     assert len(got) < 40 * 12
 
 
+@pytest.mark.parametrize("gap", [50, 150, 300])
+def test_two_passages_of_the_same_two_documents(docs_of, gap):
+    """Both are found in both documents, whatever lies between them."""
+    rng, rows, at = random.Random(gap), [], {}
+
+    def foreign(n):
+        return [f"z{rng.randrange(10**9)}" for _ in range(n)]
+
+    for k in range(100):
+        first, second = foreign(60), foreign(70)
+        for d in (2 * k, 2 * k + 1):
+            head, middle = foreign(rng.randrange(20, 90)), foreign(gap)
+            rows.append((d, " ".join([*head, *first, *middle, *second, *foreign(40)])))
+            at[d] = [(len(head), 60), (len(head) + 60 + gap, 70)]
+    got = collections.defaultdict(list)
+    for r in passages.duplicate_passages(docs_of(rows)).collect():
+        got[r.doc_id].append((r.start, r.words))
+    found = [all(any(s <= a + 3 and s + n >= a + m - 3 for s, n in got[d]) for a, m in at[d]) for d in at]
+    assert sum(found) == len(found)
+
+
+def test_recall_of_edited_passages(docs_of):
+    """Passages of 60 to 80 words with words exchanged, in documents of their own: nearly all above 0.8 are found."""
+    rng, rows, want = random.Random(2), [], {}
+    for k in range(300):
+        size = rng.randrange(60, 81)
+        passage = [f"p{k}w{i}" for i in range(size)]
+        other = list(passage)
+        for i in rng.sample(range(size), rng.randrange(1, 4)):
+            other[i] += "x"
+        a, b = ({tuple(w[i : i + 5]) for i in range(size - 4)} for w in (passage, other))
+        for d, part in ((2 * k, passage), (2 * k + 1, other)):
+            head, tail = ([f"z{rng.randrange(10**9)}" for _ in range(50)] for _ in range(2))
+            rows.append((d, " ".join([*head, *part, *tail])))
+        if len(a & b) >= 0.8 * len(a | b):
+            want[2 * k] = want[2 * k + 1] = True
+    got = {r.doc_id for r in passages.duplicate_passages(docs_of(rows)).collect()}
+    assert len(want) > 200 and sum(d in got for d in want) >= 0.95 * len(want)
+
+
 def test_near_duplicates(docs_of):
     base = prose(200, 1).split()
     rows = [(1, " ".join(base))]
@@ -115,13 +156,111 @@ def test_values_of_a_large_bucket_all_meet(spark):
 
 
 def test_longer_keys_get_more_tables():
-    want = similar.recall(0.8, 16, 40)
-    assert similar.tables_for(0.8, 16) == 40
-    for bits in (17, 20, 24):
+    want = similar.recall(0.8, similar.KEY_BITS, similar.TABLES)
+    assert want > 0.9 and similar.recall(0.9, similar.KEY_BITS, similar.TABLES) > 0.99
+    assert similar.tables_for(0.8, similar.KEY_BITS) == similar.TABLES
+    for bits in (15, 17, 20, 24):
         tables = similar.tables_for(0.8, bits)
         assert similar.recall(0.8, bits, tables) >= want > similar.recall(0.8, bits, tables - 1)
 
 
+def pairs_of(n, low, high, seed, size=120):
+    """Pairs of texts with a similarity between the bounds, each pair with words of its own."""
+    rng, out = random.Random(seed), []
+    while len(out) < n:
+        base = [f"p{len(out)}w{rng.randrange(10**6)}" for _ in range(size)]
+        other = list(base)
+        for i in rng.sample(range(size), rng.randrange(1, max(2, size // 25))):
+            other[i] += "x"
+        a, b = ({tuple(w[k : k + 5]) for k in range(size - 4)} for w in (base, other))
+        if low <= len(a & b) / len(a | b) < high:
+            out.append((" ".join(base), " ".join(other)))
+    return out
+
+
+def test_recall_of_planted_pairs(docs_of):
+    """Against the sets themselves: 0.9 of the pairs just above the threshold, 0.99 of those above 0.9, none below."""
+    kinds = {"low": (0.8, 0.85, 150), "high": (0.9, 1.0, 300), "below": (0.6, 0.8, 150)}
+    rows, of = [], {}
+    for k, (name, (low, high, n)) in enumerate(kinds.items()):
+        for a, b in pairs_of(n, low, high, k):
+            of[len(rows) + 1] = name
+            rows += [(len(rows), a), (len(rows) + 1, b)]
+    found = {(r.doc_id, r.keep_id) for r in similar.near_duplicates(docs_of(rows)).collect()}
+    share = {name: sum((i, i - 1) in found for i, x in of.items() if x == name) / kinds[name][2] for name in kinds}
+    assert share["low"] >= 0.9 and share["high"] >= 0.99 and share["below"] == 0
+    assert all(i in of and keep == i - 1 for i, keep in found)
+
+
+def test_long_texts_are_decided_by_their_full_sets(docs_of):
+    """Sets of several thousand shingles, on both sides of the threshold."""
+    base = [f"w{i}" for i in range(5000)]
+    edited = lambda step: " ".join(w + "x" if i % step == 7 else w for i, w in enumerate(base))
+    # Every edit takes five shingles, so the similarity is (1 - 5 / step) / (1 + 5 / step): 0.82, 0.78.
+    rows = [(1, " ".join(base)), (2, edited(51)), (3, " ".join(f"v{w}" for w in base)), (4, " ".join(f"v{w}" for w in edited(40).split()))]
+    assert {(r.doc_id, r.keep_id) for r in similar.near_duplicates(docs_of(rows)).collect()} == {(2, 1)}
+
+
+@pytest.mark.parametrize("n", [200, 800])
+def test_links_do_not_grow_with_the_square_of_a_family(spark, n):
+    """Members that are near in bits but not alike give no link at all, however many pairs are compared."""
+    rng = np.random.default_rng(n)
+    shared, fp = np.arange(300, dtype=np.int32), bytes(16)
+    rows = []
+    for i in range(n):
+        own = rng.integers(1000, 1 << 30, 100).astype(np.int32)
+        s = np.unique(np.concatenate([shared, own])).tolist()
+        rows.append((7, i, bytearray(fp), len(s), s))
+    # Four copies among them, but for two words.
+    for i in range(4):
+        s = sorted({*rows[0][4][:-2], 10**9 + i})
+        rows.append((7, n + i, bytearray(fp), len(s), s))
+    members = spark.createDataFrame(rows, "g long, node long, fp binary, size int, s array<int>")
+    links = similar._links(members, similar.radius(0.8), 0.8).collect()
+    assert len(links) == 4 and all(r.sure for r in links)
+    assert {x for r in links for x in (r.a, r.b)} == {0, n, n + 1, n + 2, n + 3}
+
+
+def test_equal_fingerprints_of_different_sets_are_verified(docs_of, monkeypatch):
+    monkeypatch.setattr(similar, "wide_fingerprint", lambda hashes: np.zeros(2, np.uint64))
+    rows = [(1, prose(200, 1)), (2, prose(200, 77)), (3, prose(200, 1) + " more")]
+    assert {(r.doc_id, r.keep_id) for r in similar.near_duplicates(docs_of(rows)).collect()} == {(3, 1)}
+
+
+HEADINGS = ["apple pie", "wooden boats", "paper planes", "better coffee", "small talk", "garden paths", "winter coats", "clay pots"]
+
+
+def test_lines_that_only_begin_alike_stay(docs_of):
+    rows = [(i, f"How to make {x}\nCopyright by the editor of this page\nunique {prose(8, i)}") for i, x in enumerate(HEADINGS)]
+    got = templates.drop_recurring_lines(docs_of(rows)).collect()
+    for r in got:
+        assert r.text == rows[r.doc_id][1].replace("Copyright by the editor of this page\n", "")
+
+
+def test_other_documents_change_nothing(docs_of):
+    """Twenty times as many documents with other words: the same lines stay."""
+    def corpus(tag, first):
+        out = []
+        for i in range(40):
+            name = "".join(chr(97 + int(d)) for d in str(i))
+            lines = [f"How to make some{tag}{name} thing{tag}{name}", f"written{tag} by{tag} the{tag} editor{tag} of{tag} number{tag}{i % 3}"]
+            lines.append(f"only{tag} in{tag} this{tag} one{tag} {prose(5, i)}")
+            out.append((first + i, "\n".join(lines)))
+        return out
+
+    own = corpus("", 0)
+    alone = {r.doc_id: r.text for r in templates.drop_recurring_lines(docs_of(own)).collect()}
+    many = [row for k in range(1, 21) for row in corpus(f"q{chr(96 + k)}", 1000 * k)]
+    # Only their words differ, so `How to make` leads all of them to one leaf.
+    among = {r.doc_id: r.text for r in templates.drop_recurring_lines(docs_of(own + many)).collect()}
+    assert {i: among[i] for i in alone} == alone
+
+
+def test_a_document_with_many_variants_counts_once(docs_of):
+    rows = [(1, "\n".join(f"the same start word{chr(97 + i)} here" for i in range(9)))] + [(i, f"the same start other{chr(97 + i)} there") for i in range(2, 6)]
+    assert all(r.n_dropped == 0 for r in templates.drop_recurring_lines(docs_of(rows)).collect())
+
+
 def test_fields_vary_and_templates_go(docs_of):
     names = ["ada", "bob", "cyd", "dan", "eve", "fay", "gus", "hal"]
     rows = [(i, f"Page {i} of 40\nwritten today for {n} by the editor\nthis line is only in document {chr(97 + i)}\n") for i, n in enumerate(names)]
