@@ -74,12 +74,15 @@ def test_independent_pairs_stop_at_shared_symbols():
 
 def test_five_hundred_merges(spark):
     rng = random.Random(7)
-    words = ["".join(rng.choices("abcdefgh\U0001F600é", weights=[9, 7, 5, 4, 3, 2, 2, 1, 1, 1], k=rng.randint(1, 14))) for _ in range(3000)]
-    df = spark.createDataFrame([(words,)], "words array<string>")
-    model = tokenizer.train_merges(tokenizer.word_counts(df, "words"), merges=500)
-    _, merges, parts = sequential(words, 500 + len(set("".join(words))), None, "")
+    # Words of twelve alphabets: merges in one of them have nothing to do with those in another.
+    alphabets = ["abcdefgh", "\U0001F600éèßäöüñ", *("".join(chr(c + i) for i in range(8)) for c in range(0x400, 0x450, 8))]
+    words = ["".join(rng.choices(alphabets[k % 12], weights=[9, 7, 5, 4, 3, 2, 2, 1], k=rng.randint(1, 14))) for k in range(2500)]
+    counts = {w: rng.randrange(1, 10**6) for w in words}
+    model = tokenizer.train_merges(spark.createDataFrame(list(counts.items()), "word string, n bigint"), merges=500)
+    _, merges, parts = sequential(counts, 500 + len(set("".join(words))), None, "")
     assert len(merges) == 500 and model.merges == merges
     names = {i: t for t, i in model.ids.items()}
+    df = spark.createDataFrame([(words,)], "words array<string>")
     encoded = tokenizer.encode_merges(df, "words", model).first().input_ids
     assert [names[i] for i in encoded] == [s for w in words for s in parts[w]]
 
