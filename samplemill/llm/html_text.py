@@ -53,6 +53,8 @@ ASIDE_WORDS = frozenset(
     "replies reply respond responses search share sharing sidebar signin signup skip social sponsor sponsored sponsors "
     "subscribe subscription teaser teasers toolbar trending widget widgets".split()
 )
+#: Words by which a name speaks of something else on the page.
+ABOUT_OTHERS = frozenset("has no not with without".split())
 ASIDE_NAMES = frozenset("header masthead page-header site-header top-bar topbar".split())
 ARTICLE_ASIDE = frozenset("ad advert comment comments promo related reply sponsored teaser".split())
 CONTENT_TAGS = frozenset("article main".split())
@@ -137,7 +139,8 @@ class Page(HTMLParser):
             return tag in ASIDE_TAGS, tag in CONTENT_TAGS, tag
         of = {k: v or "" for k, v in reversed(attrs)}
         names = f"{of.get('class', '')} {of.get('id', '')}".split()
-        words = {w.lower() for n in names for w in WORDS.findall(n)}
+        spelt = [{w.lower() for w in WORDS.findall(n)} for n in names]
+        words = {w for own in spelt if not own & ABOUT_OTHERS for w in own}
         lower = {n.lower() for n in names}
         role = of.get("role", "").lower()
         content = tag in CONTENT_TAGS or role in CONTENT_TAGS
@@ -171,11 +174,11 @@ class Page(HTMLParser):
         if self.in_link:
             self.links += len(data.strip())
 
-    def judged(self) -> tuple[list[bool], list[bool]]:
+    def judged(self, named: bool = True) -> tuple[list[bool], list[bool]]:
         """Per element: whether it or an ancestor is beside the article, and whether it is inside of one.
 
         What an element says about itself does not count if the article is inside of it, nor does a header that is
-        inside the article: it holds the title.
+        inside the article: it holds the title. Without ``named`` only tags count.
         """
         holds = list(self.content)
         for e in range(len(self.parent) - 1, 0, -1):
@@ -185,7 +188,8 @@ class Page(HTMLParser):
         for e in range(1, len(holds)):
             up = self.parent[e]
             inside[e] = inside[up] or self.content[e]
-            own = self.aside[e] and not (holds[e] and not self.content[e]) and not (inside[up] and self.tags[e] == "header")
+            says = self.aside[e] if named else self.tags[e] in ASIDE_TAGS
+            own = says and not (holds[e] and not self.content[e]) and not (inside[up] and self.tags[e] == "header")
             aside[e] = aside[up] or own
         return aside, inside
 
@@ -233,6 +237,10 @@ def main_text(html: str | None) -> str:
     page = Page(finished(html))
     aside, inside = page.judged()
     blocks = [b for b in page.blocks if not aside[b[0]]]
+    if not blocks:
+        # A frame around the whole page may be called after its menu; then names say nothing.
+        aside, inside = page.judged(named=False)
+        blocks = [b for b in page.blocks if not aside[b[0]]]
     own = [b for b in blocks if inside[b[0]]]
     if any(links < len(text) for _, text, links in own):
         # The page says where its article is: only paths of nothing but links are left out.

@@ -43,6 +43,12 @@ def test_paths_choose_where_nothing_is_marked(name):
     assert got[0] == "A heading" and got[-1] == "Short." and len(got) == 8
 
 
+def test_names_of_frames():
+    text = "".join(f"<p>Paragraph {i}, which goes on for a while, as paragraphs do. It ends here.</p>" for i in range(3))
+    for frame in ("<div class='page has-sidebar no-comments'>", "<div id='sidebar-left-layout'>", "<body class='search-page'><div>"):
+        assert len(h.main_text(f"{frame}<nav>Menu, and more.</nav><div>{text}</div></div>").split("\n")) == 3
+
+
 def test_defects():
     assert h.main_text("<article><p>One<p>Two<b>bold</b> &am") == "One\nTwobold &am"
     assert h.main_text("<body><article><h1>T</h1><p><b>Never closed.<br><p>Next &lt;tag&gt; &#233;&#x20AC;.</article><footer>F, g. H") == "T\nNever closed.\nNext <tag> é€."
