@@ -27,6 +27,8 @@ MAX_LANGUAGES = 1000
 ORDERS = (1, 2, 3)
 #: What a change of language costs, and the most that one word can say against a language (nats).
 PENALTY, WORST = 12.0, 10.0
+#: Bytes of the table that tasks are sent: with very many languages, fewer features are kept.
+MODEL_BYTES = 64 << 20
 #: Bytes that a Python worker keeps of words and their scores, and what a word takes besides its scores.
 CACHE, ENTRY = 40 << 20, 160
 
@@ -192,6 +194,7 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", sampl
     languages = sorted(sizes)
     if not languages:
         return Model([], np.zeros(1, np.uint64), np.zeros((1, 0)), {})
+    most = min(most, MODEL_BYTES // (8 * len(languages)))
     full = 1 << 30
     bound = F.lit(full)
     for lang, n in sizes.items():
