@@ -99,15 +99,14 @@ def string_features(df: DataFrame, content: str) -> DataFrame:
     return out.drop("_runs", "_hist")
 
 
-def hash_bucket(token: Column | str, width: int) -> Column:
+def hash_bucket(digest: Column | str, width: int) -> Column:
     """Bucket of a token, from the first eight hex digits of its md5."""
-    return F.pmod(F.conv(F.substring(F.md5(as_column(token)), 1, 8), 16, 10).cast("bigint"), F.lit(width)).cast("int")
+    return F.pmod(F.conv(F.substring(as_column(digest), 1, 8), 16, 10).cast("bigint"), F.lit(width)).cast("int")
 
 
-def hash_sign(token: Column | str) -> Column:
-    """+1 or -1, from the ninth hex digit."""
-    digit = F.conv(F.substring(F.md5(as_column(token)), 9, 1), 16, 10).cast("int")
-    return F.when(digit < 8, F.lit(1)).otherwise(F.lit(-1))
+def hash_sign(digest: Column | str) -> Column:
+    """+1 or -1, from the ninth hex digit of a token's md5."""
+    return F.when(F.substring(as_column(digest), 9, 1) < "8", F.lit(1)).otherwise(F.lit(-1))
 
 
 def hashed(df: DataFrame, id_col: str, tokens: Column | str, width: int, value: Column | None = None) -> DataFrame:
@@ -120,9 +119,11 @@ def hashed(df: DataFrame, id_col: str, tokens: Column | str, width: int, value:
         long = exploded(df, tokens, "_t", [id_col]).withColumn("_v", F.lit(1.0))
     else:
         long = df.select(id_col, as_column(tokens).alias("_t"), value.cast("double").alias("_v"))
+    # A column of its own: the digest is needed twice and taken once.
+    long = long.select(id_col, F.md5("_t").alias("_m"), "_v")
     return (
-        long.groupBy(id_col, hash_bucket("_t", width).alias("bucket"))
-        .agg(F.sum(hash_sign("_t") * F.col("_v")).alias("value"))
+        long.groupBy(id_col, hash_bucket("_m", width).alias("bucket"))
+        .agg(F.sum(hash_sign("_m") * F.col("_v")).alias("value"))
         .where("value <> 0")
     )
 
@@ -230,7 +231,8 @@ def _placed(df: DataFrame, id_col: str, place: Column | int, value: Column) -> D
 def _hashed(df: DataFrame, id_col: str, first: int, width: int, token: Column, value: Column | None = None) -> DataFrame:
     """One signed value per row whose token is not NULL, in the bucket of the token."""
     value = F.lit(1.0) if value is None else value
-    return _placed(df.where(token.isNotNull()), id_col, first + hash_bucket(token, width), hash_sign(token) * value)
+    long = df.where(token.isNotNull()).select(id_col, F.md5(token).alias("_m"), value.alias("_v"))
+    return _placed(long, id_col, first + hash_bucket("_m", width), hash_sign("_m") * F.col("_v"))
 
 
 def _from_arrays(df: DataFrame, id_col: str, first: int, values: Column) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from samplemill.functions.ids import SEED, as_column, id_prefix, shard_of
 from samplemill.plans.ordered import ordered_cut
+from samplemill.plans.session import cut
 
 PROTOCOLS = ("any", "yes", "no", "unk")
 
@@ -165,7 +166,9 @@ def exclusion_reasons(
     listed = listed.select(*df.columns, "reason")
     if not dedup:
         return listed
-    # The first sample that no rule excludes keeps its digest; an aggregate combines copies before the shuffle.
+    # The first sample that no rule excludes keeps its digest; an aggregate combines copies before the shuffle. The rows
+    # are read twice for it, what they were made from only once.
+    listed = cut(listed, "listed")
     first = (
         listed.where("reason is null").groupBy(digest).agg(F.min(id_col).alias(id_col)).select(id_col)
         .withColumn("_first", F.lit(True))

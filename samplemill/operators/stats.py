@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from samplemill.operators.splits import SPLITS
 from samplemill.plans.ordered import exact_quantiles, join_null_safe
+from samplemill.plans.session import cut
 from samplemill.plans.staged import exploded, side_by_side
 
 
@@ -39,6 +40,18 @@ def imbalance(df: DataFrame, label: str, split: str | None = None) -> DataFrame:
     )
 
 
+def imbalances(df: DataFrame, label: str, split: str, overall: str = "all") -> DataFrame:
+    """``imbalance`` per split and over all of them (the row ``overall``), from one count of the samples."""
+    counts = class_distribution(df, label, split)
+    scopes = F.explode(F.array(F.col(split), F.lit(overall))).alias("_scope")
+    per_scope = counts.select(label, scopes, "n").groupBy("_scope", label).agg(F.sum("n").alias("n"))
+    return per_scope.groupBy(F.col("_scope").alias(split)).agg(
+        F.max("n").alias("n_max"),
+        F.min("n").alias("n_min"),
+        F.round(F.max("n") / F.min("n"), 6).alias("imbalance"),
+    )
+
+
 def split_summary(df: DataFrame, positive: Column, split: str = "split") -> DataFrame:
     """Counts per split, share of the total and share of the positive class, in percent (half-even; NaN of nothing)."""
     aggs = [F.count(F.lit(1)).alias("n_to"), F.count_if(positive).alias("p_to")]
@@ -58,18 +71,30 @@ def split_summary(df: DataFrame, positive: Column, split: str = "split") -> Data
     )
 
 
-def size_summary(df: DataFrame, size: str, divisor: float = 1.0, by: Sequence[str] = ()) -> DataFrame:
-    """n, exact median, mean, population deviation, min, max and sum, divided by ``divisor``."""
-    x = F.col(size)
-    plain = df.groupBy(*by).agg(
-        F.count(x).alias("n"),
-        (F.avg(x) / divisor).alias("mean"),
-        (F.stddev_pop(x) / divisor).alias("std"),
-        (F.min(x) / divisor).alias("min"),
-        (F.max(x) / divisor).alias("max"),
-        (F.sum(x) / divisor).alias("sum"),
+def size_summary(df: DataFrame, size: str, divisor: float = 1.0, by: Sequence[str] = (), overall: str | None = None) -> DataFrame:
+    """n, exact median, mean, population deviation, min, max and sum, divided by ``divisor``.
+
+    ``overall`` names one more row, over all groups of a text column. The samples are read once: their sizes are
+    counted and written, and all numbers come from the counts.
+    """
+    counts = cut(df.where(F.col(size).isNotNull()).groupBy(*by, size).agg(F.count(F.lit(1)).alias("_w")), "sizes")
+    if overall is not None:
+        (group,) = by
+        scopes = F.explode(F.array(F.col(group), F.lit(overall))).alias(group)
+        counts = counts.select(scopes, size, "_w").groupBy(group, size).agg(F.sum("_w").alias("_w"))
+    x, w = F.col(size).cast("double"), F.col("_w")
+    plain = counts.groupBy(*by).agg(
+        F.sum("_w").alias("n"),
+        F.sum(x * w).alias("_s"),
+        F.sum(x * x * w).alias("_q"),
+        (F.min(size) / divisor).alias("min"),
+        (F.max(size) / divisor).alias("max"),
+        (F.sum(F.col(size) * w) / divisor).alias("sum"),
     )
-    median = exact_quantiles(df, size, {"median": 0.5}, by).withColumn("median", F.col("median") / divisor)
+    mean = F.col("_s") / F.col("n")
+    plain = plain.withColumn("mean", mean / divisor).withColumn("std", F.sqrt(F.greatest(F.lit(0.0), F.col("_q") / F.col("n") - mean * mean)) / divisor)
+    plain = plain.select(*by, "n", "mean", "std", "min", "max", "sum")
+    median = exact_quantiles(counts, size, {"median": 0.5}, by, "_w").withColumn("median", F.col("median") / divisor)
     if by:
         return join_null_safe(plain, median, by)
     return side_by_side(plain, median)

@@ -26,6 +26,8 @@ from samplemill.plans.staged import exploded
 
 PAIRS_PER_ROUND = 256
 POOL = 4096
+#: The largest vocabulary that is sent to tasks.
+MOST_TOKENS = 2_000_000
 #: Folders of postings.
 FOLDERS = 32
 CACHED_WORDS = 1_000_000
@@ -58,8 +60,11 @@ def word_vocabulary(counts: DataFrame, size: int, specials: Sequence[str] = SPEC
 
 
 def encode_words(df: DataFrame, words: str, vocabulary: DataFrame, out: str = "input_ids") -> DataFrame:
-    """Words to ids, unknown words to ``<unk>``. Map-only: the vocabulary is bounded by its training size."""
-    table = {r.token: r.token_id for r in vocabulary.select("token", "token_id").collect()}
+    """Words to ids, unknown words to ``<unk>``. Map-only: a vocabulary of up to ``MOST_TOKENS`` goes to all tasks."""
+    rows = vocabulary.select("token", "token_id").limit(MOST_TOKENS + 1).collect()
+    if len(rows) > MOST_TOKENS:
+        raise ValueError(f"the vocabulary has more than {MOST_TOKENS} tokens")
+    table = {r.token: r.token_id for r in rows}
     shared = df.sparkSession.sparkContext.broadcast(table)
 
     @F.pandas_udf("array<int>")

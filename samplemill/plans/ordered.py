@@ -258,13 +258,18 @@ def running_totals(
     return out.drop("_q", *[f"_o_{v}" for v in sums])
 
 
-def exact_quantiles(df: DataFrame, value: str, shares: dict[str, float], by: Sequence[str] = ()) -> DataFrame:
+def exact_quantiles(
+    df: DataFrame, value: str, shares: dict[str, float], by: Sequence[str] = (), counted: str | None = None
+) -> DataFrame:
     """Linearly interpolated quantiles from value counts, one row per group.
 
     Equal values are combined before the shuffle, so neither a frequent value nor a large
-    group ends up in one task.
+    group ends up in one task. ``counted`` names the count of a table that has one row per group and value already.
     """
-    counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("_c"))
+    if counted is None:
+        counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("_c"))
+    else:
+        counts = df.select(*by, value, F.col(counted).alias("_c"))
     placed = running_totals(counts, value, {"_c": "_before"}, by, totals={"_c": "_total"})
     after = F.col("_before") + F.col("_c")
     aggs = []

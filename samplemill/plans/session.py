@@ -31,12 +31,20 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach.
 
     It is the one that the cluster names in ``spark.checkpoint.dir``; where that is unset, a folder in the
-    warehouse, which executors share as well.
+    warehouse, which executors share as well. A cluster whose warehouse is a folder of the machine must name one.
     """
     named = spark.conf.get(CHECKPOINT_KEY, None)
     if named:
         return named.rstrip("/")
-    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_samplemill"
+    path = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_samplemill"
+    if not spark.sparkContext.master.startswith("local") and _scheme(spark, path) == "file":
+        raise RuntimeError(f"{path} is a folder of one machine: set {CHECKPOINT_KEY} to a folder that all executors share")
+    return path
+
+
+def _scheme(spark: SparkSession, path: str) -> str:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getUri().getScheme()
 
 
 def work_path(spark: SparkSession, name: str) -> str:

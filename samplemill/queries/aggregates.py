@@ -48,8 +48,7 @@ def ag1_distribution_table(spark, sf):
 @query(f"""WITH {RANDOM_DOCS}, c AS (SELECT split, lang, count(*) AS n FROM sp GROUP BY ALL UNION ALL SELECT 'all', lang, count(*) FROM sp GROUP BY ALL)
   SELECT split, max(n) AS n_max, min(n) AS n_min, round(max(n) / min(n), 6) AS imbalance FROM c GROUP BY split""")
 def ag2_imbalance(spark, sf):
-    split = random_docs(spark, sf)
-    return stats.imbalance(split, "lang").withColumn("split", F.lit("all")).unionByName(stats.imbalance(split, "lang", "split"))
+    return stats.imbalances(random_docs(spark, sf), "lang", "split")
 
 
 @query(f"""WITH {RANDOM_DOCS}, c AS (SELECT count(*) AS n_to, count(*) FILTER (split = 'tr') AS n_tr, count(*) FILTER (split = 'vl') AS n_vl,
@@ -82,9 +81,7 @@ def ag5_majority_label(spark, sf):
   UNION ALL SELECT 'all', count(*), round(median(n_chars) / 1000, 6), round(avg(n_chars) / 1000, 6), round(stddev_pop(n_chars) / 1000, 6),
   min(n_chars) / 1000, max(n_chars) / 1000, sum(n_chars) / 1000 FROM documents""")
 def ag9_size_summary(spark, sf):
-    docs = table(spark, sf, "documents").select("lang", "n_chars")
-    per = stats.size_summary(docs, "n_chars", 1000.0, ["lang"])
-    out = per.unionByName(stats.size_summary(docs, "n_chars", 1000.0).withColumn("lang", F.lit("all")))
+    out = stats.size_summary(table(spark, sf, "documents").select("lang", "n_chars"), "n_chars", 1000.0, ["lang"], "all")
     return out.select("lang", "n", "min", "max", "sum", *[F.round(c, 6).alias(c) for c in ("median", "mean", "std")])
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from samplemill.functions.ids import id_from_path, with_suffix
 from samplemill.operators import balance, filters, joins
 from samplemill.operators.dedup import majority_label
+from samplemill.plans.session import cut
 from samplemill.plans.staged import side_by_side
 from samplemill.queries.inputs import (
     DOC_LABELS,
@@ -141,7 +142,7 @@ def flt8_keep_and_drop_ids(spark, sf):
   SELECT r.doc_id, CASE WHEN reason IS NULL AND r.doc_id <> f.first THEN 'duplicate' ELSE reason END AS reason
   FROM r LEFT JOIN f USING (digest)""")
 def flt9_exclusion_reasons(spark, sf):
-    docs = table(spark, sf, "documents").select("doc_id", F.md5("text").alias("digest"), "n_chars", "lang")
+    docs = cut(table(spark, sf, "documents").select("doc_id", F.md5("text").alias("digest"), "n_chars", "lang"), "digests")
     used = table(spark, sf, "labels").where("toxic = 1").select("doc_id")
     narrow = docs.select("doc_id", "digest")
     return filters.exclusion_reasons(

@@ -262,13 +262,16 @@ def snk1_prefix_archives(spark, sf):
     return side_by_side(sinks.volume(stored, "text"), stored.agg(F.count_distinct("prefix").alias("n_prefixes")))
 
 
-@query("SELECT lang, count(*) AS n FROM documents GROUP BY lang")
+@query("SELECT lang, count(*) AS n, TRUE AS fits FROM documents GROUP BY lang")
 def snk2_sharded_dataset(spark, sf):
+    """Two shards of at most 200 rows a file, merged by appending; ``fits`` is false if a file with the language is larger."""
     path = work_path(spark, "shards")
     docs = table(spark, sf, "documents").select("doc_id", "lang")
     sinks.write_dataset(docs.where("lang = 'en'"), path, max_records=200)
     sinks.write_dataset(docs.where("lang <> 'en'"), path, max_records=200, mode="append")
-    return spark.read.parquet(path).groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    stored = spark.read.parquet(path).select("lang", F.col("_metadata.file_path").alias("file"))
+    sizes = stored.groupBy("file").agg((F.count(F.lit(1)) <= 200).alias("fits"))
+    return stored.join(sizes, "file").groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.bool_and("fits").alias("fits"))
 
 
 @query("SELECT lang, count(*) AS n FROM documents WHERE n_chars >= 500 GROUP BY lang")

@@ -11,18 +11,21 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from samplemill.functions.ids import id_prefix, sample_hash
+from samplemill.plans.ordered import join_null_safe
 from samplemill.plans.session import cut, shared_dir
 
 
-def write_by_prefix(df: DataFrame, path: str, id_col: str, digits: int = 2, files: int = 4) -> None:
+def write_by_prefix(df: DataFrame, path: str, id_col: str, digits: int = 2, rows: int = 1_000_000) -> None:
     """One folder per id prefix, compressed with zstd.
 
-    Rows are shuffled by prefix and one of ``files`` hash parts, so that a prefix that most
-    ids share is written by several tasks.
+    The ids of every prefix are counted first, and a prefix is dealt by hash to one task per ``rows`` rows. So a
+    prefix that most ids share is written by as many tasks as its rows need, and a rare one by a single task.
     """
     keyed = df.withColumn("prefix", id_prefix(id_col, digits))
-    part = F.pmod(F.crc32(sample_hash(id_col).cast("binary")), F.lit(files))
-    keyed.repartition("prefix", part).write.partitionBy("prefix").option("compression", "zstd").parquet(path)
+    parts = keyed.groupBy("prefix").agg(F.ceil(F.count(F.lit(1)) / rows).alias("_parts"))
+    part = F.pmod(F.crc32(sample_hash(id_col).cast("binary")), F.col("_parts")).alias("_part")
+    dealt = join_null_safe(keyed, parts, ["prefix"]).withColumn("_part", part).repartition("prefix", "_part")
+    dealt.drop("_part", "_parts").write.partitionBy("prefix").option("compression", "zstd").parquet(path)
 
 
 def volume(df: DataFrame, content: str) -> DataFrame:

@@ -351,3 +351,66 @@ def test_views_that_disagree_end_the_job(spark):
     b = spark.createDataFrame([("x", "l", 3), ("y", "m", 4)], "name string, label string, w int")
     merged = [joins.merge_views({"a": a, "b": b}, "name", "label", check=c) for c in (True, False)]
     assert merged[0].columns == merged[1].columns and sorted(merged[0].collect()) == sorted(merged[1].collect())
+
+
+def test_one_json_object_over_many_tasks(spark, tmp_path):
+    """Strings with commas, quotes, brackets and escapes, nested values, and blocks that end anywhere."""
+    rng = random.Random(6)
+    odd = ["a,b", 'q"uo,te', "br{ac[ke]t}s,", "back\\slash,", '\\",\\\\"', "", ",", "é,\U0001F600", "{", "}]", "line\nfeed,", "\\"]
+    whole = {f"id{i},{rng.choice(odd)}": [rng.choice(odd) for _ in range(rng.randrange(4))] for i in range(3000)}
+    (tmp_path / "map.json").write_text(json.dumps(whole), encoding="utf-8")
+    more = {"id0": ["x"], "empty": [], **{k: ["late,"] for k in list(whole)[:10]}}
+    (tmp_path / "later.json").write_text(" " + json.dumps(more, indent=1) + "\n", encoding="utf-8")
+    (tmp_path / "none.json").write_text(" { } ")
+    paths = [str(tmp_path / f) for f in ("map.json", "later.json", "none.json")]
+    spark.conf.set("spark.sql.files.maxPartitionBytes", 3000)
+    spark.conf.set("spark.sql.files.openCostInBytes", 0)
+    try:
+        assert spark.read.text(paths[0], lineSep=",").rdd.getNumPartitions() > 20
+        got = {r.id: r.value for r in files.read_id_map(spark, paths, "array<string>", layout="object").collect()}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert got == whole | more
+
+
+def test_object_maps_as_written(spark, tmp_path):
+    rows = [(i, f'v "{i}", [' if i % 3 else None) for i in range(300)]
+    df = spark.createDataFrame(rows, "id int, value string").repartition(5)
+    path = str(tmp_path / "map")
+    sinks.write_object_map(df, path, "id", "value")
+    (text,) = [f.read_text() for f in (tmp_path / "map").iterdir() if f.name.startswith("part-")]
+    assert json.loads(text) == {str(i): v for i, v in rows} and list(json.loads(text)) == [str(i) for i, _ in rows] and "\n" not in text
+    got = {r.id: r.value for r in files.read_id_map(spark, [path], "string", layout="object").collect()}
+    assert got == {str(i): v for i, v in rows}
+
+
+def test_prefixes_get_writers_by_their_rows(spark, tmp_path):
+    df = spark.createDataFrame([("aa" if i % 10 else "bb", i) for i in range(1000)], "id string, n int").selectExpr("concat(id, n) AS id", "n")
+    # Small partitions would be put together again otherwise.
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", 16)
+    try:
+        sinks.write_by_prefix(df, str(tmp_path / "out"), "id", 2, rows=100)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        spark.conf.set("spark.sql.shuffle.partitions", 4)
+    parts = {p: len(list((tmp_path / "out" / f"prefix={p}").glob("part-*"))) for p in ("aa", "bb")}
+    assert parts["bb"] == 1 and 3 <= parts["aa"] <= 9
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 1000
+
+
+def test_a_cluster_must_name_a_shared_folder(spark):
+    from types import SimpleNamespace
+
+    from samplemill.plans import session
+
+    context = SimpleNamespace(master="spark://host:7077", _jvm=spark.sparkContext._jvm, _jsc=spark.sparkContext._jsc)
+    values = {"spark.sql.warehouse.dir": "file:/somewhere/warehouse"}
+    fake = SimpleNamespace(conf=SimpleNamespace(get=lambda key, default=None: values.get(key, default)), sparkContext=context)
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        session.shared_dir(fake)
+    context.master = "local[4]"
+    assert session.shared_dir(fake) == "file:/somewhere/warehouse/_samplemill"
+    context.master, values[session.CHECKPOINT_KEY] = "spark://host:7077", "hdfs:///shared/"
+    assert session.shared_dir(fake) == "hdfs:///shared"
