@@ -63,14 +63,16 @@ def recurring_lines(docs: DataFrame, text_col: str = "text", depth: int = DEPTH,
     lines = cut(lines, "lines")
     texts = cut(lines.groupBy("line", "leaf", "digest").agg(F.max("copies").alias("copies")), "texts-by-line")
     distinct = texts.groupBy("line", "leaf").agg(F.sum("copies").alias("docs"))
-    distinct = cut(distinct.withColumn("id", F.monotonically_increasing_id()), "distinct-lines")
+    # Counted here, per line: next to an explode this would be done again for every token.
+    words = F.split("line", " ")
+    rest = F.size(F.array_remove(F.slice(words, depth + 1, F.greatest(F.size(words) - depth, F.lit(0))), FIELD))
+    distinct = distinct.select("*", F.size(words).alias("n"), rest.alias("rest"), F.monotonically_increasing_id().alias("id"))
+    distinct = cut(distinct, "distinct-lines")
 
     # 3. Fields: in its leaf, a token stays at its place if enough documents have it there. A document with several
     # lines in a leaf counts once, so what it has too often is taken off again; few documents have such lines.
-    words = F.split("line", " ")
     place = F.posexplode_outer(words).alias("at", "token")
-    rest = F.size(F.filter(F.slice(words, depth + 1, F.greatest(F.size(words) - depth, F.lit(0))), lambda w: w != FIELD))
-    tokens = distinct.select("id", "leaf", "docs", F.size(words).alias("n"), rest.alias("rest"), place)
+    tokens = distinct.select("id", "leaf", "docs", "n", "rest", place)
     tokens = tokens.where(F.col("token") != FIELD)
     several = texts.groupBy("leaf", "digest").agg(F.count(F.lit(1)).alias("lines")).where("lines > 1").drop("lines")
     repeated = texts.join(several, ["leaf", "digest"]).select("leaf", "digest", "copies", place)
