@@ -28,8 +28,8 @@ PAIRS_PER_ROUND = 256
 POOL = 4096
 #: The largest vocabulary that is sent to tasks.
 MOST_TOKENS = 2_000_000
-#: Folders of postings.
-FOLDERS = 32
+#: Folders of postings, and files that one of them has at most.
+FOLDERS, MOST_WRITERS = 32, 64
 CACHED_WORDS = 1_000_000
 
 
@@ -225,8 +225,8 @@ class _Index:
         grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("word") - 1), lambda i: F.substring(F.col("word"), i, F.lit(2))))
         rows = exploded(words.where(F.length("word") > 1), grams, "gram", ["word", "n"])
         rows = rows.withColumn("g", self._folder(F.col("gram")))
-        # A folder is written by several tasks, as a pair of letters may be in many words.
-        writers = 1 + 2 * int(words.sparkSession.conf.get("spark.sql.shuffle.partitions")) // FOLDERS
+        # A folder has many files, so that the words of a frequent pair of letters are read by many tasks.
+        writers = min(MOST_WRITERS, int(words.sparkSession.conf.get("spark.sql.shuffle.partitions")))
         spread = F.pmod(F.xxhash64("word"), F.lit(writers))
         path = work_path(words.sparkSession, "postings")
         rows.repartition("g", spread).sortWithinPartitions("g", "gram").write.partitionBy("g").parquet(path)
