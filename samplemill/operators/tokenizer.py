@@ -7,6 +7,7 @@ thing that reaches the driver.
 
 from __future__ import annotations
 
+from array import array
 from bisect import bisect_right
 from collections import Counter
 from collections.abc import Callable, Iterable, Iterator, Sequence
@@ -15,11 +16,12 @@ from heapq import heappop, heappush
 from typing import NamedTuple
 from zlib import crc32
 
-import pandas as pd
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from samplemill.functions.lists import list_sizes, list_slices, lists_of
 from samplemill.functions.tokens import SPECIALS, UNK
 from samplemill.plans.session import cut, work_path
 from samplemill.plans.staged import exploded
@@ -30,7 +32,8 @@ POOL = 4096
 MOST_TOKENS = 2_000_000
 #: Folders of postings, and files that one of them has at most.
 FOLDERS, MOST_WRITERS = 32, 64
-CACHED_WORDS = 1_000_000
+#: Ids of words that a task remembers, and what a word itself costs beside them, in ids.
+CACHED_IDS, WORD_COST = 8_000_000, 60
 
 
 def word_counts(df: DataFrame, words: str) -> DataFrame:
@@ -67,14 +70,41 @@ def encode_words(df: DataFrame, words: str, vocabulary: DataFrame, out: str = "i
     table = {r.token: r.token_id for r in rows}
     shared = df.sparkSession.sparkContext.broadcast(table)
 
-    @F.pandas_udf("array<int>")
-    def encode(batches: pd.Series) -> pd.Series:
+    @F.arrow_udf("array<int>")
+    def encode(lists: pa.Array) -> pa.Array:
         ids = shared.value
-        return batches.map(lambda ws: None if ws is None else [ids.get(w, UNK) for w in ws])
+
+        def coded(values: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+            return np.array([ids.get(w, UNK) for w in values.to_pylist()], np.int32), np.ones(len(values), np.int64)
+
+        return _encoded(lists, coded)
 
     return df.withColumn(out, encode(F.col(words)))
 
 
+#: Words that a Python worker handles at once.
+WORDS_AT_ONCE = 1 << 16
+
+
+def _encoded(lists: pa.Array, coded: Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]) -> pa.Array:
+    """Ids of lists of words, NULL for NULL, as one flat array; ``coded`` gives the ids of distinct words and how many each has.
+
+    Words are looked at in parts, and distinct ones once per part: no word of a row becomes an object of its own.
+    """
+    flat, sizes = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
+    for part in list_slices(lists, WORDS_AT_ONCE):
+        held = list_sizes(part)
+        found = part.flatten().dictionary_encode("encode")
+        codes = found.indices.to_numpy()
+        ids, many = coded(found.dictionary)
+        starts, n = np.cumsum(many) - many, many[codes]
+        ends = np.cumsum(n)
+        # Where the ids of every word start, and from there one after the other.
+        flat.append(ids[np.repeat(starts[codes] - ends + n, n) + np.arange(n.sum())])
+        sizes.append(np.diff(np.append(0, ends)[np.append(0, np.cumsum(held))]))
+    return lists_of(np.concatenate(flat), np.concatenate(sizes), lists)
+
+
 @dataclass
 class Merges:
     """A trained pair-merge vocabulary: tokens in id order and merges in rank order."""
@@ -354,20 +384,34 @@ def encode_merges(df: DataFrame, words: str, model: Merges, out: str = "input_id
     ranks = _ranks(model.merges)
     shared = df.sparkSession.sparkContext.broadcast((model.ids, ranks, model.prefix))
 
-    @F.pandas_udf("array<int>")
-    def encode(batches: pd.Series) -> pd.Series:
+    @F.arrow_udf("array<int>")
+    def encode(lists: pa.Array) -> pa.Array:
         ids, known_ranks, prefix = shared.value
-        cache: dict[str, list[int]] = {}
+        cache: dict[str, array] = {}
+        held = 0
 
-        def ids_of(word: str) -> list[int]:
+        def ids_of(word: str | None) -> array:
+            nonlocal held
+            if not word:
+                return array("i")
             found = cache.get(word)
             if found is None:
-                if len(cache) >= CACHED_WORDS:
+                if held >= CACHED_IDS:
                     cache.clear()
-                found = cache[word] = [ids.get(s, UNK) for s in merge_symbols(_letters(word, prefix), known_ranks, prefix)]
+                    held = 0
+                found = cache[word] = array("i", [ids.get(s, UNK) for s in merge_symbols(_letters(word, prefix), known_ranks, prefix)])
+                held += len(found) + WORD_COST
             return found
 
-        return batches.map(lambda ws: None if ws is None else [i for w in ws if w for i in ids_of(w)])
+        def coded(values: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+            all_ids, many = array("i"), []
+            for word in values.to_pylist():
+                found = ids_of(word)
+                all_ids.extend(found)
+                many.append(len(found))
+            return np.array(all_ids, np.int32), np.array(many, np.int64)
+
+        return _encoded(lists, coded)
 
     return df.withColumn(out, encode(F.col(words)))
 
