@@ -5,13 +5,14 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from samplemill.functions.ids import as_column
+from samplemill.functions.lists import lists_of
 
 # The special tokens, in id order.
 SPECIALS = ("<pad>", "<unk>", "<msk>", "<bos>", "<eos>", "<cls>", "<sep>")
@@ -19,6 +20,8 @@ PAD, UNK, MSK, BOS, EOS, CLS, SEP = range(len(SPECIALS))
 RAW_WORD_BYTES = 16
 #: Contents that are converted to ids at once.
 ROWS_AT_ONCE = 500
+#: Bytes that are read together for integers of so many bits, and integers that they give.
+GROUPS = {8: (1, 1), 12: (3, 2), 16: (2, 1)}
 
 # One token: a hex prefix, a hex digit, a run of other word characters, or a single symbol.
 LISTING_TOKEN = r"0x|[0-9A-F]|[a-zG-Z_]+|[^a-zA-Z0-9_\s]"
@@ -54,10 +57,20 @@ def byte_ids(content: Column | str, bits: int = 8) -> Column:
     if bits not in (8, 12, 16):
         raise ValueError(f"unsupported width: {bits}")
 
-    def convert(contents: pd.Series) -> pd.Series:
-        return contents.map(lambda b: None if b is None else _integers(bytes(b), bits))
+    def convert(contents: pa.Array) -> pa.Array:
+        # One array for the whole batch, filled part by part.
+        group, per_group = GROUPS[bits]
+        lengths = pc.fill_null(pc.binary_length(contents), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        sizes = -(-lengths // group) * per_group
+        flat, at = np.empty(int(sizes.sum()), np.int32), 0
+        for low in range(0, len(contents), ROWS_AT_ONCE):
+            bodies = [b or b"" for b in contents.slice(low, ROWS_AT_ONCE).to_pylist()]
+            found = _integers(b"".join(b + bytes(-len(b) % group) for b in bodies), bits)
+            flat[at : at + len(found)] = found
+            at += len(found)
+        return lists_of(flat, sizes, contents)
 
-    return F.pandas_udf(convert, "array<int>")(as_column(content).cast("binary"))
+    return F.arrow_udf(convert, "array<int>")(as_column(content).cast("binary"))
 
 
 def with_byte_ids(df: DataFrame, content: str, widths: Sequence[int] = (8, 12, 16), name: str = "ids") -> DataFrame:
@@ -78,9 +91,8 @@ def with_byte_ids(df: DataFrame, content: str, widths: Sequence[int] = (8, 12, 1
                 bodies = [b or b"" for b in contents.to_pylist()]
                 arrays = []
                 for bits in widths:
-                    group = {8: 1, 12: 3, 16: 2}[bits]
+                    group, per_group = GROUPS[bits]
                     flat = _integers(b"".join(b + bytes(-len(b) % group) for b in bodies), bits)
-                    per_group = {8: 1, 12: 2, 16: 1}[bits]
                     sizes = [-(-len(b) // group) * per_group for b in bodies]
                     offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32), mask=np.append(contents.is_null().to_numpy(zero_copy_only=False), False))
                     arrays.append(pa.ListArray.from_arrays(offsets, pa.array(flat, pa.int32())))
@@ -90,7 +102,7 @@ def with_byte_ids(df: DataFrame, content: str, widths: Sequence[int] = (8, 12, 1
 
 
 def _integers(b: bytes, bits: int) -> np.ndarray:
-    group = {8: 1, 12: 3, 16: 2}[bits]
+    group = GROUPS[bits][0]
     b += bytes(-len(b) % group)
     if bits == 16:
         return np.frombuffer(b, dtype="<u2").astype(np.int32)
