@@ -8,39 +8,47 @@ import os
 import zipfile
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 MEMBER_SCHEMA = "archive string, name string, size bigint, bytes binary"
-MEMBER_COLUMNS = ["archive", "name", "size", "bytes"]
+MEMBER_TYPES = {"archive": pa.string(), "name": pa.string(), "size": pa.int64(), "bytes": pa.binary()}
+BLOB_TYPES = {"path": pa.string(), "content": pa.binary()}
 PARTITION_BYTES = 64 << 20
-BATCH_BYTES = 8 << 20
+#: Bytes of contents that are passed on at once, and what a row counts for beside its content.
+BATCH_BYTES, ROW_BYTES = 4 << 20, 200
 
 
 def expand_archives(archives: DataFrame, names_only: bool = False, max_length: int | None = None) -> DataFrame:
     """Members of archives given as ``(path, content)``, for instance from the ``binaryFile`` format."""
 
-    def members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for path, content in zip(batch["path"], batch["content"]):
-                rows, held = [], 0
-                with zipfile.ZipFile(io.BytesIO(content)) as archive:
+            # Archives are read where they lie in the batch, one after the other.
+            rows, held = [], 0
+            for path, content in zip(*batch.columns):
+                path = path.as_py()
+                with zipfile.ZipFile(pa.BufferReader(content.as_buffer())) as archive:
                     for info in sorted(archive.infolist(), key=lambda i: i.filename):
                         data = None
                         if not names_only:
                             with archive.open(info) as member:
                                 data = member.read(max_length) if max_length is not None else member.read()
                         rows.append((path, info.filename, info.file_size, data))
-                        held += len(data or b"")
+                        held += len(data or b"") + ROW_BYTES
                         if held >= BATCH_BYTES:
-                            yield pd.DataFrame(rows, columns=MEMBER_COLUMNS)
+                            yield _batch(rows, MEMBER_TYPES)
                             rows, held = [], 0
-                if rows:
-                    yield pd.DataFrame(rows, columns=MEMBER_COLUMNS)
+            if rows:
+                yield _batch(rows, MEMBER_TYPES)
 
-    return archives.select("path", "content").mapInPandas(members, MEMBER_SCHEMA)
+    return archives.select("path", "content").mapInArrow(members, MEMBER_SCHEMA)
+
+
+def _batch(rows: list[tuple], types: dict[str, pa.DataType]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types.values())], names=list(types))
 
 
 def read_archives(spark: SparkSession, path: str, names_only: bool = False, max_length: int | None = None) -> DataFrame:
@@ -127,22 +135,32 @@ def zip_batches(df: DataFrame, archive: str, name: str, content: str, members: i
     A prefix with many rows gives many blobs, numbered per task.
     """
 
-    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         task, number = TaskContext.get().partitionId(), 0
         for batch in batches:
-            made = []
-            for stem, rows in batch.groupby("archive"):
-                for low in range(0, len(rows), members):
-                    part = rows.iloc[low : low + members]
+            places: dict[str, list[int]] = {}
+            for at, stem in enumerate(batch.column(0)):
+                if stem.is_valid:
+                    places.setdefault(stem.as_py(), []).append(at)
+            made, held = [], 0
+            for stem in sorted(places):
+                for low in range(0, len(places[stem]), members):
+                    # Only the members of one blob become objects.
+                    part = batch.take(pa.array(places[stem][low : low + members]))
                     blob = io.BytesIO()
                     with zipfile.ZipFile(blob, "w", zipfile.ZIP_DEFLATED) as archive_file:
-                        for n, c in zip(part["name"], part["content"]):
+                        for n, c in zip(part.column(1).to_pylist(), part.column(2).to_pylist()):
                             archive_file.writestr(n, c)
                     made.append((f"{stem}-{task}-{number}.zip", blob.getvalue()))
                     number += 1
-            yield pd.DataFrame(made, columns=["path", "content"])
+                    held += len(made[-1][1]) + ROW_BYTES
+                    if held >= BATCH_BYTES:
+                        yield _batch(made, BLOB_TYPES)
+                        made, held = [], 0
+            if made:
+                yield _batch(made, BLOB_TYPES)
 
     rows = df.select(F.col(archive).alias("archive"), F.col(name).alias("name"), F.col(content).cast("binary").alias("content"))
-    return rows.mapInPandas(pack, "path string, content binary")
+    return rows.mapInArrow(pack, "path string, content binary")
