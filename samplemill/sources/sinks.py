@@ -7,12 +7,15 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from samplemill.functions.ids import id_prefix, sample_hash
 from samplemill.plans.ordered import join_null_safe
-from samplemill.plans.session import cut, shared_dir
+from samplemill.plans.session import drop_path, shared_dir, work_path
+
+#: Bytes that are copied at once where files are put together.
+COPIED_BYTES = 4 << 20
 
 
 def write_by_prefix(df: DataFrame, path: str, id_col: str, digits: int = 2, rows: int = 1_000_000) -> None:
@@ -65,20 +68,43 @@ def write_id_map(df: DataFrame, path: str, id_col: str, value: str) -> None:
 def write_object_map(df: DataFrame, path: str, id_col: str, value: str) -> None:
     """One file with one JSON object ``{id: value, ...}`` on one line, sorted by id.
 
-    Rows are sorted by all tasks; one task writes the file, as a file has one writer.
+    Rows are sorted and written by all tasks, in parts whose names are in order; one task puts the parts together byte
+    by byte, as a file has one writer.
     """
     entry = F.concat(F.to_json(F.array(F.col(id_col).cast("string"))), F.lit(":"), F.to_json(F.array(value)))
     # Both come as arrays of one element, whose brackets go.
     entry = F.regexp_replace(entry, r'^\["(.*)"\]:\[(.*)\]$', '"$1":$2')
-    place = F.monotonically_increasing_id()
-    rows = df.orderBy(id_col).select(place.alias("_p"), entry.alias("value"))
     spark = df.sparkSession
-    ends = spark.createDataFrame([(-1, "{"), (1 << 62, "}")], "_p bigint, value string")
-    lines = cut(rows, "entries").unionByName(ends).coalesce(1).sortWithinPartitions("_p")
-    # The first entry follows the bracket, all others a comma. Blanks between them are part of no entry.
-    first = F.lag("value").over(Window.partitionBy().orderBy("_p")) == "{"
-    mark = F.when(first | (F.col("_p") < 0) | (F.col("_p") == 1 << 62), "").otherwise(",")
-    lines.select(F.concat(mark, "value").alias("value")).write.text(path, lineSep=" ")
+    parts = work_path(spark, "entries")
+    # A comma before every entry, and a blank, which is part of none, after it.
+    df.orderBy(id_col).select(F.concat(F.lit(","), entry).alias("value")).write.text(parts, lineSep=" ")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        for batch in batches:
+            source, folder = fs.FileSystem.from_uri(_uri(parts))
+            target, root = fs.FileSystem.from_uri(_uri(path))
+            target.create_dir(root, recursive=True)
+            found = source.get_file_info(fs.FileSelector(folder))
+            names = sorted(f.path for f in found if f.size and f.base_name.startswith("part-"))
+            with target.open_output_stream(f"{root}/part-00000.txt") as out:
+                out.write(b"{ ")
+                for i, name in enumerate(names):
+                    with source.open_input_stream(name) as part:
+                        # No comma before the first entry of all.
+                        part.read(1 if i == 0 else 0)
+                        while piece := part.read(COPIED_BYTES):
+                            out.write(piece)
+                out.write(b"} ")
+            yield pa.RecordBatch.from_arrays([pa.array([len(names)], pa.int64())], names=["n"])
+
+    spark.range(1).coalesce(1).mapInArrow(run, "n bigint").agg(F.sum("n")).collect()
+    drop_path(spark, parts)
+
+
+def _uri(path: str) -> str:
+    return path if ":" in path else f"file://{path}"
 
 
 def write_files(df: DataFrame, path: str, name: str, content: str) -> None:
@@ -88,7 +114,7 @@ def write_files(df: DataFrame, path: str, name: str, content: str) -> None:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
 
-        target, root = fs.FileSystem.from_uri(path if ":" in path else f"file://{path}")
+        target, root = fs.FileSystem.from_uri(_uri(path))
         target.create_dir(root, recursive=True)
         for batch in batches:
             for file, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
