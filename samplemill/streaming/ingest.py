@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from samplemill.operators.filters import drop_ids
 from samplemill.plans.session import work_path
@@ -13,11 +14,12 @@ from samplemill.sources.files import META_SCHEMA, meta_columns
 
 
 def table_stream(spark: SparkSession, folder: str, pattern: str, schema, files_per_trigger: int | None = None) -> DataFrame:
-    """Parquet files of a folder as they arrive."""
-    reader = spark.readStream.schema(schema).option("pathGlobFilter", pattern)
+    """Parquet files of a folder as they arrive; what matches ``pattern`` may also be a table of several files in a folder."""
+    reader = spark.readStream.schema(schema)
     if files_per_trigger is not None:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
-    return reader.parquet(folder)
+    # Braces make a pattern of a plain name, too; a path that is none would have to be a folder.
+    return reader.parquet(f"{folder}/{{{pattern}}}")
 
 
 def meta_stream(spark: SparkSession, folder: str) -> DataFrame:
@@ -58,6 +60,7 @@ def running_counts(stream: DataFrame, key: str, name: str, path: str | None = No
     """
     spark = stream.sparkSession
     target = path or work_path(spark, name)
+    schema = T.StructType([stream.schema[key], T.StructField("n", T.LongType())])
 
     def add(batch: DataFrame, batch_id: int) -> None:
         counts = batch.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
@@ -70,7 +73,9 @@ def running_counts(stream: DataFrame, key: str, name: str, path: str | None = No
         .start()
     )
     query.awaitTermination()
-    return spark.read.parquet(target).groupBy(key).agg(F.sum("n").cast("bigint").alias("n"))
+    # Before anything has arrived there is no folder yet.
+    spark.createDataFrame([], schema).write.mode("append").parquet(f"{target}/batch=-1")
+    return spark.read.schema(schema).parquet(target).groupBy(key).agg(F.sum("n").cast("bigint").alias("n"))
 
 
 def resume(todo: DataFrame, key: str, done: DataFrame, work: Callable[[DataFrame], DataFrame]) -> DataFrame:
