@@ -81,9 +81,10 @@ def train(docs: DataFrame, id_col: str, text_col: str, sample: int = SAMPLE) ->
     chosen = docs.where(F.pmod(F.xxhash64(F.col(id_col)), F.lit(1 << 30)) < int(share * (1 << 30)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        use_caches("secrets")
         total = np.zeros((2, SIZE * SIZE), np.int64)
-        for batch in batches:
-            for text in batch.column(0):
+        for part in (p for batch in batches for p in byte_slices(batch, 0)):
+            for text in part.column(0):
                 for kind, strings in enumerate(_examples(text.as_py() or "")):
                     if strings:
                         # Joined by a character outside the alphabet, so that no pair spans two strings.
