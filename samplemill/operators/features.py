@@ -80,11 +80,14 @@ def string_runs(content: Column | str) -> Column:
     return F.regexp_extract_all(F.decode(as_column(content), "ISO-8859-1"), F.lit(PRINTABLE), F.lit(0))
 
 
-@F.pandas_udf(T.ArrayType(T.LongType()))
-def _printable_histogram(runs: pd.Series) -> pd.Series:
-    return runs.map(
-        lambda rs: np.bincount(np.frombuffer("".join(rs).encode("latin-1"), dtype=np.uint8) - 0x20, minlength=96)
-    )
+@F.arrow_udf(T.ArrayType(T.LongType()))
+def _printable_histogram(runs: pa.Array) -> pa.Array:
+    """Counts of the characters of all runs of a row, which lie next to each other in the array's buffer."""
+    out = np.zeros((len(runs), 96), np.int64)
+    for row, texts in zip(out, runs):
+        if texts.is_valid and len(texts.values):
+            row[:] = np.bincount(character_bytes(texts.values) - 0x20, minlength=96)
+    return lists_of(out.reshape(-1), np.full(len(runs), 96), runs)
 
 
 def string_features(df: DataFrame, content: str) -> DataFrame:
