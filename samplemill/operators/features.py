@@ -329,7 +329,8 @@ def directories_block(directories: DataFrame, id_col: str) -> DataFrame:
 
 def feature_values(blocks: Sequence[DataFrame], id_col: str) -> DataFrame:
     """``(id, place, value)`` with one row per place that is not zero, from blocks that may have several."""
-    values = reduce(DataFrame.unionByName, blocks)
+    # Most places of most samples are zero, and add nothing to any sum.
+    values = reduce(DataFrame.unionByName, blocks).where("value <> 0")
     return values.groupBy(id_col, "place").agg(F.sum("value").alias("value")).where("value <> 0")
 
 
@@ -342,9 +343,10 @@ def feature_vectors(blocks: Sequence[DataFrame], id_col: str) -> DataFrame:
     return found.select(id_col, _filled(F.col("_x.place"), F.col("_x.value")).alias("features"))
 
 
-@F.pandas_udf(T.ArrayType(T.FloatType()))
-def _filled(places: pd.Series, values: pd.Series) -> pd.Series:
+@F.arrow_udf(T.ArrayType(T.FloatType()))
+def _filled(places: pa.Array, values: pa.Array) -> pa.Array:
+    """The values of each row at their places, zero elsewhere, as one flat array."""
     out = np.zeros((len(places), WIDTH), np.float32)
-    for row, at, value in zip(out, places, values):
-        row[at] = value
-    return pd.Series(list(out))
+    row = np.repeat(np.arange(len(places)), list_sizes(places))
+    out[row, places.flatten().to_numpy()] = values.flatten().to_numpy()
+    return lists_of(out.reshape(-1), np.full(len(places), WIDTH), places)
