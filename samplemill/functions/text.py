@@ -107,10 +107,16 @@ def printable_bytes(content: Column | str) -> Column:
     return F.replace(F.translate(latin1(content), source, target), F.lit("\x00"), F.lit(chr(OFFSET)))
 
 
-#: What a text consists of here: marks that may change how the following characters are written, and runs without one.
-PIECES = r"0x|fun_|[^\p{L}\p{N}]|(?:(?!0x|fun_)[\p{L}\p{N}])++"
-#: Pieces that are put together at once.
-PIECES_AT_ONCE = 256
+#: A letter or digit, with a mark between them or not, while the hex switch is on.
+_HEX = r"(?:fun_|[\p{L}\p{N}])*+"
+#: A run from the mark that turns a switch on to the end of the last one: after ``fun_`` up to a ``(`` that ends no
+#: hex run, in which ``0x`` starts one that its first other character ends; after ``0x`` up to such a character or ``fun_``.
+_NAME = rf"(?s:0x{_HEX}.?|[^(])*+"
+_RUN = rf"fun_{_NAME}|0x(?:(?!fun_)[\p{{L}}\p{{N}}])*+(?:fun_{_HEX}(?s:.?){_NAME})?"
+#: What a text consists of: such runs, and all between them.
+SEGMENTS = rf"{_RUN}|(?:[^0f]++|(?!0x|fun_)[0f])++"
+#: What a run consists of: characters that stay though they have capitals (no letters or digits), and all others.
+PIECES = r"0x|[\x{345}\x{24D0}-\x{24E9}]|(?:[^0\x{345}\x{24D0}-\x{24E9}]++|0(?!x))++"
 
 
 def capitalize_hex(text: Column | str) -> Column:
@@ -118,49 +124,17 @@ def capitalize_hex(text: Column | str) -> Column:
 
     Two switches: ``0x`` turns the hex one on until a character that is no letter or digit, ``fun_`` the name one
     until a ``(`` that does not already end a hex run. Letters and digits after either are upper case, and so is
-    the word ``fun``; marks are not. The switches are a fold over the pieces of the text, once for their state at the
-    start of every group of pieces, then within each group.
+    the word ``fun``; marks are not. Both switches are regular, so that a run with one of them on is one match,
+    and only such runs are looked at piece by piece; a text without marks is one segment. NULL gives an empty text.
     """
-    pieces = F.regexp_extract_all(as_column(text), F.lit(PIECES), F.lit(0))
-    state = lambda hex_, name: F.struct(hex_.alias("hex"), name.alias("name"))
-    off = state(F.lit(False), F.lit(False))
-    is_mark = lambda p: p.rlike(r"^(0x|fun_|[^\p{L}\p{N}])$")
-
-    def after(s: Column, p: Column) -> Column:
-        ends = is_mark(p) & (p != "fun_") & (p != "0x")
-        hex_ = F.when(p == "0x", True).when(ends, False).otherwise(s["hex"])
-        name = F.when(p == "fun_", True).when((p == "(") & ~s["hex"], False).otherwise(s["name"])
-        return state(hex_, name)
-
-    def shown(s: Column, p: Column) -> Column:
-        raised = s["hex"] | s["name"]
-        return F.when(raised & (p == "fun_"), "FUN_").when(raised & ~is_mark(p), F.upper(p)).otherwise(p)
-
-    def folded(ps: Column) -> Column:
-        n = F.size(ps)
-        groups = F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)), F.lit(PIECES_AT_ONCE))
-        group = lambda at: F.slice(ps, at + 1, F.lit(PIECES_AT_ONCE))
-        # The state at the start of every group.
-        none = F.array().cast("array<struct<hex:boolean,name:boolean>>")
-        start = F.struct(off.alias("s"), none.alias("all"))
-        states = F.aggregate(
-            groups,
-            start,
-            lambda acc, at: F.struct(
-                F.aggregate(group(at), acc["s"], after).alias("s"), F.concat(acc["all"], F.array(acc["s"])).alias("all")
-            ),
-            lambda acc: acc["all"],
-        )
-
-        def written(at: Column, s: Column) -> Column:
-            begin = F.struct(s.alias("s"), F.lit("").alias("out"))
-            return F.aggregate(
-                group(at),
-                begin,
-                lambda acc, p: F.struct(after(acc["s"], p).alias("s"), F.concat(acc["out"], shown(acc["s"], p)).alias("out")),
-                lambda acc: acc["out"],
-            )
-
-        return F.array_join(F.zip_with(groups, states, written), "")
-
-    return bound(pieces, folded)
+    stays = lambda p: p.rlike(r"^(?:0x|[\x{345}\x{24D0}-\x{24E9}])")
+
+    def raised(run: Column) -> Column:
+        first = F.when(run.startswith("0x"), F.lit("0x")).otherwise(F.lit("fun_"))
+        rest = F.regexp_extract_all(F.substring(run, F.length(first) + 1, F.length(run)), F.lit(PIECES), F.lit(0))
+        return F.concat(first, F.array_join(F.transform(rest, lambda p: F.when(stays(p), p).otherwise(F.upper(p))), ""))
+
+    segments = F.regexp_extract_all(as_column(text), F.lit(SEGMENTS), F.lit(0))
+    starts = lambda s: s.startswith("0x") | s.startswith("fun_")
+    shown = F.array_join(F.transform(segments, lambda s: F.when(starts(s), raised(s)).otherwise(s)), "")
+    return F.coalesce(shown, F.lit(""))

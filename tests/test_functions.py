@@ -150,6 +150,15 @@ def test_capitalize_hex(spark):
     assert [r.x for r in df.select(text.capitalize_hex("t").alias("x")).collect()] == [capitalized(x) for x in lines]
 
 
+def test_capitalize_hex_looks_only_at_runs(spark):
+    segments = lambda t: one(spark, F.regexp_extract_all("t", F.lit(text.SEGMENTS), F.lit(0)), t=t)
+    plain = "add f0 (fun) of 0 words, " * 5000
+    assert segments(plain) == [plain]
+    assert segments("a 0xfun_1(2)(3 fun_4 0x5(6)7(8") == ["a ", "0xfun_1(2)", "(3 ", "fun_4 0x5(6)7", "(8"]
+    marked = "fun_" + "ab0x1 (ⓐ" * 50_000
+    assert one(spark, text.capitalize_hex("t"), t=marked) == "fun_" + "AB0x1 (ⓐ" + "ab0x1 (ⓐ" * 49_999
+
+
 def test_byte_ids(spark):
     data = bytes([0x12, 0x34, 0x56, 0xFF])
     assert one(spark, tokens.byte_ids("b", 8), b=data) == list(data)
