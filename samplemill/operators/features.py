@@ -140,14 +140,11 @@ def hashed(df: DataFrame, id_col: str, tokens: Column | str, width: int, value:
 
 
 def dense(sparse: DataFrame, id_col: str, width: int, name: str = "vector") -> DataFrame:
-    """Sparse table to one array per id."""
+    """Sparse table to one array per id. The map of an id is bound, or the optimizer builds it anew for every place."""
     entries = F.map_from_entries(F.collect_list(F.struct("bucket", "value")))
-    return sparse.groupBy(id_col).agg(entries.alias("_m")).select(
-        id_col,
-        F.transform(
-            F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.coalesce(F.try_element_at("_m", i), F.lit(0.0))
-        ).alias(name),
-    )
+    places = F.sequence(F.lit(0), F.lit(width - 1))
+    filled = lambda m: F.transform(places, lambda i: F.coalesce(F.try_element_at(m, i), F.lit(0.0)))
+    return sparse.groupBy(id_col).agg(entries.alias("_m")).select(id_col, bound(F.col("_m"), filled).alias(name))
 
 
 def section_counts(sections: DataFrame, id_col: str) -> DataFrame:
