@@ -83,7 +83,7 @@ def prj7_label_view(spark, sf):
     CASE WHEN o.o_orderstatus = 'P' THEN 'known' ELSE fam END AS fam FROM c JOIN orders o ON o.o_orderkey = c.id""")
 def e2_combined_labels(spark, sf):
     """Three tools: votes, a second opinion on the class (none for finished orders), a family for pending ones."""
-    items = lb.vote_items(cut(vote_lines(spark, sf), "votes"))
+    items = cut(lb.vote_items(vote_lines(spark, sf)), "votes")
     orders = table(spark, sf, "orders").select(F.col("o_orderkey").cast("string").alias("id"), "o_orderstatus")
     known = items.join(orders, "id")
     second = known.select("id", "flagged", F.when(F.col("o_orderstatus") != "F", F.col("votes")).alias("votes"))

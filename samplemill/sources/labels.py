@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -42,15 +44,23 @@ def vote_table(items: DataFrame) -> DataFrame:
     )
 
 
-def resolved_labels(items: DataFrame, rules: dict[str, tuple[int | None, int | None]] | None = None) -> DataFrame:
-    """``(id, label)`` with the chosen labels per namespace. Map-only; each step is its own column."""
+def resolved_labels(
+    items: DataFrame, rules: dict[str, tuple[int | None, int | None]] | None = None, namespaces: Sequence[str] = NAMESPACES
+) -> DataFrame:
+    """``(id, label)`` with the chosen labels per namespace. Map-only; each step is its own column.
+
+    Namespaces do not touch each other, so that votes of those that are not asked for go first.
+    """
     rules = rules or VOTE_RULES
+    votes = F.col("votes")
+    if set(namespaces) != set(NAMESPACES):
+        votes = F.filter(votes, lambda x: x["ns"].isin(*namespaces))
     ranked = (
-        items.select("id", split_composites("votes").alias("_v"))
+        items.select("id", split_composites(votes).alias("_v"))
         .withColumn("_m", merge_votes("_v"))
         .withColumn("_r", sort_votes("_m"))
     )
-    label = F.struct(*[choose_labels("_r", ns, *rules[ns]).alias(ns) for ns in NAMESPACES])
+    label = F.struct(*[choose_labels("_r", ns, *rules[ns]).alias(ns) for ns in namespaces])
     return held(ranked.select("id", label.alias("label")), "label")
 
 
@@ -61,7 +71,7 @@ def combined_labels(votes: DataFrame, classes: DataFrame, families: DataFrame, r
     knows takes its class from there even if that is NULL.
     """
     first = resolved_labels(votes, rules)
-    second = resolved_labels(classes, rules).select("id", F.col("label.class").alias("_class"), F.lit(True).alias("_has"))
+    second = resolved_labels(classes, rules, ["class"]).select("id", F.col("label.class").alias("_class"), F.lit(True).alias("_has"))
     third = families.select("id", F.col("family").alias("_fam"))
     joined = first.join(second, "id", "full").join(third, "id", "full")
     fields = {ns: F.col(f"label.{ns}") for ns in NAMESPACES}

@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+import random
+
+from pyspark.sql import functions as F
+
 from samplemill.operators import features
+from samplemill.sources import labels
 
 
 def test_dense_builds_the_map_of_an_id_once(spark):
@@ -13,3 +18,15 @@ def test_dense_builds_the_map_of_an_id_once(spark):
     }
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert "map_from_entries" in plan and "try_element_at(map_from_entries" not in plan
+
+
+def test_labels_of_one_namespace_are_those_of_all(spark):
+    rng = random.Random(4)
+    values = ["a", "b", "a:b", "b:c:a", ""]
+    vote = lambda: f"{rng.choice(['CLASS', 'FAM', 'BEH'])}:{rng.choice(values)}|{rng.randint(1, 9)}"
+    lines = [f"{i} {rng.randint(1, 5)} " + ",".join(vote() for _ in range(rng.randint(1, 9))) for i in range(300)]
+    items = labels.vote_items(spark.createDataFrame([(x,) for x in [*lines, "900 1 []", "900 1 CLASS:z|9"]], "value string"))
+    every = labels.resolved_labels(items).select("id", F.col("label.class").alias("c"))
+    alone = labels.resolved_labels(items, namespaces=["class"])
+    assert alone.schema["label"].dataType.names == ["class"]
+    assert sorted(map(str, every.collect())) == sorted(map(str, alone.select("id", F.col("label.class").alias("c")).collect()))
