@@ -16,11 +16,10 @@ MAX_VOTES = 2**63 - 1
 
 
 def json_body(raw: Column | str) -> Column:
-    """Text from the first ``{`` to the last ``}``."""
+    """Text from the first ``{`` to the last ``}``, or to the end if there is no ``}`` at all."""
     c = as_column(raw)
-    start = F.instr(c, "{")
-    length = F.length(c) - F.instr(F.reverse(c), "}") - start + 2
-    return F.when((start > 0) & (length > 0), F.substring(c, start, length)).otherwise(F.lit(""))
+    open_end = F.when(c.contains("{"), F.substring(c, F.instr(c, "{"), F.length(c)))
+    return F.coalesce(F.when(c.contains("}"), F.regexp_extract(c, r"(?s)\{.*\}", 0)).otherwise(open_end), F.lit(""))
 
 
 def body_state(raw: Column | str) -> Column:
@@ -64,6 +63,7 @@ def _values_type(depth: int) -> str:
     return f"struct<type:string,name:string,values:{deeper}>"
 
 
-DEPTH = 4
+#: Levels that are parsed at once.
+DEPTH = 8
 VALUES_TYPE = f"array<{_values_type(DEPTH)}>"
 REPORT_TYPE = f"struct<detects:array<struct<values:{VALUES_TYPE}>>>"

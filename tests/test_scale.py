@@ -6,7 +6,8 @@ import random
 
 from pyspark.sql import functions as F
 
-from samplemill.operators import features
+from samplemill.functions import reports
+from samplemill.operators import features, packing
 from samplemill.sources import labels
 
 
@@ -30,3 +31,28 @@ def test_labels_of_one_namespace_are_those_of_all(spark):
     alone = labels.resolved_labels(items, namespaces=["class"])
     assert alone.schema["label"].dataType.names == ["class"]
     assert sorted(map(str, every.collect())) == sorted(map(str, alone.select("id", F.col("label.class").alias("c")).collect()))
+
+
+def test_reports_of_usual_depth_are_parsed_in_one_round(spark):
+    def nested(depth):
+        return '{"values":[' * depth + '{"type":"Packer","name":"P%d"}' % depth + "]}" * depth
+
+    raw = 'log {"detects":[{"values":[%s]}]} done'
+    rows = [(1, "deep", raw % ",".join(nested(d) for d in range(8))), (2, "deep", raw % nested(20)), (3, "deep", None)]
+    df = spark.createDataFrame(rows, "id int, mode string, raw string")
+    flat = {r.id: r for r in packing.parsed_reports(df, ["id", "mode"], "raw").collect()}
+    assert len(flat[1]["_found"]) == 8 and not flat[1]["_v"] and len(flat[2]["_v"]) == 1
+    found = packing.detections(df, ["id", "mode"], "raw").select("id", "name").collect()
+    assert sorted(map(tuple, found)) == sorted([*((1, f"P{d}") for d in range(8)), (2, "P20")])
+
+
+def test_json_body(spark):
+    rng = random.Random(3)
+    texts = ["", "{", "}", "}{", "a{b", "{a}b}c", "}a{b}"] + ["".join(rng.choices("{}aé\n", k=rng.randint(0, 8))) for _ in range(500)]
+
+    def body(t):
+        start, end = t.find("{"), t.rfind("}") if "}" in t else len(t)
+        return t[start : end + 1] if start >= 0 and end >= start else ""
+
+    df = spark.createDataFrame([(t,) for t in [*texts, None]], "t string")
+    assert [r.b for r in df.select(reports.json_body("t").alias("b")).collect()] == [*map(body, texts), ""]
