@@ -33,7 +33,15 @@ def completed(runs: DataFrame, key: str, mode: str, modes: Sequence[str], all_mo
 
 
 def pending(ids: DataFrame, done: DataFrame, key: str) -> DataFrame:
-    return ids.join(done.select(key), key, "left_anti")
+    """Ids that are not done.
+
+    Ids compress so well that the planner would put all of them into a few tasks, whose sorting and counting then takes
+    their memory, by the size of the table. A given number of parts keeps it from that, on both sides of the join. The
+    optimizer would move an anti join below the parts, so this is an outer one.
+    """
+    tasks = int(ids.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    found = done.select(key, F.lit(True).alias("_done"))
+    return ids.repartition(tasks, key).join(found, key, "left").where("_done IS NULL").select(*ids.columns)
 
 
 def label_via_digest(files: DataFrame, digest_labels: DataFrame, digest: str) -> DataFrame:

@@ -56,3 +56,20 @@ def test_json_body(spark):
 
     df = spark.createDataFrame([(t,) for t in [*texts, None]], "t string")
     assert [r.b for r in df.select(reports.json_body("t").alias("b")).collect()] == [*map(body, texts), ""]
+
+
+def test_pending_ids_stay_in_many_parts(spark):
+    """The planner does not put all ids into one task; NULL and repeated ids are as in an anti join."""
+    from samplemill.operators import joins
+
+    ids = spark.createDataFrame([(i % 900 or None, i) for i in range(2000)], "id bigint, x int")
+    done = spark.createDataFrame([(i,) for i in (*range(0, 900, 2), 2, 4, None)], "id bigint")
+    held = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = joins.pending(ids, done, "id")
+        assert got.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions")) > 1
+        assert got.columns == ids.columns
+        assert sorted(map(str, got.collect())) == sorted(map(str, ids.join(done, "id", "left_anti").collect()))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
