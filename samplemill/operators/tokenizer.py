@@ -9,10 +9,12 @@ from __future__ import annotations
 
 from array import array
 from bisect import bisect_right
-from collections import Counter
 from collections.abc import Callable, Iterable, Iterator, Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 from heapq import heappop, heappush
+from itertools import chain
+from operator import or_
 from typing import NamedTuple
 from zlib import crc32
 
@@ -34,6 +36,10 @@ MOST_TOKENS = 2_000_000
 FOLDERS, MOST_WRITERS = 32, 64
 #: Ids of words that a task remembers, and what a word itself costs beside them, in ids.
 CACHED_IDS, WORD_COST = 8_000_000, 60
+#: Merges up to which the words of a batch are rewritten merge by merge, all at once; beyond, word by word.
+MERGES_AT_ONCE = 400
+#: Rounds that look for their words in the whole word table. Writing postings costs about as much as these scans.
+SCANS = 64
 
 
 def word_counts(df: DataFrame, words: str) -> DataFrame:
@@ -207,39 +213,97 @@ def _letters(word: str, prefix: str) -> list[str]:
 HELD_PAIRS = 200_000
 
 
-def _counted(words: DataFrame, changes: Callable[[str], Iterable[tuple[tuple[str, str], int]]]) -> DataFrame:
-    """``(a, b, n)``: what ``changes`` says of the pairs of every word ``(word, n)``, times the word's count."""
+class _Spelling:
+    """Words of a batch as one text with a character per symbol, so that a merge is one replacement in all of them.
+
+    Letters inside a word stand for themselves; first letters (if marked apart), tokens and the bound between words
+    get characters that no word has. Pairs are two characters in one number.
+    """
+
+    def __init__(self, alphabet: Sequence[str], merges: Sequence[tuple[str, str]], prefix: str):
+        letters = {s[-1] for s in alphabet}
+        free = (chr(i) for i in chain(range(0xD800), range(0xE000, 0x110000)) if chr(i) not in letters)
+        self.prefix, self.bound = prefix, next(free)
+        self.codes = {s: s[-1] if s.startswith(prefix) and len(s) > len(prefix) else next(free) for s in alphabet}
+        for a, b in merges:
+            token = _joined(a, b, prefix)
+            if token not in self.codes:
+                self.codes[token] = next(free)
+        self.names = {c: s for s, c in self.codes.items()}
+
+    def text(self, words: list[str], merges: Sequence[tuple[str, str]]) -> str:
+        """The words after the merges, each applied once, in order."""
+        if len(merges) > MERGES_AT_ONCE:
+            ranks = _ranks(merges)
+            found = ("".join(self.codes[s] for s in merge_symbols(_letters(w, self.prefix), ranks, self.prefix, False)) for w in words)
+            return self.bound + self.bound.join(found) + self.bound
+        spelled = (self.codes[w[0]] + w[1:] for w in words) if self.prefix else words
+        return self.merged(self.bound + self.bound.join(spelled) + self.bound, merges)
+
+    def merged(self, text: str, merges: Sequence[tuple[str, str]]) -> str:
+        for a, b in merges:
+            text = text.replace(self.codes[a] + self.codes[b], self.codes[_joined(a, b, self.prefix)])
+        return text
+
+    def pairs(self, text: str, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Neighbours in every word, and the word's count."""
+        at = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.int64)
+        bound = at == ord(self.bound)
+        here = ~(bound[:-1] | bound[1:])
+        return at[:-1][here] << 21 | at[1:][here], n[(np.cumsum(bound) - 1)[:-1][here]]
+
+    def named(self, pairs: np.ndarray) -> list[list[str]]:
+        return [[self.names[chr(c)] for c in side.tolist()] for side in (pairs >> 21, pairs & (1 << 21) - 1)]
+
+
+def _summed(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The sum per key, but for those that are zero."""
+    if not len(keys):
+        return keys, values
+    order = np.argsort(keys)
+    keys = keys[order]
+    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+    sums = np.add.reduceat(values[order], first)
+    return keys[first][sums != 0], sums[sums != 0]
+
+
+def _counted(words: DataFrame, spelling: _Spelling, changes: Callable[[list[str], np.ndarray], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
+    """``(a, b, n)``: the sum of what ``changes`` says of pairs for the words ``(word, n)`` of a batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: Counter = Counter()
+        none = np.zeros(0, np.int64)
+        found = none, none
 
         def rows() -> pa.RecordBatch:
-            a, b = zip(*found) if found else ((), ())
-            arrays = [pa.array(a, pa.string()), pa.array(b, pa.string()), pa.array(found.values(), pa.int64())]
+            arrays = [*(pa.array(side, pa.string()) for side in spelling.named(found[0])), pa.array(found[1], pa.int64())]
             return pa.RecordBatch.from_arrays(arrays, names=["a", "b", "n"])
 
         for batch in batches:
-            for word, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                for pair, times in changes(word):
-                    found[pair] += n * times
-            if len(found) > HELD_PAIRS:
+            more = changes(batch.column(0).to_pylist(), batch.column(1).to_numpy(zero_copy_only=False))
+            found = _summed(*(np.concatenate(x) for x in zip(found, more)))
+            if len(found[0]) > HELD_PAIRS:
                 yield rows()
-                found.clear()
+                found = none, none
         yield rows()
 
     pairs = words.select("word", "n").mapInArrow(run, "a string, b string, n bigint")
     return pairs.groupBy("a", "b").agg(F.sum("n").alias("n"))
 
 
-def _pair_counts(words: DataFrame, merges: Sequence[tuple[str, str]], prefix: str) -> DataFrame:
+def _pair_counts(words: DataFrame, alphabet: Sequence[str], merges: Sequence[tuple[str, str]], prefix: str) -> DataFrame:
     """Neighbouring symbols of all words after the given merges."""
-    ranks = _ranks(merges)
+    spelling = _Spelling(alphabet, merges, prefix)
+
+    def pairs(batch: list[str], n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return spelling.pairs(spelling.text(batch, merges), n)
+
+    return _counted(words, spelling, pairs).where("n > 0")
 
-    def pairs(word: str) -> Iterable[tuple[tuple[str, str], int]]:
-        parts = merge_symbols(_letters(word, prefix), ranks, prefix, False)
-        return ((p, 1) for p in zip(parts, parts[1:]))
 
-    return _counted(words, pairs).where("n > 0")
+def _words_with(words: DataFrame, pairs: Sequence[tuple[str, str]], prefix: str) -> DataFrame:
+    """``(word, n)`` of all words that may have one of the pairs, by a scan."""
+    raw = {"".join(x.removeprefix(prefix) for x in pair) for pair in pairs}
+    return words.where(reduce(or_, [F.contains("word", F.lit(x)) for x in sorted(raw)]))
 
 
 class _Index:
@@ -322,7 +386,8 @@ def train_merges(
 
     The pairs of all words are counted once, and the ``POOL`` most frequent ones kept. Every round merges the most
     frequent pair, ties by text, together with all following pairs that do not interact with it, and counts pairs
-    only in the words that have one of them, before and after. Such words are found by postings. Pairs outside the pool
+    only in the words that have one of them, before and after. Such words are found by a scan of the word table, and
+    by postings once there have been ``SCANS`` rounds. Pairs outside the pool
     have a bound that changes raise, so all is counted again no sooner than the best pair is as rare as that. With
     ``prefix`` symbols inside a word carry a continuation mark. The driver holds the pool and per round the changes,
     which the vocabulary bounds.
@@ -338,8 +403,8 @@ def train_merges(
     alphabet = [r.s for r in words.select(F.explode(F.array_distinct(symbols)).alias("s")).distinct().collect()]
     tokens = [*specials, *sorted(alphabet)]
     known, done = set(tokens), []
-    index = _Index(words, prefix)
-    pool = _Pool(_pair_counts(words, done, prefix), prefix, max_length)
+    index, scans = None, 0
+    pool = _Pool(_pair_counts(words, alphabet, done, prefix), prefix, max_length)
 
     def missing() -> int:
         return merges - len(done) if size is None else size + len(specials) - len(tokens)
@@ -347,7 +412,7 @@ def train_merges(
     while missing() > 0:
         top = pool.best()
         if not top and pool.floor:
-            pool = _Pool(_pair_counts(words, done, prefix), prefix, max_length)
+            pool = _Pool(_pair_counts(words, alphabet, done, prefix), prefix, max_length)
             top = pool.best() or [Pair(a, b, n) for (a, b), n in pool.counts.items()][:1]
         if not top:
             break
@@ -355,7 +420,12 @@ def train_merges(
         chosen = _independent(top, prefix, known, floor)[: missing()]
         fresh = {_joined(a, b, prefix) for a, b in chosen} - known
         if missing() > len(chosen):
-            pool.apply(_changes(index.words_with(chosen), done, chosen, prefix).collect(), fresh)
+            if scans < SCANS:
+                scans, touched = scans + 1, _words_with(words, chosen, prefix)
+            else:
+                index = index or _Index(words, prefix)
+                touched = index.words_with(chosen)
+            pool.apply(_changes(touched, alphabet, done, chosen, prefix).collect(), fresh)
         done += chosen
         for token in (_joined(a, b, prefix) for a, b in chosen):
             if token not in known:
@@ -364,19 +434,16 @@ def train_merges(
     return Merges(tokens, done, prefix)
 
 
-def _changes(words: DataFrame, done: Sequence[tuple[str, str]], chosen: Sequence[tuple[str, str]], prefix: str) -> DataFrame:
+def _changes(words: DataFrame, alphabet: Sequence[str], done: Sequence[tuple[str, str]], chosen: Sequence[tuple[str, str]], prefix: str) -> DataFrame:
     """``(a, b, n)``: by how much the count of a pair differs once ``chosen`` are merged, too."""
-    ranks, more = _ranks(done), _ranks(chosen)
+    done, spelling = tuple(done), _Spelling(alphabet, [*done, *chosen], prefix)
 
-    def pairs(word: str) -> Iterable[tuple[tuple[str, str], int]]:
-        old = merge_symbols(_letters(word, prefix), ranks, prefix, False)
-        new = merge_symbols(list(old), more, prefix, False)
-        if len(old) == len(new):
-            return
-        for parts, sign in ((old, -1), (new, 1)):
-            yield from ((p, sign) for p in zip(parts, parts[1:]))
+    def pairs(batch: list[str], n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        old = spelling.text(batch, done)
+        sides = spelling.pairs(old, -n), spelling.pairs(spelling.merged(old, chosen), n)
+        return tuple(np.concatenate(x) for x in zip(*sides))
 
-    return _counted(words, pairs).where("n <> 0")
+    return _counted(words, spelling, pairs).where("n <> 0")
 
 
 def encode_merges(df: DataFrame, words: str, model: Merges, out: str = "input_ids") -> DataFrame:

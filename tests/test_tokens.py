@@ -4,6 +4,7 @@ import random
 import time
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -166,3 +167,36 @@ def test_length_sweep(spark):
     got = {(r.config, r.length): r.n for r in tokenizer.length_sweep(df, {"x": "a", "y": "b"}).collect()}
     assert got == {("x", 2): 2, ("y", 1): 1, ("y", 3): 1}
     assert F.col("a") is not None
+
+
+@pytest.mark.parametrize("prefix", ["", "##", "#"])
+def test_words_of_a_batch_are_merged_at_once(monkeypatch, prefix):
+    """A batch as one text against word by word: letters that look like marks, second spellings, any number of merges."""
+    rng = random.Random(3)
+    words = ["".join(rng.choices("ab#\x00é\U0001F600", k=rng.randint(1, 12))) for _ in range(500)]
+    n = np.arange(1, 501)
+    alphabet = sorted({s for w in words for s in tokenizer._letters(w, prefix)})
+    merges = []
+    for _ in range(12):
+        ranks = tokenizer._ranks(merges)
+        parts = [tokenizer.merge_symbols(tokenizer._letters(w, prefix), ranks, prefix, False) for w in words]
+        want = Counter()
+        for p, k in zip(parts, n.tolist()):
+            for pair in zip(p, p[1:]):
+                want[pair] += k
+        spelling = tokenizer._Spelling(alphabet, merges, prefix)
+        for most in (400, 0):
+            monkeypatch.setattr(tokenizer, "MERGES_AT_ONCE", most)
+            keys, sums = tokenizer._summed(*spelling.pairs(spelling.text(words, merges), n))
+            assert dict(zip(zip(*spelling.named(keys)), sums.tolist())) == want
+        merges.append(rng.choice(sorted(want)))
+
+
+def test_few_merges_write_no_postings(spark, monkeypatch):
+    counts = spark.createDataFrame(list(Counter(CORPUS).items()), "word string, n bigint")
+    made, init = [], tokenizer._Index.__init__
+    monkeypatch.setattr(tokenizer._Index, "__init__", lambda self, *a: (made.append(1), init(self, *a))[1])
+    merges = tokenizer.train_merges(counts, merges=12, prefix="##").merges
+    assert not made
+    monkeypatch.setattr(tokenizer, "SCANS", 2)
+    assert tokenizer.train_merges(counts, merges=12, prefix="##").merges == merges and made == [1]
