@@ -104,6 +104,71 @@ def test_recall_of_edited_passages(docs_of):
     assert len(want) > 200 and sum(d in got for d in want) >= 0.95 * len(want)
 
 
+def foreign(rng, n):
+    return [f"z{rng.randrange(10**9)}" for _ in range(n)]
+
+
+def linked(rows, ids, words):
+    """Whether the documents all have a passage of so many words, and the same representative for one."""
+    reps = [{(r.rep_id, r.rep_start) for r in rows if r.doc_id == i and r.words >= words} for i in ids]
+    return all(reps) and bool(set.intersection(*reps))
+
+
+def test_passages_around_a_common_stretch(docs_of):
+    """Pairs that share 64 words are linked, though 60 others have 40 of them and one of those is the smallest text."""
+    rng = random.Random(7)
+    stretch, rows = foreign(rng, 40), []
+    for k in range(60):
+        before, after = foreign(rng, 12), foreign(rng, 12)
+        for d in (2 * k, 2 * k + 1):
+            rows.append((d, " ".join([*foreign(rng, 50), *before, *stretch, *after, *foreign(rng, 50)])))
+    rows += [(1000 + k, " ".join([*foreign(rng, 60), *stretch, *foreign(rng, 60)])) for k in range(60)]
+    got = passages.duplicate_passages(docs_of(rows)).collect()
+    assert [k for k in range(60) if not linked(got, (2 * k, 2 * k + 1), 62)] == []
+    assert {r.doc_id for r in got} == set(range(120))
+
+
+def test_passages_of_which_others_have_all_parts(docs_of):
+    """Two parts in one piece link documents, though most have both parts with other words between."""
+    rng = random.Random(8)
+    first, second = foreign(rng, 30), foreign(rng, 30)
+    rows = [(i, " ".join([*foreign(rng, 60), *first, *second, *foreign(rng, 60)])) for i in range(10)]
+    rows += [(100 + i, " ".join([*foreign(rng, 60), *first, *foreign(rng, 25), *second, *foreign(rng, 60)])) for i in range(40)]
+    got = passages.duplicate_passages(docs_of(rows)).collect()
+    assert linked(got, range(10), 58) and {r.doc_id for r in got} == set(range(10))
+
+
+def test_all_edited_passages_are_found(docs_of):
+    """At the threshold too: passages of 50 to 80 words with words exchanged, put in or left out."""
+    rng, rows, want = random.Random(9), [], []
+    for k in range(400):
+        size = rng.randrange(54, 81)
+        passage = [f"p{k}w{i}" for i in range(size)]
+        other = list(passage)
+        for _ in range(rng.randrange(1, 3)):
+            at = rng.randrange(1, len(other) - 1)
+            other[at : at + rng.randrange(2)] = [f"x{rng.randrange(10**9)}"] * rng.randrange(2)
+        a, b = ({tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (passage, other))
+        for d, part in ((2 * k, passage), (2 * k + 1, other)):
+            rows.append((d, " ".join([*foreign(rng, 50), *part, *foreign(rng, 50)])))
+        if len(a & b) >= 0.8 * len(a | b):
+            want += [2 * k, 2 * k + 1]
+    got = {r.doc_id for r in passages.duplicate_passages(docs_of(rows)).collect()}
+    assert len(want) > 400 and set(want) - got == set()
+
+
+def test_texts_with_a_sure_piece_share_a_seed():
+    size, every = passages.seed_sizes(0.8, 46)
+    assert passages.sure_run(0.8, 46) == size + every - 1 == 20 and passages.sure_run(1.0, 46) == 46
+    rng = np.random.default_rng(4)
+    for _ in range(200):
+        piece = rng.integers(0, 2**63, 20, dtype=np.uint64)
+        sides = [rng.integers(0, 2**63, n, dtype=np.uint64) for n in rng.integers(30, 60, 4)]
+        a, b = (np.concatenate([sides[i], piece, sides[i + 1]]) for i in (0, 2))
+        keys, _ = passages.seeds(np.concatenate([a, b]), np.array([len(a), len(b)]), size, every)
+        assert len(set(keys.tolist())) < len(keys)
+
+
 def test_near_duplicates(docs_of):
     base = prose(200, 1).split()
     rows = [(1, " ".join(base))]
