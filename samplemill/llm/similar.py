@@ -272,7 +272,8 @@ def _buckets(keyed: DataFrame, limit: int) -> DataFrame:
     """
     sizes = cut(keyed.groupBy("k").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "bucket-sizes")
     blocks = F.when(F.col("n") <= limit, 1).otherwise(F.ceil(2 * F.col("n") / limit)).cast("int")
-    met = keyed.join(sizes, "k").withColumn("blocks", blocks)
+    # The planner takes exploded rows for about as many as before, and would send all of them to the driver.
+    met = keyed.hint("merge").join(sizes, "k").withColumn("blocks", blocks)
     met = met.withColumn("mine", F.pmod(F.xxhash64("node", "k"), F.col("blocks")).cast("int"))
     others = F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: x != F.col("mine"))
     pairs = F.transform(others, lambda x: F.struct(F.least("mine", x).alias("i"), F.greatest("mine", x).alias("j")))
@@ -297,8 +298,8 @@ def _sets(docs: DataFrame, texts: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def _verified(sets: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
     """The candidate pairs whose shingle sets have the similarity."""
-    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("s").alias("x")), "a")
-    both = both.join(sets.select(F.col("node").alias("b"), F.col("s").alias("y")), "b")
+    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("s").alias("x")).hint("merge"), "a")
+    both = both.join(sets.select(F.col("node").alias("b"), F.col("s").alias("y")).hint("merge"), "b")
     common = F.size(F.array_intersect("x", "y"))
     return both.where(common >= similarity * (F.size("x") + F.size("y") - common)).select("a", "b")
 
@@ -329,8 +330,9 @@ def near_duplicates(
     bits = max(KEY_BITS, math.ceil(math.log2(max(1, texts.count()))) - 4)
     keyed = _keyed(cut(texts.select("node", "fp").dropDuplicates(["node"]), "nodes"), tables_for(similarity, bits, tables), bits)
     groups = cut(_groups(_buckets(keyed, BUCKET), radius(similarity)), "groups")
-    wanted = sketches.select("node", "fp", "size", "s").join(groups.select("node").distinct(), "node", "left_semi")
-    members = groups.select("g", "node").join(wanted.dropDuplicates(["node"]), "node")
+    # Written, groups and sets are far smaller than as rows, so their joins are never left to broadcasts.
+    wanted = sketches.select("node", "fp", "size", "s").join(groups.select("node").distinct().hint("merge"), "node", "left_semi")
+    members = groups.select("g", "node").hint("merge").join(wanted.dropDuplicates(["node"]), "node")
     links = cut(_links(members, radius(similarity), similarity), "links")
     sure, unsure = links.where("sure").select("a", "b"), links.where("NOT sure").select("a", "b")
     if not unsure.isEmpty():

@@ -220,6 +220,24 @@ def test_values_of_a_large_bucket_all_meet(spark):
     assert max(map(len, met)) < 30
 
 
+def test_exploded_rows_are_not_broadcast(docs_of, monkeypatch):
+    """Keys of all tables, members of groups and sets grow with the corpus, however small their files are."""
+    plans, cut = {}, similar.cut
+
+    def noted(df, name):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return cut(df, name)
+
+    monkeypatch.setattr(similar, "cut", noted)
+    base = [f"w{i}" for i in range(5000)]
+    rows = [(1, " ".join(base)), (2, " ".join(w + "x" if i % 51 == 7 else w for i, w in enumerate(base)))]
+    assert [r.doc_id for r in similar.near_duplicates(docs_of(rows)).collect()] == [2]
+    assert "SortMergeJoin" in plans["groups"] and "SortMergeJoin" in plans["links"]
+    assert all("Broadcast" not in plans[name] for name in ("groups", "links"))
+    pairs, sets = docs_of([(1, "")]).selectExpr("1L AS a", "2L AS b"), docs_of([(1, "")]).selectExpr("1L AS node", "array(1) AS s")
+    assert "Broadcast" not in similar._verified(sets, pairs, 0.8)._jdf.queryExecution().executedPlan().toString()
+
+
 def test_longer_keys_get_more_tables():
     want = similar.recall(0.8, similar.KEY_BITS, similar.TABLES)
     assert want > 0.9 and similar.recall(0.9, similar.KEY_BITS, similar.TABLES) > 0.99
