@@ -169,6 +169,51 @@ def test_texts_with_a_sure_piece_share_a_seed():
         assert len(set(keys.tolist())) < len(keys)
 
 
+def test_documents_are_read_once_for_all_rounds(docs_of, monkeypatch):
+    """Texts, seeds and shingles come from the documents, whatever the number of comparisons."""
+    plans, cut = [], passages.cut
+
+    def noted(df, name):
+        plans.append((name, "_text" in df._jdf.queryExecution().optimizedPlan().toString()))
+        return cut(df, name)
+
+    monkeypatch.setattr(passages, "cut", noted)
+    rng = random.Random(7)
+    stretch, rows = foreign(rng, 40), []
+    for k in range(20):
+        before, after = foreign(rng, 12), foreign(rng, 12)
+        rows += [(2 * k + i, " ".join([*foreign(rng, 50), *before, *stretch, *after, *foreign(rng, 50)])) for i in range(2)]
+    passages.duplicate_passages(docs_of(rows))
+    assert sum(name == "passages" for name, _ in plans) >= 2
+    assert [name for name, reads in plans if reads] == ["texts", "seeds", "shingled"]
+
+
+def test_shared_runs_against_all_runs():
+    rng = np.random.default_rng(6)
+    for _ in range(200):
+        common = rng.random(rng.integers(12, 60)) < 0.85
+        starts = rng.integers(0, len(common), 5)
+        ends = np.minimum(starts + rng.integers(0, 4), len(common) - 1)
+        has, low, high = passages.shared_runs(common, starts, ends, 0.8, 8)
+        gain = np.concatenate([[0.0], np.cumsum(common - 0.8)])
+        for k, (start, end) in enumerate(zip(starts.tolist(), ends.tolist())):
+            runs = [
+                (i, j)
+                for i in range(max(0, start - 8), start + 1)
+                for j in range(end + 1, min(len(common), end + 9) + 1)
+                if common[i] and common[j - 1] and j - i >= 8 and gain[j] - gain[i] >= -1e-9
+            ]
+            assert has[k] == bool(runs)
+            assert not runs or (low[k], high[k]) == (min(i for i, _ in runs), max(j for _, j in runs))
+
+
+def test_places_of_a_pair_join_by_shift():
+    pair, at, shift = (np.array(x) for x in zip((0, 5, 0), (0, 90, 500), (0, 9, 1), (0, 200, 2), (1, 9, 1)))
+    order, starts, *bounds = passages.joined_spans(pair, at, shift, 12, 20)
+    assert sorted(zip(pair[order][starts].tolist(), *(x.tolist() for x in bounds))) == [(0, 0, 40, 0, 41), (0, 70, 121, 570, 621), (0, 180, 231, 182, 233), (1, 0, 40, 1, 41)]
+    assert [len(x) for x in passages.joined_spans(*(np.zeros(0, np.int64),) * 3, 12, 20)] == [0] * 6
+
+
 def test_near_duplicates(docs_of):
     base = prose(200, 1).split()
     rows = [(1, " ".join(base))]
